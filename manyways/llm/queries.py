@@ -2,7 +2,14 @@
 
 from __future__ import annotations
 
-from manyways.llm import mixing, packing
+from manyways.llm import media, mixing, neardup, neighbours, packing, secrets
 
-QUERIES = {"op2_packing": packing.op2_packing, "op3_mixing": mixing.op3_mixing}
+QUERIES = {
+    "op2_packing": packing.op2_packing,
+    "op3_mixing": mixing.op3_mixing,
+    "op4_neardup": neardup.op4_neardup,
+    "op5_secrets": secrets.op5_secrets,
+    "op8_media": media.op8_media,
+    "op9_neighbours": neighbours.op9_neighbours,
+}
 SQL = {"op3_mixing": mixing.OP3_SQL}
