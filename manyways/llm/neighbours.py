@@ -14,11 +14,11 @@ from manyways.llm.common import table, written
 
 BLOCK = 2048
 QUERIES = 1024
-PROJECTIONS = 40
-THRESHOLD = 0.6
-VERIFY = 0.15
+PROJECTIONS = 64
+THRESHOLD = 0.75
+VERIFY = 0.25
 LEAST = 200
-GROWTH = 1.35
+GROWTH = 1.15
 SALTS = 32
 
 

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from manyways.llm import media, mixing, neardup, neighbours, packing, secrets
+from manyways.llm import language, media, mixing, neardup, neighbours, packing, quality, secrets
 
 QUERIES = {
+    "op1_quality": quality.op1_quality,
     "op2_packing": packing.op2_packing,
     "op3_mixing": mixing.op3_mixing,
     "op4_neardup": neardup.op4_neardup,
     "op5_secrets": secrets.op5_secrets,
+    "op6_language": language.op6_language,
     "op8_media": media.op8_media,
     "op9_neighbours": neighbours.op9_neighbours,
 }
