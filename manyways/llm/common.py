@@ -32,7 +32,13 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     """df as a Parquet table in the shared folder: it cuts the lineage and outlives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/manyways/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    freed = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"  # what is written needs its shuffle files no longer
+    before = spark.conf.get(freed, "false")
+    spark.conf.set(freed, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(freed, before)
     _made.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 

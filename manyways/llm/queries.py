@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from manyways.llm import language, media, mixing, neardup, neighbours, packing, quality, secrets
+from manyways.llm import language, media, mixing, neardup, neighbours, packing, quality, repeats, secrets
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
+    "op10_repeats": repeats.op10_repeats,
     "op2_packing": packing.op2_packing,
     "op3_mixing": mixing.op3_mixing,
     "op4_neardup": neardup.op4_neardup,
