@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from manyways.llm import language, media, mixing, neardup, neighbours, packing, quality, repeats, secrets
+from manyways.llm import language, likelihood, media, mixing, neardup, neighbours, packing, quality, repeats, secrets
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
@@ -12,6 +12,7 @@ QUERIES = {
     "op4_neardup": neardup.op4_neardup,
     "op5_secrets": secrets.op5_secrets,
     "op6_language": language.op6_language,
+    "op7_likelihood": likelihood.op7_likelihood,
     "op8_media": media.op8_media,
     "op9_neighbours": neighbours.op9_neighbours,
 }
