@@ -1,0 +1,5 @@
+"""All queries over the driver's tables, by name."""
+
+from manyways.plans import forks_sql
+
+QUERIES = {**forks_sql.QUERIES}
