@@ -18,7 +18,11 @@ DEPTH = 3
 TAIL = 4
 NEAR = 8
 FAR = 3
+REGION = 512
+TEXTS = 1000
+ALIKE = 0.5
 CHUNK = 4_000_000
+FILTER_WORDS = 1 << 20
 _rng = np.random.default_rng(20240229)
 _A = _rng.integers(1, 1 << 32, HASHES, np.uint64).astype(np.uint32) | np.uint32(1)
 _B = _rng.integers(1, 1 << 32, HASHES, np.uint64).astype(np.uint32) | np.uint32(1)
@@ -95,8 +99,8 @@ def shingled(docs: DataFrame, width: int) -> DataFrame:
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(each, "doc_id long, n_shingles long, set_id binary, signature binary")
 
 
-def forest(sets: DataFrame) -> DataFrame:
-    """Candidate pairs (a, b), a < b, of doc_ids.
+def forest(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The trees' rows (region, tail, id), stored, and candidate pairs (a, b), a < b, of doc_ids.
 
     Each tree is the order of all signatures read from another place on, cyclically. Rows that share DEPTH values or more with a
     neighbour are candidates: where such a region is small, with NEAR rows on, that is all of it; in a larger one, where a
@@ -170,13 +174,112 @@ def forest(sets: DataFrame) -> DataFrame:
     ordered = rows.repartitionByRange(2 * parts(spark), "region", "tail", "id").sortWithinPartitions("region", "tail", "id")
     found = written(ordered.mapInArrow(within, "a long, b long, region long, tail long, range long"), "pairs")
     border = found.filter("b is null").select(F.col("a").alias("id"), "region", "range", "tail").coalesce(1).sortWithinPartitions("range", "region", "tail", "id")
-    return found.filter("b is not null").select("a", "b").union(border.select("id", "region", "range").mapInArrow(between, "a long, b long").filter("a <> b")).distinct()
+    return rows, found.filter("b is not null").select("a", "b").union(border.select("id", "region", "range").mapInArrow(between, "a long, b long").filter("a <> b")).distinct()
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs whose full sets have 100 * intersection >= percent * union."""
+def sifted(docs: DataFrame, asked: DataFrame) -> DataFrame:
+    """doc_id and text of the rows of docs whose doc_id may be among those asked for, so that few texts are shuffled.
+
+    A blocked Bloom filter of FILTER_WORDS 64-bit words, a fixed size, goes out; beyond what it can tell apart more rows pass.
+    """
+    h = F.xxhash64("doc_id")
+    bit = lambda at: F.expr(f"shiftleft(1L, cast(pmod(shiftright(_h, {at}), 64) as int))")
+    marked = lambda df: df.withColumn("_h", h).withColumn("_word", F.pmod("_h", F.lit(FILTER_WORDS))).withColumn("_bits", bit(24).bitwiseOR(bit(32)).bitwiseOR(bit(40))).drop("_h")
+    held = marked(asked).groupBy("_word").agg(F.bit_or("_bits").alias("_bits")).toArrow()
+    words = np.zeros(FILTER_WORDS, np.int64)
+    words[held["_word"].to_numpy()] = held["_bits"].to_numpy()
+    sent = docs.sparkSession.sparkContext.broadcast(words)
+
+    def sift(batches):
+        for batch in batches:
+            bits = batch.column(3).to_numpy()
+            yield batch.select([0, 1]).filter(pa.array(sent.value[batch.column(2).to_numpy()] & bits == bits))
+
+    rows = marked(docs.select(F.col("doc_id").cast("long"), "text").filter("doc_id is not null"))
+    return rows.select("doc_id", "text", "_word", "_bits").mapInArrow(sift, "doc_id long, text string")
+
+
+def unlinked(rows: DataFrame, sets: DataFrame, labels: DataFrame) -> DataFrame:
+    """id, mates: pairs of large regions that lie in different components so far: each member outside its region's most frequent
+    component, with all other members whose signatures don't rule the link out (it agrees in ALIKE of the hashes or more, six
+    standard deviations below what the least similarity gives).
+
+    In small regions all pairs are candidates before; so each pair that shares a region is either confirmed or refused, or
+    in one component anyway. Regions are salted by their sizes.
+    """
+    large = rows.groupBy("region").agg(F.count("*").alias("size")).filter(F.col("size") > NEAR + 1)
+    members = rows.select("region", "id").join(large, "region").join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    members = written(members, "members")
+    per = members.groupBy("region", "component").agg(F.count("*").alias("n"))
+    main = per.groupBy("region").agg(F.max(F.struct("n", "component"))["component"].alias("main"), F.count("*").alias("several")).filter("several > 1").drop("several")
+    mixed_up = members.join(main, "region").join(sets.select(F.col("doc_id").alias("id"), "signature"), "id").withColumn("salts", F.floor(F.col("size") / REGION).cast("int") + 1)
+    mixed_up = written(mixed_up, "mixed")
+    left = mixed_up.filter("component <> main").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+    right = mixed_up.withColumn("salt", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int"))
+    columns = ["region", "salt", "id", "component", "signature"]
+
+    def meet(x: pa.Table, y: pa.Table) -> pa.Table:
+        out = []
+        if x.num_rows and y.num_rows:
+            a, b = (np.frombuffer(b"".join(t.column("signature").to_pylist()), np.uint32).reshape(-1, HASHES) for t in (x, y))
+            i, j = x.column("id").to_numpy(), y.column("id").to_numpy()
+            c, d = x.column("component").to_numpy(), y.column("component").to_numpy()
+            for k in range(len(i)):
+                mates = j[((b == a[k]).sum(axis=1) >= ALIKE * HASHES) & (d != c[k])]
+                if len(mates):
+                    out.append((int(i[k]), mates.tolist()))
+        return pa.table({"id": pa.array([o[0] for o in out], pa.int64()), "mates": pa.array([o[1] for o in out], pa.list_(pa.int64()))})
+
+    met = left.select(columns).groupBy("region", "salt").cogroup(right.select(columns).groupBy("region", "salt")).applyInArrow(meet, "id long, mates array<long>")
+    return met.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("mates"))).alias("mates"))
+
+
+def confirmed_mates(mates: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links (a, b) of rows (id, mates): blocks of texts meet the rows with mates among them, and the shared shingles of a row with all of
+    a block are counted at once. No pair is a row of its own before it is confirmed."""
+    blocks = max(1, -(-texts.count() // TEXTS))
+
+    def deal(batches):
+        for batch in batches:
+            out = []
+            for i, m in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                m = np.array(m, np.int64)
+                where = np.mod(m, blocks)
+                out += [(i, int(k), m[where == k].tolist()) for k in np.unique(where)]
+            yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int64()), pa.array([o[2] for o in out], pa.list_(pa.int64()))], ["doc_id", "block", "mates"])
+
+    def check(x: pa.Table, y: pa.Table) -> pa.Table:
+        a, b = [], []
+        if x.num_rows and y.num_rows:
+            with np.errstate(over="ignore"):
+                left, right = (list(shingle_sets(*buffers(c.cast(pa.large_string()))[:2], width)) for c in (x.column("text"), y.column("its")))
+            size = np.array([len(s) for s in right])
+            every, owner = np.concatenate(right), np.repeat(np.arange(len(right)), size)
+            order = np.argsort(every, kind="stable")
+            every, owner = every[order], owner[order]
+            ids = y.column("mate").to_numpy()
+            for i, s, m in zip(x.column("doc_id").to_pylist(), left, x.column("mates").to_pylist(), strict=True):
+                lo, hi = np.searchsorted(every, s, "left"), np.searchsorted(every, s, "right")
+                n = hi - lo
+                at = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+                both = np.bincount(owner[at], minlength=len(right))
+                fine = ids[(100 * both >= percent * (len(s) + size - both)) & np.isin(ids, m)]
+                a += [min(i, j) for j in fine.tolist()]
+                b += [max(i, j) for j in fine.tolist()]
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    dealt = mates.mapInArrow(deal, "doc_id long, block long, mates array<long>").join(texts, "doc_id")
+    right = texts.select(F.pmod("doc_id", F.lit(blocks)).cast("long").alias("part"), F.col("doc_id").alias("mate"), F.col("text").alias("its"))
+    return dealt.groupBy("block").cogroup(right.groupBy("part")).applyInArrow(check, "a long, b long").distinct()
+
+
+def texts_of(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     asked = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    texts = written(docs.select("doc_id", "text").join(asked, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
+    return written(sifted(docs, asked).join(asked, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
+
+
+def confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """The pairs whose full sets have 100 * intersection >= percent * union."""
 
     def check(batches):
         for batch in batches:
@@ -192,7 +295,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Da
                 yield part.select([0, 1]).filter(pa.array(fine, pa.bool_()))
 
     joined = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("_x")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("_y")), "b")
-    return joined.select("a", "b", "_x", "_y").mapInArrow(check, "a long, b long")
+    return joined.select("a", "b", F.coalesce("_x", F.lit("")).alias("_x"), F.coalesce("_y", F.lit("")).alias("_y")).mapInArrow(check, "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -224,7 +327,12 @@ def near_duplicates(docs: DataFrame, width: int = 4, percent: int = 80) -> DataF
     """
     rows = written(shingled(docs, width), "shingled")
     sets = written(rows.filter("set_id is not null and doc_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.first("signature").alias("signature")), "sets")
-    links = written(confirmed(written(forest(sets), "candidates"), docs, width, percent), "links")
+    trees, pairs = forest(sets)
+    pairs = written(pairs, "candidates")
+    texts = texts_of(pairs, docs)
+    links = written(confirmed(pairs, texts, width, percent), "links")
+    rest = written(unlinked(trees, sets, components(links)), "unlinked")  # their texts are there: each had a neighbour
+    links = written(links.union(confirmed_mates(rest, texts, width, percent)), "all-links")
     of_set = sets.select("set_id", F.col("doc_id").alias("_least")).join(components(links).withColumnRenamed("id", "_least"), "_least", "left")
     of_set = written(of_set.select("set_id", F.coalesce("component", "_least").alias("_component")), "set-components")
     out = rows.select("doc_id", "n_shingles", "set_id").join(of_set, "set_id", "left").withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("_component", "doc_id")))
