@@ -40,6 +40,7 @@ class Anchors:
     at: np.ndarray
     first: np.ndarray
     last: np.ndarray
+    prefix: np.ndarray  # prefix hashes of the piece
 
 
 def anchors(b: np.ndarray, off: np.ndarray) -> Anchors | None:
@@ -64,7 +65,7 @@ def anchors(b: np.ndarray, off: np.ndarray) -> Anchors | None:
     new = np.concatenate(([True], (a[1:] != a[:-1]) | (s[1:] != s[:-1] + 1)))
     begins = np.flatnonzero(new)
     ends = np.append(begins[1:], len(s)) - 1
-    return Anchors(g[a[begins]] | np.uint64(1), a[begins], s[begins], s[ends])
+    return Anchors(g[a[begins]] | np.uint64(1), a[begins], s[begins], s[ends], p)
 
 
 class Part:
@@ -156,12 +157,14 @@ class Windows:
         known = np.unique(np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(g, np.uint64) for g in grams)]))
         self.part, self.buckets, self.chunks, keys = p, buckets, [], []
         for start, b, a in p.anchored():
-            keep = np.isin(a.gram, known)
+            if not len(known):
+                continue
+            keep = known[np.minimum(np.searchsorted(known, a.gram), len(known) - 1)] == a.gram
             if not keep.any():
                 continue
-            a = Anchors(a.gram[keep], a.at[keep], a.first[keep], a.last[keep])
+            a = Anchors(a.gram[keep], a.at[keep], a.first[keep], a.last[keep], a.prefix)
             s, who = _starts(a)
-            h = span_hash(prefix_hash(b), s, s + WIDTH)
+            h = span_hash(a.prefix, s, s + WIDTH)
             keys.append(((h >> np.uint64(32)) % np.uint64(buckets)) << np.uint64(32) | (h & np.uint64(0xFFFFFFFF)))
             self.chunks.append((start, a, s, who))
         self.keys = np.concatenate([np.zeros(0, np.uint64), *keys])
@@ -219,7 +222,7 @@ def stretches(part: int, w: Windows, fine: np.ndarray) -> list[tuple]:
         b = p.b[start : start + int(y.max())]
         heads.append(head)
         grams.append(a.gram[k])
-        hashes.append(mixed(span_hash(prefix_hash(b), x, y) + head["anchor"].astype(np.uint64)))
+        hashes.append(mixed(span_hash(a.prefix, x, y) + head["anchor"].astype(np.uint64)))
         raw.append([b[i:j] for i, j in zip(x.tolist(), y.tolist(), strict=True)])
     if not heads:
         return []
@@ -294,9 +297,7 @@ def earliest(rows: list[tuple[int, bytes]]) -> list[tuple]:
         going = same
     common[1:] = np.minimum(common[1:], np.minimum(left[1:], left[:-1]))
     kept = np.zeros((len(text), SPAN), bool)
-    before = np.zeros((len(text), BLOCK * (width + 1)), np.uint8)
     flat = np.frombuffer(b"".join(t.ljust(BLOCK * (width + 1), b"\0") for t in text), np.uint8).reshape(len(text), -1)
-    del before
     for r in range(BLOCK):
         run = np.cumsum(common < WIDTH - r)
         ok = np.flatnonzero((at >= r) & (left >= WIDTH - r) & (at - r < SPAN) & (at - r <= anchor[which]) & (anchor[which] - at + r < SPAN))
