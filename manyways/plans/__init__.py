@@ -1,5 +1,5 @@
 """All queries over the driver's tables, by name."""
 
-from manyways.plans import forks_sql, structure_sql
+from manyways.plans import documents_sql, forks_sql, structure_sql
 
-QUERIES = {**forks_sql.QUERIES, **structure_sql.QUERIES}
+QUERIES = {**forks_sql.QUERIES, **structure_sql.QUERIES, **documents_sql.QUERIES}
