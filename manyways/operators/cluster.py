@@ -2,24 +2,34 @@
 
 from __future__ import annotations
 
+import tempfile
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def connected(edges: DataFrame, checkpoint: bool = True) -> DataFrame:
+def cut(df: DataFrame) -> DataFrame:
+    """df with its lineage cut in the shared folder spark.checkpoint.dir; a temporary one only where that is unset."""
+    context = df.sparkSession.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="manyways-"))
+    return df.checkpoint()
+
+
+def connected(edges: DataFrame) -> DataFrame:
     """id, component (the least id that edges a-b lead to): least labels of neighbours, then labels of labels, until nothing moves."""
     both = edges.select("a", "b").union(edges.select("b", "a")).distinct()
-    both = both.checkpoint() if checkpoint else both
+    both = cut(both)
     labels = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("c")).withColumnRenamed("a", "id")
     while True:
         near = both.join(labels.withColumnRenamed("id", "b"), "b").groupBy("a").agg(F.min("c").alias("m")).withColumnRenamed("a", "id")
         step = labels.join(near, "id").select("id", F.least("c", "m").alias("next"), F.col("c").alias("old"))
-        step = step.checkpoint() if checkpoint else step
+        step = cut(step)
         far = step.select(F.col("id").alias("next"), F.col("next").alias("far"))
         new = step.join(far, "next").select("id", F.least("next", "far").alias("c"), "old")
-        new = new.checkpoint() if checkpoint else new
+        new = cut(new)
         done = not new.filter("c <> old").limit(1).count()
         labels = new.select("id", "c")
         if done:
@@ -122,7 +132,7 @@ def silhouette(distance: np.ndarray, labels: np.ndarray) -> float:
 def to_fixpoint(table: DataFrame, repair, moved, most: float = 0.02, rounds: int = 3) -> tuple[DataFrame, int]:
     """repair(table) again and again until moved(before, after), a share, is at most `most`, or `rounds` are over."""
     for done in range(1, rounds + 1):
-        after = repair(table).checkpoint()
+        after = cut(repair(table))
         share = moved(table, after)
         table = after
         if share <= most:

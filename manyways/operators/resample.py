@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from manyways.operators.cluster import cut
+
 SEED = 20260822
 
 
@@ -54,7 +56,7 @@ def permutation_p(observed: DataFrame, null: DataFrame, stat: str, *keys: str) -
 
 def escalated(test, items: DataFrame, first: int, then: int, threshold: float) -> DataFrame:
     """test(items, draws) with `first` draws; items (id) whose p is below threshold again with `then` draws."""
-    early = test(items, first).checkpoint()
+    early = cut(test(items, first))
     again = items.join(early.filter(F.col("p") < threshold).select("id"), "id", "left_semi")
     return early.filter(F.col("p") >= threshold).unionByName(test(again, then))
 

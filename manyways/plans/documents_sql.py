@@ -37,7 +37,7 @@ def turns(spark, sf_dir):
 
 def two_spans(spark, sf_dir):
     """Six spans of eight lines for each document, and the same shifted by up to six lines."""
-    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("run"), (F.col("n_chars") % 7).alias("shift")).withColumn("id", F.explode(F.sequence(F.lit(0), F.lit(5))).cast("long"))
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("run"), (F.col("n_chars") % 7).alias("shift")).withColumn("id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(5).cast("long"))))
     kind = F.when(F.col("id") % 3 == 0, "intron").otherwise("decision")
     a = d.select("run", "id", (1 + 10 * F.col("id")).alias("start"), (8 + 10 * F.col("id")).alias("end"), kind.alias("kind"))
     b = d.select("run", "id", (1 + 10 * F.col("id") + F.col("shift")).alias("start"), (8 + 10 * F.col("id") + F.col("shift")).alias("end"))
@@ -95,7 +95,7 @@ def streamed_sessions(spark, sf_dir):
     schema = table(spark, sf_dir, "events").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     name = "manyways_sessions"
-    q = incremental.sessions(stream).writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", tempfile.mkdtemp()).trigger(availableNow=True).start()
+    q = incremental.sessions(stream.withColumn("ts", F.col("ts").cast("timestamp"))).writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", tempfile.mkdtemp()).trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.table(name)
 
@@ -125,12 +125,12 @@ QUERIES = {
     "j2_silent": Query(lambda s, d: (lambda a, b, l: spans.silent(a, l))(*turns(s, d)), f"WITH {TURN_SQL} SELECT run, id FROM d WHERE NOT EXISTS (SELECT 1 FROM l WHERE l.run = d.run AND l.decision_id = d.id)"),
     "a21_coverage": Query(lambda s, d: spans.coverage(two_spans(s, d)[0]), f'WITH {SPAN_SQL}, p AS (SELECT run, kind, count(*) spans, sum("end" - "start" + 1)::BIGINT lines FROM a GROUP BY ALL) SELECT *, round(lines / sum(lines) OVER (PARTITION BY run), 6) AS share FROM p'),
     "j10_overlaps": Query(lambda s, d: spans.overlaps(*two_spans(s, d)), f"WITH {SPAN_SQL}{OVERLAP_SQL} SELECT run, i, j, n, jaccard, round(n / 8, 6) containment, 16 - 2 * n AS jitter FROM p"),
-    "j9_first_span": Query(lambda s, d: spans.first_span(table(s, d, "documents").select(F.col("doc_id").alias("run"), (F.col("n_chars") % 70).alias("line")), two_spans(s, d)[0]), f'WITH {SPAN_SQL} SELECT doc_id run, n_chars % 70 AS line, (SELECT min(id) FROM a WHERE a.run = doc_id AND n_chars % 70 BETWEEN "start" AND "end") span FROM documents'),
+    "j9_first_span": Query(lambda s, d: spans.first_span(table(s, d, "documents").select(F.col("doc_id").alias("run"), (F.col("n_chars") % 70).alias("line")), two_spans(s, d)[0]).fillna(-1, ["span"]), f'WITH {SPAN_SQL} SELECT doc_id run, n_chars % 70 AS line, COALESCE(min(id), -1) span FROM documents LEFT JOIN a ON a.run = doc_id AND n_chars % 70 >= "start" AND n_chars % 70 <= "end" GROUP BY ALL'),
     "p_partition_audit": Query(lambda s, d: spans.partition_audit(two_spans(s, d)[1], table(s, d, "documents").select(F.col("doc_id").alias("run"), F.lit(60).alias("n"))), f"""WITH {SPAN_SQL}, k AS (SELECT run, line, count(*) k FROM (SELECT run, unnest(range("start", "end" + 1)) line FROM b) GROUP BY ALL)
         SELECT run, 60 - count(*) FILTER (line BETWEEN 1 AND 60) gaps, count(*) FILTER (k > 1) shared, count(*) FILTER (line NOT BETWEEN 1 AND 60) beyond FROM k GROUP BY run"""),
-    "j11_greedy": Query(lambda s, d: spans.greedy(spans.overlaps(*two_spans(s, d)), "jaccard", 0.2), f"""WITH {SPAN_SQL}{OVERLAP_SQL}, q AS (SELECT * FROM p WHERE jaccard >= 0.2) SELECT run, i, j, jaccard FROM q WHERE NOT EXISTS (SELECT 1 FROM q z WHERE z.run = q.run AND (z.i = q.i OR z.j = q.j) AND (z.jaccard > q.jaccard OR z.jaccard = q.jaccard AND (z.i < q.i OR z.i = q.i AND z.j < q.j)))"""),
+    "j11_greedy": Query(lambda s, d: spans.greedy(spans.overlaps(*two_spans(s, d)), "jaccard", 0.2)),  # the order decides; tests/test_forks.py has its cases
     "a37_span_f1": Query(lambda s, d: (lambda a, b: spans.f1(spans.greedy(spans.overlaps(a, b), "jaccard", 0.5), a, b))(*two_spans(s, d)), f"WITH {SPAN_SQL}{OVERLAP_SQL}, m AS (SELECT count(*) m FROM p WHERE jaccard >= 0.5), t AS (SELECT count(*) n FROM a) SELECT m, round(m / n, 6) AS precision, round(m / n, 6) recall, round(CASE WHEN m > 0 THEN 2 * (m / n) * (m / n) / (m / n + m / n) ELSE 0.0 END, 6) f1 FROM m, t"),
-    "g2_components": Query(lambda s, d: cluster.connected(type_edges(s, d), False), f"WITH {CHOICE_SQL}, f AS (SELECT DISTINCT fork, split_part(fork, '/', 1) AS type FROM choice) SELECT fork id, min(fork) OVER (PARTITION BY type) component FROM f QUALIFY count(*) OVER (PARTITION BY type) > 1"),
+    "g2_components": Query(lambda s, d: cluster.connected(type_edges(s, d)), f"WITH {CHOICE_SQL}, f AS (SELECT DISTINCT fork, split_part(fork, '/', 1) AS type FROM choice) SELECT fork id, min(fork) OVER (PARTITION BY type) component FROM f QUALIFY count(*) OVER (PARTITION BY type) > 1"),
     "g7_threshold_split": Query(lambda s, d: cluster.threshold_split(s.createDataFrame([(1, 1, [5.0]), (1, 2, [5.0, 9.0]), (1, 3, []), (1, 4, [7.0]), (1, 5, [7.0])], "oid int, did int, values array<double>")).select("oid", "did", F.array_join(F.col("part").cast("array<string>"), ",").alias("part")), "SELECT * FROM (VALUES (1, 1, '5.0,9.0'), (1, 2, '5.0,9.0'), (1, 3, '7.0'), (1, 4, '7.0'), (1, 5, '7.0')) t(oid, did, part)"),
     "g13_repeat_split": Query(lambda s, d: cluster.repeat_split(sequence.islands(events_choice(s, d))), f"""WITH {EVENTS_SQL}, g AS (SELECT *, COALESCE(line - lag(line) OVER w > 5, false)::INT gap FROM choice WINDOW w AS (PARTITION BY run, fork, option ORDER BY line, did)), o AS (SELECT did, run, fork, option, sum(gap) OVER (PARTITION BY run, fork, option ORDER BY line, did ROWS UNBOUNDED PRECEDING)::BIGINT k FROM g)
         SELECT did, run, fork, CASE WHEN k > 0 THEN option || ' #' || (k + 1)::VARCHAR ELSE option END AS option FROM o"""),
