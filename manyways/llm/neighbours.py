@@ -12,13 +12,15 @@ from pyspark.sql import functions as F
 
 from manyways.llm.common import table, written
 
-BLOCK = 2048
+BLOCK = 8192
 QUERIES = 1024
-PROJECTIONS = 64
+PROJECTIONS = 48
 THRESHOLD = 0.75
 VERIFY = 0.25
-LEAST = 200
-GROWTH = 1.15
+LEAST = 800
+GROWTH = 1.06
+SHRINK = 0.9
+START = 0.5
 SALTS = 32
 
 
@@ -38,8 +40,10 @@ class Index:
         self.a = np.random.default_rng(seed).standard_normal((projections, whole.shape[1]))
         self.scale = math.sqrt(top) or 1.0
         p = (self.a @ whole.T) / self.scale
-        self.order = np.argsort(p, axis=1, kind="stable")
-        self.sorted = np.take_along_axis(p, self.order, axis=1)
+        order = np.argsort(p, axis=1, kind="stable")
+        self.sorted = np.take_along_axis(p, order, axis=1)
+        self.rank = np.empty(p.shape, np.uint16)  # a vector's place in each sorted array; blocks are shorter than 2**16
+        np.put_along_axis(self.rank, order, np.arange(len(vectors), dtype=np.uint16)[None, :], axis=1)
 
     def candidates(self, queries: np.ndarray, threshold: float = THRESHOLD, verify: float = VERIFY, least: int = LEAST) -> list[np.ndarray]:
         n, m = len(self.x), len(self.a)
@@ -47,20 +51,20 @@ class Index:
         norms = np.sqrt(np.einsum("ij,ij->i", queries, queries))
         norms[norms == 0] = 1.0
         at = (self.a[:, :-1] @ (queries / norms[:, None]).T)  # only a query's direction matters
-        out: list[np.ndarray | None] = [None] * len(queries)
-        live, half = np.arange(len(queries)), 0.4
-        while len(live):
-            lo = np.stack([np.searchsorted(s, v - half, "left") for s, v in zip(self.sorted, at[:, live], strict=True)])
-            hi = np.stack([np.searchsorted(s, v + half, "right") for s, v in zip(self.sorted, at[:, live], strict=True)])
-            rest = []
-            for k, q in enumerate(live):
-                hit = np.bincount(np.concatenate([o[a:b] for o, a, b in zip(self.order, lo[:, k], hi[:, k], strict=True)]), minlength=n)
-                found = np.flatnonzero(hit >= need)
+        out, half = [], START
+        gap, inside = np.empty((m, n), np.uint16), np.empty((m, n), bool)
+        for q in range(len(queries)):
+            half *= SHRINK  # a little below what the query before needed
+            while True:
+                lo = np.array([s.searchsorted(v - half, "left") for s, v in zip(self.sorted, at[:, q], strict=True)])
+                hi = np.array([s.searchsorted(v + half, "right") for s, v in zip(self.sorted, at[:, q], strict=True)])
+                np.subtract(self.rank, lo.astype(np.uint16)[:, None], out=gap)  # wraps round below the window
+                np.less(gap, (hi - lo).astype(np.uint16)[:, None], out=inside)
+                found = np.flatnonzero(np.add.reduce(inside.view(np.uint8), axis=0, dtype=np.uint8) >= need)
                 if len(found) >= want:
-                    out[q] = found
-                else:
-                    rest.append(q)
-            live, half = np.array(rest, int), half * GROWTH
+                    break
+                half *= GROWTH
+            out.append(found)
         return out
 
 
