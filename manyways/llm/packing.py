@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import array
 import zlib
 from collections.abc import Iterator
 
@@ -41,6 +42,7 @@ class Words:
             self.kind[i] = 0
         self.kind[0x10FFFF] = 4
         self.apart = re.compile(CONTRACTION).search
+        self.beyond = re.compile("[^\x00-\u024f]").search
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [b for b in range(256) if b not in plain]
         self.visible = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}  # the byte-level alphabet
@@ -48,7 +50,7 @@ class Words:
 
     def forget(self) -> None:
         self.index: dict[int, int] = {}
-        self.start, self.flat = [0], []
+        self.start, self.flat = array.array("q", [0]), array.array("I")
 
     def ids(self, texts: list[str | None]) -> Iterator[np.ndarray]:
         """The ids of each text, without an end mark, in order. Null is empty."""
@@ -69,7 +71,7 @@ class Words:
             if "<|" in t or SENTINEL in t or ("'" in t and self.apart(t.lower())):
                 out[i] = np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, np.uint32)
                 t = ""
-            elif not t.isascii() and max(t) > "ɏ":
+            elif not t.isascii() and self.beyond(t):
                 t = self.tokenizer.normalizer.normalize_str(t)
             else:
                 t = t.lower()
@@ -98,7 +100,7 @@ class Words:
                 i = index[x] = len(self.start) - 1
                 self.start.append(len(self.flat))
             known[k] = i
-        start, flat = np.array(self.start), np.array(self.flat, np.uint32)
+        start, flat = np.array(self.start, np.int64), np.array(self.flat, np.uint32)  # copies, so that the arrays can grow
         which = known[back]
         n = start[which + 1] - start[which]
         total = np.cumsum(n)
@@ -133,7 +135,7 @@ def pieces(docs: DataFrame, limit: int = LIMIT, path: str | None = None, keep_id
         w = words(path or tokenizer_path())
         for batch in batches:
             texts, keys = batch.column(1), batch.column(0)
-            size = max(1, min(256, len(texts)))
+            size = max(1, min(1024, len(texts)))
             for at in range(0, len(texts), size):
                 rows: list[list] = [[], [], [], [], [], []]
                 for i, ids in enumerate(w.ids(texts.slice(at, size).to_pylist()), at):
