@@ -15,7 +15,7 @@ from manyways.llm.common import mixed, parts, powers, prefix_hash, table, writte
 
 LIMIT = 2048
 CHARS = 2_000_000
-KNOWN = 1_500_000
+KNOWN = 1_000_000
 SENTINEL = chr(0x10FFFF)
 CONTRACTION = r"'(?:[stmd]|re|ve|ll)"
 

@@ -102,14 +102,17 @@ def fit(tf: np.ndarray, shapes: np.ndarray, labels: np.ndarray, rank: int = RANK
     """TF-IDF weights and a truncated SVD (randomised, with power steps) of the labelled sample."""
     idf = np.log((1 + len(tf)) / (1 + (tf > 0).sum(axis=0))).astype(np.float32) + 1
     model = Model(idf, np.zeros((BUCKETS + SHAPES, 1), np.float32), np.zeros((0, 1), np.float32), labels.astype(np.float64), float(labels.mean()))
-    x = model.terms(tf, shapes)
+    x = np.empty((len(tf), BUCKETS + SHAPES), np.float32)
+    for a in range(0, len(tf), BLOCK):  # no copies of the whole
+        x[a : a + BLOCK] = model.terms(tf[a : a + BLOCK], shapes[a : a + BLOCK])
     rank = min(rank, *x.shape)
     q = np.linalg.qr(x.T @ np.random.default_rng(3).standard_normal((len(x), min(rank + 16, *x.shape))).astype(np.float32))[0]
     for _ in range(4):
         q = np.linalg.qr(x.T @ (x @ q))[0]
     _, _, vt = np.linalg.svd(x @ q, full_matrices=False)
     model.basis = (q @ vt[:rank].T).astype(np.float32)
-    model.vectors = model.project(tf, shapes)
+    v = x @ model.basis
+    model.vectors = v / np.maximum(np.sqrt((v * v).sum(axis=1, keepdims=True)), 1e-9)
     return model
 
 
