@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import heapq
 import math
 import re
 import zlib
@@ -18,11 +19,17 @@ KINDS = ("assign", "access", "hex", "grammar")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")  # of a shorter run no later part can match either
 HEX = re.compile(r"[0-9a-f]{32,}")
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
+SHORTEST = 8
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{%d,}" % SHORTEST)
 EDGE = "+/_.=-"
 SAMPLE = 400
+FOLDS = 4
+ROUNDS = 3
 ALPHA = 0.05
+RATIO = 0.2
 MARGIN = 0.05
+MISSED = 0.1
+KNOWN = 200_000
 LONGEST = 64
 #: Kinds of characters, each with how many characters it holds.
 CLASSES = {"0": 10, "a": 6, "g": 20, "A": 6, "G": 20} | dict.fromkeys(EDGE, 1)
@@ -42,18 +49,21 @@ def base(text: str) -> list[tuple[int, int, str]]:
 
 
 def candidates(text: str, spans: list[tuple[int, int, str]]) -> Iterator[tuple[int, int]]:
-    """Runs of credential characters outside the spans that hold a letter and a digit and are 16 characters or more."""
+    """Runs of credential characters outside the spans that are SHORTEST characters or more."""
     for m in CANDIDATE.finditer(text):
-        w = m.group()
-        if w.isalpha():
-            continue
-        start = m.start() + len(w) - len(w.lstrip(EDGE))
-        end = m.end() - len(w) + len(w.rstrip(EDGE))
-        if end - start < 16 or not any(map(str.isdigit, w)) or not any(map(str.isalpha, w)) or any(s < end and start < e for s, _, e in spans):
+        w, start, end = m.group(), m.start(), m.end()
+        if w[0] in EDGE or w[-1] in EDGE:
+            start, end = start + len(w) - len(w.lstrip(EDGE)), end - len(w) + len(w.rstrip(EDGE))
+        if end - start < SHORTEST or spans and any(s < end and start < e for s, _, e in spans):
             continue
         yield start, end
 
 
+def shape(word: str) -> int:
+    """0 without digits, 1 without letters, 2 with both: each is sampled by itself, as words outnumber all others."""
+    return 0 if word.isalpha() or not any(map(str.isdigit, word)) else 2 if any(map(str.isalpha, word)) else 1
+
+
 class Automaton:
     """A probabilistic automaton by state merging (ALERGIA): the prefix tree of the words, folded where Hoeffding's bound can't tell two
     states' frequencies of ends and of next symbols apart."""
@@ -143,26 +153,63 @@ class Automaton:
 
 
 class Grammar:
-    """One automaton of credentials, one of other candidates; a word's score is their log-likelihood ratio per character."""
+    """One automaton of credentials, one of other candidates; a word's score is their log-likelihood ratio per character.
+
+    No word's own part in an automaton raises or lowers its score when the threshold is set: words are scored by automata of the other
+    folds. Others that score half as high as nine in ten held-out credentials do are taken for unlabelled credentials and leave the
+    negatives. The threshold lies MARGIN above what remains, but not above those credentials' scores, and never below the likelihood ratio RATIO.
+    """
 
     def __init__(self, credentials: list[str], others: list[str]):
-        self.good, self.bad = Automaton([w[:LONGEST] for w in credentials]), Automaton([w[:LONGEST] for w in others])
-        self.least = max([0.2, *(self.score(w) + MARGIN for w in others)])
+        left = [*others]
+        for _ in range(ROUNDS):
+            good, bad = self._held_out(credentials, left)
+            reached = sorted(good)[int(MISSED * len(good))] if good else math.inf
+            alike = max(RATIO, reached / 2)
+            rest = [w for w, x in zip(left, bad, strict=True) if x < alike]
+            if len(rest) == len(left):
+                break
+            left = rest
+        self.least = max(RATIO, min(reached, max((x + MARGIN for x in bad if x < alike), default=RATIO)))
+        self.good, self.bad, self.known = self._fit(credentials), self._fit(left), {}
+
+    @staticmethod
+    def _fit(words: list[str]) -> Automaton:
+        return Automaton([w[:LONGEST] for w in words])
+
+    def _held_out(self, credentials: list[str], others: list[str]) -> tuple[list[float], list[float]]:
+        good, bad = [0.0] * len(credentials), [0.0] * len(others)
+        for k in range(FOLDS):
+            self.good, self.bad = (self._fit([w for w in words if zlib.crc32(w.encode()) % FOLDS != k]) for words in (credentials, others))
+            for words, scores in ((credentials, good), (others, bad)):
+                for i, w in enumerate(words):
+                    if zlib.crc32(w.encode()) % FOLDS == k:
+                        scores[i] = self.score(w)
+        return good, bad
 
     def score(self, word: str) -> float:
         return (self.good.score(word) - self.bad.score(word)) / len(word)
 
+    def finds(self, word: str) -> bool:
+        """Whether the score reaches the threshold; the answers for KNOWN words are kept."""
+        found = self.known.get(word)
+        if found is None:
+            if len(self.known) >= KNOWN:
+                self.known.clear()
+            found = self.known[word] = self.score(word) >= self.least
+        return found
+
 
 def scan(text: str, grammar: Grammar | None) -> list[tuple[int, int, int]]:
     """(start, order of kind, end) of all spans of a whole text, in order."""
     found = base(text)
     if grammar:
-        found = sorted(found + [(s, 3, e) for s, e in candidates(text, found) if grammar.score(text[s:e]) >= grammar.least])
+        found = sorted(found + [(s, 3, e) for s, e in candidates(text, found) if grammar.finds(text[s:e])])
     return found
 
 
 def labelled(docs: DataFrame, sample: int = SAMPLE) -> tuple[list[str], list[str]]:
-    """At most `sample` distinct credentials and as many other candidates, those of the least hashes in all documents."""
+    """At most `sample` distinct credentials and as many other candidates of each shape, those of the least hashes in all documents."""
 
     def find(batches):
         for batch in batches:
@@ -173,20 +220,20 @@ def labelled(docs: DataFrame, sample: int = SAMPLE) -> tuple[list[str], list[str
                 spans = base(text)
                 for s, k, e in spans:
                     m = ASSIGN.fullmatch(text, s, e) if k == 0 else None
-                    kinds.append(True)
+                    kinds.append(-1)
                     words.append(m.group(2) if m else text[s:e])
                 for s, e in candidates(text, spans):
-                    kinds.append(False)
                     words.append(text[s:e])
-            order = {(k, zlib.crc32(w.encode()), w) for k, w in zip(kinds, words, strict=True)}
-            rows = [x for kind in (True, False) for x in sorted(x for x in order if x[0] is kind)[:sample]]  # no others can be among the least
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.bool_()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.string())], ["credential", "hash", "word"])
-
-    found = written(docs.select("text").mapInArrow(find, "credential boolean, hash long, word string").distinct(), "candidates")
-    pick = lambda kind: [r["word"] for r in found.filter(F.col("credential") == kind).orderBy("hash", "word").limit(sample).collect()]
-    good = pick(True)
+                kinds += [None] * (len(words) - len(kinds))
+            order = {(shape(w) if k is None else k, zlib.crc32(w.encode()), w) for k, w in {*zip(kinds, words, strict=True)}}
+            rows = [x for kind in range(-1, 3) for x in heapq.nsmallest(sample, (x for x in order if x[0] == kind))]  # no others can be among the least
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.string())], ["kind", "hash", "word"])
+
+    found = written(docs.select("text").mapInArrow(find, "kind int, hash long, word string").distinct(), "candidates")
+    pick = lambda kind: [r["word"] for r in found.filter(F.col("kind") == kind).orderBy("hash", "word").limit(sample).collect()]
+    good = pick(-1)
     known = {*good}
-    return good, [w for w in pick(False) if w not in known]
+    return good, [w for kind in range(3) for w in pick(kind) if w not in known]
 
 
 def learn(docs: DataFrame, sample: int = SAMPLE) -> Grammar | None:

@@ -258,3 +258,18 @@ def test_pipeline(spark):
     done = p.clean(spark, one, SF)
     assert done.columns == docs.columns and done.filter("text rlike '[0-9a-f]{40}'").count() == 0
     assert p.mix(spark, done, SF).columns == docs.columns
+
+
+@pytest.mark.parametrize("planted", [1, 5, 20])
+def test_grammar_finds_unlabelled_secrets(spark, planted):
+    rng = np.random.default_rng(planted)
+    key = lambda n: "".join(rng.choice(list("0123456789abcdef"), n))
+    word = lambda n: "".join(rng.choice(list("aeinorstlmdhcu"), n))
+    bare = [key(30) for _ in range(planted)] + [key(12)]
+    plain = [f"{word(9)} {word(11)} mail{i % 10}.example.com {word(8)}.{i % 90 + 10} {rng.integers(10**15, 10**16)} and {word(16)}{i}" for i in range(200)]
+    rows = [(i, t) for i, t in enumerate(plain)] + [(1000 + i, f"token = {key(40)} ends") for i in range(80)] + [(2000 + i, f"see {k} here") for i, k in enumerate(bare)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    g = secrets.learn(d)
+    found = {r.doc_id: r.n_grammar for r in secrets.find_secrets(d, g).collect()}
+    assert all(found[2000 + i] == 1 for i in range(len(bare))) and sum(found[i] for i in range(200)) <= 2
+    assert secrets.redact(d, g).filter("doc_id >= 2000 and text = 'see [SECRET] here'").count() == len(bare)
