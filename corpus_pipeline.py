@@ -16,11 +16,16 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group: five words a shingle, a similarity of 0.8 or more. Of repeated rows one stays."""
-    kept = neardup.near_duplicates(docs, width=5, percent=80).filter("kept").select(F.col("doc_id").alias("_id")).distinct()
-    out = docs.join(kept, docs["doc_id"].eqNullSafe(kept["_id"]), "left_semi")
-    repeated = docs.groupBy("doc_id").count().filter("count > 1").limit(1).count()
-    return out.dropDuplicates(["doc_id"]) if repeated else out
+    """One document of each near-duplicate group: five words a shingle, a similarity of 0.8 or more. Rows equal in doc_id and text are
+    one document, rows that share a doc_id but not the text are several; every row without a doc_id stays."""
+    known = docs.filter("doc_id is not null")
+    if not known.groupBy("doc_id").count().filter("count > 1").limit(1).count():
+        kept = neardup.near_duplicates(docs, width=5, percent=80).filter("kept").select(F.col("doc_id").alias("_id")).distinct()
+        return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_id"]), "left_semi")
+    # numbers in the order of doc_id and text stand for the rows; the written table fixes them
+    rows = written(known.dropDuplicates(["doc_id", "text"]).orderBy("doc_id", F.xxhash64("text")).withColumn("_row", F.monotonically_increasing_id()), "rows")
+    kept = neardup.near_duplicates(rows.select(F.col("_row").alias("doc_id"), "text"), width=5, percent=80).filter("kept").select(F.col("doc_id").alias("_row"))
+    return rows.join(kept, "_row", "left_semi").select(*docs.columns).union(docs.filter("doc_id is null"))
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -260,6 +260,17 @@ def test_pipeline(spark):
     assert p.mix(spark, done, SF).columns == docs.columns
 
 
+def test_pipeline_keeps_texts_of_null_and_repeated_ids(spark):
+    import corpus_pipeline as p
+
+    rng = np.random.default_rng(8)
+    a, b, c, d, e = (" ".join("".join(rng.choice(list("abcdefgh"), 6)) for _ in range(60)) for _ in range(5))
+    rows = [(None, a), (None, b), (None, None), (1, c), (2, d), (2, e), (2, d), (3, c), (4, e + " more")]
+    out = p.deduplicate(spark, spark.createDataFrame(rows, "doc_id long, text string"), SF)
+    assert sorted(out.collect(), key=str) == sorted([(None, a), (None, b), (None, None), (1, c), (2, d), (2, e)], key=str)
+    assert p.deduplicate(spark, spark.createDataFrame(rows[:5], "doc_id long, text string"), SF).count() == 5
+
+
 @pytest.mark.parametrize("planted", [1, 5, 20])
 def test_grammar_finds_unlabelled_secrets(spark, planted):
     rng = np.random.default_rng(planted)
