@@ -284,3 +284,15 @@ def test_grammar_finds_unlabelled_secrets(spark, planted):
     found = {r.doc_id: r.n_grammar for r in secrets.find_secrets(d, g).collect()}
     assert all(found[2000 + i] == 1 for i in range(len(bare))) and sum(found[i] for i in range(200)) <= 2
     assert secrets.redact(d, g).filter("doc_id >= 2000 and text = 'see [SECRET] here'").count() == len(bare)
+
+
+@pytest.mark.parametrize(("n", "low", "high"), [(3200, 1, 1), (5000, 0.5, 2), (9000, 0.5, 2)])
+def test_neighbours_recall_of_larger_tables(spark, n, low, high):
+    rng = np.random.default_rng(n)
+    x = rng.standard_normal((n, 64))
+    x *= (rng.uniform(low, high, n) / np.linalg.norm(x, axis=1))[:, None]
+    got = neighbours.nearest(spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>"), every=100).toPandas()
+    mine = got.groupby("query_id")["vec_id"].agg(set)
+    s = x[::100] @ x.T
+    s[np.arange(len(s)), np.arange(0, n, 100)] = -np.inf
+    assert np.mean([len(mine[100 * i] & {*np.argsort(-r)[:20]}) / 20 for i, r in enumerate(s)]) >= 0.95
