@@ -296,3 +296,20 @@ def test_neighbours_recall_of_larger_tables(spark, n, low, high):
     s = x[::100] @ x.T
     s[np.arange(len(s)), np.arange(0, n, 100)] = -np.inf
     assert np.mean([len(mine[100 * i] & {*np.argsort(-r)[:20]}) / 20 for i, r in enumerate(s)]) >= 0.95
+
+
+def test_likelihood_learns_from_whole_texts_and_tells_rare_words_apart(spark):
+    rng = np.random.default_rng(3)
+    head, tail = "the cat sat on the mat ", "red fox ran up old hill "
+    d = spark.createDataFrame([(i, head * 200 + tail * 200) for i in range(600)], "doc_id long, text string")
+    model = likelihood.learn(d, 50)
+    probe = spark.createDataFrame([(1, tail * 20), (2, " ".join(rng.permutation((tail * 20).split())))], "doc_id long, text string")
+    r = {x.doc_id: x.mean_log for x in likelihood.likelihoods(probe, model).collect()}
+    assert r[1] > r[2] + 1
+    code = lambda w: int(likelihood.word_hashes(np.frombuffer(w.encode(), np.uint8), np.array([0, len(w)]))[0][0] % np.uint64(1024))
+    often, once = next((f"q{a}", f"q{b}") for b in range(400) for a in range(b) if code(f"q{a}") == code(f"q{b}"))
+    many = " ".join(f"w{i} w{i} w{i} w{i} w{i}" for i in range(3072))
+    d = spark.createDataFrame([(0, many), (1, f"{often} {often} {often}"), (2, once)], "doc_id long, text string")
+    probe = spark.createDataFrame([(1, often), (2, once)], "doc_id long, text string")
+    r = {x.doc_id: x.log_likelihood for x in likelihood.likelihoods(probe, likelihood.learn(d, 2)).collect()}
+    assert r[1] - r[2] == pytest.approx(np.log(3))
