@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import tempfile
 import uuid
 
@@ -20,9 +22,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder, spark.checkpoint.dir; a temporary one only where that is unset."""
+    """The cluster's shared folder, spark.checkpoint.dir. Only a session that is one machine gets a temporary one where that is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="manyways-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -54,6 +58,29 @@ def _clean() -> None:
             return
 
 
+@contextlib.contextmanager
+def released():
+    """Gives freed memory back to the system at the end: Python workers live on from task to task, and what one kept would count on."""
+    import pyarrow as pa
+
+    try:
+        yield
+    finally:
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # another C library than glibc
+            ctypes.CDLL(None).malloc_trim(0)
+
+
+def trimmed(step):
+    """A step of mapInArrow that ends with released()."""
+
+    def run(batches):
+        with released():
+            yield from step(batches)
+
+    return run
+
+
 def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -1,10 +1,14 @@
 """Suffix-array dedup: bytes inside strings of 100 bytes that start earlier in the corpus too are removed.
 
-Which strings repeat at all is narrowed down in steps that lose none: every window of WIDTH bytes has an anchor, its least GRAM-byte
-gram, by content alone; windows of anchors that occur once are out; of the rest, windows whose 32-bit hash occurs once among
-those of an equal part of the hash space are out. What is left, stretches of windows around one anchor, meets its equals by anchor.
-There a suffix array by grouping construction over 8-byte blocks, counted from the anchor, brings equal windows together,
-compared byte by byte, and the earliest of each is kept.
+Which strings may repeat is narrowed down in steps that lose none. Every window of WIDTH bytes has an anchor, its least GRAM-byte gram,
+by content alone; windows of anchors that occur once are out. So equal windows stand alike around equal grams, and stretches of
+windows around one anchor, sent by their anchor, meet all their equals. There each is trimmed to what it shares with any other to
+the left and to the right; a suffix array by grouping construction over 16-byte blocks, counted from the anchor, then brings equal
+windows together, compared byte by byte, and all but the earliest of each are answered. Blocks counted from the anchor are enough: equal
+windows have their anchor at one place, so their blocks begin alike.
+
+A gram that more than HOT parts have may stand in any number of different surroundings. Its windows first meet as 32-bit hashes, dealt
+by hash, and only those whose hash occurs twice are sent, as stretches; equal ones once a part.
 """
 
 from __future__ import annotations
@@ -20,15 +24,19 @@ import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from manyways.llm.common import buffers, mixed, parts, powers, prefix_hash, span_hash, table, written
+from manyways.llm.common import buffers, mixed, parts, powers, prefix_hash, released, span_hash, table, written
 from manyways.llm.suffixes import suffix_array
 
 WIDTH = 100
 GRAM = 32
 SPAN = WIDTH - GRAM + 1
-BLOCK = 8
-DOCS = 2000
-CHUNK = 1_000_000
+BLOCK = 16
+SIDE = 80  # a multiple of BLOCK, for the SPAN - 1 bytes that a window can have on one side of its anchor
+ROW = SIDE + GRAM + SIDE
+PART_BYTES = 6_000_000
+BUCKET_BYTES = 12_000_000
+HOT = 256
+CHUNK = 500_000
 FACTS = "part int, kind int, bucket int, data binary"
 
 
@@ -136,33 +144,43 @@ def grams_of(part: int, p: Part, buckets: int) -> list[tuple]:
     return [(part, 0, k, u[s].tobytes()) for k, s in _by_bucket(bucket, buckets)]
 
 
-def repeated_grams(rows: list[tuple[int, bytes]]) -> list[tuple]:
-    """Of (part, data) of one bucket: what each part has of the grams that occur twice or more."""
+def repeated_grams(rows: list[tuple[int, bytes]], hot: int = HOT) -> list[tuple]:
+    """Of (part, data) of one bucket: what each part has of the grams that occur twice or more; the lowest bit is off for those of more
+    than `hot` parts."""
     each = [np.frombuffer(d, np.uint64) for _, d in rows]
     u, back = np.unique(np.concatenate(each) | np.uint64(1), return_inverse=True)
     n = np.bincount(back, np.concatenate([1 + (e & np.uint64(1)).astype(np.int64) for e in each]))
+    spread = np.bincount(back) > hot
     out = []
     for part, e in zip((r[0] for r in rows), each, strict=True):
         full = e | np.uint64(1)
-        keep = full[n[np.searchsorted(u, full)] >= 2]
-        if len(keep):
-            out.append((part, 0, 0, keep.tobytes()))
+        at = np.searchsorted(u, full)
+        keep = n[at] >= 2
+        if keep.any():
+            out.append((part, 0, 0, (full[keep] - spread[at[keep]].astype(np.uint64)).tobytes()))
     return out
 
 
+def _known(grams: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted repeated grams of few parts, and of many."""
+    g = np.unique(np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(x, np.uint64) for x in grams)]))
+    few = (g & np.uint64(1)).astype(bool)
+    return g[few], g[~few] | np.uint64(1)
+
+
+def _among(a: Anchors, known: np.ndarray) -> Anchors | None:
+    if not len(known):
+        return None
+    keep = known[np.minimum(np.searchsorted(known, a.gram), len(known) - 1)] == a.gram
+    return Anchors(a.gram[keep], a.at[keep], a.first[keep], a.last[keep], a.prefix) if keep.any() else None
+
+
 class Windows:
-    """A part's windows of repeated anchors, and their places in the hash space: bucket and 32 bits."""
-
-    def __init__(self, p: Part, grams: list[bytes], buckets: int):
-        known = np.unique(np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(g, np.uint64) for g in grams)]))
-        self.part, self.buckets, self.chunks, keys = p, buckets, [], []
-        for start, b, a in p.anchored():
-            if not len(known):
-                continue
-            keep = known[np.minimum(np.searchsorted(known, a.gram), len(known) - 1)] == a.gram
-            if not keep.any():
-                continue
-            a = Anchors(a.gram[keep], a.at[keep], a.first[keep], a.last[keep], a.prefix)
+    """A part's windows of repeated anchors that many parts have, and their places in the hash space: bucket and 32 bits."""
+
+    def __init__(self, chunks: list[tuple[int, Anchors]], buckets: int):
+        self.buckets, self.chunks, keys = buckets, [], []
+        for start, a in chunks:
             s, who = _starts(a)
             h = span_hash(a.prefix, s, s + WIDTH)
             keys.append(((h >> np.uint64(32)) % np.uint64(buckets)) << np.uint64(32) | (h & np.uint64(0xFFFFFFFF)))
@@ -201,89 +219,156 @@ def repeated_windows(bucket: int, rows: list[tuple[int, bytes]]) -> list[tuple]:
 
 
 _HEAD = np.dtype([("doc", "<i8"), ("index", "<i4"), ("start", "<i4"), ("anchor", "u1"), ("size", "u1")])
-_KEPT = np.dtype([("index", "<i4"), ("start", "<i4"), ("bits", "u1", (9,))])
+_GONE = np.dtype([("index", "<i4"), ("start", "<i4"), ("bits", "u1", (9,))])
 
 
-def stretches(part: int, w: Windows, fine: np.ndarray) -> list[tuple]:
-    """(part, kind, bucket of the anchor, data): stretches of repeated windows around one anchor; of equal ones, the part's first."""
-    p, at, heads, grams, hashes, raw = w.part, 0, [], [], [], []
+def _runs(w: Windows, fine: np.ndarray) -> Iterator[tuple[int, Anchors, np.ndarray, np.ndarray, np.ndarray]]:
+    """Of each chunk: first and last starts of runs of repeated windows around one anchor, and which anchor."""
+    at = 0
     for start, a, s, who in w.chunks:
         good = np.flatnonzero(fine[at : at + len(s)])
         at += len(s)
-        if not len(good):
-            continue
-        new = np.concatenate(([True], (good[1:] != good[:-1] + 1) | (who[good[1:]] != who[good[:-1]])))
-        begins = np.flatnonzero(new)
-        ends = np.append(begins[1:], len(good)) - 1
-        x, y, k = s[good[begins]], s[good[ends]] + WIDTH, who[good[begins]]
+        if len(good):
+            new = np.concatenate(([True], (good[1:] != good[:-1] + 1) | (who[good[1:]] != who[good[:-1]])))
+            begins = np.flatnonzero(new)
+            ends = np.append(begins[1:], len(good)) - 1
+            yield start, a, s[good[begins]], s[good[ends]], who[good[begins]]
+
+
+def stretches(part: int, p: Part, runs: Iterator, buckets: int) -> list[tuple]:
+    """(part, kind, bucket of the anchor, data): stretches of windows around one anchor (kind 2); of equal ones, the part's first. All
+    windows of the others stand earlier: their first and last starts are what remains of them (kind 3)."""
+    heads, grams, hashes, places = [], [], [], []
+    for start, a, first, last, k in runs:
+        x, y = first, last + WIDTH
         doc = np.searchsorted(p.off, x + start, "right") - 1
         head = np.zeros(len(x), _HEAD)
         head["doc"], head["index"], head["start"], head["anchor"], head["size"] = p.keys[doc], doc, x + start - p.off[doc], a.at[k] - x, y - x
-        b = p.b[start : start + int(y.max())]
         heads.append(head)
         grams.append(a.gram[k])
         hashes.append(mixed(span_hash(a.prefix, x, y) + head["anchor"].astype(np.uint64)))
-        raw.append([b[i:j] for i, j in zip(x.tolist(), y.tolist(), strict=True)])
+        places.append(x + start)
     if not heads:
         return []
-    head, gram, content = np.concatenate(heads), np.concatenate(grams), [c for r in raw for c in r]
+    head, gram, place = np.concatenate(heads), np.concatenate(grams), np.concatenate(places)
     first = np.unique(np.concatenate(hashes), return_index=True)[1]
-    bucket = (gram[first] >> np.uint64(1)) % np.uint64(w.buckets)
+    out, later = [], np.ones(len(head), bool)
+    later[first] = False
+    if later.any():
+        out.append((part, 3, 0, np.column_stack((place[later], place[later] + head["size"][later] - WIDTH)).astype(np.int64).tobytes()))
+    bucket = (gram[first] >> np.uint64(1)) % np.uint64(buckets)
     order = np.lexsort((first, bucket))
     first, bucket = first[order], bucket[order]
-    out = []
-    for k, s in _by_bucket(bucket, w.buckets):
-        chosen = first[s]
-        out.append((part, 2, k, np.uint32(len(chosen)).tobytes() + head[chosen].tobytes() + b"".join(content[i].tobytes() for i in chosen.tolist())))
+    for k, s in _by_bucket(bucket, buckets):
+        chosen = head[first[s]]
+        size = chosen["size"].astype(np.int64)
+        at = np.repeat(place[first[s]] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+        out.append((part, 2, k, np.uint32(len(chosen)).tobytes() + chosen.tobytes() + p.b[at].tobytes()))
+    return out
+
+
+def _aligned(head: np.ndarray, flat: np.ndarray) -> np.ndarray:
+    """Stretches as rows of ROW bytes with their anchors at SIDE, zeros around them."""
+    size, anchor = head["size"].astype(np.int64), head["anchor"].astype(np.int64)
+    out = np.zeros((len(head), ROW), np.uint8)
+    begin = np.cumsum(size) - size
+    which = np.repeat(np.arange(len(head)), size)
+    out[which, np.arange(len(flat)) - begin[which] + (SIDE - anchor)[which]] = flat
+    return out
+
+
+def _shared(side: np.ndarray, key: np.ndarray, room: np.ndarray) -> np.ndarray:
+    """How many bytes, from an anchor on, each row has like another row of the same key. side: the bytes, nearest first; room: how
+    many of them a row has. Sorted, a row's longest common prefix with any other is that with a neighbour; rows whose zeros are
+    partly room left over stand before those whose zeros are bytes."""
+    words = np.ascontiguousarray(side).view(">u8").astype(np.uint64)
+    order = np.lexsort((room, *words.T[::-1], key))
+    a, b = order[:-1], order[1:]
+    differ = side[a] != side[b]
+    common = np.where(differ.any(axis=1), differ.argmax(axis=1), side.shape[1])
+    common = np.where(key[a] == key[b], np.minimum(common, np.minimum(room[a], room[b])), 0)
+    out = np.zeros(len(key), np.int64)
+    out[a] = common
+    out[b] = np.maximum(out[b], common)
     return out
 
 
 def earliest(rows: list[tuple[int, bytes]]) -> list[tuple]:
-    """Of (part, data) with stretches of one bucket: for each part, the windows that stand nowhere earlier.
+    """Of (part, data) with stretches of one bucket: for each part, the windows that stand earlier too.
 
-    Equal stretches count once, the earliest of them. All are written in blocks of BLOCK bytes from their anchors on, with an end mark
-    each, and the suffixes that start at a block are ordered by suffix_array. For each number r of bytes that a window has before
-    its first whole block, windows are equal if their suffixes share WIDTH - r bytes, runs in that order, and the r bytes before.
+    Each stretch is trimmed to the bytes on either side of its anchor that another stretch of the anchor has too; no window beyond
+    them repeats. Equal trimmed stretches count once, the earliest of them: all windows of the others stand earlier. Where an
+    anchor is left with several, these are written in blocks of BLOCK bytes from their anchors on, with an end mark each, and the
+    suffixes that start at a block are ordered by suffix_array. For each number r of bytes that a window has before its first whole
+    block, windows are equal if their suffixes share WIDTH - r bytes, runs in that order, and the r bytes before.
     """
-    heads, contents, owners = [], [], []
+    heads, flats, owners = [], [], []
     for part, d in rows:
         n = int(np.frombuffer(d, np.uint32, 1)[0])
-        h = np.frombuffer(d, _HEAD, n, 4)
-        at = 4 + n * _HEAD.itemsize
-        for size in h["size"].tolist():
-            contents.append(d[at : at + size])
-            at += size
-        heads.append(h)
-        owners += [part] * n
-    head, owner = np.concatenate(heads), np.array(owners)
-    order = np.lexsort((head["start"], head["index"], head["doc"]))
-    held: dict[tuple[int, bytes], int] = {}
-    for i, anchor in zip(order.tolist(), head["anchor"][order].tolist(), strict=True):
-        held.setdefault((anchor, contents[i]), i)
-    chosen = np.array([*held.values()])  # in the corpus's order
-    head, owner, text = head[chosen], owner[chosen], [contents[i] for i in chosen.tolist()]
+        heads.append(np.frombuffer(d, _HEAD, n, 4))
+        flats.append(np.frombuffer(d, np.uint8, offset=4 + n * _HEAD.itemsize))
+        owners.append(np.full(n, part))
+    head, owner = np.concatenate(heads), np.concatenate(owners)
+    m = _aligned(head, np.concatenate(flats))
+    order = np.lexsort((head["start"], head["index"], head["doc"]))  # the corpus's order
+    head, owner, m = head[order], owner[order], m[order]
     size, anchor = head["size"].astype(np.int64), head["anchor"].astype(np.int64)
-    lead = anchor % BLOCK  # bytes before the first block
-    blocks = -(-(size - lead) // BLOCK)
-    width = int(blocks.max())
-    padded = np.frombuffer(b"".join(t[a:].ljust(BLOCK * width, b"\0") for t, a in zip(text, lead.tolist(), strict=True)), ">u8").reshape(-1, width)
-    inside = np.arange(width)[None, :] < blocks[:, None]
-    values, rank = np.unique(padded[inside].astype(np.uint64), return_inverse=True)
+    key = np.zeros(len(head), np.uint64)
+    for word in np.ascontiguousarray(m[:, SIDE : SIDE + GRAM]).view(">u8").astype(np.uint64).T:
+        key = mixed(key * np.uint64(0x9E3779B97F4A7C15) + word)
+    right, left = _shared(m[:, SIDE + GRAM :], key, size - anchor - GRAM), _shared(m[:, SIDE - 1 :: -1], key, anchor)
+    some = np.flatnonzero(left + GRAM + right >= WIDTH)
+    if not len(some):
+        return []
+    head, owner, m, key, left, right, anchor = (x[some] for x in (head, owner, m, key, left, right, anchor))
+    column = np.arange(ROW)
+    m = np.where((column >= (SIDE - left)[:, None]) & (column < (SIDE + GRAM + right)[:, None]), m, 0).astype(np.uint8)
+    _, first, back = np.unique(np.column_stack((m, left.astype(np.uint8), right.astype(np.uint8))).view(f"V{ROW + 2}").ravel(), return_index=True, return_inverse=True)
+    again = first[back] != np.arange(len(m))
+    lo, hi = anchor - left, anchor + GRAM + right - WIDTH  # places of the trimmed stretch's windows in the stretch
+    place = np.arange(SPAN)
+    gone = again[:, None] & (place >= lo[:, None]) & (place <= hi[:, None])
+    chosen = np.sort(first)
+    _, of, n = np.unique(key[chosen], return_inverse=True, return_counts=True)
+    chosen = chosen[n[of] > 1]
+    if len(chosen):
+        w, c = _later(m[chosen], left[chosen], right[chosen])
+        gone[chosen[w], c - SIDE + anchor[chosen[w]]] = True
+    some = np.flatnonzero(gone.any(axis=1))
+    answer = np.zeros(len(some), _GONE)
+    answer["index"], answer["start"], answer["bits"] = head["index"][some], head["start"][some], np.packbits(gone[some], axis=1)
+    by = np.argsort(owner[some], kind="stable")
+    edges = np.flatnonzero(np.diff(owner[some][by])) + 1
+    return [(int(owner[some[g[0]]]), 2, 0, answer[g].tobytes()) for g in np.split(by, edges) if len(g)]
+
+
+def _later(m: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and first columns of the windows of aligned stretches (in the corpus's order) that an earlier row has too."""
+    lead = left % BLOCK  # bytes before the first block
+    begin, end = SIDE - left + lead, SIDE + GRAM + right
+    blocks = -(-(end - begin) // BLOCK)
     n = blocks + 1
     total = np.cumsum(n)
-    sequence = np.zeros(int(total[-1]), np.int64)
     owner_of = np.repeat(np.arange(len(n)), n)
-    place = np.arange(len(sequence)) - (total - n)[owner_of]
+    place = np.arange(int(total[-1])) - (total - n)[owner_of]
     real = place < blocks[owner_of]
-    sequence[real] = rank + 1
+    column = begin[owner_of] + BLOCK * place
+    words = m.view(">u8").astype(np.uint64)
+    cell = words.reshape(len(m), -1, BLOCK // 8)[owner_of[real], column[real] // BLOCK]
+    by = np.lexsort(cell.T[::-1])
+    new = np.concatenate(([True], (cell[by][1:] != cell[by][:-1]).any(axis=1)))
+    sequence = np.zeros(len(place), np.int64)
+    rank = np.empty(len(by), np.int64)
+    rank[by] = np.cumsum(new)
+    sequence[real] = rank
+    value = np.vstack((np.zeros((1, BLOCK // 8), np.uint64), cell[by][new]))
     order = suffix_array(sequence)
     order = order[real[order]]
-    which, at = owner_of[order], place[order] * BLOCK + lead[owner_of[order]]
-    left = size[which] - at
+    which, at = owner_of[order], column[order]
+    room = end[which] - at
     common = np.zeros(len(order), np.int64)  # bytes shared with the suffix before
     going = np.ones(max(len(order) - 1, 0), bool)
     x, y = order[:-1], order[1:]
-    value = np.concatenate((values, np.zeros(1, np.uint64)))
     for k in range(WIDTH // BLOCK + 1):
         i, j = np.minimum(x + k, len(sequence) - 1), np.minimum(y + k, len(sequence) - 1)
         a, z = sequence[i], sequence[j]
@@ -291,126 +376,140 @@ def earliest(rows: list[tuple[int, bytes]]) -> list[tuple]:
         same = going & (a == z)
         differ = going & ~same
         if differ.any():
-            v = (value[a[differ] - 1] ^ value[z[differ] - 1]).astype(">u8").view(np.uint8).reshape(-1, 8)
+            v = (value[a[differ]] ^ value[z[differ]]).astype(">u8").view(np.uint8)
             common[1:][differ] += (v != 0).argmax(axis=1)
         common[1:][same] += BLOCK
         going = same
-    common[1:] = np.minimum(common[1:], np.minimum(left[1:], left[:-1]))
-    kept = np.zeros((len(text), SPAN), bool)
-    flat = np.frombuffer(b"".join(t.ljust(BLOCK * (width + 1), b"\0") for t in text), np.uint8).reshape(len(text), -1)
+    common[1:] = np.minimum(common[1:], np.minimum(room[1:], room[:-1]))
+    rows, columns = [], []
     for r in range(BLOCK):
-        run = np.cumsum(common < WIDTH - r)
-        ok = np.flatnonzero((at >= r) & (left >= WIDTH - r) & (at - r < SPAN) & (at - r <= anchor[which]) & (anchor[which] - at + r < SPAN))
-        ok = ok[(anchor[which[ok]] - at[ok] >= 0) & (anchor[which[ok]] - at[ok] + r < SPAN)]
+        ok = np.flatnonzero((at - r >= SIDE - left[which]) & (at - r <= SIDE) & (room >= WIDTH - r) & (at - r + WIDTH >= SIDE + GRAM))
         if not len(ok):
             continue
+        run = np.cumsum(common < WIDTH - r)[ok]
         w, s = which[ok], at[ok] - r
-        prior = np.zeros(len(ok), np.uint64)
+        prior = np.zeros((BLOCK // 8, len(ok)), np.uint64)
         for k in range(r):
-            prior = prior << np.uint64(8) | flat[w, s + k].astype(np.uint64)
-        by = np.lexsort((s, w, prior, run[ok]))
-        new = np.concatenate(([True], (run[ok][by][1:] != run[ok][by][:-1]) | (prior[by][1:] != prior[by][:-1])))
-        first = by[new]
-        kept[w[first], s[first]] = True
-    some = np.flatnonzero(kept.any(axis=1))
-    answer = np.zeros(len(some), _KEPT)
-    answer["index"], answer["start"], answer["bits"] = head["index"][some], head["start"][some], np.packbits(kept[some], axis=1)
-    by = np.argsort(owner[some], kind="stable")
-    edges = np.flatnonzero(np.diff(owner[some][by])) + 1
-    return [(int(owner[some[g[0]]]), 2, 0, answer[g].tobytes()) for g in np.split(by, edges) if len(g)]
+            prior[k // 8] = prior[k // 8] << np.uint64(8) | m[w, s + k].astype(np.uint64)
+        by = np.lexsort((w, *prior, run))
+        same = (run[by][1:] == run[by][:-1]) & (prior[:, by][:, 1:] == prior[:, by][:, :-1]).all(axis=0)
+        later = by[1:][same]
+        rows.append(w[later])
+        columns.append(s[later])
+    return (np.concatenate(rows), np.concatenate(columns)) if rows else (np.zeros(0, np.int64),) * 2
 
 
-def outcome(w: Windows, fine: np.ndarray, kept: list[bytes]) -> list[tuple]:
+def outcome(p: Part, runs: list[bytes], gone: list[bytes]) -> list[tuple]:
     """doc_id's position, n_bytes, n_removed, n_spans, kept bytes of each document of a part."""
-    p = w.part
-    again = np.zeros(len(p.b) + 1, bool)
-    at = 0
-    for start, _, s, _ in w.chunks:
-        again[start + s[fine[at : at + len(s)]]] = True
-        at += len(s)
-    for d in kept:
-        k = np.frombuffer(d, _KEPT)
+    edge = np.zeros(len(p.b) + 2, np.int32)
+    for d in runs:
+        r = np.frombuffer(d, np.int64).reshape(-1, 2)
+        np.add.at(edge, r[:, 0], 1)
+        np.add.at(edge, r[:, 1] + 1, -1)
+    again = np.cumsum(edge[:-1]) > 0
+    for d in gone:
+        k = np.frombuffer(d, _GONE)
         i, j = np.nonzero(np.unpackbits(k["bits"], axis=1, count=SPAN))
-        again[p.off[k["index"][i]] + k["start"][i] + j] = False
+        again[p.off[k["index"][i]] + k["start"][i] + j] = True
     edge = np.zeros(len(p.b) + WIDTH + 1, np.int32)
     s = np.flatnonzero(again)
     edge[s] += 1
     edge[s + WIDTH] -= 1
-    gone = np.cumsum(edge[: len(p.b)]) > 0
+    covered = np.cumsum(edge[: len(p.b)]) > 0
     out = []
     for i, (a, z) in enumerate(zip(p.off[:-1].tolist(), p.off[1:].tolist(), strict=True)):
-        g = gone[a:z]
+        g = covered[a:z]
         spans = int(g[:1].sum() + (g[1:] & ~g[:-1]).sum())
         out.append((i, z - a, int(g.sum()), spans, p.b[a:z][~g].tobytes()))
     return out
 
 
-def removed(docs: DataFrame, keep_text: bool = False) -> DataFrame:
+def removed(docs: DataFrame, keep_text: bool = False, part_bytes: int = PART_BYTES, bucket_bytes: int = BUCKET_BYTES, hot: int = HOT) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and kept, the rest's bytes) of every row of docs.
 
     A null text is empty. Rows of one doc_id count in the order of their texts; a null doc_id comes last. Texts under 100 bytes lose
-    nothing. Documents lie in parts by a hash of doc_id, and what parts and buckets of hashes tell each other are packed rows, one
-    for each pair of them; equal content is sent once a part, so that neither copies nor a common passage make a hot task.
+    nothing. Documents lie in parts by a hash of doc_id, about part_bytes each, and what parts and buckets of hashes tell each other
+    are packed rows, one for each pair that has something to tell, so never more than there are anchors; equal content is sent once
+    a part. A very long text is whole in its part and is worked on in pieces.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    buckets = max(parts(spark), math.ceil(docs.count() / DOCS))
-    held = rows.withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(buckets)).cast("int"))
+    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    several, buckets = max(parts(spark), math.ceil(total / part_bytes)), max(parts(spark), math.ceil(total / bucket_bytes))
+    held = rows.withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(several)).cast("int"))
     names = ["part", "kind", "bucket", "data"]
 
     def first(t: pa.Table) -> pa.Table:
-        with np.errstate(over="ignore"):
+        with np.errstate(over="ignore"), released():
             return _batch(grams_of(t.column("part")[0].as_py(), Part(t), buckets), names)
 
     def meet(t: pa.Table) -> pa.Table:
         t = t.sort_by("part")
         kind, bucket = t.column("kind")[0].as_py(), t.column("bucket")[0].as_py()
         given = list(zip(t.column("part").to_pylist(), t.column("data").to_pylist(), strict=True))
-        with np.errstate(over="ignore"):
-            return _batch(repeated_grams(given) if kind == 0 else repeated_windows(bucket, given) if kind == 1 else earliest(given), names)
+        with np.errstate(over="ignore"), released():
+            return _batch(repeated_grams(given, hot) if kind == 0 else repeated_windows(bucket, given) if kind == 1 else earliest(given), names)
 
     def of_kind(facts: pa.Table, kind: int, *columns: str) -> list:
         use = facts.filter(pa.compute.equal(facts.column("kind"), kind)) if facts.num_rows else facts
         lists = [use.column(c).to_pylist() for c in columns]
         return lists[0] if len(lists) == 1 else list(zip(*lists, strict=True))
 
+    def chunks(p: Part, known: np.ndarray) -> list[tuple[int, Anchors]]:
+        return [(start, x) for start, _, a in p.anchored() if (x := _among(a, known)) is not None]
+
     def second(t: pa.Table, facts: pa.Table) -> pa.Table:
         if not t.num_rows or not facts.num_rows:
             return _batch([], names)
-        with np.errstate(over="ignore"):
-            return _batch(Windows(Part(t), of_kind(facts, 0, "data"), buckets).rows(t.column("part")[0].as_py()), names)
+        with np.errstate(over="ignore"), released():
+            part, p = t.column("part")[0].as_py(), Part(t)
+            few, many = _known(of_kind(facts, 0, "data"))
+            wide: list[tuple[int, Anchors]] = []
+
+            def runs():
+                for start, _, a in p.anchored():
+                    if (x := _among(a, many)) is not None:
+                        wide.append((start, x))
+                    if (x := _among(a, few)) is not None:
+                        yield start, x, x.first, x.last, np.arange(len(x.at))
+
+            out = stretches(part, p, runs(), buckets)
+            return _batch(out + (Windows(wide, buckets).rows(part) if wide else []), names)
 
     def third(t: pa.Table, facts: pa.Table) -> pa.Table:
         if not t.num_rows or not facts.num_rows:
             return _batch([], names)
-        with np.errstate(over="ignore"):
-            w = Windows(Part(t), of_kind(facts, 0, "data"), buckets)
-            return _batch(stretches(t.column("part")[0].as_py(), w, w.repeated(of_kind(facts, 1, "bucket", "data"))), names)
+        with np.errstate(over="ignore"), released():
+            part, p = t.column("part")[0].as_py(), Part(t)
+            w = Windows(chunks(p, _known(of_kind(facts, 0, "data"))[1]), buckets)
+            return _batch(stretches(part, p, _runs(w, w.repeated(of_kind(facts, 1, "bucket", "data"))), buckets), names)
 
     def last(t: pa.Table, facts: pa.Table) -> pa.Table:
-        with np.errstate(over="ignore"):
+        with released():
             p = Part(t) if t.num_rows else None
-            out = []
-            if p is not None:
-                w = Windows(p, of_kind(facts, 0, "data"), buckets)
-                out = outcome(w, w.repeated(of_kind(facts, 1, "bucket", "data")), of_kind(facts, 2, "data"))
-        ids = p.ids.to_pylist() if p is not None else []
-        columns = {"doc_id": pa.array([ids[o[0]] for o in out], pa.int64())}
-        columns |= {n: pa.array([o[i] for o in out], pa.int64()) for i, n in enumerate(("n_bytes", "n_removed", "n_spans"), 1)}
-        columns["kept_sha256"] = pa.array([hashlib.sha256(o[4]).hexdigest() for o in out], pa.string())
-        if keep_text:
-            columns["kept"] = pa.array([o[4] for o in out], pa.binary())
-        return pa.table(columns)
+            out = outcome(p, of_kind(facts, 3, "data"), of_kind(facts, 2, "data")) if p is not None else []
+            ids = p.ids.to_pylist() if p is not None else []
+            columns = {"doc_id": pa.array([ids[o[0]] for o in out], pa.int64())}
+            columns |= {n: pa.array([o[i] for o in out], pa.int64()) for i, n in enumerate(("n_bytes", "n_removed", "n_spans"), 1)}
+            columns["kept_sha256"] = pa.array([hashlib.sha256(o[4]).hexdigest() for o in out], pa.string())
+            if keep_text:
+                columns["kept"] = pa.array([o[4] for o in out], pa.binary())
+            return pa.table(columns)
 
     def asked(df: DataFrame) -> DataFrame:
         return df.groupBy("kind", "bucket").applyInArrow(meet, FACTS)
 
+    def told(facts: DataFrame, step, schema: str = FACTS) -> DataFrame:
+        return held.groupBy("part").cogroup(facts.groupBy("part")).applyInArrow(step, schema)
+
     grams = written(asked(held.groupBy("part").applyInArrow(first, FACTS)), "grams")
-    windows = written(asked(held.groupBy("part").cogroup(grams.groupBy("part")).applyInArrow(second, FACTS)), "windows")
-    both = grams.union(windows)
-    kept = written(asked(held.groupBy("part").cogroup(both.groupBy("part")).applyInArrow(third, FACTS)), "kept")
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_text
-    return held.groupBy("part").cogroup(both.union(kept).groupBy("part")).applyInArrow(last, schema)
+    sent = written(told(grams, second), "stretches")
+    answers = written(asked(sent.filter("kind < 3")), "answers")
+    facts = sent.filter("kind = 3").union(answers.filter("kind = 2"))
+    if sent.filter("kind = 1").limit(1).count():
+        more = written(told(grams.union(answers.filter("kind = 1")), third), "more-stretches")
+        facts = facts.union(more.filter("kind = 3")).union(written(asked(more.filter("kind = 2")), "more-answers"))
+    return told(facts, last, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_text)
 
 
 def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
