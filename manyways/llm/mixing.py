@@ -42,8 +42,29 @@ def draw(j: int):
     return F.pmod(part(1) + F.lit(j) * part(9), F.lit(1 << 32)) / F.lit(float(1 << 32))
 
 
-def mix(docs: DataFrame, budget: float = 1.5, cap: float = 2.0, weights=WEIGHTS, seeds: int = SEEDS) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies, taken: one row for each row of docs.
+def rates(sized: DataFrame, budget: float = 1.5, cap: float = 2.0, weights=WEIGHTS, seeds: int = SEEDS) -> DataFrame:
+    """its (a source), source_size, target, whole, fraction and seed: what decides on each document's copies. A stored table; broadcast
+    if it has at most BROADCAST_SOURCES rows."""
+    per = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), budget, cap, weights)
+    per = per.withColumn("rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0)))
+    per = written(per.withColumn("whole", F.floor("rate")).withColumn("fraction", F.col("rate") - F.col("whole")).withColumnRenamed("source", "its").drop("rate"), "rates")
+    small = per.count() <= BROADCAST_SOURCES
+    held = lambda df: F.broadcast(df) if small else df
+    joined = sized.join(held(per), F.col("source").eqNullSafe(F.col("its")))
+    sums = [F.sum(F.when(draw(j) < F.col("fraction"), F.col("size")).otherwise(0)).alias(f"s{j}") for j in range(seeds)]
+    off = F.array(*[F.struct(F.abs(F.col(f"s{j}") - F.col("fraction") * F.col("source_size")).alias("off"), F.lit(j).alias("seed")) for j in range(seeds)])
+    chosen = joined.groupBy("its", "source_size", "target", "whole", "fraction").agg(*sums).select("its", "source_size", "target", "whole", "fraction", F.array_min(off)["seed"].alias("seed"))
+    return held(written(chosen, "seeds"))
+
+
+def copied(rows: DataFrame, per: DataFrame) -> DataFrame:
+    """rows (doc_id, source, ...) with source_size, target and copies: the whole part of the source's rate, and one more by the draw."""
+    both = rows.join(per, F.col("source").eqNullSafe(F.col("its")))
+    return both.withColumn("copies", (F.col("whole") + (draw(F.col("seed")) < F.col("fraction")).cast("int")).cast("long")).drop("its", "whole", "fraction", "seed")
+
+
+def mix(docs: DataFrame, **parameters) -> DataFrame:
+    """doc_id, source, size, source_size, target, copies, taken: one row for each row of docs; parameters are those of rates().
 
     Of `seeds` independent hash seeds, each source uses the one whose draws bring its taken words nearest to its target; so a
     source with few, long documents comes near too. A null text has size 0; a null source is a source; a source without words has
@@ -52,26 +73,15 @@ def mix(docs: DataFrame, budget: float = 1.5, cap: float = 2.0, weights=WEIGHTS,
     most BROADCAST_SOURCES rows; beyond that Spark joins by source.
     """
     sized = written(sizes(docs), "sizes")
-    rates = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), budget, cap, weights)
-    rates = rates.withColumn("rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0)))
-    rates = written(rates.withColumn("whole", F.floor("rate")).withColumn("fraction", F.col("rate") - F.col("whole")), "rates")
-    small = rates.count() <= BROADCAST_SOURCES
-    held = lambda df: F.broadcast(df) if small else df
-    joined = sized.join(held(rates.withColumnRenamed("source", "its")), F.col("source").eqNullSafe(F.col("its"))).drop("its")
-    sums = [F.sum(F.when(draw(j) < F.col("fraction"), F.col("size")).otherwise(0)).alias(f"s{j}") for j in range(seeds)]
-    off = F.array(*[F.struct(F.abs(F.col(f"s{j}") - F.col("fraction") * F.col("source_size")).alias("off"), F.lit(j).alias("seed")) for j in range(seeds)])
-    chosen = joined.groupBy("source", "fraction", "source_size").agg(*sums).select(F.col("source").alias("its"), F.array_min(off)["seed"].alias("seed"))
-    both = joined.join(held(written(chosen, "seeds")), F.col("source").eqNullSafe(F.col("its"))).drop("its")
-    copies = (F.col("whole") + (draw(F.col("seed")) < F.col("fraction")).cast("int")).cast("long")
-    return both.withColumn("copies", copies).withColumn("taken", F.col("copies") * F.col("size")).select("doc_id", "source", "size", "source_size", "target", "copies", "taken")
+    out = copied(sized, rates(sized, **parameters)).withColumn("taken", F.col("copies") * F.col("size"))
+    return out.select("doc_id", "source", "size", "source_size", "target", "copies", "taken")
 
 
 def emit(docs: DataFrame, **parameters) -> DataFrame:
-    """The mixed documents: each row of docs as many times as mix() says. Rows with the same doc_id are copied alike."""
-    kept = mix(docs, **parameters).filter("copies > 0").groupBy("doc_id").agg(F.max("copies").alias("_copies"))
-    kept = kept.withColumnRenamed("doc_id", "_id")
-    out = docs.join(kept, docs["doc_id"].eqNullSafe(kept["_id"])).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))))
-    return out.select(*[docs[c] for c in docs.columns])
+    """The mixed documents: each row of docs as many times as mix() says. A row's source and doc_id decide, so texts aren't shuffled."""
+    per = rates(written(sizes(docs), "sizes"), **parameters)
+    row = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "source")
+    return copied(row, per).withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies").cast("int")))).filter("copy > 0").select("row.*")
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

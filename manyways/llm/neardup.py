@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from manyways.llm.common import buffers, mixed, parts, powers, prefix_hash, table, written
+from manyways.llm.common import buffers, mixed, parts, powers, prefix_hash, released, table, trimmed, written
 
 TREES = 16
 STRIDE = 4
@@ -21,7 +21,7 @@ FAR = 3
 REGION = 512
 TEXTS = 1000
 ALIKE = 0.5
-CHUNK = 4_000_000
+CHUNK = 1_000_000
 FILTER_WORDS = 1 << 20
 _rng = np.random.default_rng(20240229)
 _A = _rng.integers(1, 1 << 32, HASHES, np.uint64).astype(np.uint32) | np.uint32(1)
@@ -96,16 +96,43 @@ def shingled(docs: DataFrame, width: int) -> DataFrame:
                     signatures.append(signature(s).tobytes() if len(s) else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(ids, pa.binary()), pa.array(signatures, pa.binary())], ["doc_id", "n_shingles", "set_id", "signature"])
 
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(each, "doc_id long, n_shingles long, set_id binary, signature binary")
+    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(trimmed(each), "doc_id long, n_shingles long, set_id binary, signature binary")
+
+
+def regions(key: np.ndarray, region: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For rows in the order of (region, key): a number that rows of one adaptive region share, and whether it is small.
+
+    The common prefix of neighbours gives the regions of each depth, from DEPTH values to all of them. A row belongs to the least
+    deep region that has NEAR + 1 rows at most, so sparse parts of a tree stay shallow and crowded ones go deeper; where even the
+    deepest region has more, that is the row's.
+    """
+    n = len(region)
+    same = region[1:] == region[:-1]
+    lcp = np.where(same, DEPTH, 0)
+    going = same.copy()
+    for i in range(key.shape[1]):
+        going &= key[1:, i] == key[:-1, i]
+        lcp += going
+    own, small, at = np.zeros(n, np.int64), np.zeros(n, bool), 0
+    for depth in range(DEPTH, DEPTH + key.shape[1] + 1):
+        begins = np.flatnonzero(np.concatenate(([True], lcp < depth)))
+        size = np.diff(np.append(begins, n))
+        run = np.repeat(np.arange(len(begins)), size)
+        rows = np.repeat(size, size) <= NEAR + 1
+        new = rows & ~small if depth < DEPTH + key.shape[1] else ~small
+        own[new] = at + run[new]
+        small |= rows
+        at += len(begins)
+    return own, small
 
 
 def forest(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The trees' rows (region, tail, id), stored, and candidate pairs (a, b), a < b, of doc_ids.
+    """The trees' rows (region, key, id), stored, and candidate pairs (a, b), a < b, of doc_ids.
 
-    Each tree is the order of all signatures read from another place on, cyclically. Rows that share DEPTH values or more with a
-    neighbour are candidates: where such a region is small, with NEAR rows on, that is all of it; in a larger one, where a
-    longer common prefix stands nearer in the order, with FAR rows on, in each of the trees. Orders are dealt by range, so a large
-    region is spread over tasks; rows at the borders of the ranges are paired in a second step.
+    Each tree is the order of all signatures read from another place on, cyclically. Candidates are the rows next to each other in
+    an order, which share the longest prefixes, and all pairs of small adaptive regions (see regions()); of a large one that can't
+    go deeper, rows with the FAR next. Orders are dealt by range, so a large region is spread over tasks; rows at the borders of the
+    ranges are paired in a second step.
     """
     spark = sets.sparkSession
 
@@ -121,27 +148,22 @@ def forest(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
                     h = np.full(n, t + 1, np.uint64)
                     for i in at[:DEPTH]:
                         h = mixed(h * np.uint64(0x9E3779B97F4A7C15) + s[:, i])
-                    tail = np.zeros(n, np.int64)
-                    for i in at[DEPTH:]:
-                        tail = (tail << 15) | (s[:, i] >> np.uint32(17)).astype(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(tail), batch.column(0)], ["region", "tail", "id"])
-
-    def pair(region: np.ndarray, ids: np.ndarray, size: np.ndarray):
-        for step in range(1, NEAR + 1):
-            if step >= len(ids):
-                break
-            hit = region[step:] == region[:-step]
+                    key = np.ascontiguousarray(s[:, at[DEPTH:]]).astype(">u4").view(f"S{4 * TAIL}").ravel()
+                    key = pa.FixedSizeBinaryArray.from_buffers(pa.binary(4 * TAIL), n, [None, pa.py_buffer(key.tobytes())]).cast(pa.binary())
+                    yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), key, batch.column(0)], ["region", "key", "id"])
+
+    def pair(region: np.ndarray, key: np.ndarray, ids: np.ndarray):
+        own, small = regions(key, region)
+        for step in range(1, min(NEAR, len(ids) - 1) + 1):
+            hit = own[step:] == own[:-step]
             if step > FAR:
-                hit &= size[:-step] <= NEAR + 1
+                hit &= small[:-step]
+            if step == 1:
+                hit = region[1:] == region[:-1]
             at = np.flatnonzero(hit)
             if len(at):
                 yield np.minimum(ids[at], ids[at + step]), np.maximum(ids[at], ids[at + step])
 
-    def sizes(region: np.ndarray) -> np.ndarray:
-        begins = np.flatnonzero(np.concatenate(([True], region[1:] != region[:-1])))
-        n = np.diff(np.append(begins, len(region)))
-        return np.repeat(n, n)
-
     def within(batches):
         """Pairs inside a range; then its first and last rows, with the range's number, as rows without b."""
         from pyspark import TaskContext
@@ -150,31 +172,36 @@ def forest(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
         found = [b for b in batches if b.num_rows]
         if not found:
             return
-        region, tail, ids = (np.concatenate([b.column(i).to_numpy() for b in found]) for i in range(3))
-        seen = np.zeros((0, 2), np.int64)
-        out = list(pair(region, ids, sizes(region)))
+        region, ids = (np.concatenate([b.column(i).to_numpy() for b in found]) for i in (0, 2))
+        raw = [x for b in found for x in b.column(1).to_pylist()]
+        key = np.frombuffer(b"".join(raw), ">u4").reshape(-1, TAIL)
+        out = list(pair(region, key, ids))
         if out:
             seen = np.unique(np.column_stack([np.concatenate(x) for x in zip(*out, strict=True)]), axis=0)
             seen = seen[seen[:, 0] != seen[:, 1]]
-            yield pa.RecordBatch.from_arrays([pa.array(seen[:, 0]), pa.array(seen[:, 1]), *(pa.nulls(len(seen), pa.int64()) for _ in range(3))], ["a", "b", "region", "tail", "range"])
+            none = [pa.nulls(len(seen), k) for k in (pa.int64(), pa.binary(), pa.int64())]
+            yield pa.RecordBatch.from_arrays([pa.array(seen[:, 0]), pa.array(seen[:, 1]), *none], ["a", "b", "region", "key", "range"])
         edge = np.unique(np.concatenate((np.arange(min(NEAR, len(ids))), np.arange(max(0, len(ids) - NEAR), len(ids)))))
-        yield pa.RecordBatch.from_arrays([pa.array(ids[edge]), pa.nulls(len(edge), pa.int64()), pa.array(region[edge]), pa.array(tail[edge]), pa.array(np.full(len(edge), here))], ["a", "b", "region", "tail", "range"])
-
-    def between(batches):
-        found = [b for b in batches if b.num_rows]
-        if not found:
-            return
-        ids, region, where = (np.concatenate([b.column(i).to_numpy() for b in found]) for i in range(3))
-        for step in range(1, 2 * NEAR):
-            at = np.flatnonzero((region[step:] == region[:-step]) & (where[step:] != where[:-step])) if step < len(ids) else ()
-            if len(at):
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[at], ids[at + step])), pa.array(np.maximum(ids[at], ids[at + step]))], ["a", "b"])
-
-    rows = written(sets.select("doc_id", "signature").mapInArrow(keys, "region long, tail long, id long"), "forest")
-    ordered = rows.repartitionByRange(2 * parts(spark), "region", "tail", "id").sortWithinPartitions("region", "tail", "id")
-    found = written(ordered.mapInArrow(within, "a long, b long, region long, tail long, range long"), "pairs")
-    border = found.filter("b is null").select(F.col("a").alias("id"), "region", "range", "tail").coalesce(1).sortWithinPartitions("range", "region", "tail", "id")
-    return rows, found.filter("b is not null").select("a", "b").union(border.select("id", "region", "range").mapInArrow(between, "a long, b long").filter("a <> b")).distinct()
+        yield pa.RecordBatch.from_arrays([pa.array(ids[edge]), pa.nulls(len(edge), pa.int64()), pa.array(region[edge]), pa.array([raw[i] for i in edge], pa.binary()), pa.array(np.full(len(edge), here))], ["a", "b", "region", "key", "range"])
+
+    def between(t: pa.Table) -> pa.Table:
+        """Pairs of one region's border rows that lie in different ranges, 2 * NEAR - 1 rows apart at most."""
+        t = t.sort_by([("range", "ascending"), ("key", "ascending"), ("id", "ascending")])
+        ids, where = t.column("id").to_numpy(), t.column("range").to_numpy()
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for step in range(1, min(2 * NEAR, len(ids))):
+            at = np.flatnonzero((where[step:] != where[:-step]) & (ids[step:] != ids[:-step]))
+            a.append(np.minimum(ids[at], ids[at + step]))
+            b.append(np.maximum(ids[at], ids[at + step]))
+        return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
+
+    rows = written(sets.select("doc_id", "signature").mapInArrow(trimmed(keys), "region long, key binary, id long"), "forest")
+    ordered = rows.repartitionByRange(2 * parts(spark), "region", "key", "id").sortWithinPartitions("region", "key", "id")
+    found = written(ordered.mapInArrow(trimmed(within), "a long, b long, region long, key binary, range long"), "pairs")
+    border = found.filter("b is null").select(F.col("a").alias("id"), "region", "range", "key")
+    cut = border.groupBy("region").agg(F.min("range").alias("low"), F.max("range").alias("high")).filter("low < high").select("region")
+    crossing = border.join(cut, "region").groupBy("region").applyInArrow(between, "a long, b long")
+    return rows, found.filter("b is not null").select("a", "b").union(crossing).distinct()
 
 
 def sifted(docs: DataFrame, asked: DataFrame) -> DataFrame:
@@ -196,7 +223,7 @@ def sifted(docs: DataFrame, asked: DataFrame) -> DataFrame:
             yield batch.select([0, 1]).filter(pa.array(sent.value[batch.column(2).to_numpy()] & bits == bits))
 
     rows = marked(docs.select(F.col("doc_id").cast("long"), "text").filter("doc_id is not null"))
-    return rows.select("doc_id", "text", "_word", "_bits").mapInArrow(sift, "doc_id long, text string")
+    return rows.select("doc_id", "text", "_word", "_bits").mapInArrow(trimmed(sift), "doc_id long, text string")
 
 
 def unlinked(rows: DataFrame, sets: DataFrame, labels: DataFrame) -> DataFrame:
@@ -268,7 +295,7 @@ def confirmed_mates(mates: DataFrame, texts: DataFrame, width: int, percent: int
                 b += [max(i, j) for j in fine.tolist()]
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    dealt = mates.mapInArrow(deal, "doc_id long, block long, mates array<long>").join(texts, "doc_id")
+    dealt = mates.mapInArrow(trimmed(deal), "doc_id long, block long, mates array<long>").join(texts, "doc_id")
     right = texts.select(F.pmod("doc_id", F.lit(blocks)).cast("long").alias("part"), F.col("doc_id").alias("mate"), F.col("text").alias("its"))
     return dealt.groupBy("block").cogroup(right.groupBy("part")).applyInArrow(check, "a long, b long").distinct()
 
@@ -295,7 +322,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> D
                 yield part.select([0, 1]).filter(pa.array(fine, pa.bool_()))
 
     joined = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("_x")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("_y")), "b")
-    return joined.select("a", "b", F.coalesce("_x", F.lit("")).alias("_x"), F.coalesce("_y", F.lit("")).alias("_y")).mapInArrow(check, "a long, b long")
+    return joined.select("a", "b", F.coalesce("_x", F.lit("")).alias("_x"), F.coalesce("_y", F.lit("")).alias("_y")).mapInArrow(trimmed(check), "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -322,10 +349,25 @@ def near_duplicates(docs: DataFrame, width: int = 4, percent: int = 80) -> DataF
     """doc_id, n_shingles, component_id, kept: one row for each row of docs.
 
     Equal sets are one node, so a large group of copies costs no pairs; its links count for all its documents. A null or wordless
-    text has no shingles and its own component. Rows of one doc_id (repeated rows) belong to the components of their sets; a null
-    doc_id joins no links and is kept. An empty table gives an empty result.
+    text has no shingles and its own component. Rows of one doc_id belong to the components of their own texts, also where these
+    differ; a null doc_id joins no links and is kept. An empty table gives an empty result.
     """
     rows = written(shingled(docs, width), "shingled")
+    sets_of = rows.filter("doc_id is not null").groupBy("doc_id").agg(F.min("set_id").alias("x"), F.max("set_id").alias("y"))
+    if not sets_of.filter("x <> y").limit(1).count():
+        return _grouped(rows, docs, width, percent)
+    # an id with several texts names none of them: numbers stand for the rows, fixed by the written table
+    numbered = written(docs.select("doc_id", "text").withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    alone = numbered.select(F.when(F.col("doc_id").isNotNull(), F.col("_row")).alias("doc_id"), "text")
+    known = _grouped(written(shingled(alone, width), "shingled"), alone, width, percent)
+    of_row = known.filter("doc_id is not null").select(F.col("doc_id").alias("_row"), "n_shingles", F.col("component_id").alias("_component"))
+    rows = written(of_row.join(numbered.select("_row", "doc_id"), "_row"), "rows")
+    least = rows.groupBy("_component").agg(F.min("doc_id").alias("component_id"))
+    out = rows.join(least, "_component").select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+    return out.union(known.filter("doc_id is null"))
+
+
+def _grouped(rows: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     sets = written(rows.filter("set_id is not null and doc_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.first("signature").alias("signature")), "sets")
     trees, pairs = forest(sets)
     pairs = written(pairs, "candidates")

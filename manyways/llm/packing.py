@@ -11,11 +11,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from manyways.llm.common import mixed, parts, powers, prefix_hash, table, written
+from manyways.llm.common import mixed, parts, powers, prefix_hash, table, trimmed, written
 
 LIMIT = 2048
-CHARS = 2_000_000
-KNOWN = 1_000_000
+CHARS = 1_000_000
+KNOWN = 300_000
 SENTINEL = chr(0x10FFFF)
 CONTRACTION = r"'(?:[stmd]|re|ve|ll)"
 
@@ -100,7 +100,7 @@ class Words:
                 i = index[x] = len(self.start) - 1
                 self.start.append(len(self.flat))
             known[k] = i
-        start, flat = np.array(self.start, np.int64), np.array(self.flat, np.uint32)  # copies, so that the arrays can grow
+        start, flat = np.frombuffer(self.start, np.int64), np.frombuffer(self.flat, np.uint32)  # gone when this ends, so that the arrays can grow
         which = known[back]
         n = start[which + 1] - start[which]
         total = np.cumsum(n)
@@ -151,55 +151,76 @@ def pieces(docs: DataFrame, limit: int = LIMIT, path: str | None = None, keep_id
                 yield pa.RecordBatch.from_arrays(out, names)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(cut, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * keep_ids)
+    return docs.select("doc_id", "text").mapInArrow(trimmed(cut), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * keep_ids)
+
+
+class Complements:
+    """Which one, two or three of the lengths there add up to a sum: the index that gaps are looked up in.
+
+    Pairs lie sorted by their sum, the larger part first; a triple's sum leads to its largest parts x, and each of these to the
+    pairs that sum up to the rest and have no part above x.
+    """
+
+    def __init__(self, lengths: np.ndarray, limit: int):
+        x, y = np.meshgrid(lengths, lengths, indexing="ij")
+        fine = (x >= y) & (x + y < limit)
+        x, y = x[fine], y[fine]
+        order = np.lexsort((-x, x + y))
+        self.x, self.y = x[order], y[order]
+        self.at = np.searchsorted((x + y)[order], np.arange(limit + 2))
+        least = np.full(limit + 1, limit + 1)  # the smallest larger part of the pairs with a sum
+        np.minimum.at(least, self.x + self.y, self.x)
+        z, t = np.meshgrid(lengths, np.arange(limit), indexing="ij")
+        fine = (z + t < limit) & (least[t] <= z)
+        z, total = z[fine], (z + t)[fine]
+        order = np.lexsort((-z, total))
+        self.z, self.z_at = z[order], np.searchsorted(total[order], np.arange(limit + 2))
+
+    def pairs(self, total: int, most: int) -> list[tuple[int, int]]:
+        s = slice(self.at[total], self.at[total + 1])
+        return [(x, y) for x, y in zip(self.x[s].tolist(), self.y[s].tolist(), strict=True) if x <= most]
+
+    def largest(self, total: int, most: int) -> list[int]:
+        return [z for z in self.z[self.z_at[total] : self.z_at[total + 1]].tolist() if z <= most]
 
 
 def plan(counts: dict[int, int], limit: int = LIMIT) -> list[tuple[tuple[int, ...], int]]:
     """Patterns of lengths, and how many sequences have each, that use up all counts; no pattern's sum is above limit.
 
-    Longest first, a length's gap is looked up among the single lengths, then the pairs, then the triples that are there and sum to
-    exactly the gap; a combination is taken as often as the counts allow, so the work depends on the number of lengths, not on
-    the number of pieces. What has no exact complement is filled by best fit: the longest length that fits, again and again.
+    Longest first, a length's gap is looked up among the single lengths, then in the indexes of pair sums and of triple sums; a
+    combination that exactly fills it is taken as often as the counts allow, so the work depends on the number of lengths, not on the
+    number of pieces. What has no exact complement is filled by best fit: the longest length that fits, again and again.
     """
     count = np.zeros(limit + 1, np.int64)
     for length, n in counts.items():
         count[length] += n
     out: list[tuple[tuple[int, ...], int]] = []
 
-    def take(pattern: tuple[int, ...]) -> bool:
+    def take(*pattern: int) -> bool:
         """As often as it can be; False: not once."""
         own, times = np.unique(pattern, return_counts=True)
         m = int((count[own] // times).min())
         if m:
             count[own] -= m * times
-            out.append((tuple(pattern), m))
+            out.append((pattern, m))
         return m > 0
 
-    def pairs(gap: int, most: int) -> np.ndarray:
-        """The larger parts x of pairs x + y == gap with both there."""
-        x = np.arange(min(gap - 1, most), (gap + 1) // 2 - 1, -1)
-        return x[(count[x] > 0) & (count[gap - x] > 0)] if len(x) else x
-
     if count[limit]:
-        take((limit,))
-    for big in range(limit - 1, 0, -1):
+        take(limit)
+    index = Complements(np.flatnonzero(count), limit)
+    for big in np.flatnonzero(count)[::-1].tolist():
         gap = limit - big
-        if count[big] and gap <= limit:
-            if count[gap]:
-                take((big, gap))
-            if count[big]:
-                for x in pairs(gap, big).tolist():
-                    take((big, x, gap - x))
-                    if not count[big]:
-                        break
-            if count[big]:
-                for x in np.flatnonzero(count[: min(gap - 1, big + 1)])[::-1].tolist():
-                    if 3 * x < gap or not count[big]:
-                        break
-                    for y in pairs(gap - x, x).tolist():
-                        if not count[big] or not count[x]:
-                            break
-                        take((big, x, y, gap - x - y))
+        if count[big] and count[gap]:
+            take(big, gap)
+        for x, y in index.pairs(gap, big) if count[big] else ():
+            if count[x] and count[y] and take(big, x, y) and not count[big]:
+                break
+        for x in index.largest(gap, big) if count[big] else ():
+            if not count[big]:
+                break
+            for y, z in index.pairs(gap - x, x) if count[x] else ():
+                if count[y] and count[z] and take(big, x, y, z) and not (count[big] and count[x]):
+                    break
     while len(there := np.flatnonzero(count)):
         pattern, gap, used = [], limit, {}
         while gap:
@@ -211,7 +232,7 @@ def plan(counts: dict[int, int], limit: int = LIMIT) -> list[tuple[tuple[int, ..
             pattern += [fit] * again
             used[fit] = used.get(fit, 0) + again
             gap -= fit * again
-        take(tuple(pattern))
+        take(*pattern)
     return out
 
 
@@ -263,7 +284,7 @@ def pack(cut: DataFrame, limit: int = LIMIT) -> DataFrame:
             at = np.searchsorted(key, batch.column("length").to_numpy() * shift + r, "right") - 1
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(sequence[at] + r - rank[at]), pa.array(offset[at])], [*names, "sequence_id", "offset"])
 
-    return ranked.mapInArrow(assign, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cut.schema) + ", sequence_id long, offset long")
+    return ranked.mapInArrow(trimmed(assign), ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cut.schema) + ", sequence_id long, offset long")
 
 
 def packed(docs: DataFrame, limit: int = LIMIT, path: str | None = None) -> DataFrame:

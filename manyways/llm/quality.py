@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from manyways.llm.common import buffers, crc_mod, table, written
+from manyways.llm.common import buffers, crc_mod, table, trimmed, written
 
 BUCKETS = 4096
 SHAPES = 64
@@ -19,7 +19,7 @@ NEIGHBOURS = 15
 POWER = 6
 SHAPE_WEIGHT = 0.5
 BLOCK = 256
-CHUNK = 4_000_000
+CHUNK = 1_000_000
 
 _space = np.zeros(256, bool)
 _space[[0x20, *range(0x09, 0x0E)]] = True
@@ -134,7 +134,7 @@ def labelled(docs: DataFrame, labels: DataFrame, most: int = LABELLED) -> tuple[
             yield pa.RecordBatch.from_arrays([pa.array(terms, pa.list_(pa.int32())), pa.array(many, pa.list_(pa.int32())), pa.array(shapes, pa.list_(pa.float32())), batch.column(1), batch.column(2)], ["terms", "many", "shapes", "quality", "doc_id"])
 
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id").select("text", "quality", F.col("doc_id").cast("long"))
-    rows = texts.mapInArrow(each, "terms array<int>, many array<int>, shapes array<float>, quality int, doc_id long").orderBy("doc_id").limit(2 * most).toArrow()
+    rows = texts.mapInArrow(trimmed(each), "terms array<int>, many array<int>, shapes array<float>, quality int, doc_id long").orderBy("doc_id").limit(2 * most).toArrow()
     tf = np.zeros((rows.num_rows, BUCKETS), np.float32)
     for i, (t, m) in enumerate(zip(rows["terms"], rows["many"], strict=True)):
         tf[i, t.values.to_numpy()] = m.values.to_numpy()
@@ -148,12 +148,13 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = LABELLED) -> Model | N
     return fit(tf, shapes, y) if len(y) else None
 
 
-def scored(docs: DataFrame, model: Model | None) -> DataFrame:
-    """docs and score (0 to 1), which depends on the text alone. Null and empty texts score as the share of label 1 among the
+def scored(docs: DataFrame, model: Model | None, name: str = "score") -> DataFrame:
+    """docs and a score (0 to 1) under a name that docs doesn't have yet, which depends on the text alone. Null and empty texts score as the share of label 1 among the
     learned labels, as any text does if nothing could be learned (0.5). Repeated rows give repeated rows. The model (at most
     LABELLED vectors) is broadcast."""
-    spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast(model)
+    if name in docs.columns:
+        raise ValueError(f"docs has a column {name} already")
+    sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def each(batches):
         for batch in batches:
@@ -172,11 +173,10 @@ def scored(docs: DataFrame, model: Model | None) -> DataFrame:
                 if tfs:
                     out[at:] = m.score(np.array(tfs), np.array(shapes))
                 out[off[1:] == off[:-1]] = m.prior
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out)], [*batch.schema.names[:-1], "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out)], [*batch.schema.names[:-1], name])
 
-    kept = docs.drop("score")
-    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in kept.schema) + "score double"
-    return kept.withColumn("_text", F.coalesce("text", F.lit(""))).mapInArrow(each, schema)
+    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.schema) + f"`{name}` double"
+    return docs.select("*", F.coalesce("text", F.lit(""))).mapInArrow(trimmed(each), schema)
 
 
 def quality(docs: DataFrame, model: Model | None, threshold: float = 0.7) -> DataFrame:
