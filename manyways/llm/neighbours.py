@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import statistics
 
 import numpy as np
 import pandas as pd
@@ -10,71 +11,119 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from manyways.llm.common import table, written
+from manyways.llm.common import released, table, trimmed, written
 
 BLOCK = 8192
 QUERIES = 1024
-PROJECTIONS = 48
-THRESHOLD = 0.75
-BOUND = 1.45
-GROWTH = 1.3
-SHRINK = 0.9
-START = 0.5
-SALTS = 32
+PROJECTIONS = 250
+WIDTH = 0.9
+MISSED = 0.22
+GROWTH = 1.2
+START = 0.7
+CELLS = 256
+BAND = 512
+SPREAD = 0.85
+OWNERS = 100_000
+
+
+class Band:
+    """Sorted projections of vectors of like norms, and how windows around a query's value count them.
+
+    Inner products become distances by one more component, sqrt(1 - |x|**2) after division by the band's largest norm; vectors of like
+    norms keep it small. Each projection's sorted array is kept as each vector's place in it, in CELLS equal parts, and the values at the
+    parts' borders; a window reaches to the borders around it, so it holds at least what it should.
+    """
 
+    def __init__(self, vectors: np.ndarray, rows: np.ndarray, a: np.ndarray):
+        self.x, self.rows = vectors[rows], rows
+        squares = np.einsum("ij,ij->i", self.x, self.x)
+        self.top = math.sqrt(squares.max())
+        whole = np.column_stack((self.x / self.top, np.sqrt(np.maximum(1 - squares / self.top**2, 0))))
+        p = a @ whole.T
+        n = len(rows)
+        order = np.argsort(p, axis=1, kind="stable")
+        place = (np.arange(n) * min(CELLS, n) // n).astype(np.uint8)
+        self.cell = np.empty(p.shape, np.uint8)
+        np.put_along_axis(self.cell, order, np.broadcast_to(place, p.shape), axis=1)
+        begins = np.flatnonzero(np.diff(place)) + 1
+        self.borders = np.take_along_axis(p, order[:, begins], axis=1)  # the least value of each part but the first
+        self.gap, self.inside = np.empty(p.shape, np.uint8), np.empty(p.shape, bool)
+
+    def within(self, at: np.ndarray, half: float, need: int) -> np.ndarray:
+        """Which vectors lie in `need` or more of the windows at +- half."""
+        lo = (self.borders < (at - half)[:, None]).sum(axis=1).astype(np.uint8)
+        hi = (self.borders <= (at + half)[:, None]).sum(axis=1).astype(np.uint8)
+        np.subtract(self.cell, lo[:, None], out=self.gap)  # wraps round below the window
+        np.less_equal(self.gap, (hi - lo)[:, None], out=self.inside)
+        return np.flatnonzero(np.add.reduce(self.inside.view(np.uint8), axis=0, dtype=np.uint8) >= need)
 
-class Index:
-    """Sorted projections of a block of vectors.
 
-    Inner products become distances by one more component, sqrt(M**2 - |x|**2). Each projection's values are sorted; windows centred
-    on a query's value grow together (virtual rehashing), and vectors that lie in at least THRESHOLD of all windows are verified,
-    until the windows' half width is BOUND times the distance of the k-th nearest so far. A vector at that distance or nearer lies in
-    each window with probability 2 * Phi(BOUND) - 1 = 0.853 or more, so it is missed in about 2 of 100 cases, whatever the block's
-    size and the vectors' norms.
+class Index:
+    """Bands of a block's vectors, by falling norm.
+
+    Windows centred on a query's values grow together (virtual rehashing) until the vectors that collide with it in enough of them are as
+    many as asked for, then to WIDTH times the distance of the k-th nearest so far, which also begins the next band. A vector at
+    distance d lies in a window of half width WIDTH * d with probability p = 2 * Phi(WIDTH) - 1, independently for each
+    projection; the collision threshold is the MISSED quantile of that binomial, so of vectors as far as the k-th nearest about
+    MISSED are lost and of nearer ones fewer, whatever the block's size and the vectors' norms. A band whose largest norm can't reach
+    the k-th best score ends the search.
     """
 
     def __init__(self, vectors: np.ndarray, projections: int = PROJECTIONS, seed: int = 7):
-        self.x = vectors
-        squares = np.einsum("ij,ij->i", vectors, vectors)
-        top = squares.max() if len(vectors) else 0.0
-        whole = np.column_stack((vectors, np.sqrt(np.maximum(top - squares, 0))))
-        self.a = np.random.default_rng(seed).standard_normal((projections, whole.shape[1]))
-        self.scale = math.sqrt(top) or 1.0
-        p = (self.a @ whole.T) / self.scale
-        order = np.argsort(p, axis=1, kind="stable")
-        self.sorted = np.take_along_axis(p, order, axis=1)
-        self.rank = np.empty(p.shape, np.uint16)  # a vector's place in each sorted array; blocks are shorter than 2**16
-        np.put_along_axis(self.rank, order, np.arange(len(vectors), dtype=np.uint16)[None, :], axis=1)
-
-    def candidates(self, queries: np.ndarray, k: int = 21, threshold: float = THRESHOLD, bound: float = BOUND) -> list[np.ndarray]:
-        n, m = len(self.x), len(self.a)
-        want, need = min(n, k), math.ceil(threshold * m)
+        self.n = len(vectors)
+        self.a = np.random.default_rng(seed).standard_normal((projections, vectors.shape[1] + 1))
+        p = math.erf(WIDTH / math.sqrt(2))
+        self.need = int(projections * p - _QUANTILE * math.sqrt(projections * p * (1 - p)))
+        norms = np.sqrt(np.einsum("ij,ij->i", vectors, vectors))
+        order, self.bands, at = np.argsort(-norms, kind="stable"), [], 0
+        falling = -norms[order]
+        while at < self.n:
+            to = max(int(np.searchsorted(falling, SPREAD * falling[at], "right")), at + BAND)
+            to = self.n if self.n - to < BAND // 2 else to
+            self.bands.append(Band(vectors, order[at:to], self.a))
+            at = to
+        self.verified = 0
+
+    def search(self, queries: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Rows and inner products of the verified vectors that can be among a query's k nearest."""
         norms = np.sqrt(np.einsum("ij,ij->i", queries, queries))
-        norms[norms == 0] = 1.0
-        at = (self.a[:, :-1] @ (queries / norms[:, None]).T)  # only a query's direction matters
-        out, half = [], START
-        gap, inside = np.empty((m, n), np.uint16), np.empty((m, n), bool)
+        at = (queries / norms[:, None]) @ self.a[:, :-1].T  # only a query's direction matters
+        out, start = [], START
         for q in range(len(queries)):
-            half *= SHRINK  # a little below what the query before needed
-            while True:
-                lo = np.array([s.searchsorted(v - half, "left") for s, v in zip(self.sorted, at[:, q], strict=True)])
-                hi = np.array([s.searchsorted(v + half, "right") for s, v in zip(self.sorted, at[:, q], strict=True)])
-                np.subtract(self.rank, lo.astype(np.uint16)[:, None], out=gap)  # wraps round below the window
-                np.less(gap, (hi - lo).astype(np.uint16)[:, None], out=inside)
-                found = np.flatnonzero(np.add.reduce(inside.view(np.uint8), axis=0, dtype=np.uint8) >= need)
-                if len(found) == n:
+            rows, scores = np.zeros(0, np.int64), np.zeros(0)
+            for band in self.bands:
+                least = np.partition(scores, len(scores) - k)[len(scores) - k] / norms[q] if len(scores) >= k else None
+                if least is not None and least > band.top:
                     break
-                if len(found) < want:
+                half = start if least is None else self._reach(least, band)
+                found = band.within(at[q], half, self.need)
+                while len(found) < min(k - len(scores), len(band.rows)):
                     half *= GROWTH
-                    continue
-                least = np.partition(self.x[found] @ queries[q], len(found) - want)[len(found) - want]
-                enough = bound * math.sqrt(max(0.0, 2 - 2 * least / (self.scale * norms[q])))
-                if half >= enough:
-                    break
-                half = enough  # more vectors only bring the k-th nearest closer
-            out.append(found)
+                    found = band.within(at[q], half, self.need) if half < 64 else np.arange(len(band.rows))
+                if least is None:
+                    start = 0.9 * half
+                s = band.x[found] @ queries[q]
+                every = np.concatenate((scores, s))
+                if least is None and len(every) >= k and len(found) < len(band.rows):
+                    enough = self._reach(np.partition(every, len(every) - k)[len(every) - k] / norms[q], band)
+                    if enough > half:
+                        found = band.within(at[q], enough, self.need)
+                        s = band.x[found] @ queries[q]
+                self.verified += len(found)
+                rows, scores = np.concatenate((rows, band.rows[found])), np.concatenate((scores, s))
+            if len(rows) > k:
+                best = scores >= np.partition(scores, len(scores) - k)[len(scores) - k]  # ties stay
+                rows, scores = rows[best], scores[best]
+            out.append((rows, scores))
         return out
 
+    @staticmethod
+    def _reach(least: float, band: Band) -> float:
+        return WIDTH * math.sqrt(max(0.0, 2 - 2 * least / band.top)) + 1e-9
+
+
+_QUANTILE = statistics.NormalDist().inv_cdf(1 - MISSED)
+
 
 def usable(vectors: DataFrame) -> DataFrame:
     """vec_id and the vector in double precision: without null ids, and null, empty, zero, or partly null or non-finite vectors."""
@@ -101,7 +150,7 @@ def alike(rows: DataFrame, keep: int) -> DataFrame:
             part = keys[at : at + 4096]
             yield pa.RecordBatch.from_arrays([pa.array([np.frombuffer(k) for k in part], pa.list_(pa.float64())), pa.array([sorted(held[k])[:keep] for k in part], pa.list_(pa.int64()))], ["vec", "ids"])
 
-    some = rows.select(F.col("vec_id").cast("long"), "vec").mapInArrow(first, "vec array<double>, ids array<long>")
+    some = rows.select(F.col("vec_id").cast("long"), "vec").mapInArrow(trimmed(first), "vec array<double>, ids array<long>")
     return some.groupBy("vec").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))), 1, keep).alias("ids"))
 
 
@@ -124,22 +173,26 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, block: int = BLOCK
     def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(left) and len(right):
-            left = left.assign(first=[x[0] for x in left["ids"]]).sort_values("first")
-            x, asked = np.stack(list(left["vec"])), np.stack(list(right["vec"]))
-            ids = list(left["ids"])
-            for key, q, found in zip(right["key"], asked, Index(x).candidates(asked, k + 1), strict=True):
-                scores = x[found] @ q
-                order = np.lexsort((left["first"].to_numpy()[found], -scores))[: k + 1]
-                hits = sorted((-float(scores[o]), int(i)) for o in order for i in ids[found[o]])[: k + 1]
-                out.append((key, int(right["b"].iloc[0]), [{"minus": s, "vec_id": i} for s, i in hits]))
+            with released():
+                left = left.assign(first=[x[0] for x in left["ids"]]).sort_values("first")
+                x, asked = np.stack(list(left["vec"])), np.stack(list(right["vec"]))
+                size = max(np.abs(x).max(), np.finfo(float).tiny)  # of the scaled vectors no square overflows
+                ids, first = list(left["ids"]), left["first"].to_numpy()
+                for key, q, (found, _) in zip(right["key"], asked, Index(x / size).search(asked / np.abs(asked).max(axis=1, keepdims=True), k + 1), strict=True):
+                    scores = x[found] @ q
+                    order = np.lexsort((first[found], -scores))[: k + 1]
+                    hits = sorted((-float(scores[o]), int(i)) for o in order for i in ids[found[o]])[: k + 1]
+                    out.append((key, int(right["b"].iloc[0]), [{"minus": s, "vec_id": i} for s, i in hits]))
         return pd.DataFrame(out, columns=["key", "b", "hits"])
 
     met = data.groupBy("dim", "b", "q").cogroup(queries.groupBy("dim", "b", "q")).applyInPandas(meet, "key string, b int, hits array<struct<minus: double, vec_id: long>>")
     best = F.slice(F.array_sort(F.flatten(F.collect_list("hits"))), 1, k + 1).alias("hits")
     lists = met.groupBy("key", F.pmod("b", F.lit(math.isqrt(nb) + 1)).alias("part")).agg(best).groupBy("key").agg(best)
-    lists = written(lists, "lists").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    own = asked.select("query_id", "key", F.pmod(F.xxhash64("query_id"), F.lit(SALTS)).cast("int").alias("salt"))
-    each = own.join(lists, ["key", "salt"]).select("query_id", F.posexplode(F.slice(F.filter("hits", lambda h: h["vec_id"] != F.col("query_id")), 1, k)).alias("at", "hit"))
+    # equal queries come together in lists of OWNERS ids at most, about, so that a vector that many have is no hot key
+    salts = math.ceil(asked.count() / OWNERS) or 1
+    owners = asked.groupBy("key", F.pmod(F.xxhash64("query_id"), F.lit(salts)).alias("salt")).agg(F.collect_list("query_id").alias("owners"))
+    own = owners.join(written(lists, "lists"), "key").select(F.explode("owners").alias("query_id"), "hits")
+    each = own.select("query_id", F.posexplode(F.slice(F.filter("hits", lambda h: h["vec_id"] != F.col("query_id")), 1, k)).alias("at", "hit"))
     return each.select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("hit")["vec_id"].alias("vec_id"), (-F.col("hit")["minus"]).alias("score"))
 
 
