@@ -10,18 +10,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from manyways.llm.common import buffers, crc_mod, table
+from manyways.llm.common import buffers, crc_mod, table, trimmed
 
 HIDDEN = 12
 WINDOW = 96
 TRAIN_WINDOW = 48
 PER_LANGUAGE = 500
-LANGUAGES = 256
 STEPS = 300
 BATCH = 128
+#: Windows that each language is trained on at least, however many languages there are.
+PER_NAME = 2000
 RATE = 0.01
 TOGETHER = 4096
-EXCERPT = 400
+WINDOWS = 16
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -106,7 +107,7 @@ def fresh(names: list[str], hidden: int = HIDDEN, seed: int = 5) -> Model:
 
 
 def train(texts: list[bytes], labels: list[str], steps: int = STEPS, seed: int = 11) -> Model | None:
-    """Adam over windows at random places; every step takes equally many from each language. None without texts."""
+    """Adam over windows at random places; the languages take turns, so each has equally many. None without texts."""
     names = sorted({*labels})
     by = [[t for t, y in zip(texts, labels, strict=True) if y == n and t] for n in names]
     names, by = [n for n, b in zip(names, by, strict=True) if b], [b for b in by if b]
@@ -115,8 +116,9 @@ def train(texts: list[bytes], labels: list[str], steps: int = STEPS, seed: int =
     model, r = fresh(names), np.random.default_rng(seed)
     p = model.parameters()
     m, s = [np.zeros_like(x) for x in p], [np.zeros_like(x) for x in p]
+    steps = max(steps, math.ceil(len(names) * PER_NAME / BATCH))
     for step in range(1, steps + 1):
-        y = np.arange(BATCH) % len(names)
+        y = ((step - 1) * BATCH + np.arange(BATCH)) % len(names)
         x = np.zeros((TRAIN_WINDOW, BATCH), np.uint8)
         for i, k in enumerate(y):
             t = by[k][r.integers(len(by[k]))]
@@ -136,16 +138,18 @@ def train(texts: list[bytes], labels: list[str], steps: int = STEPS, seed: int =
 
 
 def sample(docs: DataFrame, per_language: int = PER_LANGUAGE) -> tuple[list[bytes], list[str]]:
-    """Excerpts of about per_language learnable texts of each of the LANGUAGES most frequent languages, chosen by hash of doc_id."""
+    """Of about per_language learnable texts of each language, chosen by hash of doc_id: WINDOWS windows each, at places anywhere in the
+    whole text, also by hash. What a language sends to the driver is bounded; there are as many as the data have."""
     fine = docs.filter(F.col("lang").isNotNull() & (F.length("text") > 0) & (crc_mod(F.col("doc_id"), 5) != 0))
-    n = {r["lang"]: r["n"] for r in fine.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
+    n = {r["lang"]: r["n"] for r in fine.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not n:
         return [], []
     share = F.create_map(*[F.lit(x) for k, v in n.items() for x in (k, min(1.0, per_language / v))])[F.col("lang")]
     h = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
-    at = (F.pmod(F.xxhash64("doc_id", F.lit(1)), F.greatest(F.length("text") - EXCERPT, F.lit(1))) + 1).cast("int")
-    rows = fine.filter(h < share * float(1 << 30)).select("doc_id", "lang", F.substring("text", at, F.lit(EXCERPT)).alias("t")).orderBy("doc_id", "t").limit(2 * per_language * len(n)).collect()
-    return [r["t"].encode() for r in rows], [r["lang"] for r in rows]
+    room = F.greatest(F.length("text") - TRAIN_WINDOW + 1, F.lit(1))
+    windows = F.transform(F.sequence(F.lit(1), F.lit(WINDOWS)), lambda i: F.substring("text", (F.pmod(F.xxhash64("doc_id", i), room) + 1).cast("int"), F.lit(TRAIN_WINDOW)))
+    rows = fine.filter(h < share * float(1 << 30)).select("doc_id", "lang", windows.alias("t")).orderBy("doc_id", "t").limit(2 * per_language * len(n)).collect()
+    return [t.encode() for r in rows for t in r["t"]], [r["lang"] for r in rows for _ in r["t"]]
 
 
 def pooled(model: Model, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -197,7 +201,7 @@ def identified(docs: DataFrame, model: Model | None) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(names, pa.string()), pa.array(scores)], ["doc_id", "held_out", "lang_pred", "score"])
 
     rows = docs.select("doc_id", (crc_mod(F.col("doc_id"), 5) == 0).alias("held_out"), F.coalesce("text", F.lit("")).alias("text"))
-    return rows.mapInArrow(each, f"doc_id {kind}, held_out boolean, lang_pred string, score double")
+    return rows.mapInArrow(trimmed(each), f"doc_id {kind}, held_out boolean, lang_pred string, score double")
 
 
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from manyways.llm.common import table
+from manyways.llm.common import table, trimmed
 from manyways.llm.progressive import decode_coefficients, encode, pixels
 
 UNIT = 64
@@ -55,7 +55,8 @@ def groups(sizes: list[int], most: int = TOGETHER):
 
 
 def images(files: DataFrame, column: str = "media") -> DataFrame:
-    """files with height, width and rgb (the tensor's bytes, row by row, three a pixel). Null or undecodable media give nulls there."""
+    """files with height, width and rgb (the tensor's bytes, row by row, three a pixel); columns of these names are replaced. Null or
+    undecodable media give nulls there."""
 
     def read(batches):
         for batch in batches:
@@ -71,8 +72,9 @@ def images(files: DataFrame, column: str = "media") -> DataFrame:
             extra = [pa.array([o[i] for o in out], k) for i, k in enumerate((pa.int32(), pa.int32(), pa.binary()))]
             yield pa.RecordBatch.from_arrays([*batch.columns, *extra], [*batch.schema.names, "height", "width", "rgb"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in files.schema)
-    return files.drop("height", "width", "rgb").mapInArrow(read, schema + ", height int, width int, rgb binary")
+    kept = files.drop("height", "width", "rgb")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
+    return kept.mapInArrow(trimmed(read), schema + ", height int, width int, rgb binary")
 
 
 def stored(docs: DataFrame, keep_media: bool = False) -> DataFrame:
@@ -100,7 +102,7 @@ def stored(docs: DataFrame, keep_media: bool = False) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*out, pa.array(files, pa.binary())] if keep_media else out, [*names, "media"] if keep_media else names)
 
     schema = f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("payload")).mapInArrow(each, schema + ", media binary" * keep_media)
+    return docs.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("payload")).mapInArrow(trimmed(each), schema + ", media binary" * keep_media)
 
 
 def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import heapq
+import itertools
 import math
 import re
 import zlib
@@ -13,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from manyways.llm.common import table, written
+from manyways.llm.common import table, trimmed, written
 
 KINDS = ("assign", "access", "hex", "grammar")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -30,7 +32,7 @@ RATIO = 0.2
 MARGIN = 0.05
 MISSED = 0.1
 KNOWN = 200_000
-LONGEST = 64
+PIECE = 64
 #: Kinds of characters, each with how many characters it holds.
 CLASSES = {"0": 10, "a": 6, "g": 20, "A": 6, "G": 20} | dict.fromkeys(EDGE, 1)
 _TO = str.maketrans({c: "0" for c in "0123456789"} | {c: "a" for c in "abcdef"} | {c: "g" for c in "ghijklmnopqrstuvwxyz"} | {c: "A" for c in "ABCDEF"} | {c: "G" for c in "GHIJKLMNOPQRSTUVWXYZ"})
@@ -50,11 +52,13 @@ def base(text: str) -> list[tuple[int, int, str]]:
 
 def candidates(text: str, spans: list[tuple[int, int, str]]) -> Iterator[tuple[int, int]]:
     """Runs of credential characters outside the spans that are SHORTEST characters or more."""
+    starts, reach = [s for s, _, _ in spans], [*itertools.accumulate((e for _, _, e in spans), max)]
     for m in CANDIDATE.finditer(text):
         w, start, end = m.group(), m.start(), m.end()
         if w[0] in EDGE or w[-1] in EDGE:
             start, end = start + len(w) - len(w.lstrip(EDGE)), end - len(w) + len(w.rstrip(EDGE))
-        if end - start < SHORTEST or spans and any(s < end and start < e for s, _, e in spans):
+        before = bisect.bisect_left(starts, end)  # spans that begin before the run's end
+        if end - start < SHORTEST or before and reach[before - 1] > start:
             continue
         yield start, end
 
@@ -175,7 +179,8 @@ class Grammar:
 
     @staticmethod
     def _fit(words: list[str]) -> Automaton:
-        return Automaton([w[:LONGEST] for w in words])
+        """From whole words, the long ones in pieces of PIECE characters: an automaton's tree stays as deep as those."""
+        return Automaton([w[i : i + PIECE] for w in words for i in range(0, len(w), PIECE)])
 
     def _held_out(self, credentials: list[str], others: list[str]) -> tuple[list[float], list[float]]:
         good, bad = [0.0] * len(credentials), [0.0] * len(others)
@@ -229,7 +234,7 @@ def labelled(docs: DataFrame, sample: int = SAMPLE) -> tuple[list[str], list[str
             rows = [x for kind in range(-1, 3) for x in heapq.nsmallest(sample, (x for x in order if x[0] == kind))]  # no others can be among the least
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.string())], ["kind", "hash", "word"])
 
-    found = written(docs.select("text").mapInArrow(find, "kind int, hash long, word string").distinct(), "candidates")
+    found = written(docs.select("text").mapInArrow(trimmed(find), "kind int, hash long, word string").distinct(), "candidates")
     pick = lambda kind: [r["word"] for r in found.filter(F.col("kind") == kind).orderBy("hash", "word").limit(sample).collect()]
     good = pick(-1)
     known = {*good}
@@ -262,7 +267,7 @@ def find_secrets(docs: DataFrame, grammar: Grammar | None) -> DataFrame:
             kinds = [pa.int64()] * 3 + [pa.string()] * 2 + [pa.int64()]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_grammar"])
 
-    return docs.select("doc_id", "text").mapInArrow(look, f"doc_id {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_grammar long")
+    return docs.select("doc_id", "text").mapInArrow(trimmed(look), f"doc_id {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_grammar long")
 
 
 def covered(text: str, grammar: Grammar | None, mark: str = "[SECRET]") -> str:
@@ -289,7 +294,7 @@ def redact(docs: DataFrame, grammar: Grammar | None) -> DataFrame:
             texts = [t if t is None else covered(t, grammar) for t in batch.column(at).to_pylist()]
             yield batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
 
-    out = docs.mapInArrow(clean, docs.schema)
+    out = docs.mapInArrow(trimmed(clean), docs.schema)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.coalesce(F.length("text").cast(docs.schema["n_chars"].dataType), F.col("n_chars")))
     return out
