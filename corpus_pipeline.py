@@ -12,7 +12,7 @@ from manyways.llm.common import table, written
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of predicted quality 1; the labels come from the labels table."""
     model = quality.learn(docs, table(spark, sf_dir, "labels"))
-    return quality.scored(docs, model).filter("score >= 0.7").select(*docs.columns)
+    return quality.scored(docs, model, "_quality").filter("_quality >= 0.7").select(*docs.columns)
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
