@@ -12,9 +12,9 @@ CONTESTED = 3.0
 
 
 def modal(choice: DataFrame) -> DataFrame:
-    """fork, run, option: each run's one vote at a fork, its most frequent option; ties go to the first by name."""
-    per = choice.groupBy("fork", "run", "option").agg(F.count("*").alias("n"))
-    return per.groupBy("fork", "run").agg(F.min(F.struct((-F.col("n")).alias("m"), "option"))["option"].alias("option"))
+    """fork, run, option: each run's one vote at a fork, its most frequent option; ties go to the one that the run shows first."""
+    per = choice.groupBy("fork", "run", "option").agg(F.count("*").alias("n"), F.min(F.struct("line", "did")).alias("seen"))
+    return per.groupBy("fork", "run").agg(F.min(F.struct((-F.col("n")).alias("m"), "seen", "option"))["option"].alias("option"))
 
 
 def votes(choice: DataFrame) -> DataFrame:
@@ -110,8 +110,11 @@ def positions(choice: DataFrame) -> DataFrame:
     """fork, runs, options, position: the upper median of each decision's relative place in its run."""
     length = Window.partitionBy("run")
     p = choice.withColumn("p", F.col("line") / F.max("line").over(length))
-    per = p.groupBy("fork").agg(F.countDistinct("run").alias("runs"), F.countDistinct("option").alias("options"), F.array_sort(F.collect_list("p")).alias("ps"))
-    return per.select("fork", "runs", "options", F.round(F.element_at("ps", F.floor(F.size("ps") / 2).cast("int") + 1), 6).alias("position"))
+    per = p.groupBy("fork").agg(F.countDistinct("run").alias("runs"), F.countDistinct("option").alias("options"), F.count("*").alias("n"))
+    same = p.groupBy("fork", "p").agg(F.count("*").alias("k"))  # equal places add up before they are ordered
+    up_to = F.sum("k").over(Window.partitionBy("fork").orderBy("p").rowsBetween(Window.unboundedPreceding, 0))
+    middle = same.withColumn("up_to", up_to).join(per.select("fork", "n"), "fork").filter(F.col("up_to") > F.floor(F.col("n") / 2)).groupBy("fork").agg(F.min("p").alias("p"))
+    return per.join(middle, "fork").select("fork", "runs", "options", F.round("p", 6).alias("position"))
 
 
 def node_classes(choice: DataFrame) -> DataFrame:
@@ -158,11 +161,46 @@ def vocabulary_report(choice: DataFrame) -> DataFrame:
 
 
 def atlas(choice: DataFrame) -> DataFrame:
-    """Per measurable fork: statistics, position and quadrant (live, convention, contested, idiosyncratic)."""
+    """Per measurable fork: statistics, options of one run, position and quadrant: live (faced by half of the runs, settled by none),
+    convention (faced by half, settled), idiosyncratic (faced by fewer, settled by none), rare and settled."""
     s = fork_stats(choice).filter(F.col("reach") >= LEAST_RUNS).join(positions(choice).select("fork", "position"), "fork")
+    single = option_runs(choice).groupBy("fork").agg(F.sum((F.col("c") == 1).cast("long")).alias("singletons"))
     wide, split = F.col("coverage") >= 0.5, F.col("eff_reached") >= CONTESTED
-    quadrant = F.when(wide & split, "live").when(wide, "convention").when(split, "contested").otherwise("idiosyncratic")
-    return s.select("fork", "coverage", "eff_reached", "modal_share", "position", quadrant.alias("quadrant"))
+    quadrant = F.when(wide & split, "live").when(wide, "convention").when(split, "idiosyncratic").otherwise("rare and settled")
+    return s.join(single, "fork").select("fork", "coverage", "eff_reached", "modal_share", "singletons", "position", quadrant.alias("quadrant"))
+
+
+def stage_medians(choice: DataFrame, stages: DataFrame) -> DataFrame:
+    """Per stage (stages: fork, stage; modeling where none is known): measurable forks, the upper median and the largest of their
+    effective options."""
+    s = with_stage(fork_stats(choice).filter(F.col("reach") >= LEAST_RUNS), stages)
+    rank = F.row_number().over(Window.partitionBy("stage").orderBy("eff_reached", "fork")) - 1
+    n = F.count("*").over(Window.partitionBy("stage"))
+    t = s.select("stage", "eff_reached", (rank == F.floor(n / 2)).alias("middle"))
+    return t.groupBy("stage").agg(F.count("*").alias("forks"), F.max(F.when(F.col("middle"), F.col("eff_reached"))).alias("median"), F.max("eff_reached").alias("largest"))
+
+
+def with_stage(forks: DataFrame, stages: DataFrame) -> DataFrame:
+    """forks with the stage that a verdict gives them, modeling without one."""
+    return forks.join(stages.groupBy("fork").agg(F.min("stage").alias("stage")), "fork", "left").withColumn("stage", F.coalesce("stage", F.lit("modeling")))
+
+
+def merged_positions(choice: DataFrame, heads: DataFrame) -> DataFrame:
+    """Of forks that verdicts (fork, head) make one: the mean of the members' positions, weighted by their runs."""
+    p = positions(choice).join(heads, "fork")
+    return p.groupBy("head").agg(F.count("*").alias("forks"), F.round(F.sum(F.col("position") * F.col("runs")) / F.sum("runs"), 6).alias("position"))
+
+
+def fork_sizes(choice: DataFrame, silent: DataFrame) -> DataFrame:
+    """Per fork: options, decisions, and how many of these (silent: did) no prose mentions."""
+    c = choice.join(silent.select("did", F.lit(1).alias("quiet")).distinct(), "did", "left")
+    return c.groupBy("fork").agg(F.countDistinct("option").alias("options"), F.count("*").alias("decisions"), F.count("quiet").alias("silent"))
+
+
+def typology(items: DataFrame, category: str, arm: str, arms: list[str]) -> DataFrame:
+    """Categories by arms: how many items."""
+    out = items.groupBy(category).pivot(arm, arms).count()
+    return out.select(category, *[F.coalesce(F.col(f"`{a}`"), F.lit(0)).alias(a) for a in arms])
 
 
 def notable(choice: DataFrame, k: int = 6) -> DataFrame:

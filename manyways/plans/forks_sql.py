@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from manyways.model import CHOICE_SQL, Query, on_orders, orders_choice
+from manyways.model import CHOICE_SQL, Query, on_events, on_orders, orders_choice
 from manyways.operators import forks
 
-STATS = """, picks AS (SELECT fork, run, option, count(*) n FROM choice GROUP BY ALL),
-modal AS (SELECT fork, run, option FROM (SELECT *, row_number() OVER (PARTITION BY fork, run ORDER BY n DESC, option) rn FROM picks) WHERE rn = 1),
+STATS = """, picks AS (SELECT fork, run, option, count(*) n, min(line) seen FROM choice GROUP BY ALL),
+modal AS (SELECT fork, run, option FROM (SELECT *, row_number() OVER (PARTITION BY fork, run ORDER BY n DESC, seen) rn FROM picks) WHERE rn = 1),
 votes AS (SELECT fork, option, count(*) c FROM modal GROUP BY ALL),
 total AS (SELECT count(DISTINCT run) n FROM choice),
 stats AS (
@@ -27,6 +27,21 @@ scores AS (SELECT p.run, p.arm, p.decisions, COALESCE(k, 0) novel, round(COALESC
   FROM (SELECT run, any_value(arm) arm, count(*) decisions FROM choice GROUP BY run) p LEFT JOIN held USING (run))
 """
 
+STAGE_SQL = """st AS (SELECT fork, CASE WHEN fork LIKE '%TIN%' THEN 'data' WHEN fork LIKE '%NICKEL%' THEN 'transformation' WHEN fork LIKE '%BRASS%' THEN 'inference' END stage FROM (SELECT DISTINCT fork FROM choice) WHERE fork LIKE '%TIN%' OR fork LIKE '%NICKEL%' OR fork LIKE '%BRASS%')"""
+
+
+def stages(spark, sf_dir):
+    """Stages of forks by a word of their names; others have none."""
+    f = orders_choice(spark, sf_dir).select("fork").distinct()
+    stage = F.when(F.col("fork").contains("TIN"), "data").when(F.col("fork").contains("NICKEL"), "transformation").when(F.col("fork").contains("BRASS"), "inference")
+    return f.withColumn("stage", stage).dropna()
+
+
+def types(spark, sf_dir):
+    """Forks and the part type that heads them."""
+    return orders_choice(spark, sf_dir).select("fork", F.substring_index("fork", "/", 1).alias("head")).distinct()
+
+
 QUERIES = {
     "a1_fork_stats": on_orders(forks.fork_stats, STATS + "SELECT * FROM stats"),
     "p5_pivotal": on_orders(forks.pivotal, STATS + "SELECT * FROM stats WHERE reach >= 10 AND eff_all > 1.5"),
@@ -37,7 +52,7 @@ QUERIES = {
         FROM option_runs JOIN reach USING (fork) WHERE runs >= 10 GROUP BY fork"""),
     "a3_spectrum": on_orders(forks.spectrum, STATS + "SELECT c k, count(*) options FROM option_runs GROUP BY c"),
     "a4_provenance_delta": on_orders(forks.provenance_delta, """, c2 AS (SELECT 'all' which, * FROM choice UNION ALL SELECT 'without' which, * FROM choice WHERE arm <> 'BUILDING'),
-        picks AS (SELECT which, fork, run, option, count(*) n FROM c2 GROUP BY ALL), modal AS (SELECT which, fork, run, option FROM (SELECT *, row_number() OVER (PARTITION BY which, fork, run ORDER BY n DESC, option) rn FROM picks) WHERE rn = 1),
+        picks AS (SELECT which, fork, run, option, count(*) n, min(line) seen FROM c2 GROUP BY ALL), modal AS (SELECT which, fork, run, option FROM (SELECT *, row_number() OVER (PARTITION BY which, fork, run ORDER BY n DESC, seen) rn FROM picks) WHERE rn = 1),
         votes AS (SELECT which, fork, option, count(*) c FROM modal GROUP BY ALL), per AS (SELECT which, fork, sum(c) reach, round(max(c) / sum(c), 6) m, round(sum(c) * sum(c) / sum(c * c), 6) e FROM votes GROUP BY ALL)
         SELECT which, count(*) forks, round(avg(m), 6) modal_share, round(avg(e), 6) eff_reached FROM per WHERE reach >= 10 GROUP BY which""", "BUILDING"),
     "a5_arm_richness": on_orders(forks.arm_richness, """, per AS (SELECT fork, option, arm, count(DISTINCT run) c FROM choice GROUP BY ALL), every AS (SELECT fork, option, count(*) arms, sum(c) total FROM per GROUP BY ALL)
@@ -48,8 +63,8 @@ QUERIES = {
         count(*) FILTER (reach >= 10 AND eff_reached >= 3) contested, count(*) FILTER (coverage >= 0.6) universal, (SELECT count(*) FROM option_runs WHERE c = 1) singles FROM stats"""),
     "a8_flipped": Query(
         lambda spark, d: forks.flipped(orders_choice(spark, d).withColumn("option", F.substring("option", 1, 7)), orders_choice(spark, d)),
-        f"""WITH {CHOICE_SQL}, two AS (SELECT 'a' w, fork, run, substr(option, 1, 7) option FROM choice UNION ALL SELECT 'b' w, fork, run, option FROM choice),
-        picks AS (SELECT w, fork, run, option, count(*) n FROM two GROUP BY ALL), modal AS (SELECT w, fork, run, option FROM (SELECT *, row_number() OVER (PARTITION BY w, fork, run ORDER BY n DESC, option) rn FROM picks) WHERE rn = 1),
+        f"""WITH {CHOICE_SQL}, two AS (SELECT 'a' w, fork, run, line, substr(option, 1, 7) option FROM choice UNION ALL SELECT 'b' w, fork, run, line, option FROM choice),
+        picks AS (SELECT w, fork, run, option, count(*) n, min(line) seen FROM two GROUP BY ALL), modal AS (SELECT w, fork, run, option FROM (SELECT *, row_number() OVER (PARTITION BY w, fork, run ORDER BY n DESC, seen) rn FROM picks) WHERE rn = 1),
         votes AS (SELECT w, fork, option, count(*) c FROM modal GROUP BY ALL), per AS (SELECT w, fork, sum(c) reach, round(max(c) / sum(c), 6) m FROM votes GROUP BY ALL)
         SELECT x.fork, x.m AS before, y.m AS after FROM per x JOIN per y USING (fork) WHERE x.w = 'a' AND y.w = 'b' AND x.reach >= 10 AND y.reach >= 10 AND (x.m >= 0.8) <> (y.m >= 0.8)""",
     ),
@@ -63,7 +78,13 @@ QUERIES = {
     "a14_arm_novelty": on_orders(forks.arm_novelty, STATS + NOVEL + "SELECT arm, count(*) runs, sum(novel)::BIGINT novel, round(sum(novel) / sum(decisions), 6) rate FROM scores GROUP BY arm"),
     "a14_fork_novelty": on_orders(forks.fork_novelty, STATS + "SELECT fork, count(*) FILTER (c = 1) novel, count(*) options, round(count(*) FILTER (c = 1) / count(*), 6) share FROM option_runs JOIN reach USING (fork) WHERE runs >= 10 GROUP BY fork"),
     "a22_vocabulary_report": on_orders(forks.vocabulary_report, STATS + "SELECT fork, decisions, top_share, singleton_rate, runs FROM (SELECT fork, sum(n)::BIGINT decisions, round(max(n) / sum(n), 6) top_share, round(avg((n = 1)::INT), 6) singleton_rate FROM (SELECT fork, option, count(*) n FROM choice GROUP BY ALL) GROUP BY fork) JOIN reach USING (fork)"),
-    "a46_atlas": on_orders(forks.atlas, STATS + POSITION + "SELECT fork, coverage, eff_reached, modal_share, position, CASE WHEN coverage >= 0.5 AND eff_reached >= 3 THEN 'live' WHEN coverage >= 0.5 THEN 'convention' WHEN eff_reached >= 3 THEN 'contested' ELSE 'idiosyncratic' END quadrant FROM stats JOIN position USING (fork) WHERE reach >= 10"),
+    "a46_atlas": on_orders(forks.atlas, STATS + POSITION + "SELECT fork, coverage, eff_reached, modal_share, (SELECT count(*) FROM option_runs o WHERE o.fork = stats.fork AND c = 1) singletons, position, CASE WHEN coverage >= 0.5 AND eff_reached >= 3 THEN 'live' WHEN coverage >= 0.5 THEN 'convention' WHEN eff_reached >= 3 THEN 'idiosyncratic' ELSE 'rare and settled' END quadrant FROM stats JOIN position USING (fork) WHERE reach >= 10"),
+    "a46_atlas_by_event": on_events(forks.atlas, STATS + POSITION + "SELECT fork, coverage, eff_reached, modal_share, (SELECT count(*) FROM option_runs o WHERE o.fork = stats.fork AND c = 1) singletons, position, CASE WHEN coverage >= 0.5 AND eff_reached >= 3 THEN 'live' WHEN coverage >= 0.5 THEN 'convention' WHEN eff_reached >= 3 THEN 'idiosyncratic' ELSE 'rare and settled' END quadrant FROM stats JOIN position USING (fork) WHERE reach >= 10"),
+    "x4_stage_medians": Query(lambda s, d: forks.stage_medians(orders_choice(s, d), stages(s, d)), f"WITH {CHOICE_SQL}{STATS}, {STAGE_SQL}, t AS (SELECT COALESCE(stage, 'modeling') stage, eff_reached FROM stats LEFT JOIN st USING (fork) WHERE reach >= 10) SELECT stage, count(*) forks, list_sort(list(eff_reached))[(floor(count(*) / 2) + 1)::INT] AS median, max(eff_reached) largest FROM t GROUP BY stage"),
+    "x29_stages": Query(lambda s, d: forks.with_stage(forks.reach(orders_choice(s, d)), stages(s, d)), f"WITH {CHOICE_SQL}{STATS}, {STAGE_SQL} SELECT fork, runs, COALESCE(stage, 'modeling') stage FROM reach LEFT JOIN st USING (fork)"),
+    "a10_merged_positions": Query(lambda s, d: forks.merged_positions(orders_choice(s, d), types(s, d)), f"""WITH {CHOICE_SQL}{POSITION}, per AS (SELECT fork, count(DISTINCT run) runs FROM choice GROUP BY fork) SELECT split_part(fork, '/', 1) head, count(*) forks, round(sum(position * runs) / sum(runs), 6) AS position FROM position JOIN per USING (fork) GROUP BY 1"""),
+    "a45_fork_sizes": Query(lambda s, d: forks.fork_sizes(orders_choice(s, d), orders_choice(s, d).filter("did % 5 = 0").select("did")), f"WITH {CHOICE_SQL} SELECT fork, count(DISTINCT option) options, count(*) decisions, count(*) FILTER (did % 5 = 0) silent FROM choice GROUP BY fork"),
+    "a25_typology": on_orders(lambda c: forks.typology(c.select("option", "arm"), "option", "arm", ["AUTOMOBILE", "BUILDING", "MACHINERY"]), " SELECT option, count(*) FILTER (arm = 'AUTOMOBILE') AUTOMOBILE, count(*) FILTER (arm = 'BUILDING') BUILDING, count(*) FILTER (arm = 'MACHINERY') MACHINERY FROM choice GROUP BY option"),
     "x5_notable": on_orders(forks.notable, STATS + "SELECT fork, round(eff_reached * coverage, 6) weight FROM stats ORDER BY 2 DESC, 1 LIMIT 6"),
     "k2_contested": on_orders(forks.contested, STATS + "SELECT fork, modal_share, reach FROM stats WHERE reach >= 10 ORDER BY modal_share, fork LIMIT 12"),
     "k2_settled": on_orders(forks.contested, STATS + "SELECT fork, modal_share, reach FROM stats WHERE reach >= 10 ORDER BY modal_share DESC, fork LIMIT 8", 8, settled=True),
