@@ -22,7 +22,7 @@ def grams(text: Column, n: int = 3) -> Column:
     """Distinct character n-grams of the text with white space made single."""
     t = F.trim(F.regexp_replace(F.lower(text), r"\s+", " "))
     every = F.transform(F.sequence(F.lit(1), F.greatest(F.length(t) - n + 1, F.lit(1))), lambda i: F.substring(t, i, F.lit(n)))
-    return F.array_distinct(every)
+    return F.when(F.length(t) >= n, F.array_distinct(every)).otherwise(F.array().cast("array<string>"))
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -47,13 +47,19 @@ SUFFIXES = ("avg", "mean", "cat", "bin", "std", "log", "col", "var", "idx")
 
 
 def norm_target(name: Column) -> Column:
-    """A variable's name without marks and case, then without these prefixes and suffixes where three letters or more are left."""
+    """A variable's name without marks and case, then without these prefixes and suffixes where three letters or more are left; `unknown`
+    if nothing is left."""
     out = F.regexp_replace(F.lower(name), "[^a-z0-9]", "")
     for p in PREFIXES:
         out = F.regexp_replace(out, f"^{p}(?=.{{3}})", "")
     for s in SUFFIXES:
         out = F.regexp_replace(out, f"^(.{{3,}}){s}$", "$1")
-    return out
+    return F.when(out == "", "unknown").otherwise(out)
+
+
+def tag_norm(tag: Column) -> Column:
+    """A rationale tag in lower case, with letters, digits and single spaces only."""
+    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(tag), "[^a-z0-9 ]", " "), r"\s+", " "))
 
 
 def fork_handle(fork: Column) -> Column:
@@ -64,24 +70,74 @@ def option_handle(fork: Column, option: Column) -> Column:
     return F.concat(F.lit("option:"), F.substring(F.sha1(F.concat(fork, F.lit("|"), option).cast("binary")), 1, 8))
 
 
+#: Fixed patterns: what negates an action, joins clauses, lists choices or concedes agreement; comparison words and descriptive contexts.
+NEGATION = r"\b(?:do|does|did|is|are|was|were|has|have|had|can|could|would|should)\s+not\b|\bnot\s+(?:be|been|being|applied|used|performed|adjusted|clustered)\b|\bnever\b|\bwithout\s+\w+ing\b|n't\b"
+CLAUSE = r"(\b(?:and|then|while|after|before)\b|[,;]|\bwith\b)"
+DISJUNCTION = r"\s/\s|\bor\b|\([^)]*/[^)]*\)"
+CONCESSION = r"(?<!in)\bconsistent\b|\baligned?\b|\bmatch(?:es|ing)?\b|\bthe same\b|\bno (?:material )?(?:difference|discrepancy|disagreement)\b|\bagree(?:s|ment)?\b"
+COMPARISON = r"(>=|<=|>|<|=|at|above|below|cutoff|cut-off|threshold|thresholded)\s*(\d+(?:\.\d+)?)"
+DESCRIPTIVE = r"(?i)\b(?:95|99|90)\s*%|\b1\.96\b|\bp\s*<\s*0?\.0\d\b|\balpha\b|\bn\s*=\s*\d|\bsample size\b|\bcount(?:s)? of\b"
+
+
 def negated(text: Column) -> Column:
-    return F.lower(text).rlike(r"\b(not|no|never|without|none|exclude[sd]?|drop(s|ped)?|skip(s|ped)?)\b")
+    """Whether the text negates its own action; leaving something out is an action."""
+    return F.lower(text).rlike(NEGATION)
 
 
 def clauses(text: Column) -> Column:
-    """One more than the number of places at which a statement goes on to another action."""
-    return F.regexp_count(F.lower(text), F.lit(r"(;| and then | then |, and )")) + 1
+    """One more than the number of places at which a label goes on; three or more make it compound."""
+    return F.regexp_count(text, F.lit(CLAUSE)) + 1
+
+
+def disjunctive(text: Column) -> Column:
+    """Whether a label lists several choices."""
+    return text.rlike(DISJUNCTION)
+
+
+def concedes(note: Column) -> Column:
+    """Whether a note on a disagreement says that the two agree."""
+    return F.lower(note).rlike(CONCESSION)
 
 
 def thresholds(text: Column) -> Column:
-    """Sorted distinct cut-offs of a condition, as lower ends of whole numbers: `> v` is v + 1, `< v` is v - 1. Confidence levels and
-    quantiles (a percent sign, `ci`, `quantile` or `sd` near a number) don't count."""
-    plain = F.regexp_replace(F.lower(text), r"[0-9.]+\s*%|(ci|quantile|percentile|sd|se)[^0-9]{0,12}[0-9.]+", " ")
-    found = F.regexp_extract_all(plain, F.lit(r"((?:>=|<=|==|>|<|=)\s*-?[0-9]+(?:\.[0-9]+)?)"))
-    number = lambda m: F.regexp_extract(m, r"(-?[0-9]+(?:\.[0-9]+)?)", 1).cast("double")
-    whole = lambda m: number(m) == F.floor(number(m))
-    value = lambda m: F.when(m.rlike("^>[^=]") & whole(m), number(m) + 1).when(m.rlike("^<[^=]") & whole(m), number(m) - 1).otherwise(number(m))
-    return F.array_sort(F.array_distinct(F.transform(found, value)))
+    """Sorted distinct cut-offs: numbers behind a comparison, unless the 24 characters before to the 8 behind describe (confidence levels,
+    sample sizes, counts). On whole numbers `> v` is v + 1 and `< v` is v - 1."""
+    pattern = F.lit(rf"(?i)(?<=((?s:^.{{0,24}}|.{{24}}))){COMPARISON}(?=((?s:.{{0,8}})))")
+    part = lambda i: F.regexp_extract_all(text, pattern, F.lit(i))
+    found = F.arrays_zip(part(1).alias("before"), part(0).alias("own"), part(2).alias("op"), part(3).alias("number"), part(4).alias("behind"))
+    chosen = F.filter(found, lambda m: ~F.concat(m["before"], m["own"], m["behind"]).rlike(DESCRIPTIVE))
+
+    def value(m: Column) -> Column:
+        v = m["number"].cast("double")
+        whole = v == F.floor(v)
+        return F.when(whole & (m["op"] == ">"), v + 1).when(whole & (m["op"] == "<"), v - 1).otherwise(v)
+
+    return F.array_sort(F.array_distinct(F.transform(chosen, value)))
+
+
+def idf(n: Column, df: Column, kind: str) -> Column:
+    """A word's weight among n items of which df have it: binary, ln(n/df), ln(1 + n/df) or 1/df."""
+    return {"binary": F.lit(1.0), "idf": F.ln(n / df), "smooth": F.ln(1 + n / df), "inverse": 1 / df}[kind]
+
+
+def clipped(text: Column, width: int) -> Column:
+    """The text, or as many whole words of it as fit, with an ellipsis."""
+    cut = F.regexp_replace(F.substring(text, 1, width), r"\s+\S*$", "")
+    return F.when(F.length(text) <= width, text).otherwise(F.concat(cut, F.lit("…")))
+
+
+def answers(sheet: Column) -> Column:
+    """Number -> answer of a sheet whose lines read `12. answer: same` (or with a bold number)."""
+    numbers = F.regexp_extract_all(sheet, F.lit(r"(?m)^\**(\d+)[.)]\**\s*answer:\s*(\w+)"), F.lit(1))
+    return F.map_from_arrays(numbers, F.regexp_extract_all(sheet, F.lit(r"(?m)^\**(\d+)[.)]\**\s*answer:\s*(\w+)"), F.lit(2)))
+
+
+def has_keys(json: Column, keys: list[str]) -> Column:
+    """Whether a JSON object's text has all keys, none of them null."""
+    out = F.lit(True)
+    for k in keys:
+        out = out & F.get_json_object(json, f"$.{k}").isNotNull()
+    return F.coalesce(out, F.lit(False))
 
 
 def json_object(text: Column) -> Column:

@@ -18,13 +18,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def orders_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers are runs, market segments arms, kinds of part forks, brands options."""
-    line = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber", "l_shipdate")
+    line = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_shipdate")
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     customer = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
     part = table(spark, sf_dir, "part").select("p_partkey", "p_type", "p_size", "p_brand")
     fork = F.when(F.col("p_size") <= 20, F.col("p_type")).otherwise(F.concat("p_type", F.lit("/"), F.col("p_size").cast("string")))
     joined = line.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(part, F.col("l_partkey") == F.col("p_partkey")).join(customer, F.col("o_custkey") == F.col("c_custkey"))
-    place = Window.partitionBy("o_custkey").orderBy("l_shipdate", "l_orderkey", "l_linenumber")
+    place = Window.partitionBy("o_custkey").orderBy("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
     return joined.select(
         (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("did"), F.col("o_custkey").alias("run"), F.col("c_mktsegment").alias("arm"),
         F.row_number().over(place).cast("long").alias("line"), fork.alias("fork"), F.col("p_brand").alias("option"),
@@ -47,7 +47,7 @@ def events_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 CHOICE_SQL = """choice AS (
   SELECT l_orderkey * 10 + l_linenumber AS did, o_custkey AS run, c_mktsegment AS arm,
-    row_number() OVER (PARTITION BY o_custkey ORDER BY l_shipdate, l_orderkey, l_linenumber) AS line,
+    row_number() OVER (PARTITION BY o_custkey ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey, l_suppkey) AS line,
     CASE WHEN p_size <= 20 THEN p_type ELSE p_type || '/' || p_size::VARCHAR END AS fork, p_brand AS option
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey JOIN customer ON o_custkey = c_custkey)"""
 

@@ -11,10 +11,14 @@ from pyspark.sql import functions as F
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df with its lineage cut in the shared folder spark.checkpoint.dir; a temporary one only where that is unset."""
+    """df with its lineage cut in the shared folder spark.checkpoint.dir. Only a session that is one machine gets a temporary one where
+    that is unset."""
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="manyways-"))
+        found = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not found and not context.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(found or tempfile.mkdtemp(prefix="manyways-"))
     return df.checkpoint()
 
 
@@ -81,13 +85,17 @@ def fold(options: DataFrame) -> DataFrame:
 
 
 def threshold_split(members: DataFrame) -> DataFrame:
-    """oid, did, values (sorted cut-offs) -> part: members with one set of values stand together; a set within exactly one larger one
-    joins it; members without values join the option's most frequent set."""
+    """oid, did, values (sorted cut-offs) -> part: members with one set of values stand together; a set within larger ones that are in
+    none themselves joins the first of these, the largest, then the least; members without values then join the option's
+    most frequent part (the first of equals in that order)."""
     sets = members.filter(F.size("values") > 0).groupBy("oid", "values").agg(F.count("*").alias("n"))
     a, b = sets.select("oid", F.col("values").alias("v")), sets.select("oid", F.col("values").alias("w"))
-    larger = a.join(b, "oid").filter((F.size("v") < F.size("w")) & (F.size(F.array_except("v", "w")) == 0)).groupBy("oid", "v").agg(F.count("*").alias("k"), F.min("w").alias("w"))
-    target = a.join(larger.filter("k = 1"), ["oid", "v"], "left").select("oid", F.col("v").alias("values"), F.coalesce("w", "v").alias("part"))
-    main = sets.groupBy("oid").agg(F.max(F.struct("n", "values"))["values"].alias("main"))
+    within = a.join(b, "oid").filter((F.size("v") < F.size("w")) & (F.size(F.array_except("v", "w")) == 0))
+    hosts = b.join(within.select("oid", F.col("v").alias("w")).distinct(), ["oid", "w"], "left_anti")
+    first = within.join(hosts, ["oid", "w"]).groupBy("oid", "v").agg(F.min(F.struct((-F.size("w")).alias("s"), "w"))["w"].alias("w"))
+    target = a.join(first, ["oid", "v"], "left").select("oid", F.col("v").alias("values"), F.coalesce("w", "v").alias("part"))
+    sizes = sets.join(target, ["oid", "values"]).groupBy("oid", "part").agg(F.sum("n").alias("n"))
+    main = sizes.groupBy("oid").agg(F.min(F.struct((-F.col("n")).alias("m"), (-F.size("part")).alias("s"), "part"))["part"].alias("main"))
     out = members.join(target, ["oid", "values"], "left").join(main, "oid", "left")
     return out.select("oid", "did", F.coalesce("part", "main", F.array().cast("array<double>")).alias("part"))
 

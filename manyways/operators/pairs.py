@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from manyways.functions.stats import fisher_tail, with_log_factorials
+from manyways.functions.stats import benjamini_hochberg, fisher_tail
+from manyways.operators.cluster import cut
 from manyways.operators.forks import modal, positions
 
 
@@ -67,32 +68,49 @@ def sibling_screen(choice: DataFrame, tokens: DataFrame, most_shared: int = 1, o
     return j.filter(F.col("shared") <= most_shared).select("a", "b", "jaccard", "shared", F.round(F.col("jaccard") + F.greatest("na", "nb") / 400, 6).alias("score"))
 
 
-def gates(choice: DataFrame, least: int = 5, most_without: float = 0.06, least_with: float = 0.25) -> DataFrame:
-    """Options (of fork a) after which a later fork b is reached and without which it hardly ever is, with Fisher's one-sided p."""
-    m = modal(choice).select(F.col("fork").alias("a"), "option", "run")
-    runs = choice.select(F.col("fork").alias("b"), "run").distinct()
-    p = positions(choice).select("fork", "position")
-    chosen = m.groupBy("a", "option").agg(F.count("*").alias("n1"))
-    total = m.groupBy("a").agg(F.count("*").alias("na"))
-    hit = m.join(runs, "run").filter("a <> b").groupBy("a", "option", "b").agg(F.count("*").alias("hit"))
-    every = m.join(runs, "run").filter("a <> b").groupBy("a", "b").agg(F.count("*").alias("hits"))
-    t = hit.join(every, ["a", "b"]).join(chosen, ["a", "option"]).join(total, "a").withColumn("n0", F.col("na") - F.col("n1"))
-    t = t.join(p.select(F.col("fork").alias("a"), F.col("position").alias("pa")), "a").join(p.select(F.col("fork").alias("b"), F.col("position").alias("pb")), "b")
-    t = t.filter((F.col("n1") >= least) & (F.col("n0") >= least) & (F.col("pb") > F.col("pa")) & (F.col("hit") >= least))
-    t = t.withColumn("p0", (F.col("hits") - F.col("hit")) / F.col("n0")).withColumn("p1", F.col("hit") / F.col("n1")).filter((F.col("p0") <= most_without) & (F.col("p1") >= least_with))
-    return fisher_tail(t, "hit", "n1", "hits", "na").select("a", "option", "b", "hit", F.round("p0", 6).alias("p0"), F.round("p1", 6).alias("p1"), F.round("p", 9).alias("p"))
-
-
-def gate_funnel(choice: DataFrame, least: int = 5) -> DataFrame:
-    """How many (fork, option, later fork) triples stop at which rule first."""
-    m = modal(choice).select(F.col("fork").alias("a"), "option", "run")
-    runs = choice.select(F.col("fork").alias("b"), "run").distinct()
-    chosen, total = m.groupBy("a", "option").agg(F.count("*").alias("n1")), m.groupBy("a").agg(F.count("*").alias("na"))
-    hit = m.join(runs, "run").filter("a <> b").groupBy("a", "option", "b").agg(F.count("*").alias("hit"))
-    p = positions(choice).select("fork", "position")
-    t = hit.join(chosen, ["a", "option"]).join(total, "a").join(p.select(F.col("fork").alias("a"), F.col("position").alias("pa")), "a").join(p.select(F.col("fork").alias("b"), F.col("position").alias("pb")), "b")
-    stop = F.when(F.col("n1") < least, "few with").when(F.col("na") - F.col("n1") < least, "few without").when(F.col("pb") <= F.col("pa"), "not later").when(F.col("hit") < least, "few hits").otherwise("tested")
-    return t.groupBy(stop.alias("rule")).agg(F.count("*").alias("n"))
-
-
-__all__ = ["cooccurrence", "cramers_v", "exclusive", "gate_funnel", "gates", "jaccard", "option_clashes", "sibling_screen", "sizes", "with_log_factorials"]
+def _faced(choice: DataFrame, reach: int):
+    """Of forks with `reach` runs or more: their option sets (fork, option, run), runs, sizes and positions."""
+    d = choice.select("fork", "option", "run").distinct()
+    runs = d.select("fork", "run").distinct()
+    size = runs.groupBy("fork").agg(F.count("*").alias("na")).filter(F.col("na") >= reach).join(positions(choice).select("fork", "position"), "fork")
+    return d.join(size.select("fork"), "fork"), runs.join(size.select("fork"), "fork"), size
+
+
+def _triples(choice: DataFrame, least: int, reach: int) -> DataFrame:
+    """(a, option, later fork b) that `least` runs of the option reach, with the sizes that the rules compare. How many of a's runs reach b
+    at all is one count per pair of forks."""
+    d, runs, size = _faced(choice, reach)
+    n1 = d.groupBy("fork", "option").agg(F.count("*").alias("n1"))
+    a = size.select(F.col("fork").alias("a"), "na", F.col("position").alias("pa")).join(n1.withColumnRenamed("fork", "a"), "a")
+    a = a.filter((F.col("n1") >= least) & (F.col("na") - F.col("n1") >= least))
+    to = runs.withColumnRenamed("fork", "b")
+    hit = d.withColumnRenamed("fork", "a").join(to, "run").filter("a <> b").groupBy("a", "option", "b").agg(F.count("*").alias("hit")).filter(F.col("hit") >= least)
+    hits = cooccurrence(runs, "run", "fork").withColumnRenamed("n", "hits")
+    hits = hits.union(hits.select("b", "a", "hits"))
+    t = hit.join(a, ["a", "option"]).join(size.select(F.col("fork").alias("b"), F.col("position").alias("pb")), "b").filter(F.col("pb") > F.col("pa")).join(hits, ["a", "b"])
+    return t.withColumn("p0", (F.col("hits") - F.col("hit")) / (F.col("na") - F.col("n1"))).withColumn("p1", F.col("hit") / F.col("n1"))
+
+
+def gates(choice: DataFrame, least: int = 5, most_without: float = 0.06, least_with: float = 0.25, q: float = 0.05, reach: int = 8) -> DataFrame:
+    """Options (of fork a) after which a later fork b is reached and without which it hardly ever is: Fisher's one-sided p, up to the
+    Benjamini-Hochberg threshold over all that were tested."""
+    t = _triples(choice, least, reach).filter((F.col("p0") <= most_without) & (F.col("p1") >= least_with))
+    tested = cut(fisher_tail(t, "hit", "n1", "hits", "na"))
+    limit = benjamini_hochberg(tested, "p", q).select("threshold")
+    return tested.crossJoin(F.broadcast(limit)).filter("p <= threshold").select("a", "option", "b", "hit", F.round("p0", 6).alias("p0"), F.round("p1", 6).alias("p1"), F.round("p", 9).alias("p"))  # one row
+
+
+def gate_funnel(choice: DataFrame, least: int = 5, most_without: float = 0.06, least_with: float = 0.25, reach: int = 8) -> DataFrame:
+    """rule, n: how many options, and then (fork, option, later fork) triples, stop at which rule first. Triples that no run takes are
+    counted, not made."""
+    d, _, size = _faced(choice, reach)
+    later = Window.orderBy("position").rangeBetween(Window.unboundedPreceding, 0)  # over forks
+    size = size.withColumn("earlier", F.count("*").over(later) - 1).withColumn("forks", F.count("*").over(Window.partitionBy()) - 1)
+    o = d.groupBy("fork", "option").agg(F.count("*").alias("n1")).join(size, "fork")
+    kind = F.when(F.col("n1") < least, "option too rare").when(F.col("na") - F.col("n1") < least, "no comparison group").otherwise("not later")
+    options = o.groupBy(kind.alias("rule")).agg(F.sum(F.when(kind == "not later", F.col("earlier")).otherwise(1)).alias("n"), F.sum(F.when(kind == "not later", F.col("forks") - F.col("earlier")).otherwise(0)).alias("rest"))
+    t = _triples(choice, least, reach)
+    stop = F.when(F.col("p0") > most_without, "others reach it too").when(F.col("p1") < least_with, "most don't reach it").otherwise("tested")
+    taken = cut(t.groupBy(stop.alias("rule")).agg(F.count("*").alias("n")))
+    few = options.agg(F.sum("rest").alias("r")).crossJoin(taken.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("k"))).select(F.lit("too few runs").alias("rule"), (F.col("r") - F.col("k")).alias("n"))  # one row each
+    return options.select("rule", "n").union(taken).union(few)

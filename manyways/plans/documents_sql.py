@@ -13,7 +13,13 @@ from manyways.plans.forks_sql import STATS
 from manyways.sources import corpus
 from manyways.streaming import incremental
 
+JACCARD = "CASE WHEN len(list_distinct(list_concat({0}, {1}))) > 0 THEN len(list_intersect({0}, {1})) / len(list_distinct(list_concat({0}, {1}))) ELSE 0 END"
+GRAMS = "(CASE WHEN length({0}) >= 3 THEN list_distinct([substr({0}, i, 3) FOR i IN range(1, length({0}) - 1)]) ELSE [] END)"
 WORDS = "list_distinct(list_filter(regexp_extract_all(lower({0}), '[a-z0-9.]+'), lambda t: t NOT IN ('the', 'and', 'for', 'with', 'from', 'that', 'this', 'are', 'was')))"
+ALIKE_SQL = f"""w AS (SELECT item_id, text, {WORDS.format('text')} ws FROM benchmark), t AS (SELECT item_id, unnest(ws) x FROM w), r AS (SELECT x FROM t GROUP BY x HAVING count(*) BETWEEN 2 AND 5),
+c AS (SELECT DISTINCT a.item_id a, b.item_id b FROM t a JOIN t b ON a.x = b.x AND a.item_id < b.item_id JOIN r ON r.x = a.x), p AS (SELECT a, b, m.ws x, n.ws y, trim(regexp_replace(lower(m.text), '\\s+', ' ', 'g')) u, trim(regexp_replace(lower(n.text), '\\s+', ' ', 'g')) v FROM c JOIN w m ON m.item_id = a JOIN w n ON n.item_id = b)
+"""
+SENTENCES_SQL = """q AS (SELECT p_partkey id, ['drop the ', 'do not use the ', 'never fit the ', 'exclude no ', 'no weights for ', 'without using the '][p_partkey % 6 + 1] || p_name || [' and then log it, with care', ' or a ' || p_type, ' (one / two)', ''][p_partkey % 4 + 1] t FROM part)"""
 TURN_SQL = """turn AS (SELECT conv_id run, turn id, "role", text, lead("role") OVER (PARTITION BY conv_id ORDER BY turn, text) nxt, lead(turn) OVER (PARTITION BY conv_id ORDER BY turn, text) nt FROM conversations),
 d AS (SELECT run, id FROM turn WHERE "role" = 'user'), c AS (SELECT run, id FROM turn WHERE "role" = 'assistant'), l AS (SELECT DISTINCT run, id decision_id, nt claim_id FROM turn WHERE "role" = 'user' AND nxt = 'assistant')
 """
@@ -109,17 +115,22 @@ def checksums(spark, sf_dir):
 QUERIES = {
     "s2_lines": Query(lambda s, d: spans.lines(table(s, d, "documents")), "SELECT doc_id, i AS line, parts[i] AS content FROM (SELECT doc_id, string_split(text, chr(10)) parts, unnest(range(1, len(string_split(text, chr(10))) + 1)) i FROM documents)"),
     "f_tokens": Query(lambda s, d: table(s, d, "benchmark").select("item_id", F.explode(text.tokens(F.col("text"))).alias("token")), "SELECT item_id, t AS token FROM (SELECT item_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z]+'))) t FROM benchmark) WHERE length(t) > 2 AND t NOT IN ('the', 'and', 'for', 'with', 'from', 'that', 'this', 'are', 'was')"),
-    "f_word_jaccard": Query(lambda s, d: _pairs(s, d).select("a", "b", F.round(text.jaccard(text.words(F.col("x")), text.words(F.col("y"))), 6).alias("jaccard"), F.round(text.containment(text.words(F.col("x")), text.words(F.col("y"))), 6).alias("containment")),
-        f"""WITH p AS (SELECT a.item_id a, b.item_id b, {WORDS.format('a.text')} x, {WORDS.format('b.text')} y FROM benchmark a JOIN benchmark b ON b.item_id BETWEEN a.item_id + 1 AND a.item_id + 3)
-        SELECT a, b, round(CASE WHEN len(list_distinct(list_concat(x, y))) > 0 THEN len(list_intersect(x, y)) / len(list_distinct(list_concat(x, y))) ELSE 0 END, 6) jaccard, round(CASE WHEN least(len(x), len(y)) > 0 THEN len(list_intersect(x, y)) / least(len(x), len(y)) ELSE 0 END, 6) containment FROM p"""),
-    "f_similarity": Query(lambda s, d: _pairs(s, d).select("a", "b", F.round(text.similarity(F.substring("x", 1, 200), F.substring("y", 1, 200)), 6).alias("similarity"))),
+    "f_word_jaccard": Query(lambda s, d: _alike(s, d).select("a", "b", F.round(text.jaccard(text.words(F.col("x")), text.words(F.col("y"))), 6).alias("jaccard"), F.round(text.containment(text.words(F.col("x")), text.words(F.col("y"))), 6).alias("containment")), f"WITH {ALIKE_SQL} SELECT a, b, round({JACCARD.format('x', 'y')}, 6) jaccard, round(CASE WHEN least(len(x), len(y)) > 0 THEN len(list_intersect(x, y)) / least(len(x), len(y)) ELSE 0 END, 6) containment FROM p"),
+    "f_similarity": Query(lambda s, d: _alike(s, d).select("a", "b", F.round(text.similarity(F.col("x"), F.col("y")), 6).alias("similarity")), f"WITH {ALIKE_SQL}, g AS (SELECT *, {GRAMS.format('u')} gu, {GRAMS.format('v')} gv FROM p) SELECT a, b, round(greatest({JACCARD.format('x', 'y')}, {JACCARD.format('gu', 'gv')}), 6) similarity FROM g"),
     "f_norm_target": Query(lambda s, d: table(s, d, "part").select("p_partkey", text.norm_target(F.concat(F.lit("df_"), F.col("p_name"), F.lit("_log"))).alias("target")), """WITH n AS (SELECT p_partkey, regexp_replace(lower('df_' || p_name || '_log'), '[^a-z0-9]', '', 'g') t0 FROM part),
         a AS (SELECT p_partkey, CASE WHEN starts_with(t0, 'df') AND length(t0) > 4 THEN substr(t0, 3) ELSE t0 END t FROM n), b AS (SELECT p_partkey, CASE WHEN starts_with(t, 'data') AND length(t) > 6 THEN substr(t, 5) ELSE t END t FROM a), c AS (SELECT p_partkey, CASE WHEN starts_with(t, 'the') AND length(t) > 5 THEN substr(t, 4) ELSE t END t FROM b)
-        """ + "".join(f", s{i} AS (SELECT p_partkey, CASE WHEN ends_with(t, '{x}') AND length(t) > {len(x) + 2} THEN left(t, length(t) - {len(x)}) ELSE t END t FROM {'c' if i == 0 else f's{i - 1}'})" for i, x in enumerate(text.SUFFIXES)) + " SELECT p_partkey, t AS target FROM s8"),
+        """ + "".join(f", s{i} AS (SELECT p_partkey, CASE WHEN ends_with(t, '{x}') AND length(t) > {len(x) + 2} THEN left(t, length(t) - {len(x)}) ELSE t END t FROM {'c' if i == 0 else f's{i - 1}'})" for i, x in enumerate(text.SUFFIXES)) + " SELECT p_partkey, CASE WHEN t = '' THEN 'unknown' ELSE t END AS target FROM s8"),
     "f_handles": on_orders(lambda c: c.select("fork", "option").distinct().select(text.fork_handle(F.col("fork")).alias("fork"), text.option_handle(F.col("fork"), F.col("option")).alias("option")), " SELECT DISTINCT 'fork:' || substr(sha1(fork), 1, 8) AS fork, 'option:' || substr(sha1(fork || '|' || option), 1, 8) AS option FROM choice"),
-    "f_predicates": Query(lambda s, d: table(s, d, "benchmark").select("item_id", text.negated(F.col("text")).alias("negated"), text.clauses(F.col("text")).cast("long").alias("clauses")),
-        r"SELECT item_id, regexp_matches(lower(text), '\b(not|no|never|without|none|exclude[sd]?|drop(s|ped)?|skip(s|ped)?)\b') negated, len(regexp_extract_all(lower(text), '(;| and then | then |, and )')) + 1 AS clauses FROM benchmark"),
-    "f_thresholds": Query(lambda s, d: s.createDataFrame([(1, "age > 0"), (2, "n >= 1"), (3, "95% CI at 1.96"), (4, "x < 18 or x == 2.5")], "id int, t string").select("id", F.array_join(text.thresholds(F.col("t")).cast("array<string>"), ",").alias("slots")), "SELECT * FROM (VALUES (1, '1.0'), (2, '1.0'), (3, ''), (4, '2.5,17.0')) t(id, slots)"),
+    "f_predicates": Query(lambda s, d: sentences(s, d).select("id", text.negated(F.col("t")).alias("negated"), text.clauses(F.col("t")).cast("long").alias("clauses"), text.disjunctive(F.col("t")).alias("disjunctive")),
+        f"WITH {SENTENCES_SQL} SELECT id, id % 6 IN (1, 2, 5) negated, 1 + len(regexp_extract_all(t, '\\b(?:and|then|while|after|before)\\b|[,;]|\\bwith\\b')) clauses, regexp_matches(t, '\\s/\\s|\\bor\\b|\\([^)]*/[^)]*\\)') disjunctive FROM q"),
+    "f_concedes": Query(lambda s, d: sentences(s, d).select("id", text.concedes(F.col("note")).alias("concedes")), f"WITH {SENTENCES_SQL} SELECT id, id % 4 IN (0, 3) concedes FROM q"),
+    "f_thresholds": Query(lambda s, d: sentences(s, d).select("id", F.array_join(text.thresholds(F.col("cut")).cast("array<string>"), ",").alias("slots")), f"""WITH {SENTENCES_SQL}, v AS (SELECT id, list_sort(list_distinct([(id % 7 + CASE id % 3 WHEN 0 THEN 0 WHEN 1 THEN 1 ELSE -1 END)::DOUBLE, id % 5 + 0.5])) s FROM q)
+        SELECT id, array_to_string([x::VARCHAR FOR x IN s], ',') slots FROM v"""),
+    "f_tag_norm": Query(lambda s, d: table(s, d, "part").select("p_partkey", text.tag_norm(F.concat(F.lit(" "), F.upper("p_name"), F.lit(" - "), F.col("p_brand"))).alias("tag")), "SELECT p_partkey, trim(regexp_replace(regexp_replace(lower(p_name || ' - ' || p_brand), '[^a-z0-9 ]', ' ', 'g'), '\\s+', ' ', 'g')) tag FROM part"),
+    "f_idf": Query(lambda s, d: word_weights(s, d), "WITH t AS (SELECT DISTINCT p_partkey, unnest(string_split(p_name, ' ')) w FROM part), n AS (SELECT count(DISTINCT p_partkey) n FROM t) SELECT w, count(*) df, round(ln(any_value(n) / count(*)), 6) idf, round(ln(1 + any_value(n) / count(*)), 6) smooth, round(1 / count(*), 6) inverse FROM t, n GROUP BY w"),
+    "f_required_keys": Query(lambda s, d: table(s, d, "events").select("event_id", text.has_keys(F.col("props"), ["k"]).alias("fine"), text.has_keys(F.col("props"), ["k", "missing"]).alias("both")), "SELECT event_id, json_extract(props, '$.k') IS NOT NULL fine, false AS \"both\" FROM events"),
+    "f_clipped": Query(lambda s, d: table(s, d, "part").select("p_partkey", text.clipped(F.concat_ws(" ", "p_name", "p_type"), 12).alias("t")), "SELECT p_partkey, CASE WHEN length(x) <= 12 THEN x ELSE regexp_replace(substr(x, 1, 12), '\\s+\\S*$', '') || '…' END t FROM (SELECT p_partkey, p_name || ' ' || p_type x FROM part)"),
+    "f_answers": Query(lambda s, d: table(s, d, "part").select("p_partkey", F.explode(text.answers(F.concat(F.lit("# sheet\n1. answer: same\n**2.** answer: "), F.lower("p_type"), F.lit("\nno 3. answer: x"))))).select("p_partkey", F.col("key").alias("number"), F.col("value").alias("answer")), "SELECT p_partkey, '1' AS number, 'same' AS answer FROM part UNION ALL SELECT p_partkey, '2', lower(p_type) FROM part"),
     "j3_presence": Query(lambda s, d: (lambda a, b, l: spans.presence(a, b, l))(*turns(s, d)), f"""WITH {TURN_SQL}, x AS (SELECT d.run, count(*) n, count(l.decision_id) k FROM d LEFT JOIN (SELECT DISTINCT run, decision_id FROM l) l ON d.run = l.run AND d.id = l.decision_id GROUP BY d.run), y AS (SELECT c.run, count(*) n, count(l.claim_id) k FROM c LEFT JOIN (SELECT DISTINCT run, claim_id FROM l) l ON c.run = l.run AND c.id = l.claim_id GROUP BY c.run)
         SELECT run, COALESCE(x.k, 0) linked, CASE WHEN COALESCE(y.n, 0) > 0 THEN COALESCE(x.n, 0) - COALESCE(x.k, 0) ELSE 0 END code_only, CASE WHEN COALESCE(y.n, 0) = 0 THEN COALESCE(x.n, 0) ELSE 0 END unassessable, COALESCE(y.n, 0) - COALESCE(y.k, 0) prose_only FROM x FULL JOIN y USING (run)"""),
     "j2_silent": Query(lambda s, d: (lambda a, b, l: spans.silent(a, l))(*turns(s, d)), f"WITH {TURN_SQL} SELECT run, id FROM d WHERE NOT EXISTS (SELECT 1 FROM l WHERE l.run = d.run AND l.decision_id = d.id)"),
@@ -158,8 +169,28 @@ QUERIES = {
 }
 
 
-def _pairs(spark, sf_dir):
+def _alike(spark, sf_dir):
+    """Items of benchmark that share a word which two to five of them have, with their texts."""
     b = table(spark, sf_dir, "benchmark")
-    x, y = b.select(F.col("item_id").alias("a"), F.col("text").alias("x")), b.select(F.col("item_id").alias("b"), F.col("text").alias("y"))
-    near = x.withColumn("b", F.explode(F.sequence(F.col("a") + 1, F.col("a") + 3)))
-    return near.join(y, "b")
+    t = b.select("item_id", F.explode(text.words(F.col("text"))).alias("w"))
+    rare = t.groupBy("w").agg(F.count("*").alias("n")).filter("n between 2 and 5").select("w")
+    t = t.join(rare, "w")
+    pairs = t.select("w", F.col("item_id").alias("a")).join(t.select("w", F.col("item_id").alias("b")), "w").filter("a < b").select("a", "b").distinct()
+    return pairs.join(b.select(F.col("item_id").alias("a"), F.col("text").alias("x")), "a").join(b.select(F.col("item_id").alias("b"), F.col("text").alias("y")), "b")
+
+
+def sentences(spark, sf_dir):
+    """Sentences about parts that hit each branch of the predicates: id, t, note, cut."""
+    pick = lambda n, *x: F.element_at(F.array(*[F.lit(v) if isinstance(v, str) else v for v in x]), (F.col("p_partkey") % n + 1).cast("int"))
+    t = F.concat(pick(6, "drop the ", "do not use the ", "never fit the ", "exclude no ", "no weights for ", "without using the "), F.col("p_name"), pick(4, " and then log it, with care", F.concat(F.lit(" or a "), F.col("p_type")), " (one / two)", ""))
+    note = pick(4, "Results are consistent", "an inconsistent rule", "they differ", "No material difference")
+    level, half = (F.col("p_partkey") % 7).cast("string"), (F.col("p_partkey") % 5).cast("string")
+    cut = F.concat(F.lit("keep rows where the score is "), pick(3, ">= ", "> ", "< "), level, F.lit(" for all of the raters who answered and age cutoff "), half, F.lit(".5; the interval is then given as 95% CI at 1.96"))
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), "p_partkey", t.alias("t"), note.alias("note"), cut.alias("cut"))
+
+
+def word_weights(spark, sf_dir):
+    p = table(spark, sf_dir, "part").select("p_partkey", F.explode(F.array_distinct(F.split("p_name", " "))).alias("w"))
+    n = p.agg(F.countDistinct("p_partkey").alias("n"))
+    t = p.groupBy("w").agg(F.count("*").alias("df")).crossJoin(F.broadcast(n))  # one row
+    return t.select("w", "df", *[F.round(text.idf(F.col("n"), F.col("df"), k), 6).alias(k) for k in ("idf", "smooth", "inverse")])

@@ -27,14 +27,14 @@ scores AS (SELECT p.run, p.arm, p.decisions, COALESCE(k, 0) novel, round(COALESC
   FROM (SELECT run, any_value(arm) arm, count(*) decisions FROM choice GROUP BY run) p LEFT JOIN held USING (run))
 """
 
-STAGE_SQL = """st AS (SELECT fork, CASE WHEN fork LIKE '%TIN%' THEN 'data' WHEN fork LIKE '%NICKEL%' THEN 'transformation' WHEN fork LIKE '%BRASS%' THEN 'inference' END stage FROM (SELECT DISTINCT fork FROM choice) WHERE fork LIKE '%TIN%' OR fork LIKE '%NICKEL%' OR fork LIKE '%BRASS%')"""
+STAGE_SQL = """st AS (SELECT fork, CASE split_part(fork, '/', 1) WHEN 'PROMO' THEN 'data' WHEN 'LARGE' THEN 'transformation' WHEN 'SMALL' THEN 'inference' END stage FROM (SELECT DISTINCT fork FROM choice) WHERE split_part(fork, '/', 1) IN ('PROMO', 'LARGE', 'SMALL'))"""
 
 
 def stages(spark, sf_dir):
     """Stages of forks by a word of their names; others have none."""
     f = orders_choice(spark, sf_dir).select("fork").distinct()
-    stage = F.when(F.col("fork").contains("TIN"), "data").when(F.col("fork").contains("NICKEL"), "transformation").when(F.col("fork").contains("BRASS"), "inference")
-    return f.withColumn("stage", stage).dropna()
+    kind = F.substring_index("fork", "/", 1)
+    return f.withColumn("stage", F.when(kind == "PROMO", "data").when(kind == "LARGE", "transformation").when(kind == "SMALL", "inference")).dropna()
 
 
 def types(spark, sf_dir):

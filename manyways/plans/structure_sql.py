@@ -42,6 +42,11 @@ def tokens(spark, sf_dir):
     return orders_choice(spark, sf_dir).select("fork").distinct().select("fork", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("fork"), F.lit("([a-z]+|[0-9]+)")))).alias("token"))
 
 
+GATES = """, d AS (SELECT DISTINCT fork, option, run FROM choice), rr AS (SELECT DISTINCT fork, run FROM choice), s AS (SELECT fork, count(*) na, any_value(position) AS position FROM rr JOIN position USING (fork) GROUP BY fork HAVING count(*) >= 8),
+n AS (SELECT fork a, option, count(*) n1 FROM d GROUP BY ALL), h AS (SELECT d.fork a, d.option, rr.fork b, count(*) hit FROM d JOIN rr ON d.run = rr.run AND d.fork <> rr.fork GROUP BY ALL HAVING count(*) >= 5),
+hh AS (SELECT x.fork a, y.fork b, count(*) hits FROM rr x JOIN rr y ON x.run = y.run AND x.fork <> y.fork GROUP BY ALL),
+t AS (SELECT a, option, b, hit, hits, n1, na, (hits - hit) / (na - n1) p0, hit / n1 p1 FROM h JOIN hh USING (a, b) JOIN n USING (a, option) JOIN (SELECT fork a, na, position pa FROM s) USING (a) JOIN (SELECT fork b, position pb FROM s) USING (b) WHERE n1 >= 5 AND na - n1 >= 5 AND pb > pa)
+"""
 BACK = "to_rank < \"rank\" AND to_line - line > 2"
 QUERIES = {
     "w2_returns": spaced(sequence.returns, STEPS + f'SELECT run, did, fork, "to", ("rank" - to_rank)::BIGINT depth, to_line - line AS distance FROM steps WHERE {BACK}'),
@@ -80,14 +85,14 @@ QUERIES = {
         j AS (SELECT x.fork a, y.fork b, count(*) n FROM tok x JOIN tok y ON x.token = y.token AND x.fork < y.fork GROUP BY ALL), r AS (SELECT fork, count(DISTINCT run) z FROM choice GROUP BY fork), d AS (SELECT DISTINCT run, fork FROM choice),
         l AS (SELECT a, b, round(n / (k.z + q.z - n), 6) jaccard FROM j JOIN k ON k.fork = a JOIN k q ON q.fork = b), co AS (SELECT x.fork a, y.fork b, count(*) n FROM d x JOIN d y ON x.run = y.run AND x.fork < y.fork GROUP BY ALL)
         SELECT l.a, l.b, jaccard, COALESCE(n, 0) shared, round(jaccard + greatest(r.z, u.z) / 400, 6) score FROM l JOIN r ON r.fork = l.a JOIN r u ON u.fork = l.b LEFT JOIN co ON co.a = l.a AND co.b = l.b WHERE jaccard >= 0.34 AND r.z >= 8 AND u.z >= 8 AND COALESCE(n, 0) <= 1"""),
-    "g4_gate_funnel": on_orders(pairs.gate_funnel, STATS + POSITION + """, h AS (SELECT m.fork a, m.option, r.fork b, count(*) hit FROM modal m JOIN (SELECT DISTINCT fork, run FROM choice) r ON m.run = r.run AND m.fork <> r.fork GROUP BY ALL), n AS (SELECT fork, sum(c) na FROM votes GROUP BY fork)
-        SELECT CASE WHEN v.c < 5 THEN 'few with' WHEN na - v.c < 5 THEN 'few without' WHEN q.position <= p.position THEN 'not later' WHEN hit < 5 THEN 'few hits' ELSE 'tested' END rule, count(*) n
-        FROM h JOIN votes v ON v.fork = a AND v.option = h.option JOIN n ON n.fork = a JOIN position p ON p.fork = a JOIN position q ON q.fork = b GROUP BY 1"""),
-    "g4_gates": on_orders(pairs.gates, STATS + POSITION + """, h AS (SELECT m.fork a, m.option, r.fork b, count(*) hit FROM modal m JOIN (SELECT DISTINCT fork, run FROM choice) r ON m.run = r.run AND m.fork <> r.fork GROUP BY ALL), n AS (SELECT fork, sum(c) na FROM votes GROUP BY fork),
-        e AS (SELECT a, b, sum(hit) hits FROM h GROUP BY ALL), t AS (SELECT h.a, h.option, h.b, hit::BIGINT hit, hits::BIGINT hits, v.c::BIGINT n1, na::BIGINT na, (hits - hit) / (na - v.c) p0, hit / v.c p1 FROM h JOIN e USING (a, b) JOIN votes v ON v.fork = h.a AND v.option = h.option JOIN n ON n.fork = h.a JOIN position p ON p.fork = h.a JOIN position q ON q.fork = h.b
-        WHERE v.c >= 5 AND na - v.c >= 5 AND q.position > p.position AND hit >= 5), u AS (SELECT *, unnest(range(hit, least(n1, hits) + 1)) k FROM t WHERE p0 <= 0.06 AND p1 >= 0.25)
-        SELECT a, option, b, hit, round(p0, 6) p0, round(p1, 6) p1, round(least(1, sum(CASE WHEN hits - k <= na - n1 THEN exp(lgamma(n1 + 1) - lgamma(k + 1) - lgamma(n1 - k + 1) + lgamma(na - n1 + 1) - lgamma(hits - k + 1) - lgamma(na - n1 - hits + k + 1) - lgamma(na + 1) + lgamma(hits + 1) + lgamma(na - hits + 1)) ELSE 0 END)), 9) p
-        FROM u GROUP BY a, option, b, hit, p0, p1"""),
+    "g4_gate_funnel": on_orders(pairs.gate_funnel, POSITION + GATES + """, o AS (SELECT s.fork, option, count(*) n1, any_value(na) na FROM d JOIN s USING (fork) GROUP BY ALL), f AS (SELECT a.fork, count(*) FILTER (b.fork <> a.fork AND b.position <= a.position) earlier, count(*) - 1 others FROM s a, s b GROUP BY a.fork),
+        k AS (SELECT *, CASE WHEN n1 < 5 THEN 'option too rare' WHEN na - n1 < 5 THEN 'no comparison group' ELSE 'fine' END kind FROM o JOIN f USING (fork)),
+        r AS (SELECT CASE WHEN p0 > 0.06 THEN 'others reach it too' WHEN p1 < 0.25 THEN 'most don''t reach it' ELSE 'tested' END rule, count(*) n FROM t GROUP BY 1)
+        SELECT kind AS rule, count(*) n FROM k WHERE kind <> 'fine' GROUP BY 1 UNION ALL SELECT 'not later', sum(earlier)::BIGINT FROM k WHERE kind = 'fine' HAVING count(*) > 0 UNION ALL SELECT * FROM r
+        UNION ALL SELECT 'too few runs', (SELECT COALESCE(sum(others - earlier), 0) FROM k WHERE kind = 'fine')::BIGINT - (SELECT COALESCE(sum(n), 0) FROM r)::BIGINT"""),
+    "g4_gates": on_orders(pairs.gates, POSITION + GATES + """, u AS (SELECT *, unnest(range(hit, least(n1, hits) + 1)) k FROM t WHERE p0 <= 0.06 AND p1 >= 0.25),
+        v AS (SELECT a, option, b, hit, p0, p1, least(1, sum(CASE WHEN hits - k <= na - n1 THEN exp(lgamma(n1 + 1) - lgamma(k + 1) - lgamma(n1 - k + 1) + lgamma(na - n1 + 1) - lgamma(hits - k + 1) - lgamma(na - n1 - hits + k + 1) - lgamma(na + 1) + lgamma(hits + 1) + lgamma(na - hits + 1)) ELSE 0 END)) p FROM u GROUP BY ALL),
+        c AS (SELECT *, row_number() OVER (ORDER BY p) rn, count(*) OVER () m FROM v) SELECT a, option, b, hit, round(p0, 6) p0, round(p1, 6) p1, round(p, 9) p FROM c WHERE p <= (SELECT max(p) FROM c WHERE p <= 0.05 * rn / m)"""),
     "w15_benjamini_hochberg": on_orders(lambda c: stats.benjamini_hochberg(forks.fork_stats(c).withColumn("p", F.round(F.col("modal_share") * F.col("coverage"), 6)), "p", 0.05), STATS + """, r AS (SELECT round(modal_share * coverage, 6) p, row_number() OVER (ORDER BY round(modal_share * coverage, 6)) rn, count(*) OVER () m FROM stats)
         SELECT count(*) tests, COALESCE(max(p) FILTER (p <= 0.05 * rn / m), 0.0) AS threshold FROM r"""),
     "a29_ari": on_builds(agreement.adjusted_rand, CELLS.format(k="", b="b", n="count(*)") + """SELECT t::BIGINT items, round(CASE WHEN (x + y) / 2 = x * y / (t * (t - 1) / 2) THEN 1 ELSE (s - x * y / (t * (t - 1) / 2)) / ((x + y) / 2 - x * y / (t * (t - 1) / 2)) END, 6) ari
