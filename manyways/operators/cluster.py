@@ -40,6 +40,23 @@ def connected(edges: DataFrame) -> DataFrame:
             return labels.withColumnRenamed("c", "component")
 
 
+def one_to_one(pairs: DataFrame) -> DataFrame:
+    """i, j, s of pairs (i, j, s) taken best first, each i and j once; ties by i, then j.
+
+    Each round takes the pairs that are the best left of both their sides, all at once, and drops what they block; in that total order
+    this gives what one pass over all pairs would, in as many rounds as the longest chain of pairs that wait for each other.
+    """
+    order = F.struct((-F.col("s")).alias("m"), "i", "j")
+    taken, left = None, cut(pairs.select("i", "j", "s"))
+    while True:
+        both = left.withColumn("o", order).withColumn("bi", F.min(order).over(Window.partitionBy("i"))).withColumn("bj", F.min(order).over(Window.partitionBy("j")))
+        now = cut(both.filter((F.col("o") == F.col("bi")) & (F.col("o") == F.col("bj"))).select("i", "j", "s"))
+        if not now.limit(1).count():
+            return now if taken is None else taken
+        taken = now if taken is None else taken.union(now)
+        left = cut(left.join(now.select("i"), "i", "left_anti").join(now.select("j"), "j", "left_anti"))
+
+
 def vetoed_groups(edges: DataFrame, vetoes: DataFrame) -> DataFrame:
     """id, component: edges (a, b, score) in falling order join groups unless a veto pair (a, b) lies across them.
 

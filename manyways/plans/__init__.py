@@ -1,5 +1,5 @@
 """All queries over the driver's tables, by name."""
 
-from manyways.plans import ablation_sql, documents_sql, forks_sql, members_sql, structure_sql
+from manyways.plans import ablation_sql, documents_sql, forks_sql, members_sql, projections_sql, structure_sql
 
-QUERIES = {**forks_sql.QUERIES, **structure_sql.QUERIES, **documents_sql.QUERIES, **members_sql.QUERIES, **ablation_sql.QUERIES}
+QUERIES = {**forks_sql.QUERIES, **structure_sql.QUERIES, **documents_sql.QUERIES, **members_sql.QUERIES, **ablation_sql.QUERIES, **projections_sql.QUERIES}
