@@ -6,22 +6,29 @@ import tempfile
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df with its lineage cut in the shared folder spark.checkpoint.dir. Only a session that is one machine gets a temporary one where
-    that is unset."""
+    """df with its lineage cut in the shared folder."""
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        found = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not found and not context.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        context.setCheckpointDir(found or tempfile.mkdtemp(prefix="manyways-"))
+        context.setCheckpointDir(shared(df.sparkSession))
     return df.checkpoint()
 
 
+def shared(spark: SparkSession) -> str:
+    """The folder that all executors share: spark.checkpoint.dir. Only a session that is one machine gets a temporary one where that is unset."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        found = "file://" + tempfile.mkdtemp(prefix="manyways-")
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found
+
+
 def connected(edges: DataFrame) -> DataFrame:
     """id, component (the least id that edges a-b lead to): least labels of neighbours, then labels of labels, until nothing moves."""
     both = edges.select("a", "b").union(edges.select("b", "a")).distinct()

@@ -28,9 +28,14 @@ def run_count(choice: DataFrame) -> DataFrame:
 def fork_stats(choice: DataFrame) -> DataFrame:
     """Per fork: reach, coverage, absent runs, effective options among those who reached it and with absence as one more level, number of
     modal options, modal share."""
-    per = votes(choice).groupBy("fork").agg(F.sum("c").alias("reach"), F.sum(F.col("c") * F.col("c")).alias("sq"), F.count("*").alias("options"), F.max("c").alias("top"))
+    return stats_of(votes(choice), run_count(choice))
+
+
+def stats_of(votes: DataFrame, runs: DataFrame) -> DataFrame:
+    """fork_stats() from counts of votes (fork, option, c) and the number of runs (one row)."""
+    per = votes.groupBy("fork").agg(F.sum("c").alias("reach"), F.sum(F.col("c") * F.col("c")).alias("sq"), F.count("*").alias("options"), F.max("c").alias("top"))
     n = F.col("n_runs")
-    return per.crossJoin(F.broadcast(run_count(choice))).select(  # one row
+    return per.crossJoin(F.broadcast(runs)).select(  # one row
         "fork", "reach", (n - F.col("reach")).alias("absent"), F.round(F.col("reach") / n, 6).alias("coverage"),
         F.round(F.col("reach") * F.col("reach") / F.col("sq"), 6).alias("eff_reached"),
         F.round(n * n / (F.col("sq") + (n - F.col("reach")) * (n - F.col("reach"))), 6).alias("eff_all"), "options", F.round(F.col("top") / F.col("reach"), 6).alias("modal_share"),

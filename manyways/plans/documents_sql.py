@@ -2,20 +2,23 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import functions as F
 
 from manyways.functions import text
 from manyways.model import CHOICE_SQL, EVENTS_SQL, Query, events_choice, on_orders, orders_choice, table
-from manyways.operators import agreement, audit, cluster, forks, resample, sequence, spans, surrogate
+from manyways.operators import audit, cluster, forks, resample, sequence, spans, surrogate
 from manyways.plans.forks_sql import STATS
+from manyways.operators.cluster import cut, shared
 from manyways.sources import corpus
 from manyways.streaming import incremental
 
 JACCARD = "CASE WHEN len(list_distinct(list_concat({0}, {1}))) > 0 THEN len(list_intersect({0}, {1})) / len(list_distinct(list_concat({0}, {1}))) ELSE 0 END"
 GRAMS = "(CASE WHEN length({0}) >= 3 THEN list_distinct([substr({0}, i, 3) FOR i IN range(1, length({0}) - 1)]) ELSE [] END)"
 WORDS = "list_distinct(list_filter(regexp_extract_all(lower({0}), '[a-z0-9.]+'), lambda t: t NOT IN ('the', 'and', 'for', 'with', 'from', 'that', 'this', 'are', 'was')))"
+SESSIONS_SQL = """WITH g AS (SELECT user_id, ts, COALESCE(ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) >= INTERVAL 8 HOUR, false)::INT n FROM events), s AS (SELECT *, sum(n) OVER (PARTITION BY user_id ORDER BY ts) k FROM g)
+        SELECT user_id, min(ts) AS "start", max(ts) + INTERVAL 8 HOUR AS "end", count(*) "events" FROM s GROUP BY user_id, k"""
 ALIKE_SQL = f"""w AS (SELECT item_id, text, {WORDS.format('text')} ws FROM benchmark), t AS (SELECT item_id, unnest(ws) x FROM w), r AS (SELECT x FROM t GROUP BY x HAVING count(*) BETWEEN 2 AND 5),
 c AS (SELECT DISTINCT a.item_id a, b.item_id b FROM t a JOIN t b ON a.x = b.x AND a.item_id < b.item_id JOIN r ON r.x = a.x), p AS (SELECT a, b, m.ws x, n.ws y, trim(regexp_replace(lower(m.text), '\\s+', ' ', 'g')) u, trim(regexp_replace(lower(n.text), '\\s+', ' ', 'g')) v FROM c JOIN w m ON m.item_id = a JOIN w n ON n.item_id = b)
 """
@@ -68,24 +71,32 @@ def outcome(spark, sf_dir):
     return table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("run")).agg(F.avg("o_totalprice").alias("y"))
 
 
-def few_players(spark, sf_dir):
-    """Segment players: the modal brand at the twelve forks most reached."""
-    c = orders_choice(spark, sf_dir)
-    top = forks.reach(c).orderBy(F.desc("runs"), "fork").limit(12).select("fork")
-    return surrogate.players(c.join(F.broadcast(top), "fork", "left_semi").withColumn("option", F.substring("option", 1, 7)))  # twelve rows
+def every_player(spark, sf_dir):
+    """Segment players: the options at all forks that players() admits."""
+    return surrogate.players(orders_choice(spark, sf_dir))
 
 
 def surrogate_strengths(spark, sf_dir):
-    levels, y = few_players(spark, sf_dir), outcome(spark, sf_dir)
+    levels, y = cut(every_player(spark, sf_dir)), outcome(spark, sf_dir)
     columns, xx, xy, _ = surrogate.moments(levels, y)
     return surrogate.strengths(surrogate.attributions(levels, columns, surrogate.ridge(xx, xy, 10.0)))
 
 
 def cross_validation(spark, sf_dir):
-    best, scores = surrogate.cross_validated(few_players(spark, sf_dir), outcome(spark, sf_dir), (1, 10, 100, 1000))
+    best, scores = surrogate.cross_validated(cut(every_player(spark, sf_dir)), outcome(spark, sf_dir))
     return spark.createDataFrame([(float(k), float(v), k == best) for k, v in scores.items()], "penalty double, r2 double, best boolean")
 
 
+def surrogate_null(spark, sf_dir):
+    return surrogate.payout_null(cut(every_player(spark, sf_dir)), outcome(spark, sf_dir), 10.0, 400)
+
+
+def surrogate_audit(spark, sf_dir):
+    y = outcome(spark, sf_dir)
+    other = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("run")).agg(F.max("o_totalprice").alias("y"))
+    return surrogate.audited(cut(every_player(spark, sf_dir)), {"mean": y, "largest": other}, orders_choice(spark, sf_dir).groupBy("run").agg(F.count("*").alias("n")))
+
+
 def arm_edges(spark, sf_dir):
     e = sequence.routes(events_choice(spark, sf_dir)).select("run", "arm", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     return resample.arm_edge_null(e, 40)
@@ -97,19 +108,61 @@ def curveballs(spark, sf_dir):
 
 
 def streamed_sessions(spark, sf_dir):
-    """The stream of events, run to its end, against a table in memory."""
-    schema = table(spark, sf_dir, "events").schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    name = "manyways_sessions"
-    q = incremental.sessions(stream.withColumn("ts", F.col("ts").cast("timestamp"))).writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", tempfile.mkdtemp()).trigger(availableNow=True).start()
+    """The stream of events, run to its end, against a table of files: a last event far ahead moves the watermark past all sessions."""
+    events = table(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id")
+    at = f"{shared(spark)}/sessions-{uuid.uuid4().hex}"
+    spark.createDataFrame([(-1, None, -1)], events.schema).select("event_id", F.to_timestamp(F.lit("2262-01-01")).alias("ts"), "user_id").write.parquet(f"{at}/end")
+    stream = spark.readStream.schema(table(spark, sf_dir, "events").schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir).select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id")
+    end = spark.readStream.schema(events.schema).parquet(f"{at}/end")
+    q = incremental.sessions(stream.union(end)).writeStream.format("parquet").option("path", f"{at}/sessions").outputMode("append").option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.table(name)
+    return spark.read.parquet(f"{at}/sessions").filter("user_id >= 0")
+
+
+def streamed_stats(spark, sf_dir):
+    """Decisions that arrive as a stream, kept as a table with statistics of the forks of the whole."""
+    at = f"{shared(spark)}/stats-{uuid.uuid4().hex}"
+    schema = events_choice(spark, sf_dir).select("did", "run", "line", "fork", "option").schema
+    events_choice(spark, sf_dir).select("did", "run", "line", "fork", "option").write.parquet(f"{at}/in")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/in")
+    incremental.keep_fork_stats(stream, f"{at}/history", f"{at}/out", f"{at}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{at}/out")
+
+
+def streamed_windows(spark, sf_dir):
+    """Decisions per fork and day of the events."""
+    c = events_choice(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
+    return incremental.windowed_forks(c)
 
 
 def checksums(spark, sf_dir):
-    found = corpus.checksums(spark, sf_dir, "[nr]*.parquet").select(F.element_at(F.split("path", "/"), -1).alias("path"), "sha256")
-    manifest = found.withColumn("sha256", F.when(F.col("path") == "nation.parquet", "0").otherwise(F.col("sha256")))
-    return corpus.verify(manifest, found)
+    """A manifest in which one file has changed, one is gone and one isn't listed."""
+    found = corpus.checksums(spark, sf_dir, "{nation,region,orders}.parquet").select(F.element_at(F.split("path", "/"), -1).alias("path"), "sha256")
+    manifest = found.filter("path <> 'orders.parquet'").withColumn("sha256", F.when(F.col("path") == "nation.parquet", "0").otherwise(F.col("sha256")))
+    return corpus.verify(manifest.union(spark.createDataFrame([("gone.parquet", "1")], "path string, sha256 string")), found)
+
+
+def integrity(spark, sf_dir):
+    """Members of which some are no decisions, and a node table that lacks a fork and has one too many."""
+    c = orders_choice(spark, sf_dir)
+    members = c.filter("did % 7 <> 0").select("did").union(c.filter("did % 97 = 0").select(F.col("did") + 10**12))
+    f = c.select("fork").distinct()
+    nodes = f.filter("fork <> 'PROMO'").union(spark.createDataFrame([("NO SUCH",)], "fork string"))
+    return audit.integrity(members, c.select("did"), nodes, f)
+
+
+def measured(spark, sf_dir):
+    p = table(spark, sf_dir, "part")
+    one = p.agg((F.avg("p_size") / 50).alias("option_ari"), (F.countDistinct("p_brand") / 25).alias("fork_ari"), F.avg((F.col("p_size") > 5).cast("double")).alias("b_cubed"), F.avg((F.col("p_size") > 25).cast("double")).alias("rho"))
+    return one.select(F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.col(n).alias("value")) for n in one.columns])).alias("x")).select("x.*")
+
+
+def cutoffs(spark, sf_dir):
+    """Parts as members of their brands, with sets of cut-offs some of which lie in others."""
+    p = table(spark, sf_dir, "part")
+    v, kind = (F.col("p_size") % 3).cast("double"), F.col("p_size") % 5
+    values = F.when(kind == 0, F.array().cast("array<double>")).when(kind == 1, F.array(v)).when(kind == 2, F.array(v, F.lit(5.0))).when(kind == 3, F.array(F.lit(5.0))).otherwise(F.array(v, F.lit(5.0), F.lit(9.0)))
+    return p.select(F.col("p_brand").alias("oid"), F.col("p_partkey").alias("did"), values.alias("values"))
 
 
 QUERIES = {
@@ -142,7 +195,11 @@ QUERIES = {
     "j11_greedy": Query(lambda s, d: spans.greedy(spans.overlaps(*two_spans(s, d)), "jaccard", 0.2)),  # the order decides; tests/test_forks.py has its cases
     "a37_span_f1": Query(lambda s, d: (lambda a, b: spans.f1(spans.greedy(spans.overlaps(a, b), "jaccard", 0.5), a, b))(*two_spans(s, d)), f"WITH {SPAN_SQL}{OVERLAP_SQL}, m AS (SELECT count(*) m FROM p WHERE jaccard >= 0.5), t AS (SELECT count(*) n FROM a) SELECT m, round(m / n, 6) AS precision, round(m / n, 6) recall, round(CASE WHEN m > 0 THEN 2 * (m / n) * (m / n) / (m / n + m / n) ELSE 0.0 END, 6) f1 FROM m, t"),
     "g2_components": Query(lambda s, d: cluster.connected(type_edges(s, d)), f"WITH {CHOICE_SQL}, f AS (SELECT DISTINCT fork, split_part(fork, '/', 1) AS type FROM choice) SELECT fork id, min(fork) OVER (PARTITION BY type) component FROM f QUALIFY count(*) OVER (PARTITION BY type) > 1"),
-    "g7_threshold_split": Query(lambda s, d: cluster.threshold_split(s.createDataFrame([(1, 1, [5.0]), (1, 2, [5.0, 9.0]), (1, 3, []), (1, 4, [7.0]), (1, 5, [7.0])], "oid int, did int, values array<double>")).select("oid", "did", F.array_join(F.col("part").cast("array<string>"), ",").alias("part")), "SELECT * FROM (VALUES (1, 1, '5.0,9.0'), (1, 2, '5.0,9.0'), (1, 3, '7.0'), (1, 4, '7.0'), (1, 5, '7.0')) t(oid, did, part)"),
+    "g7_threshold_split": Query(lambda s, d: cluster.threshold_split(cutoffs(s, d)).select("oid", "did", F.array_join(F.col("part").cast("array<string>"), ",").alias("part")), """WITH m AS (SELECT p_brand oid, p_partkey did, CASE p_size % 5 WHEN 0 THEN [] WHEN 1 THEN [(p_size % 3)::DOUBLE] WHEN 2 THEN [(p_size % 3)::DOUBLE, 5.0] WHEN 3 THEN [5.0] ELSE [(p_size % 3)::DOUBLE, 5.0, 9.0] END v FROM part),
+        s AS (SELECT oid, v, count(*) n FROM m WHERE len(v) > 0 GROUP BY ALL), w AS (SELECT x.oid, x.v, y.v h FROM s x JOIN s y ON x.oid = y.oid AND len(x.v) < len(y.v) AND list_has_all(y.v, x.v)), h AS (SELECT * FROM s WHERE NOT EXISTS (SELECT 1 FROM w WHERE w.oid = s.oid AND w.v = s.v)),
+        f AS (SELECT w.oid, w.v, w.h FROM w JOIN h ON h.oid = w.oid AND h.v = w.h QUALIFY row_number() OVER (PARTITION BY w.oid, w.v ORDER BY -len(w.h), w.h) = 1), p AS (SELECT s.oid, s.v, COALESCE(f.h, s.v) AS part, n FROM s LEFT JOIN f ON f.oid = s.oid AND f.v = s.v),
+        g AS (SELECT oid, part, sum(n) n FROM p GROUP BY ALL), z AS (SELECT oid, part FROM g QUALIFY row_number() OVER (PARTITION BY oid ORDER BY n DESC, -len(part), part) = 1)
+        SELECT m.oid, did, array_to_string([x::VARCHAR FOR x IN COALESCE(p.part, z.part, [])], ',') AS part FROM m LEFT JOIN p ON p.oid = m.oid AND p.v = m.v LEFT JOIN z ON z.oid = m.oid"""),
     "g13_repeat_split": Query(lambda s, d: cluster.repeat_split(sequence.islands(events_choice(s, d))), f"""WITH {EVENTS_SQL}, g AS (SELECT *, COALESCE(line - lag(line) OVER w > 5, false)::INT gap FROM choice WINDOW w AS (PARTITION BY run, fork, option ORDER BY line, did)), o AS (SELECT did, run, fork, option, sum(gap) OVER (PARTITION BY run, fork, option ORDER BY line, did ROWS UNBOUNDED PRECEDING)::BIGINT k FROM g)
         SELECT did, run, fork, CASE WHEN k > 0 THEN option || ' #' || (k + 1)::VARCHAR ELSE option END AS option FROM o"""),
     "g9_relabel": Query(lambda s, d: forks.reach(cluster.relabel(orders_choice(s, d), type_edges(s, d).select(F.col("a").alias("fork"), F.col("type").alias("head")).union(type_edges(s, d).select("b", "type")).distinct())), f"""WITH {CHOICE_SQL}, f AS (SELECT DISTINCT fork, split_part(fork, '/', 1) AS type FROM choice), h AS (SELECT fork, type head FROM f QUALIFY count(*) OVER (PARTITION BY type) > 1)
@@ -150,22 +207,26 @@ QUERIES = {
     "g14_disputed": Query(lambda s, d: cluster.meet_disputed(table(s, d, "part").select("p_brand", "p_type"), "p_brand", "p_type"), "SELECT p_brand, count(*) parts, round(max(n) / sum(n), 6) largest FROM (SELECT p_brand, p_type, count(*) n FROM part GROUP BY ALL) GROUP BY p_brand HAVING count(*) > 1"),
     "a23_partition_counts": Query(lambda s, d: audit.partition_counts(orders_choice(s, d).select(F.col("option").alias("group"), "did").filter("did % 7 <> 0"), orders_choice(s, d).select("did")), f"""WITH {CHOICE_SQL}, m AS (SELECT option g, did FROM choice WHERE did % 7 <> 0)
         SELECT (SELECT count(DISTINCT did) FROM choice WHERE did NOT IN (SELECT did FROM m)) missing, (SELECT count(*) FROM (SELECT did FROM m GROUP BY did HAVING count(*) > 1)) duplicated, count(*) "groups", count(*) FILTER (n = 1) singletons, round(sum(n) / count(*), 6) compression FROM (SELECT g, count(*) n FROM m GROUP BY g)"""),
-    "a_integrity": Query(lambda s, d: (lambda c: audit.integrity(c.select("did").filter("did % 7 <> 0"), c.select("did"), c.select("fork").distinct(), c.select("fork").distinct()))(orders_choice(s, d)), f"WITH {CHOICE_SQL} SELECT 0::BIGINT dangling, round(avg((did % 7 = 0)::INT), 6) unassigned, 0::BIGINT apart FROM choice"),
-    "s6_floors": Query(lambda s, d: audit.floors(agreement.b_cubed(table(s, d, "part").select(F.col("p_brand").alias("a"), F.col("p_brand").alias("b"))).select(F.lit("b_cubed").alias("name"), F.col("f1").alias("value")), s.createDataFrame([*audit.STABILITY_FLOORS.items()], "name string, least double")).select("name", "verdict"),
-        "SELECT name, CASE WHEN name = 'b_cubed' THEN 'PASS' ELSE 'INFO' END verdict FROM (VALUES ('option_ari'), ('fork_ari'), ('b_cubed'), ('lenient_f1'), ('judge'), ('rho'), ('residue')) t(name)"),
-    "s9_checksums": Query(checksums, "SELECT * FROM (VALUES ('nation.parquet', 'changed'), ('region.parquet', 'ok')) t(path, state)"),
-    "m1_levels": Query(lambda s, d: surrogate.level_table(few_players(s, d)), f"""WITH {CHOICE_SQL}{STATS}, top AS (SELECT fork FROM reach ORDER BY runs DESC, fork LIMIT 12), c AS (SELECT * REPLACE (substr(option, 1, 7) AS option) FROM choice WHERE fork IN (SELECT fork FROM top)), f AS (SELECT fork, run, option FROM c QUALIFY row_number() OVER (PARTITION BY fork, run ORDER BY line, did) = 1),
+    "a_integrity": Query(integrity, f"""WITH {CHOICE_SQL}, m AS (SELECT did FROM choice WHERE did % 7 <> 0 UNION ALL SELECT did + 1000000000000 FROM choice WHERE did % 97 = 0), n AS (SELECT DISTINCT fork FROM choice WHERE fork <> 'PROMO' UNION ALL SELECT 'NO SUCH'), f AS (SELECT DISTINCT fork FROM choice)
+        SELECT (SELECT count(DISTINCT did) FROM m WHERE did >= 1000000000000) dangling, (SELECT round(avg((did % 7 = 0)::INT), 6) FROM choice) unassigned, (SELECT count(*) FROM (SELECT fork FROM n EXCEPT SELECT fork FROM f UNION ALL (SELECT fork FROM f EXCEPT SELECT fork FROM n))) apart"""),
+    "s6_floors": Query(lambda s, d: audit.floors(measured(s, d), s.createDataFrame([*audit.STABILITY_FLOORS.items()], "name string, least double")).select("name", F.round("value", 6).alias("value"), "verdict"), """WITH m AS (SELECT 'option_ari' AS name, avg(p_size) / 50 AS value FROM part UNION ALL SELECT 'fork_ari', count(DISTINCT p_brand) / 25 FROM part UNION ALL SELECT 'b_cubed', avg((p_size > 5)::INT) FROM part UNION ALL SELECT 'rho', avg((p_size > 25)::INT) FROM part),
+        l AS (SELECT * FROM (VALUES ('option_ari', 0.85), ('fork_ari', 0.75), ('b_cubed', 0.80), ('lenient_f1', 0.70), ('judge', 0.75), ('rho', 0.85), ('residue', 0.70)) t(name, least_value)) SELECT name, round(value, 6) AS value, CASE WHEN value IS NULL THEN 'INFO' WHEN value >= least_value THEN 'PASS' ELSE 'REVIEW' END verdict FROM l LEFT JOIN m USING (name)"""),
+    "s9_checksums": Query(checksums, "SELECT * FROM (VALUES ('nation.parquet', 'changed'), ('region.parquet', 'ok'), ('gone.parquet', 'missing'), ('nation.parquet.new', 'missing')) t(path, state) WHERE path <> 'nation.parquet.new' UNION ALL SELECT 'orders.parquet', 'untracked'"),
+    "m1_levels": Query(lambda s, d: surrogate.level_table(every_player(s, d)), f"""WITH {CHOICE_SQL}{STATS}, c AS (SELECT * FROM choice), f AS (SELECT fork, run, option FROM c QUALIFY row_number() OVER (PARTITION BY fork, run ORDER BY line, did) = 1),
         n AS (SELECT fork, option FROM f GROUP BY ALL HAVING count(*) >= 10), r AS (SELECT DISTINCT run FROM c), l AS (SELECT f.fork, f.run, COALESCE(n.option, 'other') AS "level" FROM f LEFT JOIN n ON f.fork = n.fork AND f.option = n.option),
         e AS (SELECT t.fork, COALESCE("level", 'absent') AS "level", count(*) runs FROM (SELECT DISTINCT fork FROM n) t CROSS JOIN r LEFT JOIN l ON l.fork = t.fork AND l.run = r.run GROUP BY ALL) SELECT * FROM e WHERE fork IN (SELECT fork FROM e WHERE runs >= 10 GROUP BY fork HAVING count(*) >= 2)"""),
     "m6_strengths": Query(surrogate_strengths),
     "m5_cross_validation": Query(cross_validation),
+    "n8_payout_null": Query(surrogate_null),
+    "m7_audit": Query(surrogate_audit),
     "n1_bootstrap": on_orders(lambda c: resample.bootstrap_mean(forks.run_novelty(c), "score", "run", 200), None),
     "n2_curveball": Query(curveballs),
     "n4_return_null": Query(lambda s, d: resample.return_rate_null(sequence.spaced(events_choice(s, d)), 30)),
     "n7_arm_edges": Query(arm_edges),
-    "st_sessions": Query(streamed_sessions),
-    "st_sessions_batch": Query(lambda s, d: incremental.sessions(table(s, d, "events")), """WITH g AS (SELECT user_id, ts, COALESCE(ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) >= INTERVAL 8 HOUR, false)::INT n FROM events), s AS (SELECT *, sum(n) OVER (PARTITION BY user_id ORDER BY ts) k FROM g)
-        SELECT user_id, min(ts) AS "start", max(ts) + INTERVAL 8 HOUR AS "end", count(*) "events" FROM s GROUP BY user_id, k"""),
+    "st_sessions": Query(streamed_sessions, SESSIONS_SQL),
+    "st_fork_stats": Query(streamed_stats, f"WITH {EVENTS_SQL}{STATS} SELECT * FROM stats"),
+    "st_windows": Query(streamed_windows, f"WITH {EVENTS_SQL} SELECT date_trunc('day', ts)::TIMESTAMP AS start, fork, count(*) n FROM choice GROUP BY ALL"),
+    "st_sessions_batch": Query(lambda s, d: incremental.sessions(table(s, d, "events")), SESSIONS_SQL),
 }
 
 
