@@ -187,3 +187,53 @@ def nearest_core(items: DataFrame, cores: DataFrame) -> DataFrame:
     t = dot.join(norm(d), "id").join(norm(c.withColumnRenamed("core", "id")).select(F.col("id").alias("core"), F.col("norm").alias("cnorm")), "core")
     w = Window.partitionBy("id").orderBy(F.desc("cosine"), "core")
     return t.withColumn("cosine", F.round(F.col("dot") / (F.col("norm") * F.col("cnorm")), 6)).withColumn("rn", F.row_number().over(w)).filter("rn = 1").select("id", "fork", "core", "cosine")
+
+
+def dense_groups(edges: DataFrame, apart: DataFrame, floor: float = 0.6) -> DataFrame:
+    """id, component: edges (a, b, score; judged the same) in falling order join groups if a `floor` share of all pairs between the two was
+    judged the same and none (apart: a, b) different. Transitive closure alone would chain pairs that nobody looked at.
+
+    The order decides, so each independent part of the edge graph is one group of rows, as large as that part's adjudicated edges.
+    """
+    import math
+
+    parts = connected(edges)
+    e = edges.join(parts.select(F.col("id").alias("a"), "component"), "a").select("component", "a", "b", F.col("score").cast("double").alias("score"), F.lit(0).alias("veto"))
+    v = apart.join(parts.select(F.col("id").alias("a"), "component"), "a").select("component", "a", "b", F.lit(0.0).alias("score"), F.lit(1).alias("veto"))
+    kind = dict(edges.dtypes)["a"]
+
+    def join(rows: pd.DataFrame) -> pd.DataFrame:
+        same, different = ({frozenset(x) for x in rows.loc[rows["veto"] == k, ["a", "b"]].itertuples(index=False, name=None)} for k in (0, 1))
+        group: dict = {}
+        for r in rows[rows["veto"] == 0].sort_values(["score", "a", "b"], ascending=[False, True, True]).itertuples():
+            x, y = group.get(r.a, {r.a}), group.get(r.b, {r.b})
+            if x is y:
+                continue
+            between = [frozenset((i, j)) for i in x for j in y]
+            if any(p in different for p in between) or sum(p in same for p in between) < math.ceil(floor * len(between)):
+                continue
+            both = x | y
+            for i in both:
+                group[i] = both
+        return pd.DataFrame({"id": list(group), "component": [min(g) for g in group.values()]})
+
+    return e.union(v).groupBy("component").applyInPandas(join, f"id {kind}, component {kind}")
+
+
+def nearest_batches(options: DataFrame, tokens: DataFrame, size: int = 45) -> DataFrame:
+    """option, batch: the option of most runs (option, runs) seeds a batch and takes the size - 1 nearest of those left, by the overlap of
+    their words (option, token), then by runs and name; and so on. A round is one small join; there are as many as batches."""
+    weight = tokens.groupBy("option").agg(F.count("*").alias("n"))
+    left = cut(options.select("option", "runs"))
+    out, number = None, 0
+    while seed := left.orderBy(F.desc("runs"), "option").first():
+        words = tokens.filter(F.col("option") == seed["option"]).select("token")
+        k = words.count()
+        near = tokens.join(F.broadcast(words), "token").groupBy("option").agg(F.count("*").alias("both"))  # one label's words
+        jaccard = F.coalesce(F.col("both") / (F.col("n") + k - F.col("both")), F.lit(0.0))
+        t = left.join(weight, "option", "left").join(near, "option", "left").withColumn("_j", F.when(F.col("option") == seed["option"], 2.0).otherwise(jaccard))
+        batch = cut(t.orderBy(F.desc("_j"), F.desc("runs"), "option").limit(size).select("option", F.lit(number).alias("batch")))
+        out = batch if out is None else out.union(batch)
+        left = cut(left.join(batch.select("option"), "option", "left_anti"))
+        number += 1
+    return out

@@ -102,10 +102,12 @@ def curveball(pairs: pd.DataFrame, rows: str, columns: str, steps: int, seed: in
     return pd.DataFrame([(n, c) for n, s in zip(names, sets, strict=True) for c in sorted(s)], columns=[rows, columns])
 
 
-def curveball_null(incidence: DataFrame, rows: str, columns: str, n: int = 20, steps: int = 5000, seed: int = SEED) -> DataFrame:
-    """Per pair of columns: how many rows have both, against n swapped incidences; each draw is one task."""
+def curveball_null(incidence: DataFrame, rows: str, columns: str, n: int = 2000, steps: int | None = None, seed: int = SEED) -> DataFrame:
+    """Per pair of columns: how many rows have both, against n swapped incidences; each draw is one task. Without a number of steps, there are
+    three trades a row, so each row is mixed as often at every size."""
     base = incidence.select(rows, columns).distinct()
     kinds = dict(base.dtypes)
+    steps = 3 * base.select(rows).distinct().count() if steps is None else steps
 
     def swap(pdf: pd.DataFrame) -> pd.DataFrame:
         draw = int(pdf["draw"].iloc[0])

@@ -83,3 +83,43 @@ def presence(decisions: DataFrame, claims: DataFrame, links: DataFrame) -> DataF
     t = d.join(c, "run", "full_outer")
     z = lambda n: F.coalesce(n, F.lit(0))
     return t.select("run", z("linked").alias("linked"), F.when(z("claims") > 0, z("decisions") - z("linked")).otherwise(0).alias("code_only"), F.when(z("claims") == 0, z("decisions")).otherwise(0).alias("unassessable"), (z("claims") - z("said")).alias("prose_only"))
+
+
+def residue(a: DataFrame, b: DataFrame, score: str, least: float = 0.4) -> DataFrame:
+    """Per run: silent decisions of two builds (run, id, start, end, words) that match one to one by jaccard or containment of their lines, or by
+    the overlap of their words, over all that either has."""
+    if score == "text":
+        x = a.select("run", F.col("id").alias("i"), F.col("words").alias("x")).join(b.select("run", F.col("id").alias("j"), F.col("words").alias("y")), "run")
+        pairs = x.withColumn("text", text_overlap(F.col("x"), F.col("y"))).filter("text is not null")
+    else:
+        pairs = overlaps(a.select("run", "id", "start", "end"), b.select("run", "id", "start", "end"))
+    m = greedy(pairs, score, least).groupBy("run").agg(F.count("*").alias("matched"))
+    n = lambda d, name: d.groupBy("run").agg(F.count("*").alias(name))
+    t = n(a, "na").join(n(b, "nb"), "run", "full_outer").join(m, "run", "left").fillna(0, ["na", "nb", "matched"])
+    union = F.col("na") + F.col("nb") - F.col("matched")
+    return t.select("run", "na", "nb", "matched", F.round(F.col("matched") / union, 6).alias("stable"))
+
+
+def text_overlap(a, b):
+    """Jaccard overlap of two arrays of words; null where one has none, as nothing can be said then."""
+    from manyways.functions.text import jaccard
+
+    return F.when((F.size(a) == 0) | (F.size(b) == 0), F.lit(None).cast("double")).otherwise(jaccard(a, b))
+
+
+def pooled(matches: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
+    """One row: f1() pooled over runs, and how the runs' numbers of spans differ: median and mean of the absolute difference, how many changed."""
+    n = lambda d, name: d.groupBy("run").agg(F.count("*").alias(name))
+    d = n(a, "x").join(n(b, "y"), "run", "full_outer").fillna(0, ["x", "y"]).withColumn("d", F.abs(F.col("x") - F.col("y")))
+    drift = d.agg(F.median("d").alias("median_drift"), F.round(F.avg("d"), 6).alias("mean_drift"), F.sum((F.col("d") > 0).cast("long")).alias("changed"), F.sum((F.col("d") == 0).cast("long")).alias("unchanged"))
+    return f1(matches, a, b).crossJoin(drift)  # one row each
+
+
+def adjudicated(verdicts: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
+    """kind, n: what readers who saw two builds' silent decisions blinded (run, flipped, id_1, id_2, same) found the same, and what only one has
+    (a, b: run, id)."""
+    x, y = F.when(F.col("flipped"), F.col("id_2")).otherwise(F.col("id_1")), F.when(F.col("flipped"), F.col("id_1")).otherwise(F.col("id_2"))
+    same = verdicts.filter("same").select("run", x.alias("i"), y.alias("j"))
+    left = a.join(same.select("run", F.col("i").alias("id")), ["run", "id"], "left_anti").agg(F.lit("only_A").alias("kind"), F.count("*").alias("n"))
+    right = b.join(same.select("run", F.col("j").alias("id")), ["run", "id"], "left_anti").agg(F.lit("only_B").alias("kind"), F.count("*").alias("n"))
+    return same.agg(F.lit("same").alias("kind"), F.count("*").alias("n")).union(left).union(right)

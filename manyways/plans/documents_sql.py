@@ -99,12 +99,18 @@ def surrogate_audit(spark, sf_dir):
 
 def arm_edges(spark, sf_dir):
     e = sequence.routes(events_choice(spark, sf_dir)).select("run", "arm", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    return resample.arm_edge_null(e, 40)
+    items = e.select(F.concat_ws("|", "a", "b", "arm").alias("id")).distinct()
+
+    def test(some, n):
+        keep = some.select(F.split("id", r"\|").alias("k")).select(F.col("k")[0].alias("a"), F.col("k")[1].alias("b"), F.col("k")[2].alias("arm"))
+        return resample.arm_edge_null(e, n).join(keep, ["a", "b", "arm"], "left_semi").withColumn("id", F.concat_ws("|", "a", "b", "arm"))
+
+    return resample.escalated(test, items, 400, 4000, 0.02).drop("id")
 
 
 def curveballs(spark, sf_dir):
     c = orders_choice(spark, sf_dir).select("run", F.substring_index("fork", " ", 1).alias("fork"))
-    return resample.curveball_null(c.distinct(), "run", "fork", 10, 3000)
+    return resample.curveball_null(c.distinct(), "run", "fork", 50)
 
 
 def streamed_sessions(spark, sf_dir):
@@ -219,9 +225,9 @@ QUERIES = {
     "m5_cross_validation": Query(cross_validation),
     "n8_payout_null": Query(surrogate_null),
     "m7_audit": Query(surrogate_audit),
-    "n1_bootstrap": on_orders(lambda c: resample.bootstrap_mean(forks.run_novelty(c), "score", "run", 200), None),
+    "n1_bootstrap": on_orders(lambda c: resample.bootstrap_mean(forks.run_novelty(c), "score", "run", 4000), None),
     "n2_curveball": Query(curveballs),
-    "n4_return_null": Query(lambda s, d: resample.return_rate_null(sequence.spaced(events_choice(s, d)), 30)),
+    "n4_return_null": Query(lambda s, d: resample.return_rate_null(sequence.spaced(events_choice(s, d)), 200)),
     "n7_arm_edges": Query(arm_edges),
     "st_sessions": Query(streamed_sessions, SESSIONS_SQL),
     "st_fork_stats": Query(streamed_stats, f"WITH {EVENTS_SQL}{STATS} SELECT * FROM stats"),

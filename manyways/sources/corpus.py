@@ -57,15 +57,109 @@ def lock_state(locked: str | None, now: str | None) -> str:
     return "absent" if now is None else "unlocked" if locked is None else "locked" if locked == now else "STALE"
 
 
-def cache_key(prompt_hash, model, payload, schema):
-    """A request's address: the SHA-256 of its parts, the payload and schema as JSON with sorted fields."""
-    return F.sha2(F.concat_ws("\x1f", prompt_hash, model, payload, schema), 256)
+def sorted_json(fields: dict):
+    """Columns by name as a JSON object whose keys are sorted, so that equal payloads read alike."""
+    return F.to_json(F.struct(*[fields[k].alias(k) for k in sorted(fields)]), {"ignoreNullFields": "false"})
+
+
+def cache_key(prompt_hash, model, payload: dict, schema: dict):
+    """A request's address: the SHA-256 of its parts, payload and schema (columns by name) as JSON with sorted keys."""
+    return F.sha2(F.concat_ws("\x1f", prompt_hash, model, sorted_json(payload), sorted_json(schema)), 256)
 
 
 def cache_misses(requests: DataFrame, cache: DataFrame) -> DataFrame:
     return requests.join(cache.select("key").distinct(), "key", "left_anti")
 
 
+def unanswered(runs: DataFrame, answers: DataFrame, now: DataFrame) -> DataFrame:
+    """Runs (run, prompt) without an answer (run, prompt, prompt_hash) at their prompt's current hash (prompt, prompt_hash)."""
+    live = answers.join(now, ["prompt", "prompt_hash"], "left_semi").select("run", "prompt").distinct()
+    return runs.join(live, ["run", "prompt"], "left_anti")
+
+
+def resolve(spark: SparkSession, root: str, tag: str) -> str:
+    """The path of a tag's garden, its own or that of the tag it descends from (dots part the steps); none of them there is an error."""
+    steps = tag.split(".")
+    for k in range(len(steps), 0, -1):
+        path = f"{root}/tag={'.'.join(steps[:k])}"
+        if not preflight(spark, [path]):
+            return path
+    raise LookupError(f"no garden for {tag}")
+
+
+def write_distilled(root: str, coverage: DataFrame, silent: DataFrame, misalignments: DataFrame, by_arm: DataFrame) -> None:
+    """The four tables of a distilled corpus, as tab-separated files."""
+    for name, df in (("coverage", coverage), ("silent", silent), ("misalignments", misalignments), ("by_arm", by_arm)):
+        write_tsv(df, f"{root}/{name}")
+
+
+def promote(spark: SparkSession, root: str, tag: str, needed: list[str]) -> None:
+    """Makes a tag the final one: all its analyses must be there, and the pointer is written last."""
+    if missing := preflight(spark, [f"{root}/tag={tag}/{n}" for n in needed]):
+        raise LookupError(f"{tag} lacks {missing}")
+    spark.createDataFrame([(tag,)], "tag string").coalesce(1).write.mode("overwrite").parquet(f"{root}/final")
+
+
+def final(spark: SparkSession, root: str) -> str:
+    return spark.read.parquet(f"{root}/final").first()["tag"]
+
+
+def change_lock(spark: SparkSession, log: str, layer: str, action: str, digest: str | None, decision: str) -> None:
+    """Appends a lock or an unlock to the log; each says why."""
+    if action not in ("lock", "unlock") or not decision.strip():
+        raise ValueError("lock or unlock, with the decision behind it")
+    n = spark.read.json(log, schema=LOCKS).count() if not preflight(spark, [log]) else 0
+    append_log(spark.createDataFrame([(n, layer, action, digest if action == "lock" else None, decision)], LOCKS), log)
+
+
+LOCKS = "n long, layer string, action string, digest string, decision string"
+
+
+def lock_states(log: DataFrame, now: DataFrame) -> DataFrame:
+    """layer, state by each layer's last entry in the log and its digest now (layer, digest): absent, unlocked, locked or STALE."""
+    last = log.groupBy("layer").agg(F.max_by("action", "n").alias("action"), F.max_by("digest", "n").alias("want"))
+    t = last.join(now, "layer", "full_outer")
+    held = F.coalesce(F.col("action") == "lock", F.lit(False))
+    return t.select("layer", F.when(F.col("digest").isNull(), "absent").when(~held, "unlocked").when(F.col("want") == F.col("digest"), "locked").otherwise("STALE").alias("state"))
+
+
+def replicates(manifests: DataFrame, spend: DataFrame) -> DataFrame:
+    """root, tag, cost: the newest final tag of each completed replicate's manifest (root, completed, at, tag), and what it cost (root, cost_usd)."""
+    t = manifests.filter("completed").groupBy("root").agg(F.max_by("tag", "at").alias("tag"))
+    return t.join(spend.groupBy("root").agg(F.round(F.sum("cost_usd"), 6).alias("cost")), "root", "left").fillna(0.0, ["cost"])
+
+
+#: Item sources by name: functions from decisions, silent ones and misalignments to items. A study can register more.
+KINDS: dict = {}
+
+
+def item_source(name: str):
+    def register(make):
+        KINDS[name] = make
+        return make
+
+    return register
+
+
+item_source("decision")(lambda decisions, silent, misaligned: decisions.select("run", "text"))
+item_source("silent")(lambda decisions, silent, misaligned: silent.select("run", "text"))
+item_source("misaligned")(lambda decisions, silent, misaligned: misaligned.select("run", F.col("note").alias("text")))
+
+
+def study(spark: SparkSession, path: str) -> DataFrame:
+    """corpus, root of a study's manifest, a JSON file with an object `corpora` of roots."""
+    t = spark.read.text(path, wholetext=True).select(F.from_json("value", "corpora map<string, string>").alias("s"))
+    return t.select(F.explode("s.corpora").alias("corpus", "root"))
+
+
+def checked(verdicts: DataFrame, *checks: tuple) -> DataFrame:
+    """verdicts with complaint: the first of the checks (name, condition that must hold) that a row fails; null for a sound row."""
+    out = F.lit(None).cast("string")
+    for name, holds in reversed(checks):
+        out = F.when(~F.coalesce(holds, F.lit(False)), name).otherwise(out)
+    return verdicts.withColumn("complaint", out)
+
+
 def prune_classes(cache: DataFrame, shipped: DataFrame) -> DataFrame:
     """key, class: reachable, edited (the prompt has another hash now), not shipped (no such prompt) or unreadable."""
     s = shipped.select("prompt", F.col("prompt_hash").alias("now"))
