@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 
 import numpy as np
 import pandas as pd
@@ -29,6 +31,29 @@ def shared(spark: SparkSession) -> str:
     return found
 
 
+_stored: list[tuple[SparkSession, str]] = []
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """df as a table in the shared folder, for what a query reads several times; gone at the end of the session."""
+    spark = df.sparkSession
+    path = f"{shared(spark)}/manyways/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    _stored.append((spark, path))
+    return spark.read.schema(df.schema).parquet(path)
+
+
+@atexit.register
+def _clean() -> None:
+    for spark, path in _stored:
+        try:
+            jvm = spark.sparkContext._jvm
+            p = jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        except Exception:  # the session has ended before; the folder stays for the cluster's own clean-up
+            return
+
+
 def connected(edges: DataFrame) -> DataFrame:
     """id, component (the least id that edges a-b lead to): least labels of neighbours, then labels of labels, until nothing moves."""
     both = edges.select("a", "b").union(edges.select("b", "a")).distinct()

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from manyways.operators.cluster import stored
+
 LEAST_RUNS = 10
 PIVOTAL = 1.5
 SETTLED = 0.8
@@ -28,7 +30,8 @@ def run_count(choice: DataFrame) -> DataFrame:
 def fork_stats(choice: DataFrame) -> DataFrame:
     """Per fork: reach, coverage, absent runs, effective options among those who reached it and with absence as one more level, number of
     modal options, modal share."""
-    return stats_of(votes(choice), run_count(choice))
+    m = modal(choice)  # read twice; its shuffle is done once
+    return stats_of(m.groupBy("fork", "option").agg(F.count("*").alias("c")), run_count(m))
 
 
 def stats_of(votes: DataFrame, runs: DataFrame) -> DataFrame:
@@ -130,8 +133,9 @@ def node_classes(choice: DataFrame) -> DataFrame:
 
 def path_space(choice: DataFrame, least: float = 0.6) -> DataFrame:
     """Over universal forks: runs with a full row, distinct full paths, the log of the number of possible ones, and observed option pairs."""
-    universal = fork_stats(choice).filter(F.col("coverage") >= least).select("fork", "options")
-    m = modal(choice).join(universal, "fork")
+    m = stored(modal(choice))
+    universal = stats_of(m.groupBy("fork", "option").agg(F.count("*").alias("c")), run_count(m)).filter(F.col("coverage") >= least).select("fork", "options")
+    m = m.join(universal, "fork")
     k = universal.agg(F.count("*").alias("k"), F.round(F.sum(F.ln("options")), 6).alias("log_paths"))
     rows = m.groupBy("run").agg(F.count("*").alias("forks"), F.sha2(F.concat_ws("|", F.array_sort(F.collect_list(F.concat_ws("=", "fork", "option")))), 256).alias("path"))
     full = rows.crossJoin(F.broadcast(k)).filter(F.col("forks") == F.col("k"))  # one row

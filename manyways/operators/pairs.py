@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from manyways.functions.stats import benjamini_hochberg, fisher_tail
-from manyways.operators.cluster import cut
+from manyways.operators.cluster import stored
 from manyways.operators.forks import modal, positions
 
 
@@ -46,16 +46,36 @@ def option_clashes(choice: DataFrame, least: float = 0.25) -> DataFrame:
     return j.withColumn("share", F.round(F.col("n") / F.least("na", "nb"), 6)).filter(F.col("share") > least).select("fork", "a", "b", "n", "share")
 
 
+def coded(d: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """d (fork, option, run) as a stored table run, f, c with numbers for forks and options, which are shorter to shuffle and compare than
+    names; and the vocabulary c, f, fork, option, in the order of names."""
+    names = d.select("fork", "option").distinct()
+    by = Window.orderBy("fork", "option")  # a vocabulary
+    vocabulary = stored(names.select(F.row_number().over(by).alias("c"), F.dense_rank().over(Window.orderBy("fork")).alias("f"), "fork", "option"))
+    return stored(d.join(vocabulary, ["fork", "option"]).select("run", "f", "c")), vocabulary
+
+
 def cramers_v(choice: DataFrame, least: int = 20, reach: int = 100) -> DataFrame:
     """Association of the modal options at two forks (with `reach` runs or more each) over runs that face both (`least` or more)."""
-    m = modal(choice)
-    m = m.join(m.groupBy("fork").agg(F.count("*").alias("n")).filter(F.col("n") >= reach).select("fork"), "fork")
-    cell = m.select("run", F.col("fork").alias("a"), F.col("option").alias("x")).join(m.select("run", F.col("fork").alias("b"), F.col("option").alias("y")), "run").filter("a < b").groupBy("a", "b", "x", "y").agg(F.count("*").alias("o"))
-    row, col, both = Window.partitionBy("a", "b", "x"), Window.partitionBy("a", "b", "y"), Window.partitionBy("a", "b")
-    t = cell.select("a", "b", "o", F.sum("o").over(row).alias("r"), F.sum("o").over(col).alias("c"), F.sum("o").over(both).alias("n"), "x", "y")
+    m, names = coded(modal(choice))
+    m = m.join(m.groupBy("f").agg(F.count("*").alias("n")).filter(F.col("n") >= reach).select("f"), "f")
+    cell = m.select("run", F.col("f").alias("a"), F.col("c").alias("x")).join(m.select("run", F.col("f").alias("b"), F.col("c").alias("y")), "run").filter("a < b").groupBy("x", "y").agg(F.count("*").alias("o"))
+    forks = names.select("c", "f")
+    cell = cell.join(forks.select(F.col("c").alias("x"), F.col("f").alias("a")), "x").join(forks.select(F.col("c").alias("y"), F.col("f").alias("b")), "y")
+    w = lambda *c: F.sum("o").over(Window.partitionBy("a", "b", *c))
+    t = cell.repartition("a", "b").select("a", "b", "o", w("x").alias("r"), w("y").alias("c"), w().alias("n"), "x", "y")  # one shuffle serves all
     out = t.groupBy("a", "b").agg(F.max("n").alias("runs"), F.sum(F.col("o") * F.col("o") / (F.col("r") * F.col("c"))).alias("s"), F.countDistinct("x").alias("kx"), F.countDistinct("y").alias("ky"))
     k = F.least("kx", "ky") - 1
-    return out.filter((F.col("runs") >= least) & (k > 0)).select("a", "b", "runs", F.round(F.sqrt(F.greatest(F.col("s") - 1, F.lit(0.0)) / k), 6).alias("v"))
+    out = out.filter((F.col("runs") >= least) & (k > 0)).select("a", "b", "runs", F.round(F.sqrt(F.greatest(F.col("s") - 1, F.lit(0.0)) / k), 6).alias("v"))
+    return _named(out, names)
+
+
+def _named(df: DataFrame, names: DataFrame) -> DataFrame:
+    """Names for the numbers of forks in a and b."""
+    f = names.select("f", "fork").distinct()
+    for c in ("a", "b"):
+        df = df.withColumnRenamed(c, "f").join(f, "f").withColumnRenamed("fork", c).drop("f")
+    return df
 
 
 def sibling_screen(choice: DataFrame, tokens: DataFrame, most_shared: int = 1, overlap: float = 0.34, least: int = 8) -> DataFrame:
@@ -69,48 +89,50 @@ def sibling_screen(choice: DataFrame, tokens: DataFrame, most_shared: int = 1, o
 
 
 def _faced(choice: DataFrame, reach: int):
-    """Of forks with `reach` runs or more: their option sets (fork, option, run), runs, sizes and positions."""
-    d = choice.select("fork", "option", "run").distinct()
-    runs = d.select("fork", "run").distinct()
-    size = runs.groupBy("fork").agg(F.count("*").alias("na")).filter(F.col("na") >= reach).join(positions(choice).select("fork", "position"), "fork")
-    return d.join(size.select("fork"), "fork"), runs.join(size.select("fork"), "fork"), size
+    """Of forks with `reach` runs or more: their option sets (run, f, c), runs (run, f), sizes and positions (f, na, position), and names."""
+    choice = stored(choice.select("did", "run", "line", "fork", "option"))
+    d, names = coded(choice.select("fork", "option", "run").distinct())
+    runs = d.select("run", "f").distinct()
+    place = positions(choice).select("fork", "position").join(names.select("f", "fork").distinct(), "fork")
+    size = stored(runs.groupBy("f").agg(F.count("*").alias("na")).filter(F.col("na") >= reach).join(place, "f").select("f", "na", "position"))
+    return d.join(size.select("f"), "f"), runs.join(size.select("f"), "f"), size, names
 
 
-def _triples(choice: DataFrame, least: int, reach: int) -> DataFrame:
-    """(a, option, later fork b) that `least` runs of the option reach, with the sizes that the rules compare. How many of a's runs reach b
+def _triples(d: DataFrame, runs: DataFrame, size: DataFrame, least: int) -> DataFrame:
+    """(a, option c, later fork b) that `least` runs of the option reach, with the sizes that the rules compare. How many of a's runs reach b
     at all is one count per pair of forks."""
-    d, runs, size = _faced(choice, reach)
-    n1 = d.groupBy("fork", "option").agg(F.count("*").alias("n1"))
-    a = size.select(F.col("fork").alias("a"), "na", F.col("position").alias("pa")).join(n1.withColumnRenamed("fork", "a"), "a")
+    n1 = d.groupBy("f", "c").agg(F.count("*").alias("n1"))
+    a = size.select(F.col("f").alias("a"), "na", F.col("position").alias("pa")).join(n1.withColumnRenamed("f", "a"), "a")
     a = a.filter((F.col("n1") >= least) & (F.col("na") - F.col("n1") >= least))
-    to = runs.withColumnRenamed("fork", "b")
-    hit = d.withColumnRenamed("fork", "a").join(to, "run").filter("a <> b").groupBy("a", "option", "b").agg(F.count("*").alias("hit")).filter(F.col("hit") >= least)
-    hits = cooccurrence(runs, "run", "fork").withColumnRenamed("n", "hits")
+    hit = d.withColumnRenamed("f", "a").join(runs.withColumnRenamed("f", "b"), "run").filter("a <> b").groupBy("c", "b").agg(F.count("*").alias("hit")).filter(F.col("hit") >= least)
+    hits = cooccurrence(runs, "run", "f").withColumnRenamed("n", "hits")
     hits = hits.union(hits.select("b", "a", "hits"))
-    t = hit.join(a, ["a", "option"]).join(size.select(F.col("fork").alias("b"), F.col("position").alias("pb")), "b").filter(F.col("pb") > F.col("pa")).join(hits, ["a", "b"])
+    t = hit.join(a, "c").join(size.select(F.col("f").alias("b"), F.col("position").alias("pb")), "b").filter(F.col("pb") > F.col("pa")).join(hits, ["a", "b"])
     return t.withColumn("p0", (F.col("hits") - F.col("hit")) / (F.col("na") - F.col("n1"))).withColumn("p1", F.col("hit") / F.col("n1"))
 
 
 def gates(choice: DataFrame, least: int = 5, most_without: float = 0.06, least_with: float = 0.25, q: float = 0.05, reach: int = 8) -> DataFrame:
     """Options (of fork a) after which a later fork b is reached and without which it hardly ever is: Fisher's one-sided p, up to the
     Benjamini-Hochberg threshold over all that were tested."""
-    t = _triples(choice, least, reach).filter((F.col("p0") <= most_without) & (F.col("p1") >= least_with))
-    tested = cut(fisher_tail(t, "hit", "n1", "hits", "na"))
+    d, runs, size, names = _faced(choice, reach)
+    t = _triples(d, runs, size, least).filter((F.col("p0") <= most_without) & (F.col("p1") >= least_with))
+    tested = stored(fisher_tail(t, "hit", "n1", "hits", "na"))
     limit = benjamini_hochberg(tested, "p", q).select("threshold")
-    return tested.crossJoin(F.broadcast(limit)).filter("p <= threshold").select("a", "option", "b", "hit", F.round("p0", 6).alias("p0"), F.round("p1", 6).alias("p1"), F.round("p", 9).alias("p"))  # one row
+    kept = tested.crossJoin(F.broadcast(limit)).filter("p <= threshold").join(names.select("c", "option"), "c")  # one row
+    return _named(kept.select("a", "option", "b", "hit", F.round("p0", 6).alias("p0"), F.round("p1", 6).alias("p1"), F.round("p", 9).alias("p")), names)
 
 
 def gate_funnel(choice: DataFrame, least: int = 5, most_without: float = 0.06, least_with: float = 0.25, reach: int = 8) -> DataFrame:
     """rule, n: how many options, and then (fork, option, later fork) triples, stop at which rule first. Triples that no run takes are
     counted, not made."""
-    d, _, size = _faced(choice, reach)
+    d, runs, size, _ = _faced(choice, reach)
     later = Window.orderBy("position").rangeBetween(Window.unboundedPreceding, 0)  # over forks
     size = size.withColumn("earlier", F.count("*").over(later) - 1).withColumn("forks", F.count("*").over(Window.partitionBy()) - 1)
-    o = d.groupBy("fork", "option").agg(F.count("*").alias("n1")).join(size, "fork")
+    o = d.groupBy("f", "c").agg(F.count("*").alias("n1")).join(size, "f")
     kind = F.when(F.col("n1") < least, "option too rare").when(F.col("na") - F.col("n1") < least, "no comparison group").otherwise("not later")
     options = o.groupBy(kind.alias("rule")).agg(F.sum(F.when(kind == "not later", F.col("earlier")).otherwise(1)).alias("n"), F.sum(F.when(kind == "not later", F.col("forks") - F.col("earlier")).otherwise(0)).alias("rest"))
-    t = _triples(choice, least, reach)
+    t = _triples(d, runs, size, least)
     stop = F.when(F.col("p0") > most_without, "others reach it too").when(F.col("p1") < least_with, "most don't reach it").otherwise("tested")
-    taken = cut(t.groupBy(stop.alias("rule")).agg(F.count("*").alias("n")))
+    taken = stored(t.groupBy(stop.alias("rule")).agg(F.count("*").alias("n")))
     few = options.agg(F.sum("rest").alias("r")).crossJoin(taken.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("k"))).select(F.lit("too few runs").alias("rule"), (F.col("r") - F.col("k")).alias("n"))  # one row each
     return options.select("rule", "n").union(taken).union(few)
