@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from manyways.llm.common import buffers, mixed, parts, powers, prefix_hash, released, table, trimmed, written
+from manyways.llm.common import buffers, discard, mixed, parts, powers, prefix_hash, released, table, trimmed, written
 
 TREES = 16
 STRIDE = 4
@@ -332,16 +332,17 @@ def components(links: DataFrame) -> DataFrame:
     logarithm of the longest chain. No links or labels come to the driver.
     """
     both = written(links.select("a", "b").union(links.select("b", "a")), "both-ways")
-    labels = written(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("component")), "labels")
+    labels = held = written(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("component")), "labels")
     while True:
         near = both.join(labels.withColumnRenamed("id", "b"), "b").groupBy("a").agg(F.min("component").alias("near"))
         step = labels.join(near.withColumnRenamed("a", "id"), "id").select("id", F.least("component", "near").alias("next"), F.col("component").alias("old"))
         step = written(step, "step")
         jump = step.select(F.col("id").alias("next"), F.col("next").alias("far"))
-        labels = written(step.join(jump, "next").select("id", F.least("next", "far").alias("component"), "old"), "labels")
-        moved = labels.filter("component <> old").limit(1).count()
-        labels = labels.select("id", "component")
-        if not moved:
+        new = written(step.join(jump, "next").select("id", F.least("next", "far").alias("component"), "old"), "labels")
+        discard(step, held)
+        held, labels = new, new.select("id", "component")
+        if not new.filter("component <> old").limit(1).count():
+            discard(both)
             return labels
 
 
@@ -373,8 +374,11 @@ def _grouped(rows: DataFrame, docs: DataFrame, width: int, percent: int) -> Data
     pairs = written(pairs, "candidates")
     texts = texts_of(pairs, docs)
     links = written(confirmed(pairs, texts, width, percent), "links")
+    discard(pairs)
     rest = written(unlinked(trees, sets, components(links)), "unlinked")  # their texts are there: each had a neighbour
-    links = written(links.union(confirmed_mates(rest, texts, width, percent)), "all-links")
+    discard(trees)
+    first, links = links, written(links.union(confirmed_mates(rest, texts, width, percent)), "all-links")
+    discard(first, texts, rest)
     of_set = sets.select("set_id", F.col("doc_id").alias("_least")).join(components(links).withColumnRenamed("id", "_least"), "_least", "left")
     of_set = written(of_set.select("set_id", F.coalesce("component", "_least").alias("_component")), "set-components")
     out = rows.select("doc_id", "n_shingles", "set_id").join(of_set, "set_id", "left").withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("_component", "doc_id")))

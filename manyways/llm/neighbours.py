@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from manyways.llm.common import released, table, trimmed, written
+from manyways.llm.common import discard, released, table, trimmed, written
 
 BLOCK = 8192
 QUERIES = 1024
@@ -191,7 +191,9 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, block: int = BLOCK
     # equal queries come together in lists of OWNERS ids at most, about, so that a vector that many have is no hot key
     salts = math.ceil(asked.count() / OWNERS) or 1
     owners = asked.groupBy("key", F.pmod(F.xxhash64("query_id"), F.lit(salts)).alias("salt")).agg(F.collect_list("query_id").alias("owners"))
-    own = owners.join(written(lists, "lists"), "key").select(F.explode("owners").alias("query_id"), "hits")
+    lists = written(lists, "lists")
+    discard(groups, distinct)
+    own = owners.join(lists, "key").select(F.explode("owners").alias("query_id"), "hits")
     each = own.select("query_id", F.posexplode(F.slice(F.filter("hits", lambda h: h["vec_id"] != F.col("query_id")), 1, k)).alias("at", "hit"))
     return each.select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("hit")["vec_id"].alias("vec_id"), (-F.col("hit")["minus"]).alias("score"))
 
