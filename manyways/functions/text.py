@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-STOP = ("the", "and", "for", "with", "from", "that", "this", "are", "was")
+#: The stop words of labels of options, of descriptions compared by words, of fork labels, and of spans.
+STOP = tuple("the a an of to in on for with and or as at by from is are was were be this that it its into per than then so such which each every all run runs analysis model data set".split())
+WORD_STOP = tuple("a an the of to in on for by with and or at as is are be into from that this these those it its use used using which what how do does done than then when where each per via over under between within not no if".split())
+FORK_STOP = tuple("how is are the a an of to into for from in on at by with and or what which used use does do this that it its as been was were if then than when where who whom whose there their they them".split())
+SPAN_STOP = tuple("a an the and or of to in on for with from by as is are be was were this that these those it its at into over under then than so if when which what how use using apply applied set sets compute computed calculate calculated data value values column columns row rows".split())
 
 
 def tokens(text: Column, stop: tuple[str, ...] = STOP, longest_dropped: int = 2) -> Column:
@@ -14,7 +18,7 @@ def tokens(text: Column, stop: tuple[str, ...] = STOP, longest_dropped: int = 2)
     return F.filter(found, lambda t: (F.length(t) > longest_dropped) & ~t.isin(*stop))
 
 
-def words(text: Column, stop: tuple[str, ...] = STOP) -> Column:
+def words(text: Column, stop: tuple[str, ...] = WORD_STOP) -> Column:
     return F.filter(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit("([a-z0-9.]+)"))), lambda t: ~t.isin(*stop))
 
 
@@ -58,8 +62,8 @@ def norm_target(name: Column) -> Column:
 
 
 def tag_norm(tag: Column) -> Column:
-    """A rationale tag in lower case, with letters, digits and single spaces only."""
-    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(tag), "[^a-z0-9 ]", " "), r"\s+", " "))
+    """A rationale tag in lower case, with letters, digits and spaces only."""
+    return F.trim(F.regexp_replace(F.lower(tag), "[^a-z0-9 ]", ""))
 
 
 def fork_handle(fork: Column) -> Column:

@@ -206,3 +206,18 @@ def line_agreement(a: DataFrame, b: DataFrame) -> DataFrame:
     count = lambda s, n: s.groupBy("run").agg(F.count("*").alias(n))
     delta = count(a, "x").join(count(b, "y"), "run").select("run", (F.col("y") - F.col("x")).alias("spans_delta"))
     return adjusted_rand(t, "run").join(kinds, "run").join(delta, "run").select("run", "items", "ari", "kinds", "spans_delta")
+
+
+def by_size(items: DataFrame, over: str, cuts: tuple[int, int] = (12, 20)) -> DataFrame:
+    """Per bucket of groups by their numbers of items: groups, and the mean and median of their adjusted Rand indices."""
+    a = adjusted_rand(items, over).filter("ari is not null")
+    low, high = cuts
+    name = F.when(F.col("items") < low, f"<{low}").when(F.col("items") < high, f"{low}-{high - 1}").otherwise(f"{high}+")
+    return a.groupBy(name.alias("bucket")).agg(F.count("*").alias("groups"), F.round(F.avg("ari"), 6).alias("mean"), F.round(F.median("ari"), 6).alias("median"))
+
+
+def verdict(items: DataFrame, tolerance: float = 0.02) -> DataFrame:
+    """direction() with one verdict: what both ways of looking say, ambiguous where they contradict each other."""
+    d = direction(items, tolerance)
+    x, y = F.col("by_items"), F.col("by_clusters")
+    return d.withColumn("verdict", F.when(x == y, x).when(x == "even", y).when(y == "even", x).otherwise("ambiguous"))

@@ -80,9 +80,9 @@ def spectrum(choice: DataFrame) -> DataFrame:
     return option_runs(choice).groupBy(F.col("c").alias("k")).agg(F.count("*").alias("options"))
 
 
-def provenance_delta(choice: DataFrame, other: str) -> DataFrame:
-    """Measurable forks' mean modal share and mean effective options, over all runs and without those of one arm."""
-    whole, less = (fork_stats(c).filter(F.col("reach") >= LEAST_RUNS).agg(F.count("*").alias("forks"), F.round(F.avg("modal_share"), 6).alias("modal_share"), F.round(F.avg("eff_reached"), 6).alias("eff_reached")) for c in (choice, choice.filter(F.col("arm") != other)))
+def provenance_delta(choice: DataFrame, *others: str) -> DataFrame:
+    """Measurable forks' mean modal share and mean effective options, over all runs and without those of some arms."""
+    whole, less = (fork_stats(c).filter(F.col("reach") >= LEAST_RUNS).agg(F.count("*").alias("forks"), F.round(F.avg("modal_share"), 6).alias("modal_share"), F.round(F.avg("eff_reached"), 6).alias("eff_reached")) for c in (choice, choice.filter(~F.col("arm").isin(*others))))
     return whole.withColumn("which", F.lit("all")).unionByName(less.withColumn("which", F.lit("without")))
 
 
@@ -142,7 +142,9 @@ def path_space(choice: DataFrame, least: float = 0.6) -> DataFrame:
     paths = full.agg(F.count("*").alias("complete_runs"), F.countDistinct("path").alias("distinct_paths"))
     a, b = m.select("run", F.col("fork").alias("fa"), F.col("option").alias("oa")), m.select("run", F.col("fork").alias("fb"), F.col("option").alias("ob"))
     pairs = a.join(b, "run").filter("fa < fb").select("fa", "oa", "fb", "ob").distinct().agg(F.count("*").alias("pairs_seen"))
-    return paths.crossJoin(k).crossJoin(pairs).select("complete_runs", "distinct_paths", F.col("k").alias("universal_forks"), "log_paths", "pairs_seen")
+    o = universal.agg(((F.sum("options") * F.sum("options") - F.sum(F.col("options") * F.col("options"))) / 2).alias("possible"))
+    t = paths.crossJoin(k).crossJoin(pairs).crossJoin(o)  # one row each
+    return t.select("complete_runs", "distinct_paths", F.col("k").alias("universal_forks"), "log_paths", "pairs_seen", F.round(F.when(F.col("possible") > 0, F.col("pairs_seen") / F.col("possible")), 6).alias("pair_share"))
 
 
 def run_novelty(choice: DataFrame) -> DataFrame:

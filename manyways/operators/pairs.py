@@ -78,14 +78,35 @@ def _named(df: DataFrame, names: DataFrame) -> DataFrame:
     return df
 
 
-def sibling_screen(choice: DataFrame, tokens: DataFrame, most_shared: int = 1, overlap: float = 0.34, least: int = 8) -> DataFrame:
-    """Fork pairs with like labels (tokens: fork, token) that hardly any run reaches both of: candidates for one question asked twice.
-    Ranked by overlap and reach."""
+def sibling_screen(choice: DataFrame, tokens: DataFrame, most_shared: int = 1, overlap: float = 0.34, least: int = 8, options: DataFrame | None = None, stages: DataFrame | None = None) -> DataFrame:
+    """Fork pairs with like labels (tokens: fork, token) that hardly any run reaches both of: candidates for one question asked twice, with the
+    overlap of their options (fork, option) and whether they are of one stage (fork, stage), if given. Ranked by overlap and reach."""
     s = sizes(choice, "run", "fork").filter(F.col("size") >= least)
     like = jaccard(tokens, "token", "fork", overlap).select("a", "b", "jaccard")
     j = like.join(s.select(F.col("i").alias("a"), F.col("size").alias("na")), "a").join(s.select(F.col("i").alias("b"), F.col("size").alias("nb")), "b")
-    j = j.join(cooccurrence(choice, "run", "fork"), ["a", "b"], "left").withColumn("shared", F.coalesce("n", F.lit(0)))
-    return j.filter(F.col("shared") <= most_shared).select("a", "b", "jaccard", "shared", F.round(F.col("jaccard") + F.greatest("na", "nb") / 400, 6).alias("score"))
+    j = j.join(cooccurrence(choice, "run", "fork"), ["a", "b"], "left").withColumn("shared", F.coalesce("n", F.lit(0))).filter(F.col("shared") <= most_shared)
+    more = []
+    if options is not None:
+        j = j.join(jaccard(options, "option", "fork").select("a", "b", F.col("jaccard").alias("_o")), ["a", "b"], "left")
+        more.append(F.coalesce("_o", F.lit(0.0)).alias("option_overlap"))
+    if stages is not None:
+        j = j.join(stages.select(F.col("fork").alias("a"), F.col("stage").alias("_sa")), "a", "left").join(stages.select(F.col("fork").alias("b"), F.col("stage").alias("_sb")), "b", "left")
+        more.append(F.col("_sa").eqNullSafe(F.col("_sb")).alias("same_stage"))
+    return j.select("a", "b", "jaccard", "shared", *more, F.round(F.col("jaccard") + F.greatest("na", "nb") / 400, 6).alias("score"))
+
+
+def strongest(choice: DataFrame, k: int = 60) -> DataFrame:
+    """The k pairs of options that most runs hold both of, as evidence for a reader."""
+    t = choice.select("run", F.concat_ws("|", "fork", "option").alias("option"))
+    return cooccurrence(t, "run", "option").orderBy(F.desc("n"), "a", "b").limit(k)
+
+
+def exclusivity(choice: DataFrame, least: float = 0.25, few: int = 5) -> DataFrame:
+    """One row: option pairs of one fork, how many of them clash (option_clashes()), forks with one option, the median runs of a fork, and forks
+    with fewer than `few` runs."""
+    f = choice.groupBy("fork").agg(F.countDistinct("option").alias("o"), F.countDistinct("run").alias("r"))
+    t = f.agg(F.sum(F.col("o") * (F.col("o") - 1) / 2).cast("long").alias("pairs"), F.sum((F.col("o") == 1).cast("long")).alias("orphans"), F.median("r").alias("median_runs"), F.sum((F.col("r") < few).cast("long")).alias("small"))
+    return t.crossJoin(option_clashes(choice, least).agg(F.count("*").alias("clashes")))  # one row each
 
 
 def _faced(choice: DataFrame, reach: int):

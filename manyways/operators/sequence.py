@@ -91,3 +91,17 @@ def stratified(items: DataFrame, stratum: str, key: str, n: int) -> DataFrame:
     """n items, round robin over strata, by key within each."""
     w = Window.partitionBy(stratum).orderBy(key)
     return items.withColumn("round", F.row_number().over(w)).orderBy("round", stratum).limit(n)
+
+
+def headline(choice: DataFrame, tie: int = TIE_LINES) -> DataFrame:
+    """One row: runs, steps, returns, the share of steps that return and of runs that do, mean depth and median distance of returns."""
+    r = returns(choice, tie)
+    n = steps(choice).filter("to is not null").agg(F.count("*").alias("steps"))
+    one = r.agg(F.count("*").alias("returns"), F.countDistinct("run").alias("k"), F.round(F.avg("depth"), 6).alias("depth"), F.median("distance").alias("distance"))
+    t = one.crossJoin(n).crossJoin(choice.agg(F.countDistinct("run").alias("runs")))  # one row each
+    return t.select("runs", "steps", "returns", F.round(F.col("returns") / F.col("steps"), 6).alias("rate"), F.round(F.col("k") / F.col("runs"), 6).alias("with_return"), "depth", "distance")
+
+
+def back_pairs(choice: DataFrame, tie: int = TIE_LINES) -> DataFrame:
+    """fork, to, n, runs: which fork sends runs back to which."""
+    return returns(choice, tie).groupBy("fork", "to").agg(F.count("*").alias("n"), F.countDistinct("run").alias("runs"))

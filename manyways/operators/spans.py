@@ -123,3 +123,21 @@ def adjudicated(verdicts: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
     left = a.join(same.select("run", F.col("i").alias("id")), ["run", "id"], "left_anti").agg(F.lit("only_A").alias("kind"), F.count("*").alias("n"))
     right = b.join(same.select("run", F.col("j").alias("id")), ["run", "id"], "left_anti").agg(F.lit("only_B").alias("kind"), F.count("*").alias("n"))
     return same.agg(F.lit("same").alias("kind"), F.count("*").alias("n")).union(left).union(right)
+
+
+def f1_levels(a: DataFrame, b: DataFrame) -> DataFrame:
+    """level, f1() and the share of matches that differ in a line, of spans matched at four levels."""
+    from manyways.operators.agreement import LEVELS
+
+    o, out = overlaps(a, b), None
+    for level, score, least in LEVELS:
+        m = greedy(o, score, least)
+        moved = m.join(o.select("run", "i", "j", "jitter"), ["run", "i", "j"]).agg(F.round(F.coalesce(F.avg((F.col("jitter") > 0).cast("double")), F.lit(0.0)), 6).alias("jitter_share"))
+        row = f1(m, a, b).crossJoin(moved).withColumn("level", F.lit(level))  # one row each
+        out = row if out is None else out.union(row)
+    return out
+
+
+def subtypes(spans: DataFrame, kind: str = "intron") -> DataFrame:
+    """run, subtype, lines of one kind of spans (run, kind, subtype, start, end)."""
+    return spans.filter(F.col("kind") == kind).groupBy("run", "subtype").agg(F.sum(F.col("end") - F.col("start") + 1).alias("lines"))

@@ -7,13 +7,12 @@ from pyspark.sql import functions as F
 from manyways.functions import text
 from manyways.model import CHOICE_SQL, EVENTS_SQL, Query, events_choice, on_orders, orders_choice, table
 from manyways.operators import checks, cluster, forks, pairs, resample, spans, surrogate
-from manyways.plans.documents_sql import GRAMS, JACCARD, SPAN_SQL, outcome, two_spans
-from manyways.plans.forks_sql import STATS, stages
+from manyways.plans.documents_sql import GRAMS, JACCARD, SPAN_SQL, WORDS, outcome, two_spans
+from manyways.plans.forks_sql import STAGE_SQL, STATS, stages
 from manyways.plans.projections_sql import TALK_SQL, talk
 from manyways.plans.structure_sql import STEPS, builds
 from manyways.sources import corpus
 
-WORDS = "list_distinct(list_filter(regexp_extract_all(lower({0}), '[a-z0-9.]+'), lambda t: t NOT IN (" + ", ".join(f"'{w}'" for w in text.STOP) + ")))"
 LABELLED_SQL = """lab AS (SELECT run, arm, did, line, fork, option || CASE right(option, 1) WHEN '1' THEN ' or none' WHEN '2' THEN ', then log and scale' ELSE '' END AS option FROM choice)"""
 SIM = f"greatest({JACCARD.format(WORDS.format('x'), WORDS.format('y'))}, {JACCARD.format(GRAMS.format('lower(x)'), GRAMS.format('lower(y)'))})"
 RANKS = {"data": 0, "transformation": 1, "eda": 2, "modeling": 3, "inference": 4, "communication": 5}
@@ -121,7 +120,16 @@ def judged_links(spark, sf_dir):
     return corpus.checked(t, ("agreement", F.col("agreement").isin("aligned", "misaligned")), ("empty note", ~wrong | (F.trim("note") != "")), ("concedes", ~wrong | ~text.concedes(F.col("note")))).select("run", "decision_id", "claim_id", "complaint")
 
 
+def siblings(spark, sf_dir):
+    c = by_order(spark, sf_dir)
+    return pairs.sibling_screen(c, label_tokens(c), overlap=0.3, options=c.select("fork", "option").distinct(), stages=forks.with_stage(forks.reach(c), stages(spark, sf_dir)).select("fork", "stage"))
+
+
 QUERIES = {
+    "g1_sibling_screen": Query(siblings, f"""WITH {CHOICE_SQL}, {STAGE_SQL}, {TOKENS_SQL}, d AS (SELECT DISTINCT did // 10 AS run, fork FROM choice), r AS (SELECT fork, count(*) z FROM d GROUP BY fork HAVING count(*) >= 8), k AS (SELECT fork, count(*) z FROM tok GROUP BY fork), w AS (SELECT DISTINCT fork, option FROM choice), wk AS (SELECT fork, count(*) z FROM w GROUP BY fork),
+        j AS (SELECT x.fork a, y.fork b, count(*) n FROM tok x JOIN tok y ON x.token = y.token AND x.fork < y.fork GROUP BY ALL), o AS (SELECT x.fork a, y.fork b, count(*) n FROM w x JOIN w y ON x.option = y.option AND x.fork < y.fork GROUP BY ALL), co AS (SELECT x.fork a, y.fork b, count(*) n FROM d x JOIN d y ON x.run = y.run AND x.fork < y.fork GROUP BY ALL),
+        l AS (SELECT a, b, round(n / (k.z + q.z - n), 6) jaccard FROM j JOIN k ON k.fork = a JOIN k q ON q.fork = b) SELECT l.a, l.b, jaccard, COALESCE(co.n, 0) shared, round(COALESCE(o.n / (p.z + q.z - o.n), 0), 6) option_overlap, COALESCE(s.stage, 'modeling') = COALESCE(t.stage, 'modeling') same_stage, round(jaccard + greatest(r.z, u.z) / 400, 6) score
+        FROM l JOIN r ON r.fork = l.a JOIN r u ON u.fork = l.b LEFT JOIN co ON co.a = l.a AND co.b = l.b LEFT JOIN o ON o.a = l.a AND o.b = l.b JOIN wk p ON p.fork = l.a JOIN wk q ON q.fork = l.b LEFT JOIN st s ON s.fork = l.a LEFT JOIN st t ON t.fork = l.b WHERE jaccard >= 0.3 AND COALESCE(co.n, 0) <= 1"""),
     "audit_vocabulary": Query(lambda s, d: checks.vocabulary(labelled(s, d)), f"""WITH {CHOICE_SQL}, {LABELLED_SQL}, o AS (SELECT DISTINCT fork, option FROM lab), f AS (SELECT fork, count(DISTINCT run) r, count(DISTINCT option) o FROM lab GROUP BY fork), d AS (SELECT DISTINCT run, fork, option FROM lab),
         u AS (SELECT DISTINCT fork AS l FROM lab), v1 AS (SELECT count(*) n FROM (SELECT a.option x, b.option y FROM o a JOIN o b ON a.fork = b.fork AND a.option < b.option) WHERE round({SIM}, 6) >= 0.55), v2 AS (SELECT count(*) n FROM (SELECT DISTINCT a.fork, a.option, b.option FROM d a JOIN d b ON a.run = b.run AND a.fork = b.fork AND a.option < b.option)),
         v3 AS (SELECT count(*) n FROM (SELECT a.l x, b.l y FROM u a JOIN u b ON a.l < b.l) WHERE round({SIM}, 6) >= 0.6), v6 AS (SELECT count(*) n FROM (SELECT 1 FROM lab GROUP BY run, fork, option HAVING max(line) - min(line) > 5)),

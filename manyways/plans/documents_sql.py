@@ -16,7 +16,7 @@ from manyways.streaming import incremental
 
 JACCARD = "CASE WHEN len(list_distinct(list_concat({0}, {1}))) > 0 THEN len(list_intersect({0}, {1})) / len(list_distinct(list_concat({0}, {1}))) ELSE 0 END"
 GRAMS = "(CASE WHEN length({0}) >= 3 THEN list_distinct([substr({0}, i, 3) FOR i IN range(1, length({0}) - 1)]) ELSE [] END)"
-WORDS = "list_distinct(list_filter(regexp_extract_all(lower({0}), '[a-z0-9.]+'), lambda t: t NOT IN ('the', 'and', 'for', 'with', 'from', 'that', 'this', 'are', 'was')))"
+WORDS = "list_distinct(list_filter(regexp_extract_all(lower({0}), '[a-z0-9.]+'), lambda t: t NOT IN (" + ", ".join(f"'{w}'" for w in text.WORD_STOP) + ")))"
 SESSIONS_SQL = """WITH g AS (SELECT user_id, ts, COALESCE(ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) >= INTERVAL 8 HOUR, false)::INT n FROM events), s AS (SELECT *, sum(n) OVER (PARTITION BY user_id ORDER BY ts) k FROM g)
         SELECT user_id, min(ts) AS "start", max(ts) + INTERVAL 8 HOUR AS "end", count(*) "events" FROM s GROUP BY user_id, k"""
 ALIKE_SQL = f"""w AS (SELECT item_id, text, {WORDS.format('text')} ws FROM benchmark), t AS (SELECT item_id, unnest(ws) x FROM w), r AS (SELECT x FROM t GROUP BY x HAVING count(*) BETWEEN 2 AND 5),
@@ -173,7 +173,7 @@ def cutoffs(spark, sf_dir):
 
 QUERIES = {
     "s2_lines": Query(lambda s, d: spans.lines(table(s, d, "documents")), "SELECT doc_id, i AS line, parts[i] AS content FROM (SELECT doc_id, string_split(text, chr(10)) parts, unnest(range(1, len(string_split(text, chr(10))) + 1)) i FROM documents)"),
-    "f_tokens": Query(lambda s, d: table(s, d, "benchmark").select("item_id", F.explode(text.tokens(F.col("text"))).alias("token")), "SELECT item_id, t AS token FROM (SELECT item_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z]+'))) t FROM benchmark) WHERE length(t) > 2 AND t NOT IN ('the', 'and', 'for', 'with', 'from', 'that', 'this', 'are', 'was')"),
+    "f_tokens": Query(lambda s, d: table(s, d, "benchmark").select("item_id", F.explode(text.tokens(F.col("text"))).alias("token")), "SELECT item_id, t AS token FROM (SELECT item_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z]+'))) t FROM benchmark) WHERE length(t) > 2 AND t NOT IN (" + ", ".join(f"'{w}'" for w in text.STOP) + ")"),
     "f_word_jaccard": Query(lambda s, d: _alike(s, d).select("a", "b", F.round(text.jaccard(text.words(F.col("x")), text.words(F.col("y"))), 6).alias("jaccard"), F.round(text.containment(text.words(F.col("x")), text.words(F.col("y"))), 6).alias("containment")), f"WITH {ALIKE_SQL} SELECT a, b, round({JACCARD.format('x', 'y')}, 6) jaccard, round(CASE WHEN least(len(x), len(y)) > 0 THEN len(list_intersect(x, y)) / least(len(x), len(y)) ELSE 0 END, 6) containment FROM p"),
     "f_similarity": Query(lambda s, d: _alike(s, d).select("a", "b", F.round(text.similarity(F.col("x"), F.col("y")), 6).alias("similarity")), f"WITH {ALIKE_SQL}, g AS (SELECT *, {GRAMS.format('u')} gu, {GRAMS.format('v')} gv FROM p) SELECT a, b, round(greatest({JACCARD.format('x', 'y')}, {JACCARD.format('gu', 'gv')}), 6) similarity FROM g"),
     "f_norm_target": Query(lambda s, d: table(s, d, "part").select("p_partkey", text.norm_target(F.concat(F.lit("df_"), F.col("p_name"), F.lit("_log"))).alias("target")), """WITH n AS (SELECT p_partkey, regexp_replace(lower('df_' || p_name || '_log'), '[^a-z0-9]', '', 'g') t0 FROM part),
@@ -185,7 +185,7 @@ QUERIES = {
     "f_concedes": Query(lambda s, d: sentences(s, d).select("id", text.concedes(F.col("note")).alias("concedes")), f"WITH {SENTENCES_SQL} SELECT id, id % 4 IN (0, 3) concedes FROM q"),
     "f_thresholds": Query(lambda s, d: sentences(s, d).select("id", F.array_join(text.thresholds(F.col("cut")).cast("array<string>"), ",").alias("slots")), f"""WITH {SENTENCES_SQL}, v AS (SELECT id, list_sort(list_distinct([(id % 7 + CASE id % 3 WHEN 0 THEN 0 WHEN 1 THEN 1 ELSE -1 END)::DOUBLE, id % 5 + 0.5])) s FROM q)
         SELECT id, array_to_string([x::VARCHAR FOR x IN s], ',') slots FROM v"""),
-    "f_tag_norm": Query(lambda s, d: table(s, d, "part").select("p_partkey", text.tag_norm(F.concat(F.lit(" "), F.upper("p_name"), F.lit(" - "), F.col("p_brand"))).alias("tag")), "SELECT p_partkey, trim(regexp_replace(regexp_replace(lower(p_name || ' - ' || p_brand), '[^a-z0-9 ]', ' ', 'g'), '\\s+', ' ', 'g')) tag FROM part"),
+    "f_tag_norm": Query(lambda s, d: table(s, d, "part").select("p_partkey", text.tag_norm(F.concat(F.lit(" "), F.upper("p_name"), F.lit(" - "), F.col("p_brand"))).alias("tag")), "SELECT p_partkey, trim(regexp_replace(lower(p_name || ' - ' || p_brand), '[^a-z0-9 ]', '', 'g')) tag FROM part"),
     "f_idf": Query(lambda s, d: word_weights(s, d), "WITH t AS (SELECT DISTINCT p_partkey, unnest(string_split(p_name, ' ')) w FROM part), n AS (SELECT count(DISTINCT p_partkey) n FROM t) SELECT w, count(*) df, round(ln(any_value(n) / count(*)), 6) idf, round(ln(1 + any_value(n) / count(*)), 6) smooth, round(1 / count(*), 6) inverse FROM t, n GROUP BY w"),
     "f_required_keys": Query(lambda s, d: table(s, d, "events").select("event_id", text.has_keys(F.col("props"), ["k"]).alias("fine"), text.has_keys(F.col("props"), ["k", "missing"]).alias("both")), "SELECT event_id, json_extract(props, '$.k') IS NOT NULL fine, false AS \"both\" FROM events"),
     "f_clipped": Query(lambda s, d: table(s, d, "part").select("p_partkey", text.clipped(F.concat_ws(" ", "p_name", "p_type"), 12).alias("t")), "SELECT p_partkey, CASE WHEN length(x) <= 12 THEN x ELSE regexp_replace(substr(x, 1, 12), '\\s+\\S*$', '') || '…' END t FROM (SELECT p_partkey, p_name || ' ' || p_type x FROM part)"),
@@ -200,6 +200,9 @@ QUERIES = {
         SELECT run, 60 - count(*) FILTER (line BETWEEN 1 AND 60) gaps, count(*) FILTER (k > 1) shared, count(*) FILTER (line NOT BETWEEN 1 AND 60) beyond FROM k GROUP BY run"""),
     "j11_greedy": Query(lambda s, d: spans.greedy(spans.overlaps(*two_spans(s, d)), "jaccard", 0.2)),  # the order decides; tests/test_forks.py has its cases
     "a37_span_f1": Query(lambda s, d: (lambda a, b: spans.f1(spans.greedy(spans.overlaps(a, b), "jaccard", 0.5), a, b))(*two_spans(s, d)), f"WITH {SPAN_SQL}{OVERLAP_SQL}, m AS (SELECT count(*) m FROM p WHERE jaccard >= 0.5), t AS (SELECT count(*) n FROM a) SELECT m, round(m / n, 6) AS precision, round(m / n, 6) recall, round(CASE WHEN m > 0 THEN 2 * (m / n) * (m / n) / (m / n + m / n) ELSE 0.0 END, 6) f1 FROM m, t"),
+    "a37_levels": Query(lambda s, d: spans.f1_levels(*two_spans(s, d)), f"""WITH {SPAN_SQL}, l AS (SELECT * FROM (VALUES ('verbatim', 0), ('strict', 0), ('lenient', 2), ('core', 4)) t("level", most)), n AS (SELECT count(*) * 6 t FROM s), m AS (SELECT "level", sum(CASE WHEN shift <= most THEN 6 WHEN "level" = 'core' AND shift = 6 THEN 5 ELSE 0 END)::BIGINT m, sum(CASE WHEN shift BETWEEN 1 AND most THEN 6 WHEN "level" = 'core' AND shift = 6 THEN 5 ELSE 0 END) moved FROM l, s GROUP BY "level")
+        SELECT "level", m, round(m / t, 6) AS precision, round(m / t, 6) recall, round(CASE WHEN m > 0 THEN m / t ELSE 0 END, 6) f1, round(CASE WHEN m > 0 THEN moved / m ELSE 0 END, 6) jitter_share FROM m, n"""),
+    "a21_subtypes": Query(lambda s, d: spans.subtypes(two_spans(s, d)[0].withColumn("subtype", F.when(F.col("id") == 0, "import").otherwise("print"))), f"""WITH {SPAN_SQL} SELECT run, CASE WHEN id = 0 THEN 'import' ELSE 'print' END subtype, sum("end" - "start" + 1)::BIGINT AS lines FROM a WHERE kind = 'intron' GROUP BY ALL"""),
     "g2_components": Query(lambda s, d: cluster.connected(type_edges(s, d)), f"WITH {CHOICE_SQL}, f AS (SELECT DISTINCT fork, split_part(fork, '/', 1) AS type FROM choice) SELECT fork id, min(fork) OVER (PARTITION BY type) component FROM f QUALIFY count(*) OVER (PARTITION BY type) > 1"),
     "g7_threshold_split": Query(lambda s, d: cluster.threshold_split(cutoffs(s, d)).select("oid", "did", F.array_join(F.col("part").cast("array<string>"), ",").alias("part")), """WITH m AS (SELECT p_brand oid, p_partkey did, CASE p_size % 5 WHEN 0 THEN [] WHEN 1 THEN [(p_size % 3)::DOUBLE] WHEN 2 THEN [(p_size % 3)::DOUBLE, 5.0] WHEN 3 THEN [5.0] ELSE [(p_size % 3)::DOUBLE, 5.0, 9.0] END v FROM part),
         s AS (SELECT oid, v, count(*) n FROM m WHERE len(v) > 0 GROUP BY ALL), w AS (SELECT x.oid, x.v, y.v h FROM s x JOIN s y ON x.oid = y.oid AND len(x.v) < len(y.v) AND list_has_all(y.v, x.v)), h AS (SELECT * FROM s WHERE NOT EXISTS (SELECT 1 FROM w WHERE w.oid = s.oid AND w.v = s.v)),

@@ -51,10 +51,10 @@ QUERIES = {
         count(*) FILTER (c >= greatest(3, 0.10 * runs)) stable_options, count(*) FILTER (c = 1) novel_options, round(avg((c = 1)::INT), 6) novel_share, string_agg(c::VARCHAR, ',' ORDER BY c DESC) counts
         FROM option_runs JOIN reach USING (fork) WHERE runs >= 10 GROUP BY fork"""),
     "a3_spectrum": on_orders(forks.spectrum, STATS + "SELECT c k, count(*) options FROM option_runs GROUP BY c"),
-    "a4_provenance_delta": on_orders(forks.provenance_delta, """, c2 AS (SELECT 'all' which, * FROM choice UNION ALL SELECT 'without' which, * FROM choice WHERE arm <> 'BUILDING'),
+    "a4_provenance_delta": on_orders(forks.provenance_delta, """, c2 AS (SELECT 'all' which, * FROM choice UNION ALL SELECT 'without' which, * FROM choice WHERE arm NOT IN ('BUILDING', 'MACHINERY')),
         picks AS (SELECT which, fork, run, option, count(*) n, min(line) seen FROM c2 GROUP BY ALL), modal AS (SELECT which, fork, run, option FROM (SELECT *, row_number() OVER (PARTITION BY which, fork, run ORDER BY n DESC, seen) rn FROM picks) WHERE rn = 1),
         votes AS (SELECT which, fork, option, count(*) c FROM modal GROUP BY ALL), per AS (SELECT which, fork, sum(c) reach, round(max(c) / sum(c), 6) m, round(sum(c) * sum(c) / sum(c * c), 6) e FROM votes GROUP BY ALL)
-        SELECT which, count(*) forks, round(avg(m), 6) modal_share, round(avg(e), 6) eff_reached FROM per WHERE reach >= 10 GROUP BY which""", "BUILDING"),
+        SELECT which, count(*) forks, round(avg(m), 6) modal_share, round(avg(e), 6) eff_reached FROM per WHERE reach >= 10 GROUP BY which""", "BUILDING", "MACHINERY"),
     "a5_arm_richness": on_orders(forks.arm_richness, """, per AS (SELECT fork, option, arm, count(DISTINCT run) c FROM choice GROUP BY ALL), every AS (SELECT fork, option, count(*) arms, sum(c) total FROM per GROUP BY ALL)
         SELECT arm, options, singletons, private, runs, round(options / runs, 6) per_run FROM (SELECT arm, count(*) options, count(*) FILTER (total = 1) singletons, count(*) FILTER (arms = 1) private FROM per JOIN every USING (fork, option) GROUP BY arm)
         JOIN (SELECT arm, count(DISTINCT run) runs FROM choice GROUP BY arm) USING (arm)"""),
@@ -71,9 +71,9 @@ QUERIES = {
     "a9_positions": on_orders(forks.positions, POSITION + "SELECT fork, count(DISTINCT run) runs, count(DISTINCT option) options, any_value(position) AS position FROM choice JOIN position USING (fork) GROUP BY fork"),
     "a11_node_classes": on_orders(forks.node_classes, STATS + "SELECT CASE WHEN coverage >= 0.6 THEN 'universal' WHEN coverage >= 0.25 THEN 'common' WHEN coverage >= 0.05 THEN 'occasional' ELSE 'rare' END \"class\", count(*) forks FROM stats GROUP BY 1"),
     "a12_path_space": on_orders(forks.path_space, STATS + """, u AS (SELECT fork, options FROM stats WHERE coverage >= 0.6), m AS (SELECT * FROM modal JOIN u USING (fork)),
-        r AS (SELECT run, count(*) k, string_agg(fork || '=' || option, '|' ORDER BY fork) path FROM m GROUP BY run)
-        SELECT (SELECT count(*) FROM r WHERE k = (SELECT count(*) FROM u)) complete_runs, (SELECT count(DISTINCT path) FROM r WHERE k = (SELECT count(*) FROM u)) distinct_paths, (SELECT count(*) FROM u) universal_forks,
-        (SELECT round(sum(ln(options)), 6) FROM u) log_paths, (SELECT count(*) FROM (SELECT DISTINCT a.fork, a.option, b.fork, b.option FROM m a JOIN m b ON a.run = b.run AND a.fork < b.fork)) pairs_seen"""),
+        r AS (SELECT run, count(*) k, string_agg(fork || '=' || option, '|' ORDER BY fork) path FROM m GROUP BY run),
+        z AS (SELECT (SELECT count(*) FROM r WHERE k = (SELECT count(*) FROM u)) complete_runs, (SELECT count(DISTINCT path) FROM r WHERE k = (SELECT count(*) FROM u)) distinct_paths, (SELECT count(*) FROM u) universal_forks,
+        (SELECT round(sum(ln(options)), 6) FROM u) log_paths, (SELECT count(*) FROM (SELECT DISTINCT a.fork, a.option, b.fork, b.option FROM m a JOIN m b ON a.run = b.run AND a.fork < b.fork)) pairs_seen) SELECT z.*, round(pairs_seen / (SELECT (sum(options) * sum(options) - sum(options * options)) / 2 FROM u), 6) pair_share FROM z"""),
     "a13_run_novelty": on_orders(forks.run_novelty, STATS + NOVEL + "SELECT * FROM scores"),
     "a14_arm_novelty": on_orders(forks.arm_novelty, STATS + NOVEL + "SELECT arm, count(*) runs, sum(novel)::BIGINT novel, round(sum(novel) / sum(decisions), 6) rate FROM scores GROUP BY arm"),
     "a14_fork_novelty": on_orders(forks.fork_novelty, STATS + "SELECT fork, count(*) FILTER (c = 1) novel, count(*) options, round(count(*) FILTER (c = 1) / count(*), 6) share FROM option_runs JOIN reach USING (fork) WHERE runs >= 10 GROUP BY fork"),

@@ -81,10 +81,11 @@ QUERIES = {
     "g17_cramers_v": on_orders(pairs.cramers_v, STATS + """, m AS (SELECT * FROM modal JOIN reach USING (fork) WHERE runs >= 100), cell AS (SELECT x.fork a, y.fork b, x.option x, y.option y, count(*) o FROM m x JOIN m y ON x.run = y.run AND x.fork < y.fork GROUP BY ALL),
         t AS (SELECT *, sum(o) OVER (PARTITION BY a, b, x) r, sum(o) OVER (PARTITION BY a, b, y) c, sum(o) OVER (PARTITION BY a, b) n FROM cell)
         SELECT a, b, max(n)::BIGINT runs, round(sqrt(greatest(sum(o * o / (r * c)) - 1, 0) / (least(count(DISTINCT x), count(DISTINCT y)) - 1)), 6) v FROM t GROUP BY a, b HAVING max(n) >= 20 AND least(count(DISTINCT x), count(DISTINCT y)) > 1"""),
-    "g1_sibling_screen": Query(lambda s, d: pairs.sibling_screen(orders_choice(s, d), tokens(s, d)), f"""WITH {CHOICE_SQL}, tok AS (SELECT DISTINCT fork, unnest(regexp_extract_all(lower(fork), '([a-z]+|[0-9]+)')) AS token FROM (SELECT DISTINCT fork FROM choice)), k AS (SELECT fork, count(*) z FROM tok GROUP BY fork),
-        j AS (SELECT x.fork a, y.fork b, count(*) n FROM tok x JOIN tok y ON x.token = y.token AND x.fork < y.fork GROUP BY ALL), r AS (SELECT fork, count(DISTINCT run) z FROM choice GROUP BY fork), d AS (SELECT DISTINCT run, fork FROM choice),
-        l AS (SELECT a, b, round(n / (k.z + q.z - n), 6) jaccard FROM j JOIN k ON k.fork = a JOIN k q ON q.fork = b), co AS (SELECT x.fork a, y.fork b, count(*) n FROM d x JOIN d y ON x.run = y.run AND x.fork < y.fork GROUP BY ALL)
-        SELECT l.a, l.b, jaccard, COALESCE(n, 0) shared, round(jaccard + greatest(r.z, u.z) / 400, 6) score FROM l JOIN r ON r.fork = l.a JOIN r u ON u.fork = l.b LEFT JOIN co ON co.a = l.a AND co.b = l.b WHERE jaccard >= 0.34 AND r.z >= 8 AND u.z >= 8 AND COALESCE(n, 0) <= 1"""),
+    "g12_strongest": on_orders(pairs.strongest, ", d AS (SELECT DISTINCT run, fork || '|' || option o FROM choice) SELECT x.o a, y.o b, count(*) n FROM d x JOIN d y ON x.run = y.run AND x.o < y.o GROUP BY ALL ORDER BY 3 DESC, 1, 2 LIMIT 60"),
+    "a24_exclusivity": on_orders(pairs.exclusivity, """, f AS (SELECT fork, count(DISTINCT option) o, count(DISTINCT run) r FROM choice GROUP BY fork), d AS (SELECT DISTINCT run, fork, option FROM choice), s AS (SELECT fork, option, count(*) z FROM d GROUP BY ALL), p AS (SELECT x.fork, x.option a, y.option b, count(*) n FROM d x JOIN d y ON x.run = y.run AND x.fork = y.fork AND x.option < y.option GROUP BY ALL)
+        SELECT (SELECT sum(o * (o - 1) / 2)::BIGINT FROM f) pairs, (SELECT count(*) FROM f WHERE o = 1) orphans, (SELECT median(r) FROM f) median_runs, (SELECT count(*) FROM f WHERE r < 5) small, (SELECT count(*) FROM p JOIN s ON s.fork = p.fork AND s.option = a JOIN s t ON t.fork = p.fork AND t.option = b WHERE round(n / least(s.z, t.z), 6) > 0.25) clashes"""),
+    "a19_headline": spaced(sequence.headline, STEPS + f"""SELECT count(DISTINCT run) runs, count(*) FILTER ("to" IS NOT NULL) steps, count(*) FILTER ({BACK}) "returns", round(count(*) FILTER ({BACK}) / count(*) FILTER ("to" IS NOT NULL), 6) rate, round(count(DISTINCT run) FILTER ({BACK}) / count(DISTINCT run), 6) with_return, round(avg("rank" - to_rank) FILTER ({BACK}), 6) AS depth, median(to_line - line) FILTER ({BACK}) AS distance FROM steps"""),
+    "a19_back_pairs": spaced(sequence.back_pairs, STEPS + f'SELECT fork, "to", count(*) n, count(DISTINCT run) runs FROM steps WHERE {BACK} GROUP BY ALL'),
     "g4_gate_funnel": on_orders(pairs.gate_funnel, POSITION + GATES + """, o AS (SELECT s.fork, option, count(*) n1, any_value(na) na FROM d JOIN s USING (fork) GROUP BY ALL), f AS (SELECT a.fork, count(*) FILTER (b.fork <> a.fork AND b.position <= a.position) earlier, count(*) - 1 others FROM s a, s b GROUP BY a.fork),
         k AS (SELECT *, CASE WHEN n1 < 5 THEN 'option too rare' WHEN na - n1 < 5 THEN 'no comparison group' ELSE 'fine' END kind FROM o JOIN f USING (fork)),
         r AS (SELECT CASE WHEN p0 > 0.06 THEN 'others reach it too' WHEN p1 < 0.25 THEN 'most don''t reach it' ELSE 'tested' END rule, count(*) n FROM t GROUP BY 1)
@@ -103,6 +104,10 @@ QUERIES = {
         FROM (SELECT sum(n * (n - 1) / 2) s, sum(n) t FROM cell), (SELECT sum(na * (na - 1) / 2) x FROM sa), (SELECT sum(nb * (nb - 1) / 2) y FROM sb)""", b="c", weight="w"),
     "a34_per_order_ari": on_builds(agreement.adjusted_rand, CELLS.format(k="l_orderkey,", b="b", n="count(*)") + """, m AS (SELECT l_orderkey, s, t, x, y FROM (SELECT l_orderkey, sum(n * (n - 1) / 2) s, sum(n) t FROM cell GROUP BY ALL) JOIN (SELECT l_orderkey, sum(na * (na - 1) / 2) x FROM sa GROUP BY ALL) USING (l_orderkey) JOIN (SELECT l_orderkey, sum(nb * (nb - 1) / 2) y FROM sb GROUP BY ALL) USING (l_orderkey))
         SELECT l_orderkey, t::BIGINT items, round(CASE WHEN t < 2 THEN NULL WHEN (x + y) / 2 = x * y / (t * (t - 1) / 2) THEN 1 ELSE (s - x * y / (t * (t - 1) / 2)) / ((x + y) / 2 - x * y / (t * (t - 1) / 2)) END, 6) ari FROM m""", "l_orderkey"),
+    "a34_by_size": on_builds(agreement.by_size, CELLS.format(k="l_orderkey,", b="b", n="count(*)") + """, m AS (SELECT l_orderkey, s, t, x, y FROM (SELECT l_orderkey, sum(n * (n - 1) / 2) s, sum(n) t FROM cell GROUP BY ALL) JOIN (SELECT l_orderkey, sum(na * (na - 1) / 2) x FROM sa GROUP BY ALL) USING (l_orderkey) JOIN (SELECT l_orderkey, sum(nb * (nb - 1) / 2) y FROM sb GROUP BY ALL) USING (l_orderkey)),
+        r AS (SELECT t, round(CASE WHEN (x + y) / 2 = x * y / (t * (t - 1) / 2) THEN 1 ELSE (s - x * y / (t * (t - 1) / 2)) / ((x + y) / 2 - x * y / (t * (t - 1) / 2)) END, 6) ari FROM m WHERE t >= 2) SELECT CASE WHEN t < 4 THEN '<4' WHEN t < 6 THEN '4-5' ELSE '6+' END bucket, count(*) AS "groups", round(avg(ari), 6) mean, round(median(ari), 6) AS median FROM r GROUP BY 1""", "l_orderkey", (4, 6)),
+    "a33_verdict": on_builds(agreement.verdict, CELLS.format(k="", b="c", n="count(*)") + """, x AS (SELECT round(sum(n * n / nb) / sum(n), 6) p, round(sum(n * n / na) / sum(n), 6) r, count(DISTINCT a) ka, count(DISTINCT b) kb FROM cell JOIN sa USING (a) JOIN sb USING (b)), y AS (SELECT p, r, ka, kb, CASE WHEN p - r > 0.02 THEN 'finer' WHEN p - r < -0.02 THEN 'coarser' ELSE 'even' END i, CASE WHEN kb > ka THEN 'finer' WHEN kb < ka THEN 'coarser' ELSE 'even' END c FROM x)
+        SELECT p AS precision, r recall, ka, kb, i by_items, c by_clusters, CASE WHEN i = c THEN i WHEN i = 'even' THEN c WHEN c = 'even' THEN i ELSE 'ambiguous' END verdict FROM y""", b="c"),
     "a34_pair_recall": on_builds(agreement.pair_recall, CELLS.format(k="", b="c", n="count(*)") + "SELECT round(s / x, 6) a_in_b, round(s / y, 6) b_in_a FROM (SELECT sum(n * (n - 1) / 2) s FROM cell), (SELECT sum(na * (na - 1) / 2) x FROM sa), (SELECT sum(nb * (nb - 1) / 2) y FROM sb)", b="c"),
     "a30_vi": on_builds(agreement.variation_of_information, CELLS.format(k="", b="b", n="count(*)") + ", t AS (SELECT sum(n) t FROM cell) SELECT round(sum(-(n / t) * (log2(n / na) + log2(n / nb))), 6) bits, round(sum(-(n / t) * (log2(n / na) + log2(n / nb))) / log2(any_value(t)), 6) normalised FROM cell JOIN sa USING (a) JOIN sb USING (b), t"),
     "a31_b_cubed": on_builds(agreement.b_cubed, CELLS.format(k="", b="c", n="count(*)") + ", x AS (SELECT sum(n * n / nb) / sum(n) p, sum(n * n / na) / sum(n) r FROM cell JOIN sa USING (a) JOIN sb USING (b)) SELECT round(p, 6) AS precision, round(r, 6) recall, round(2 * p * r / (p + r), 6) f1 FROM x", b="c"),
