@@ -32,17 +32,22 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def written(df: DataFrame, tag: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: it cuts the lineage and outlives lost executors."""
+def written(df: DataFrame, tag: str, records: int | None = None) -> DataFrame:
+    """df as a Parquet table in the shared folder: it cuts the lineage and outlives lost executors. records: how many rows Python workers
+    get at once; the session's own number counts rows, however long their texts are."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/manyways/{tag}-{uuid.uuid4().hex}"
     freed = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"  # what is written needs its shuffle files no longer
-    before = spark.conf.get(freed, "false")
+    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = {freed: spark.conf.get(freed, "false"), batch: spark.conf.get(batch)}
     spark.conf.set(freed, "true")
+    if records:
+        spark.conf.set(batch, str(records))
     try:
         df.write.parquet(path)
     finally:
-        spark.conf.set(freed, before)
+        for key, value in before.items():
+            spark.conf.set(key, value)
     out = spark.read.schema(df.schema).parquet(path)
     _made[path] = spark
     out._written = path

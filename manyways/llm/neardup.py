@@ -20,6 +20,9 @@ NEAR = 8
 FAR = 3
 REGION = 512
 TEXTS = 1000
+#: Texts, and pairs of texts, that a Python worker gets at once.
+ROWS = 1000
+PAIRS = 100
 ALIKE = 0.5
 CHUNK = 1_000_000
 FILTER_WORDS = 1 << 20
@@ -302,7 +305,7 @@ def confirmed_mates(mates: DataFrame, texts: DataFrame, width: int, percent: int
 
 def texts_of(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     asked = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    return written(sifted(docs, asked).join(asked, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
+    return written(sifted(docs, asked).join(asked, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts", ROWS)
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
@@ -310,7 +313,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> D
 
     def check(batches):
         for batch in batches:
-            rows = max(1, min(batch.num_rows, 500))
+            rows = max(1, min(batch.num_rows, PAIRS))
             for at in range(0, batch.num_rows, rows):
                 part = batch.slice(at, rows)
                 with np.errstate(over="ignore"):
@@ -353,14 +356,14 @@ def near_duplicates(docs: DataFrame, width: int = 4, percent: int = 80) -> DataF
     text has no shingles and its own component. Rows of one doc_id belong to the components of their own texts, also where these
     differ; a null doc_id joins no links and is kept. An empty table gives an empty result.
     """
-    rows = written(shingled(docs, width), "shingled")
+    rows = written(shingled(docs, width), "shingled", ROWS)
     sets_of = rows.filter("doc_id is not null").groupBy("doc_id").agg(F.min("set_id").alias("x"), F.max("set_id").alias("y"))
     if not sets_of.filter("x <> y").limit(1).count():
         return _grouped(rows, docs, width, percent)
     # an id with several texts names none of them: numbers stand for the rows, fixed by the written table
     numbered = written(docs.select("doc_id", "text").withColumn("_row", F.monotonically_increasing_id()), "numbered")
     alone = numbered.select(F.when(F.col("doc_id").isNotNull(), F.col("_row")).alias("doc_id"), "text")
-    known = _grouped(written(shingled(alone, width), "shingled"), alone, width, percent)
+    known = _grouped(written(shingled(alone, width), "shingled", ROWS), alone, width, percent)
     of_row = known.filter("doc_id is not null").select(F.col("doc_id").alias("_row"), "n_shingles", F.col("component_id").alias("_component"))
     rows = written(of_row.join(numbered.select("_row", "doc_id"), "_row"), "rows")
     least = rows.groupBy("_component").agg(F.min("doc_id").alias("component_id"))
@@ -373,7 +376,7 @@ def _grouped(rows: DataFrame, docs: DataFrame, width: int, percent: int) -> Data
     trees, pairs = forest(sets)
     pairs = written(pairs, "candidates")
     texts = texts_of(pairs, docs)
-    links = written(confirmed(pairs, texts, width, percent), "links")
+    links = written(confirmed(pairs, texts, width, percent), "links", PAIRS)
     discard(pairs)
     rest = written(unlinked(trees, sets, components(links)), "unlinked")  # their texts are there: each had a neighbour
     discard(trees)
