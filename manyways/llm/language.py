@@ -43,26 +43,31 @@ class Model:
     def parameters(self) -> list[np.ndarray]:
         return [*self.w, *self.u, self.v, self.c]
 
-    def run(self, x: np.ndarray, d: int, keep: list | None = None) -> np.ndarray:
-        """States (T x N x H) of direction d over x (T x N bytes)."""
+    def run(self, x: np.ndarray, d: int, keep: list | None = None, lengths: np.ndarray | None = None) -> np.ndarray:
+        """States (T x N x H) of direction d over x (T x N bytes). lengths: of each column, longest first; a state stays as it is beyond its
+        column's end, so that the backward direction begins at each column's own last byte."""
         w, u, n = self.w[d], self.u[d], self.u[d].shape[0]
         out = np.empty((*x.shape, n), np.float32)
         h = np.zeros((x.shape[1], n), np.float32)
+        live = np.full(len(x), x.shape[1]) if lengths is None else np.searchsorted(-lengths, -np.arange(len(x)))
         for t in range(len(x)) if d == 0 else range(len(x) - 1, -1, -1):
-            a = w[x[t]]
-            b = h @ u
+            m = live[t]
+            before = h[:m]
+            a = w[x[t, :m]]
+            b = before @ u
             gates = _sigmoid(a[:, : 2 * n] + b[:, : 2 * n])
             z, r = gates[:, :n], gates[:, n:]
             new = np.tanh(a[:, 2 * n :] + r * b[:, 2 * n :])
             if keep is not None:
                 keep.append((t, h, z, r, new, b[:, 2 * n :]))
-            h = new + z * (h - new)
+            now = new + z * (before - new)
+            h = now if m == len(h) else np.concatenate((now, h[m:]))
             out[t] = h
         return out
 
-    def positions(self, x: np.ndarray) -> np.ndarray:
-        """Probabilities (T x N x L) of every position."""
-        p = np.concatenate((self.run(x, 0), self.run(x, 1)), axis=2) @ self.v + self.c
+    def positions(self, x: np.ndarray, lengths: np.ndarray | None = None) -> np.ndarray:
+        """Probabilities (T x N x L) of every position; those beyond a column's length mean nothing."""
+        p = np.concatenate((self.run(x, 0, None, lengths), self.run(x, 1, None, lengths)), axis=2) @ self.v + self.c
         p -= p.max(axis=2, keepdims=True)
         np.exp(p, out=p)
         p /= p.sum(axis=2, keepdims=True)
@@ -139,7 +144,8 @@ def train(texts: list[bytes], labels: list[str], steps: int = STEPS, seed: int =
 
 def sample(docs: DataFrame, per_language: int = PER_LANGUAGE) -> tuple[list[bytes], list[str]]:
     """Of about per_language learnable texts of each language, chosen by hash of doc_id: WINDOWS windows each, at places anywhere in the
-    whole text, also by hash. What a language sends to the driver is bounded; there are as many as the data have."""
+    whole text, also by hash. What a language sends to the driver is bounded; there are as many as the data have. Where one doc_id comes
+    many times its rows are chosen together: then rows of the highest ids go beyond twice the bound."""
     fine = docs.filter(F.col("lang").isNotNull() & (F.length("text") > 0) & (crc_mod(F.col("doc_id"), 5) != 0))
     n = {r["lang"]: r["n"] for r in fine.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not n:
@@ -153,7 +159,7 @@ def sample(docs: DataFrame, per_language: int = PER_LANGUAGE) -> tuple[list[byte
 
 
 def pooled(model: Model, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Each text's mean of its positions' probabilities. Texts are cut into windows of WINDOW bytes, run side by side."""
+    """Each text's mean of its positions' probabilities. Texts are cut into windows of WINDOW bytes, run side by side; none sees another."""
     sizes = np.diff(offsets)
     per = -(-sizes // WINDOW)
     owner = np.repeat(np.arange(len(sizes)), per)
@@ -168,15 +174,15 @@ def pooled(model: Model, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         t = np.arange(longest)[:, None]
         inside = t < length[w][None, :]
         x = data[np.minimum(start[w][None, :] + t, len(data) - 1)]
-        x = np.where(inside, x, 32).astype(np.uint8)
-        sums = np.einsum("tnl,tn->nl", model.positions(x), inside.astype(np.float32))
+        sums = np.einsum("tnl,tn->nl", model.positions(x, length[w]), inside.astype(np.float32))
         np.add.at(total, owner[w], sums)
     return total / np.maximum(sizes, 1)[:, None]
 
 
 def identified(docs: DataFrame, model: Model | None) -> DataFrame:
     """doc_id, held_out, lang_pred, score of every row. Null texts, and those without a letter, are `und` with score 0, as is every
-    text if nothing could be learned. A prediction depends on the text alone; other columns play no part."""
+    text if nothing could be learned. A prediction depends on the text alone, up to the last digits of single-precision products (1e-6);
+    other columns play no part. Texts of any length are labelled whole; equal rows give equal rows; an empty table gives none."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
