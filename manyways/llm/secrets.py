@@ -9,6 +9,7 @@ import itertools
 import math
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -28,6 +29,10 @@ SAMPLE = 400
 FOLDS = 4
 ROUNDS = 3
 ALPHA = 0.05
+#: Levels of merging to choose from: the higher, the more states stay apart.
+ALPHAS = (0.0001, 0.01, 0.05, 0.3, 0.7)
+#: Half of the lengths' distribution is that of the words, the other half takes one in so many for any length.
+LENGTHS = 64
 RATIO = 0.2
 MARGIN = 0.05
 MISSED = 0.1
@@ -35,7 +40,9 @@ KNOWN = 200_000
 PIECE = 64
 #: Kinds of characters, each with how many characters it holds.
 CLASSES = {"0": 10, "a": 6, "g": 20, "A": 6, "G": 20} | dict.fromkeys(EDGE, 1)
-_TO = str.maketrans({c: "0" for c in "0123456789"} | {c: "a" for c in "abcdef"} | {c: "g" for c in "ghijklmnopqrstuvwxyz"} | {c: "A" for c in "ABCDEF"} | {c: "G" for c in "GHIJKLMNOPQRSTUVWXYZ"})
+_KIND = {c: "0" for c in "0123456789"} | {c: "a" for c in "abcdef"} | {c: "g" for c in "ghijklmnopqrstuvwxyz"} | {c: "A" for c in "ABCDEF"} | {c: "G" for c in "GHIJKLMNOPQRSTUVWXYZ"} | {c: c for c in EDGE}
+_TO = str.maketrans(_KIND)
+_NONE = (0, -1)
 
 
 def base(text: str) -> list[tuple[int, int, str]]:
@@ -70,24 +77,26 @@ def shape(word: str) -> int:
 
 class Automaton:
     """A probabilistic automaton by state merging (ALERGIA): the prefix tree of the words, folded where Hoeffding's bound can't tell two
-    states' frequencies of ends and of next symbols apart."""
+    states' frequencies of next kinds of characters, and of next characters, apart. Steps go by kind; each state has its own
+    frequencies of the characters of a kind, so a fixed prefix is learned letter by letter. Lengths have a distribution of their own:
+    merged states would forget how deep a word is. Long words are learned in pieces of PIECE characters."""
 
     def __init__(self, words: list[str], alpha: float = ALPHA):
-        self.n, self.ends, self.next = [0], [0], [{}]
-        for w in words:
+        self.lengths, self.words = Counter(map(len, words)), len(words)
+        self.next: list[dict[str, list[int]]] = [{}]
+        self.chars: list[dict[str, int]] = [{}]
+        for piece in (w[i : i + PIECE] for w in words for i in range(0, len(w), PIECE)):
             at = 0
-            self.n[0] += 1
-            for c in w.translate(_TO):
-                if c not in self.next[at]:
-                    self.next[at][c] = [0, len(self.n)]
-                    self.n.append(0)
-                    self.ends.append(0)
+            for c, k in zip(piece, piece.translate(_TO), strict=True):
+                self.chars[at][c] = self.chars[at].get(c, 0) + 1
+                if k not in self.next[at]:
+                    self.next[at][k] = [0, len(self.next)]
                     self.next.append({})
-                step = self.next[at][c]
+                    self.chars.append({})
+                step = self.next[at][k]
                 step[0] += 1
                 at = step[1]
-                self.n[at] += 1
-            self.ends[at] += 1
+        self.out = [sum(x.values()) for x in self.chars]
         self.bound = math.sqrt(0.5 * math.log(2 / alpha))
         red = [0]
         blue = [(0, c) for c in sorted(self.next[0])]
@@ -107,30 +116,31 @@ class Automaton:
                 blue = [(p, x) for p in red for x in sorted(self.next[p]) if self.next[p][x][1] not in done]
         self._keep(red)
 
-    def _differ(self, a: int, n: int, b: int, m: int) -> bool:
-        return bool(n and m) and abs(a / n - b / m) > self.bound * (n**-0.5 + m**-0.5)
-
     def _alike(self, r: int, q: int) -> bool:
         pairs = [(r, q)]
         while pairs:
             r, q = pairs.pop()
-            n, m = self.n[r], self.n[q]
-            if self._differ(self.ends[r], n, self.ends[q], m):
-                return False
-            for c in self.next[r].keys() | self.next[q].keys():
-                a, b = self.next[r].get(c), self.next[q].get(c)
-                if self._differ(a[0] if a else 0, n, b[0] if b else 0, m):
+            n, m = self.out[r], self.out[q]
+            if not n or not m:
+                continue
+            most = self.bound * (n**-0.5 + m**-0.5)
+            if most < 1:
+                x, y = self.chars[r], self.chars[q]
+                if any(abs(x.get(c, 0) / n - y.get(c, 0) / m) > most for c in x.keys() | y.keys()):
                     return False
-                if a and b and a[1] != b[1]:
-                    pairs.append((a[1], b[1]))
+                x, y = self.next[r], self.next[q]
+                if any(abs(x.get(c, _NONE)[0] / n - y.get(c, _NONE)[0] / m) > most for c in x.keys() | y.keys()):
+                    return False
+            pairs += [(a, b) for c, (_, a) in self.next[r].items() if c in self.next[q] and (b := self.next[q][c][1]) != a]
         return True
 
     def _fold(self, r: int, q: int) -> None:
         pairs = [(r, q)]
         while pairs:
             r, q = pairs.pop()
-            self.n[r] += self.n[q]
-            self.ends[r] += self.ends[q]
+            self.out[r] += self.out[q]
+            for c, n in self.chars[q].items():
+                self.chars[r][c] = self.chars[r].get(c, 0) + n
             for c, (count, to) in self.next[q].items():
                 if c in self.next[r]:
                     self.next[r][c][0] += count
@@ -140,63 +150,87 @@ class Automaton:
 
     def _keep(self, red: list[int]) -> None:
         number = {s: i for i, s in enumerate(red)}
-        total = len(CLASSES) + 1
-        self.step = [{c: (math.log((k + 0.5) / (self.n[s] + 0.5 * total) / CLASSES[c]), number.get(to, 0)) for c, (k, to) in self.next[s].items()} for s in red]
-        self.end = [math.log((self.ends[s] + 0.5) / (self.n[s] + 0.5 * total)) for s in red]
-        self.other = [math.log(0.5 / (self.n[s] + 0.5 * total)) for s in red]
-        del self.n, self.ends, self.next
+        self.states = len(red)
+        self.step: list[dict[str, tuple[float, int]]] = []
+        for s in red:
+            total = self.out[s] + 0.5 * len(CLASSES)
+            row = {}
+            for c, k in _KIND.items():
+                n, to = self.next[s].get(k, _NONE)
+                row[c] = math.log((n + 0.5) / total * (self.chars[s].get(c, 0) + 1) / (n + CLASSES[k])), number.get(to, 0)
+            self.step.append(row)
+        del self.next, self.chars, self.out
 
     def score(self, word: str) -> float:
         """The log-likelihood of the word; an unseen step leads back to the first state."""
-        at, total = 0, 0.0
-        for c in word.translate(_TO):
-            p, to = self.step[at].get(c) or (self.other[at] - math.log(CLASSES[c]), 0)
+        at, total, step = 0, 0.0, self.step
+        for c in word:
+            p, at = step[at][c]
             total += p
-            at = to
-        return total + self.end[at]
+        return total + math.log((self.lengths[len(word)] / max(self.words, 1) + 1 / LENGTHS) / 2)
+
+
+def fitting(words: list[str]) -> float:
+    """The level of merging, of ALPHAS, under which automata of the other folds give one fold's words the highest likelihood."""
+    fold = lambda w: zlib.crc32(w.encode()) % FOLDS == 0
+    out, rest = [w for w in words if fold(w)], [w for w in words if not fold(w)]
+    if not out or not rest:
+        return ALPHA
+    score = {a: sum(map(Automaton(rest, a).score, out)) for a in ALPHAS}
+    return max(ALPHAS, key=lambda a: (round(score[a], 6), -a))
 
 
 class Grammar:
-    """One automaton of credentials, one of other candidates; a word's score is their log-likelihood ratio per character.
+    """An automaton of each kind's credentials, one of other candidates; a word's score for a kind is their log-likelihood ratio per
+    character, and it is found if some kind's threshold is reached.
 
-    No word's own part in an automaton raises or lowers its score when the threshold is set: words are scored by automata of the other
-    folds. Others that score half as high as nine in ten held-out credentials do are taken for unlabelled credentials and leave the
-    negatives. The threshold lies MARGIN above what remains, but not above those credentials' scores, and never below the likelihood ratio RATIO.
+    No word's own part in an automaton raises or lowers its score when thresholds are set: words are scored by automata of the other
+    folds. Others that score half as high as nine in ten held-out credentials of some kind do are taken for unlabelled credentials and
+    leave the negatives. A kind's threshold lies MARGIN above what remains, but not above those credentials' scores, and never below
+    the likelihood ratio RATIO.
     """
 
-    def __init__(self, credentials: list[str], others: list[str]):
-        left = [*others]
+    least = 0.0
+
+    def __init__(self, credentials: list[str] | dict[str, list[str]], others: list[str]):
+        kinds = credentials if isinstance(credentials, dict) else {KINDS[0]: credentials}
+        kinds = {k: sorted({*words}) for k, words in kinds.items() if words}
+        level = {k: fitting(words) for k, words in kinds.items()}
+        self.good = {k: Automaton(words, level[k]) for k, words in kinds.items()}
+        own = {k: self._apart(words, lambda w, a=level[k]: Automaton(w, a)) for k, words in kinds.items()}
+        left, bad_level = [*others], fitting(others)
         for _ in range(ROUNDS):
-            good, bad = self._held_out(credentials, left)
-            reached = sorted(good)[int(MISSED * len(good))] if good else math.inf
-            alike = max(RATIO, reached / 2)
-            rest = [w for w, x in zip(left, bad, strict=True) if x < alike]
+            self.bad = Automaton(left, bad_level)
+            against = self._apart(left, lambda w: Automaton(w, bad_level))
+            good = {k: sorted((own[k][w] - self.bad.score(w)) / len(w) for w in words) for k, words in kinds.items()}
+            bad = {k: [(self.good[k].score(w) - against[w]) / len(w) for w in left] for k in kinds}
+            reached = {k: x[int(MISSED * len(x))] for k, x in good.items()}
+            alike = {k: max(RATIO, x / 2) for k, x in reached.items()}
+            rest = [w for i, w in enumerate(left) if all(bad[k][i] < alike[k] for k in kinds)]
             if len(rest) == len(left):
                 break
             left = rest
-        self.least = max(RATIO, min(reached, max((x + MARGIN for x in bad if x < alike), default=RATIO)))
-        self.good, self.bad, self.known = self._fit(credentials), self._fit(left), {}
+        self.thresholds = {k: max(RATIO, min(reached[k], max((x + MARGIN for x in bad[k] if x < alike[k]), default=RATIO))) for k in kinds}
+        self.bad, self.known = Automaton(left, bad_level), {}
 
     @staticmethod
-    def _fit(words: list[str]) -> Automaton:
-        """From whole words, the long ones in pieces of PIECE characters: an automaton's tree stays as deep as those."""
-        return Automaton([w[i : i + PIECE] for w in words for i in range(0, len(w), PIECE)])
-
-    def _held_out(self, credentials: list[str], others: list[str]) -> tuple[list[float], list[float]]:
-        good, bad = [0.0] * len(credentials), [0.0] * len(others)
+    def _apart(words: list[str], fit) -> dict[str, float]:
+        """Each word's log-likelihood by an automaton of the other folds."""
+        out = {}
         for k in range(FOLDS):
-            self.good, self.bad = (self._fit([w for w in words if zlib.crc32(w.encode()) % FOLDS != k]) for words in (credentials, others))
-            for words, scores in ((credentials, good), (others, bad)):
-                for i, w in enumerate(words):
-                    if zlib.crc32(w.encode()) % FOLDS == k:
-                        scores[i] = self.score(w)
-        return good, bad
+            inside = [w for w in words if zlib.crc32(w.encode()) % FOLDS == k]
+            if inside:
+                a = fit([w for w in words if zlib.crc32(w.encode()) % FOLDS != k])
+                out |= {w: a.score(w) for w in inside}
+        return out
 
     def score(self, word: str) -> float:
-        return (self.good.score(word) - self.bad.score(word)) / len(word)
+        """The highest score of a kind, less that kind's threshold."""
+        bad = self.bad.score(word)
+        return max((self.good[k].score(word) - bad) / len(word) - self.thresholds[k] for k in self.good)
 
     def finds(self, word: str) -> bool:
-        """Whether the score reaches the threshold; the answers for KNOWN words are kept."""
+        """Whether a threshold is reached; the answers for KNOWN words are kept."""
         found = self.known.get(word)
         if found is None:
             if len(self.known) >= KNOWN:
@@ -213,38 +247,36 @@ def scan(text: str, grammar: Grammar | None) -> list[tuple[int, int, int]]:
     return found
 
 
-def labelled(docs: DataFrame, sample: int = SAMPLE) -> tuple[list[str], list[str]]:
-    """At most `sample` distinct credentials and as many other candidates of each shape, those of the least hashes in all documents."""
+def labelled(docs: DataFrame, sample: int = SAMPLE) -> tuple[dict[str, list[str]], list[str]]:
+    """At most `sample` distinct credentials of each kind and as many other candidates of each shape, those of the least hashes in all
+    documents."""
 
     def find(batches):
         for batch in batches:
-            kinds, words = [], []
+            found = set()
             for text in batch.column(0).to_pylist():
                 if not text:
                     continue
                 spans = base(text)
                 for s, k, e in spans:
                     m = ASSIGN.fullmatch(text, s, e) if k == 0 else None
-                    kinds.append(-1)
-                    words.append(m.group(2) if m else text[s:e])
-                for s, e in candidates(text, spans):
-                    words.append(text[s:e])
-                kinds += [None] * (len(words) - len(kinds))
-            order = {(shape(w) if k is None else k, zlib.crc32(w.encode()), w) for k, w in {*zip(kinds, words, strict=True)}}
-            rows = [x for kind in range(-1, 3) for x in heapq.nsmallest(sample, (x for x in order if x[0] == kind))]  # no others can be among the least
+                    found.add((k - 3, m.group(2) if m else text[s:e]))
+                found |= {(shape(w), w) for w in {text[s:e] for s, e in candidates(text, spans)}}
+            order = [(k, zlib.crc32(w.encode()), w) for k, w in found]
+            rows = [x for kind in range(-3, 3) for x in heapq.nsmallest(sample, (x for x in order if x[0] == kind))]  # no others can be among the least
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.string())], ["kind", "hash", "word"])
 
     found = written(docs.select("text").mapInArrow(trimmed(find), "kind int, hash long, word string").distinct(), "candidates")
     pick = lambda kind: [r["word"] for r in found.filter(F.col("kind") == kind).orderBy("hash", "word").limit(sample).collect()]
-    good = pick(-1)
-    known = {*good}
+    good = {KINDS[kind + 3]: pick(kind) for kind in range(-3, 0)}
+    known = {w for words in good.values() for w in words}
     return good, [w for kind in range(3) for w in pick(kind) if w not in known]
 
 
 def learn(docs: DataFrame, sample: int = SAMPLE) -> Grammar | None:
     """None where no credential is labelled or no other candidate is there: then only the patterns count."""
     good, bad = labelled(docs, sample)
-    return Grammar(good, bad) if good and bad else None
+    return Grammar(good, bad) if any(good.values()) and bad else None
 
 
 def digest(spans: list[tuple[int, int, int]]) -> str:
@@ -253,7 +285,7 @@ def digest(spans: list[tuple[int, int, int]]) -> str:
 
 def find_secrets(docs: DataFrame, grammar: Grammar | None) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans and n_grammar of every row. Null text is empty; repeated rows give
-    repeated rows; offsets are code points; other columns play no part."""
+    repeated rows; offsets are code points; other columns play no part. Texts are scanned whole, however long; an empty table gives none."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def look(batches):
