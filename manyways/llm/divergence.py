@@ -89,7 +89,7 @@ def tile(pdf: pd.DataFrame) -> pd.DataFrame:
     left, right = (pdf[seed & (pdf["side"] == s).to_numpy()].drop_duplicates("source") for s in "lr")
     a, b = left["absent"].to_numpy(np.int64), right["absent"].to_numpy(np.int64)
     apart = np.abs(a[:, None] - b[None, :])
-    total = apart * int(left["v"].iloc[0]) if pdf["chunk"].iloc[0] == 0 else np.zeros_like(apart)
+    total = apart * int(pdf["v"].max()) if pdf["chunk"].iloc[0] == 0 else np.zeros_like(apart)
     number = [{s: i for i, s in enumerate(x["source"])} for x in (left, right)]
     sides = []
     for side, known in zip("lr", number, strict=True):
@@ -118,11 +118,12 @@ def tile(pdf: pd.DataFrame) -> pd.DataFrame:
     y = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n - first, n)
     i, p, j, q = i[x], p[x], j[y], q[y]
     np.add.at(total, (i, j), np.abs(p - q) - np.abs(p - b[j]) - np.abs(q - a[i]) + apart[i, j])
-    l, r = left["source"].to_numpy(object), right["source"].to_numpy(object)
-    out = pd.DataFrame({"lang": pdf["lang"].iloc[0], "source": np.repeat(l, len(r)), "item": np.tile(r, len(l)), "value": total.ravel()})
+    source, item = np.repeat(left["source"].to_numpy(object), len(right)), np.tile(right["source"].to_numpy(object), len(left))
+    value = total.ravel()
     if pdf["i"].iloc[0] != pdf["j"].iloc[0]:
-        out = pd.concat([out, out.rename(columns={"source": "item", "item": "source"})])
-    return out[out["source"] != out["item"]]
+        source, item, value = np.concatenate((source, item)), np.concatenate((item, source)), np.concatenate((value, value))
+    other = source != item
+    return pd.DataFrame({"lang": np.full(other.sum(), pdf["lang"].iloc[0], object), "source": source[other], "item": item[other], "value": value[other]})
 
 
 def audit(docs: DataFrame, least: int = LEAST, top: int = TOP, many: int = MANY, chunk_terms: int = TERMS, block_groups: int = GROUPS) -> DataFrame:
