@@ -213,7 +213,7 @@ def bucket_of(pair: np.ndarray) -> np.ndarray:
 
 def contributions(batches):
     """Over a sorted stream: first the counts of all pairs of each share of a bucket, then its postings. Counts and each A id's highest
-    are found here; of each document: how many links have its A id's highest count, and the sum of the links' counts."""
+    are found here; of each document, packed by piece: how many links have its A id's highest count, and the sum of the links' counts."""
     counts: dict[tuple[int, int], list] = {}
     ready: dict[tuple[int, int], tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
 
@@ -233,8 +233,8 @@ def contributions(batches):
         order = np.argsort(place, kind="stable")
         place, best, total = place[order], best[order], total[order]
         begin = np.flatnonzero(np.append(True, place[1:] != place[:-1]))
-        columns = [np.full(len(begin), piece), place[begin].astype(np.int32), np.add.reduceat(best, begin), np.add.reduceat(total, begin)]
-        return pa.RecordBatch.from_arrays([*map(pa.array, columns)], ["piece", "place", "n_best", "count_sum"])
+        columns = place[begin].astype(np.uint16), np.add.reduceat(best, begin), np.add.reduceat(total, begin)
+        return pa.RecordBatch.from_arrays([pa.array([piece]), *(pa.array([x.tobytes()], pa.binary()) for x in columns)], ["piece", "at", "best", "total"])
 
     piece, found = None, []
     for batch in batches:
@@ -262,6 +262,28 @@ def contributions(batches):
         yield summed(piece, found)
 
 
+def totals(batches):
+    """Adds up contributions() that come sorted by piece: piece, place, n_best, count_sum."""
+    piece, best, total = None, np.zeros(PIECE_DOCS, np.int64), np.zeros(PIECE_DOCS, np.int64)
+
+    def done() -> pa.RecordBatch:
+        at = np.flatnonzero(total)
+        return pa.RecordBatch.from_arrays([*map(pa.array, (np.full(len(at), piece), at.astype(np.int32), best[at], total[at]))], ["piece", "place", "n_best", "count_sum"])
+
+    for batch in batches:
+        for p, at, b, t in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            if p != piece:
+                if piece is not None:
+                    yield done()
+                piece = p
+                best[:], total[:] = 0, 0
+            at = np.frombuffer(at, np.uint16)
+            best[at] += np.frombuffer(b, np.int64)
+            total[at] += np.frombuffer(t, np.int64)
+    if piece is not None:
+        yield done()
+
+
 def aligned(docs: DataFrame) -> DataFrame:
     """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256 of every row.
 
@@ -280,7 +302,8 @@ def aligned(docs: DataFrame) -> DataFrame:
     ahead = counts.select("bucket", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), F.lit(-1).cast("long").alias("piece"), "id", "n")
     dealt = blocks.withColumn("salt", F.pmod(F.xxhash64("piece"), F.lit(salts)).cast("int")).unionByName(ahead, allowMissingColumns=True)
     stream = dealt.repartition("bucket", "salt").sortWithinPartitions("piece", "bucket")
-    sums = stream.mapInArrow(trimmed(contributions), "piece long, place int, n_best long, count_sum long").groupBy("piece", "place").agg(F.sum("n_best").alias("n_best"), F.sum("count_sum").alias("count_sum"))
+    parts = stream.mapInArrow(trimmed(contributions), "piece long, at binary, best binary, total binary")
+    sums = parts.repartition("piece").sortWithinPartitions("piece").mapInArrow(trimmed(totals), "piece long, place int, n_best long, count_sum long")
     done = written(sums, "sums", records=2048)
     long = lambda c: F.coalesce(F.col(c).cast("long"), F.lit(0).cast("long")).alias(c)
     own = rows.filter("place is not null").select("piece", "place", "doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256")
