@@ -12,7 +12,7 @@ from manyways.operators import audit, cluster, forks, resample, sequence, spans,
 from manyways.plans.forks_sql import STATS
 from manyways.operators.cluster import cut, shared
 from manyways.sources import corpus
-from manyways.streaming import incremental
+from manyways.streaming import incremental, islands
 
 JACCARD = "CASE WHEN len(list_distinct(list_concat({0}, {1}))) > 0 THEN len(list_intersect({0}, {1})) / len(list_distinct(list_concat({0}, {1}))) ELSE 0 END"
 GRAMS = "(CASE WHEN length({0}) >= 3 THEN list_distinct([substr({0}, i, 3) FOR i IN range(1, length({0}) - 1)]) ELSE [] END)"
@@ -135,6 +135,30 @@ def streamed_stats(spark, sf_dir):
     return spark.read.parquet(f"{at}/out")
 
 
+VISIT_GAP = 6 * 3600
+ISLANDS_SQL = f"""WITH {EVENTS_SQL}, t AS (SELECT run, fork, option, epoch_us(ts) AS "at" FROM choice WHERE run IS NOT NULL AND fork IS NOT NULL AND ts IS NOT NULL),
+  n AS (SELECT *, CASE WHEN "at" - lag("at") OVER (PARTITION BY run, fork, option ORDER BY "at") > {VISIT_GAP * 1_000_000} THEN 1 ELSE 0 END AS fresh FROM t),
+  o AS (SELECT *, sum(fresh) OVER (PARTITION BY run, fork, option ORDER BY "at" ROWS UNBOUNDED PRECEDING)::BIGINT AS occurrence FROM n),
+  i AS (SELECT run, fork, option, occurrence, min("at") AS a, max("at") AS b, count(*) AS decisions FROM o GROUP BY ALL)
+  SELECT run, fork, option, occurrence, make_timestamp(a) AS start, make_timestamp(b) AS stop, decisions,
+    count(*) OVER w AS visits, (sum(CASE WHEN occurrence = 0 THEN 1 ELSE 0 END) OVER w)::BIGINT AS options
+  FROM i WINDOW w AS (PARTITION BY run ORDER BY b, fork, option ROWS UNBOUNDED PRECEDING)"""
+
+
+def streamed_islands(spark, sf_dir):
+    """The events, replayed in four bands of time as so many micro-batches; a last row far ahead moves the watermark past all islands."""
+    c = events_choice(spark, sf_dir).select("run", "fork", "option", F.col("ts").cast("timestamp").alias("ts"))
+    at = f"{shared(spark)}/islands-{uuid.uuid4().hex}"
+    quarters = c.agg(F.percentile_approx(F.unix_micros("ts"), [0.25, 0.5, 0.75])).first()[0] or []
+    bands = sum((F.unix_micros("ts") > q).cast("int") for q in quarters) if quarters else F.lit(0)
+    for k in range(len(quarters) + 1):
+        c.filter(bands == k).coalesce(1).write.mode("append").parquet(f"{at}/in")
+    c.limit(0).union(spark.range(1).select(F.lit(-1).cast("long"), F.lit("end"), F.lit("end"), F.to_timestamp(F.lit("2262-01-01")))).coalesce(1).write.mode("append").parquet(f"{at}/in")
+    stream = spark.readStream.schema(c.schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/in")
+    islands.keep_islands(stream, f"{at}/out", f"{at}/checkpoint", VISIT_GAP).awaitTermination()
+    return spark.read.parquet(f"{at}/out").filter("run >= 0")
+
+
 def streamed_windows(spark, sf_dir):
     """Decisions per fork and day of the events."""
     c = events_choice(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
@@ -233,6 +257,8 @@ QUERIES = {
     "n4_return_null": Query(lambda s, d: resample.return_rate_null(sequence.spaced(events_choice(s, d)), 200)),
     "n7_arm_edges": Query(arm_edges),
     "st_sessions": Query(streamed_sessions, SESSIONS_SQL),
+    "st_islands": Query(streamed_islands, ISLANDS_SQL),
+    "st_islands_batch": Query(lambda s, d: islands.timed_islands(events_choice(s, d), VISIT_GAP), ISLANDS_SQL),
     "st_fork_stats": Query(streamed_stats, f"WITH {EVENTS_SQL}{STATS} SELECT * FROM stats"),
     "st_windows": Query(streamed_windows, f"WITH {EVENTS_SQL} SELECT date_trunc('day', ts)::TIMESTAMP AS start, fork, count(*) n FROM choice GROUP BY ALL"),
     "st_sessions_batch": Query(lambda s, d: incremental.sessions(table(s, d, "events")), SESSIONS_SQL),
