@@ -86,8 +86,8 @@ def arm_edge_null(edges: DataFrame, n: int = 50, seed: int = SEED) -> DataFrame:
 
 
 def curveball(pairs: pd.DataFrame, rows: str, columns: str, steps: int, seed: int = SEED) -> pd.DataFrame:
-    """A random incidence (rows x columns) with the same margins: two rows trade what only one of them has, `steps` times. In the driver or
-    in a group of applyInPandas, for a few hundred thousand pairs."""
+    """A random incidence (rows x columns) with the same margins: two rows trade what only one of them has, `steps` times. For small
+    incidences on the driver; trades.py draws large ones."""
     rng = np.random.default_rng(seed)
     sets = [set(g) for _, g in pairs.groupby(rows, sort=True)[columns]]
     names = sorted(pairs[rows].unique())
@@ -100,21 +100,3 @@ def curveball(pairs: pd.DataFrame, rows: str, columns: str, steps: int, seed: in
             both = sets[i] & sets[j]
             sets[i], sets[j] = both | set(mixed[: len(a)]), both | set(mixed[len(a) :])
     return pd.DataFrame([(n, c) for n, s in zip(names, sets, strict=True) for c in sorted(s)], columns=[rows, columns])
-
-
-def curveball_null(incidence: DataFrame, rows: str, columns: str, n: int = 2000, steps: int | None = None, seed: int = SEED) -> DataFrame:
-    """Per pair of columns: how many rows have both, against n swapped incidences; each draw is one task. Without a number of steps, there are
-    three trades a row, so each row is mixed as often at every size."""
-    base = incidence.select(rows, columns).distinct()
-    kinds = dict(base.dtypes)
-    steps = 3 * base.select(rows).distinct().count() if steps is None else steps
-
-    def swap(pdf: pd.DataFrame) -> pd.DataFrame:
-        draw = int(pdf["draw"].iloc[0])
-        return curveball(pdf, rows, columns, steps, seed + draw).assign(draw=draw)
-
-    null = draws(base, n).groupBy("draw").applyInPandas(swap, f"{rows} {kinds[rows]}, {columns} {kinds[columns]}, draw int")
-    pair = lambda d, *k: d.select(*k, rows, F.col(columns).alias("a")).join(d.select(*k, rows, F.col(columns).alias("b")), [*k, rows]).filter("a < b").groupBy(*k, "a", "b").agg(F.count("*").cast("double").alias("n"))
-    seen = pair(base)
-    full = draws(seen.select("a", "b"), n).join(pair(null, "draw"), ["draw", "a", "b"], "left").fillna(0.0, ["n"])
-    return permutation_p(seen, full, "n", "a", "b")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from manyways.functions import text
 from manyways.model import CHOICE_SQL, EVENTS_SQL, Query, events_choice, on_orders, orders_choice, table
-from manyways.operators import checks, cluster, forks, pairs, resample, spans, surrogate
+from manyways.operators import checks, cluster, forks, pairs, resample, spans, surrogate, trades
 from manyways.plans.documents_sql import GRAMS, JACCARD, SPAN_SQL, WORDS, outcome, two_spans
 from manyways.plans.forks_sql import STAGE_SQL, STATS, stages
 from manyways.plans.projections_sql import TALK_SQL, talk
@@ -161,7 +161,7 @@ QUERIES = {
     "g3_heads": Query(lambda s, d: cluster.head_labels(orders_choice(s, d).select(F.col("fork").alias("id"), F.substring_index("fork", "/", 1).alias("component")).distinct()), f"WITH {CHOICE_SQL} SELECT split_part(fork, '/', 1) component, fork AS head FROM (SELECT DISTINCT fork FROM choice) QUALIFY row_number() OVER (PARTITION BY split_part(fork, '/', 1) ORDER BY length(fork) DESC, fork DESC) = 1"),
     "g8_fold": on_orders(lambda c: cluster.fold(c.groupBy("fork", F.substring("option", 1, 7).alias("option")).agg(F.collect_list("did").alias("members"), F.collect_set("option").alias("option_raw"))).select("fork", "option", F.size("members").alias("n"), F.array_join("option_raw", ",").alias("raw")), " SELECT fork, substr(option, 1, 7) AS option, count(DISTINCT did)::INT n, string_agg(DISTINCT option, ',' ORDER BY option) AS raw FROM choice GROUP BY ALL"),
     "g11_batches": Query(lambda s, d: cluster.nearest_batches(forks.reach(orders_choice(s, d)).withColumnRenamed("fork", "option"), label_tokens(orders_choice(s, d)).withColumnRenamed("fork", "option"))),
-    "g16_co_reach": Query(lambda s, d: (lambda c: checks.co_reach(c, resample.curveball_null(c.select("run", "fork").distinct(), "run", "fork", 200, 6 * c.select("run").distinct().count())))(events_choice(s, d).filter("value is not null"))),
+    "g16_co_reach": Query(lambda s, d: checks.co_reach(events_choice(s, d), trades.co_occurrence_null(events_choice(s, d), "run", "fork", 1000))),
     "x8_residue_lines": Query(lambda s, d: spans.residue(*silent_spans(s, d), "jaccard"), f"WITH {SPAN_SQL}, o AS (SELECT run, count(*) FILTER (shift <= 3) * 6 k FROM s GROUP BY run, shift) SELECT run, 6::BIGINT na, 6::BIGINT nb, k::BIGINT matched, round(k / (12 - k), 6) stable FROM o"),
     "x8_residue_containment": Query(lambda s, d: spans.residue(*silent_spans(s, d), "containment"), f"WITH {SPAN_SQL}, o AS (SELECT run, CASE WHEN shift <= 4 THEN 6 WHEN shift = 6 THEN 5 ELSE 0 END k, shift FROM s) SELECT run, 6::BIGINT na, 6::BIGINT nb, k::BIGINT matched, round(k / (12 - k), 6) stable FROM o"),
     "x8_residue_text": Query(lambda s, d: spans.residue(*silent_spans(s, d), "text"), f"WITH {SPAN_SQL} SELECT run, 6::BIGINT na, 6::BIGINT nb, 5::BIGINT matched, round(5 / 7, 6) stable FROM s"),

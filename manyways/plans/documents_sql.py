@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from manyways.functions import text
 from manyways.model import CHOICE_SQL, EVENTS_SQL, Query, events_choice, on_orders, orders_choice, table
-from manyways.operators import audit, cluster, forks, resample, sequence, spans, surrogate
+from manyways.operators import audit, cluster, forks, resample, sequence, spans, surrogate, trades
 from manyways.plans.forks_sql import STATS
 from manyways.operators.cluster import cut, shared
 from manyways.sources import corpus
@@ -109,8 +109,8 @@ def arm_edges(spark, sf_dir):
 
 
 def curveballs(spark, sf_dir):
-    c = orders_choice(spark, sf_dir).select("run", F.substring_index("fork", " ", 1).alias("fork"))
-    return resample.curveball_null(c.distinct(), "run", "fork", 50)
+    """Which forks runs reach together, against 400 draws: each is as large as the table."""
+    return trades.co_occurrence_null(orders_choice(spark, sf_dir), "run", "fork", 400)
 
 
 def streamed_sessions(spark, sf_dir):
