@@ -39,6 +39,21 @@ def bootstrap_mean(df: DataFrame, value: str, key: str, n: int = 1000, seed: int
     return df.agg(F.avg(value).alias("mean")).crossJoin(ci)
 
 
+def bootstrap_difference(df: DataFrame, value: str, key: str, group: Column, n: int = 1000, seed: int = SEED) -> DataFrame:
+    """difference (the mean where `group` holds less the mean where it doesn't), low and high: the 2.5 % and 97.5 % points of n resamples
+    with Poisson(1) weights by hash of draw and key, in partial sums. A draw without a row of either side doesn't count; null values
+    and rows whose group is null are left out."""
+    u = uniform("draw", key, seed=seed)
+    weight = sum((u >= c).cast("int") for c in np.cumsum([math.exp(-1) / math.factorial(k) for k in range(8)]).tolist())
+    mean = lambda w, side: F.sum(F.when(F.col("_in") == side, w * F.col(value))) / F.nullif(F.sum(F.when(F.col("_in") == side, w)), F.lit(0))
+    rows = df.select(key, value, group.alias("_in")).dropna(subset=[value, "_in"])
+    per = draws(rows, n).withColumn("w", weight).groupBy("draw").agg((mean(F.col("w"), True) - mean(F.col("w"), False)).alias("d")).dropna()
+    found = F.array_sort(F.collect_list("d"))  # n numbers
+    point = lambda q: F.get(found, F.floor(F.size(found) * q).cast("int"))
+    seen = rows.agg((mean(F.lit(1), True) - mean(F.lit(1), False)).alias("difference"))
+    return seen.crossJoin(per.agg(point(0.025).alias("low"), point(0.975).alias("high")))  # one row each
+
+
 def permuted(df: DataFrame, column: str, within: list[str], key: str, seed: int = SEED) -> DataFrame:
     """df (with draw) and column shuffled among the rows of each draw and group of `within`: two orders of the rows, joined by place."""
     w = Window.partitionBy("draw", *within)
