@@ -9,6 +9,7 @@ from manyways.functions import text
 from manyways.functions.stats import average_rank, pearson
 from manyways.operators import forks, pairs, sequence
 from manyways.operators.resample import SEED, draws, permutation_p, permuted, uniform
+from manyways.operators.setjoin import similar_sets
 
 SIM_WITHIN = 0.55
 SIM_FORK = 0.60
@@ -30,18 +31,14 @@ def _queued(n: Column) -> Column:
 
 def alike(labels: DataFrame, least: float, within: str | None = None) -> DataFrame:
     """a < b, similarity of labels (label; of one `within` only): the larger of the overlaps of words and of 3-grams, `least` or more. Pairs
-    come from shared words and shared grams, so none that reaches it is missed."""
-    keys = [within] if within else []
-    d = labels.select(*keys, "label").distinct()
-
-    def overlap(parts: Column, name: str) -> DataFrame:
-        e = d.select(*keys, "label", F.size(parts).alias("n"), F.explode(parts).alias("part"))
-        x, y = (e.select(*keys, "part", F.col("label").alias(n), F.col("n").alias(f"n{n}")) for n in ("a", "b"))
-        both = x.join(y, [*keys, "part"]).filter("a < b").groupBy(*keys, "a", "b", "na", "nb").agg(F.count("*").alias("k"))
-        return both.select(*keys, "a", "b", (F.col("k") / (F.col("na") + F.col("nb") - F.col("k"))).alias(name))
-
-    out = overlap(text.words(F.col("label")), "w").join(overlap(text.grams(F.col("label")), "g"), [*keys, "a", "b"], "full_outer")
-    return out.select(*keys, "a", "b", F.round(F.greatest(F.coalesce("w", F.lit(0.0)), F.coalesce("g", F.lit(0.0))), 6).alias("similarity")).filter(F.col("similarity") >= least)
+    come from set joins over the rarest words and grams, so none that reaches it is missed and frequent grams are no meeting place."""
+    keys = (within,) if within else ()
+    d = labels.select(*keys, "label").distinct().withColumn("words", text.words(F.col("label"))).withColumn("grams", text.grams(F.col("label")))
+    found = [similar_sets(d, "label", c, least - 1e-6, keys).select(*keys, "a", "b") for c in ("words", "grams")]
+    of = lambda s: d.select(*keys, F.col("label").alias(s), F.col("words").alias(f"w{s}"), F.col("grams").alias(f"g{s}"))
+    both = found[0].union(found[1]).distinct().join(of("a"), [*keys, "a"]).join(of("b"), [*keys, "b"])
+    score = F.greatest(text.jaccard(F.col("wa"), F.col("wb")), text.jaccard(F.col("ga"), F.col("gb")))
+    return both.select(*keys, "a", "b", F.round(score, 6).alias("similarity")).filter(F.col("similarity") >= least)
 
 
 def same_slot(choice: DataFrame) -> DataFrame:
