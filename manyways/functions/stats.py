@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from manyways.operators.cluster import stored
+
 
 def ln_factorial(x: Column) -> Column:
     """ln(x!) for whole x >= 0: a product up to 20, beyond it Stirling's series (exact to about 1e-13)."""
@@ -36,11 +38,43 @@ def fisher_tail(df: DataFrame, hit: str, marked: str, hits: str, total: str) ->
     return df.withColumn("p", F.least(sums, F.lit(1.0)))
 
 
-def average_rank(over: list[str], by: str) -> Column:
-    """Ranks from 1; ties share their mean rank."""
-    w = Window.partitionBy(*over) if over else Window.partitionBy()
-    same = Window.partitionBy(*over, by)
-    return F.rank().over(w.orderBy(by)) + (F.count("*").over(same) - 1) / 2
+def cumulative(df: DataFrame, order: list[str], weight: str, name: str) -> DataFrame:
+    """df with the sum of `weight` over all rows before each in the order of columns that no two rows share. Rows are dealt by ranges of the
+    order; each range adds up its own, and the sums of the ranges before it, one number a range, come on top. So no task holds all rows."""
+    n = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = stored(df.repartitionByRange(n, *order).withColumn("_range", F.spark_partition_id()))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    start = dealt.groupBy("_range").agg(F.sum(weight).alias("_sum")).select("_range", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_start"))  # a row a range
+    own = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    placed = dealt.withColumn(name, F.coalesce(F.sum(weight).over(own), F.lit(0)))
+    return placed.join(F.broadcast(start), "_range").withColumn(name, F.col(name) + F.col("_start")).drop("_range", "_start")
+
+
+def value_counts(df: DataFrame, by: str, *over: str) -> DataFrame:
+    """over, by, n, before: how often each value comes in its group, and how many rows of the group have a smaller one. Equal values are
+    counted before anything is dealt, so a value that a third of all rows have is one row."""
+    counts = df.groupBy(*over, by).agg(F.count("*").alias("n"))
+    placed = cumulative(counts, [*over, by], "n", "before")
+    if not over:
+        return placed
+    placed = stored(placed)
+    first = placed.groupBy(*(F.col(c).alias(f"_g{i}") for i, c in enumerate(over))).agg(F.min("before").alias("_first"))
+    same = [F.col(c).eqNullSafe(F.col(f"_g{i}")) for i, c in enumerate(over)]
+    return placed.join(first, same).select(*over, by, "n", (F.col("before") - F.col("_first")).alias("before"))
+
+
+def average_ranks(df: DataFrame, by: str, name: str, *over: str) -> DataFrame:
+    """df with ranks from 1 within the groups of `over`; ties share their mean rank, nulls come first."""
+    v = value_counts(df, by, *over).withColumn(name, F.col("before") + (F.col("n") + 1) / 2)
+    v = v.select(*(F.col(c).alias(f"_v{i}") for i, c in enumerate([*over, by])), name)
+    return df.join(v, [F.col(c).eqNullSafe(F.col(f"_v{i}")) for i, c in enumerate([*over, by])]).select(*df.columns, name)
+
+
+def upper_quantile(df: DataFrame, by: str, q: float = 0.5) -> DataFrame:
+    """One row, cut: the value in place floor(n * q) of the sorted ones, counted from 0; null without rows. Null values don't count."""
+    v = stored(value_counts(df.filter(F.col(by).isNotNull()), by))
+    at = v.agg(F.floor(F.coalesce(F.sum("n"), F.lit(0)) * q).alias("_at"))  # one row
+    return v.crossJoin(F.broadcast(at)).agg(F.max(F.when(F.col("before") <= F.col("_at"), F.col(by))).alias("cut"))
 
 
 def pearson(x: str, y: str) -> Column:
@@ -51,14 +85,17 @@ def pearson(x: str, y: str) -> Column:
 
 def spearman(df: DataFrame, x: str, y: str, *over: str) -> DataFrame:
     """rho, Pearson's r of average ranks; 0 where it isn't defined."""
-    r = df.withColumn("_x", average_rank([*over], x)).withColumn("_y", average_rank([*over], y))
+    r = average_ranks(average_ranks(df, x, "_x", *over), y, "_y", *over)
     return r.groupBy(*over).agg(F.count("*").alias("n"), F.round(pearson("_x", "_y"), 6).alias("rho"))
 
 
 def benjamini_hochberg(df: DataFrame, p: str, q: float = 0.05) -> DataFrame:
     """One row: the largest p with p <= q * rank / m, or 0."""
-    r = df.select(F.col(p).alias("p"), F.row_number().over(Window.orderBy(p)).alias("rank"), F.count("*").over(Window.partitionBy()).alias("m"))
-    return r.agg(F.count("*").alias("tests"), F.coalesce(F.max(F.when(F.col("p") <= q * F.col("rank") / F.col("m"), F.col("p"))), F.lit(0.0)).alias("threshold"))
+    v = stored(value_counts(df.select(F.col(p).alias("p")).filter("p is not null"), "p"))
+    m = v.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("m"))  # one row
+    fine = F.col("p") <= q * (F.col("before") + F.col("n")) / F.col("m")  # the last of equal ones has the highest rank
+    most = v.crossJoin(F.broadcast(m)).agg(F.max(F.when(fine, F.col("p"))).alias("most"))
+    return m.crossJoin(most).select(F.col("m").alias("tests"), F.coalesce("most", F.lit(0.0)).alias("threshold"))
 
 
 def rarefaction(counts: DataFrame, group: str, c: str, ks: list[int]) -> DataFrame:
@@ -72,5 +109,7 @@ def rarefaction(counts: DataFrame, group: str, c: str, ks: list[int]) -> DataFra
 
 def bins(df: DataFrame, by: str, tie: str, n: int = 5) -> DataFrame:
     """df and bin: equal counts in order, the remainder in the last one."""
-    per = F.greatest(F.floor(F.count("*").over(Window.partitionBy()) / n), F.lit(1))
-    return df.withColumn("bin", F.least(F.floor((F.row_number().over(Window.orderBy(by, tie)) - 1) / per), F.lit(n - 1)).cast("long"))
+    placed = cumulative(df.withColumn("_one", F.lit(1).cast("long")), [by, tie], "_one", "_before")
+    total = df.agg(F.count("*").alias("_all"))  # one row
+    per = F.greatest(F.floor(F.col("_all") / n), F.lit(1))
+    return placed.crossJoin(F.broadcast(total)).withColumn("bin", F.least(F.floor(F.col("_before") / per), F.lit(n - 1)).cast("long")).drop("_one", "_before", "_all")

@@ -144,7 +144,49 @@ def has_keys(json: Column, keys: list[str]) -> Column:
     return F.coalesce(out, F.lit(False))
 
 
-def json_object(text: Column) -> Column:
-    """The outermost object in a reply that may have prose or a fence around it; null without one."""
-    found = F.regexp_extract(text, r"(?s)(\{.*\})", 1)
-    return F.when(found != "", found)
+def json_value(reply: Column) -> Column:
+    """The text of the first whole JSON object or array of a reply, which may stand in a fence, behind prose, or before anything else; null
+    without one, and where it is cut off. An automaton over the characters counts brackets and knows strings and escapes, so brackets in
+    strings and behind the value don't count. Whether the value is well-formed, json_fault() says."""
+    return _found(reply)["value"]
+
+
+def json_fault(reply: Column) -> Column:
+    """What is wrong with a reply: `no JSON`, `cut off` (it ends within the value), `malformed`; null if json_value() is fine."""
+    found = _found(reply)
+    return F.when(~found["some"], "no JSON").when(found["value"].isNull(), "cut off").when(F.try_parse_json(found["value"]).isNull(), "malformed")
+
+
+def _found(reply: Column) -> Column:
+    """Of a reply: whether it has a bracket at all, and the first JSON value. Lengths are code points."""
+    t = F.regexp_replace(F.coalesce(reply, F.lit("")), r"^\s+", "")
+    inside = F.regexp_replace(F.element_at(F.split(t, "```"), 2), r"(?i)^\s*json", "")
+    t = F.when(t.startswith("```"), inside).otherwise(t)
+    rest = F.regexp_replace(t, r"^[^{\[]+", "")
+    state = lambda depth, quoted, escaped, at, end: F.struct(depth.cast("int").alias("depth"), quoted.alias("quoted"), escaped.alias("escaped"), at.cast("int").alias("at"), end.cast("int").alias("end"))
+    no = F.lit(False)
+
+    def step(s: Column, c: Column) -> Column:
+        opens, closes = c.isin("{", "["), c.isin("}", "]")
+        depth = F.when(s["quoted"], s["depth"]).when(opens, s["depth"] + 1).when(closes, s["depth"] - 1).otherwise(s["depth"])
+        quoted = F.when(s["quoted"], s["escaped"] | (c != '"')).otherwise(c == '"')
+        escaped = s["quoted"] & ~s["escaped"] & (c == "\\")
+        end = F.when(~s["quoted"] & closes & (s["depth"] == 1), s["at"] + 1).otherwise(F.lit(0))
+        return F.when(s["end"] > 0, s).otherwise(state(depth, quoted, escaped, s["at"] + 1, end))
+
+    last = F.aggregate(F.split(rest, ""), state(F.lit(0), no, no, F.lit(0), F.lit(0)), step)
+    found = F.array(F.struct(last["end"].alias("end"), rest.alias("rest")))
+    return F.transform(found, lambda x: F.struct((F.length(x["rest"]) > 0).alias("some"), F.when(x["end"] > 0, F.substring(x["rest"], F.lit(1), x["end"])).alias("value")))[0]
+
+
+def front_matter(sheet: Column) -> Column:
+    """The `key: value` lines between a sheet's first line `---` and the next one, as a map; an empty map without them. Of a key that comes
+    twice the last counts."""
+    block = F.regexp_extract(F.coalesce(sheet, F.lit("")), r"\A---[ \t]*\r?\n([\s\S]*?)\r?\n?---[ \t]*(?:\r?\n|\z)", 1)
+    lines = F.filter(F.split(block, r"\r?\n"), lambda x: F.regexp_like(x, F.lit(r"^\s*[^:#\s][^:]*:")))
+    pairs = F.transform(lines, lambda x: F.struct(F.trim(F.substring_index(x, ":", 1)).alias("key"), F.regexp_replace(F.trim(F.regexp_replace(x, r"^[^:]*:", "")), r"^([\x22\x27])(.*)\1$", "$2").alias("value")))
+    return F.aggregate(pairs, F.create_map().cast("map<string,string>"), lambda m, x: F.map_concat(F.map_filter(m, lambda k, v: k != x["key"]), F.create_map(x["key"], x["value"])))
+
+
+def without_front_matter(sheet: Column) -> Column:
+    return F.regexp_replace(sheet, r"\A---[ \t]*\r?\n[\s\S]*?---[ \t]*(?:\r?\n|\z)", "")

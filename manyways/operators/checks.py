@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from manyways.functions import text
-from manyways.functions.stats import average_rank, pearson
+from manyways.functions.stats import average_ranks, pearson
 from manyways.operators import forks, pairs, sequence
 from manyways.operators.resample import SEED, draws, permutation_p, permuted, uniform
 from manyways.operators.setjoin import similar_sets
@@ -73,7 +73,7 @@ def iteration(choice: DataFrame, null_mean: Column | None = None) -> DataFrame:
     one = s.agg(n(back).alias("raw"), n(back & apart).alias("kept"), F.count("*").alias("steps"))
     top = s.groupBy("fork").agg(n(back & apart).alias("k")).agg((F.max("k") / F.nullif(F.sum("k"), F.lit(0))).alias("top"))
     place = choice.withColumn("p", F.col("line") / F.max("line").over(Window.partitionBy("run")))
-    rho = place.withColumn("x", average_rank([], "p")).withColumn("y", average_rank([], "rank")).agg(pearson("x", "y").alias("rho"))
+    rho = average_ranks(average_ranks(place.select("p", "rank"), "p", "x"), "rank", "y").agg(pearson("x", "y").alias("rho"))
     three = sequence.returns(choice.withColumn("rank", coarse(F.col("rank")))).select("run").distinct().agg(F.count("*").alias("with"))
     t = one.crossJoin(top).crossJoin(rho).crossJoin(three).crossJoin(choice.agg(F.countDistinct("run").alias("runs")))  # one row each
     ties, many = F.coalesce((F.col("raw") - F.col("kept")) / F.nullif(F.col("raw"), F.lit(0)), F.lit(0.0)), F.col("with") / F.col("runs")
@@ -223,7 +223,7 @@ def co_choice_null(choice: DataFrame, n: int = 600, least: int = 20, reach: int
 
 def auc_null(df: DataFrame, score: str, positive: str, key: str, n: int = 20000, seed: int = SEED) -> DataFrame:
     """One row: the AUC of score, and how often shuffled labels lie as far from a half: p = (draws + 1) / (n + 1). Ranks are found once."""
-    t = df.select(key, F.col(positive).cast("double").alias("y"), average_rank([], score).alias("r"))
+    t = average_ranks(df.select(key, F.col(positive).cast("double").alias("y"), F.col(score).alias("_score")), "_score", "r").select(key, "y", "r")
     one = t.agg(F.sum("y").alias("k"), F.sum(1 - F.col("y")).alias("m"))
     auc = lambda d, *keys: d.groupBy(*keys).agg(F.sum(F.col("y") * F.col("r")).alias("s")).crossJoin(F.broadcast(one)).select(*keys, ((F.col("s") - F.col("k") * (F.col("k") + 1) / 2) / (F.col("k") * F.col("m"))).alias("auc"))
     null = auc(permuted(draws(t.withColumn("_g", F.lit(1)), n), "y", ["_g"], key, seed), "draw").select(F.abs(F.col("auc") - 0.5).alias("off"))

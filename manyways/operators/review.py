@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from manyways.functions import text
-from manyways.functions.stats import average_rank, ln_choose
+from manyways.functions.stats import average_ranks, ln_choose
 
 UNSURE = "unsure"
 
@@ -44,7 +44,7 @@ def rater_z(votes: DataFrame) -> DataFrame:
 
 def auc(df: DataFrame, score: str, positive: str, *over: str) -> DataFrame:
     """The chance that a positive row scores above a negative one, ties half; null without both."""
-    t = df.withColumn("_r", average_rank([*over], score))
+    t = average_ranks(df, score, "_r", *over)
     p = F.col(positive).cast("long")
     s = t.groupBy(*over).agg(F.sum(p).alias("p"), F.sum(1 - p).alias("n"), F.sum(F.when(p == 1, F.col("_r"))).alias("r"))
     return s.select(*over, F.round(F.when((F.col("p") > 0) & (F.col("n") > 0), (F.col("r") - F.col("p") * (F.col("p") + 1) / 2) / (F.col("p") * F.col("n"))), 6).alias("auc"))

@@ -123,7 +123,7 @@ QUERIES = {
 
 def _split(scores):
     """Runs above and up to the upper median of score, and the difference of their mean numbers of decisions."""
-    cut = scores.agg(F.array_sort(F.collect_list("score")).alias("s")).select(F.element_at("s", F.floor(F.size("s") / 2).cast("int") + 1).alias("cut"))
+    cut = stats.upper_quantile(scores, "score")
     t = scores.crossJoin(F.broadcast(cut))  # one row
     high = F.col("score") > F.col("cut")
     return t.agg(F.sum(high.cast("long")).alias("high"), F.sum((~high).cast("long")).alias("low"), F.round(F.avg(F.when(high, F.col("decisions"))) - F.avg(F.when(~high, F.col("decisions"))), 6).alias("difference"))
