@@ -203,24 +203,6 @@ def gate_null(choice: DataFrame, n: int = 1000, seed: int = SEED) -> DataFrame:
     return choice.sparkSession.range(n).select(F.col("id").cast("int").alias("draw")).join(fine, "draw", "left").fillna(0, ["gates"])
 
 
-def co_choice_null(choice: DataFrame, n: int = 600, least: int = 20, reach: int = 100, seed: int = SEED) -> DataFrame:
-    """Cramér's V of fork pairs against options of one fork shuffled among the runs that face both: a, b, v, p."""
-    m = forks.modal(choice)
-    m = m.join(m.groupBy("fork").agg(F.count("*").alias("n")).filter(F.col("n") >= reach).select("fork"), "fork")
-    both = m.select("run", F.col("fork").alias("a"), F.col("option").alias("x")).join(m.select("run", F.col("fork").alias("b"), F.col("option").alias("y")), "run").filter("a < b")
-    fine = both.groupBy("a", "b").agg(F.count("*").alias("n"), F.countDistinct("x").alias("kx"), F.countDistinct("y").alias("ky")).filter((F.col("n") >= least) & (F.least("kx", "ky") > 1))
-    both = both.join(fine.select("a", "b"), ["a", "b"])
-
-    def v(d: DataFrame, *keys: str) -> DataFrame:
-        cell = d.groupBy(*keys, "a", "b", "x", "y").agg(F.count("*").alias("o"))
-        w = lambda *c: F.sum("o").over(Window.partitionBy(*keys, "a", "b", *c))
-        t = cell.select(*keys, "a", "b", "x", "y", "o", w("x").alias("r"), w("y").alias("c"))
-        s = t.groupBy(*keys, "a", "b").agg(F.sum(F.col("o") * F.col("o") / (F.col("r") * F.col("c"))).alias("s"), F.countDistinct("x").alias("kx"), F.countDistinct("y").alias("ky"))
-        return s.select(*keys, "a", "b", F.sqrt(F.greatest(F.col("s") - 1, F.lit(0.0)) / (F.least("kx", "ky") - 1)).alias("v"))
-
-    return permutation_p(v(both), v(permuted(draws(both, n), "y", ["a", "b"], "run", seed), "draw"), "v", "a", "b")
-
-
 def auc_null(df: DataFrame, score: str, positive: str, key: str, n: int = 20000, seed: int = SEED) -> DataFrame:
     """One row: the AUC of score, and how often shuffled labels lie as far from a half: p = (draws + 1) / (n + 1). Ranks are found once."""
     t = average_ranks(df.select(key, F.col(positive).cast("double").alias("y"), F.col(score).alias("_score")), "_score", "r").select(key, "y", "r")

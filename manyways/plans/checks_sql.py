@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from manyways.functions import text
 from manyways.model import CHOICE_SQL, EVENTS_SQL, Query, events_choice, on_orders, orders_choice, table
-from manyways.operators import checks, cluster, forks, pairs, resample, spans, surrogate, trades
+from manyways.operators import checks, cluster, forks, pairs, resample, spans, surrogate, tables, trades
 from manyways.plans.documents_sql import GRAMS, JACCARD, SPAN_SQL, WORDS, outcome, two_spans
 from manyways.plans.forks_sql import STAGE_SQL, STATS, stages
 from manyways.plans.projections_sql import TALK_SQL, talk
@@ -175,7 +175,7 @@ QUERIES = {
         t AS (SELECT run, 'novelty' AS fork, CASE WHEN score <= 0 THEN 'no novel options' WHEN score <= lo THEN 'novelty low' WHEN score <= hi THEN 'novelty medium' ELSE 'novelty high' END AS "level" FROM scores, k WHERE n >= 30) SELECT * FROM t WHERE (SELECT count(*) FROM (SELECT 1 FROM t GROUP BY "level" HAVING count(*) >= 10)) >= 2"""),
     "m8_forms": Query(lambda s, d: surrogate.forms(surrogate.players(events_choice(s, d)), outcome(s, d), folds=3, trees=5)),
     "n14_bootstrap": Query(lambda s, d: surrogate.bootstrapped(surrogate.players(events_choice(s, d)), outcome(s, d), 10.0, 2000)),
-    "n3_co_choice": Query(lambda s, d: checks.co_choice_null(events_choice(s, d))),
+    "n3_co_choice": Query(lambda s, d: tables.co_choice(events_choice(s, d))),
     "n5_gate_draws": Query(gate_draws),
     "n6_recipes": Query(lambda s, d: checks.recipes_null(events_choice(s, d))),
     "n12_contraction": Query(contracted),

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from manyways.functions import text
 from manyways.model import CHOICE_SQL, EVENTS_SQL, Query, events_choice, on_orders, orders_choice, table
-from manyways.operators import audit, cluster, forks, resample, sequence, spans, surrogate, trades
+from manyways.operators import audit, cluster, forks, resample, sequence, spans, surrogate, tables, trades
 from manyways.plans.forks_sql import STATS
 from manyways.operators.cluster import cut, shared
 from manyways.sources import corpus
@@ -97,8 +97,12 @@ def surrogate_audit(spark, sf_dir):
     return surrogate.audited(cut(every_player(spark, sf_dir)), {"mean": y, "largest": other}, orders_choice(spark, sf_dir).groupBy("run").agg(F.count("*").alias("n")))
 
 
+def walked(spark, sf_dir):
+    return sequence.routes(events_choice(spark, sf_dir)).select("run", "arm", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def arm_edges(spark, sf_dir):
-    e = sequence.routes(events_choice(spark, sf_dir)).select("run", "arm", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    e = walked(spark, sf_dir)
     items = e.select(F.concat_ws("|", "a", "b", "arm").alias("id")).distinct()
 
     def test(some, n):
@@ -257,6 +261,7 @@ QUERIES = {
     "n2_curveball": Query(curveballs),
     "n4_return_null": Query(lambda s, d: resample.return_rate_null(sequence.spaced(events_choice(s, d)), 200)),
     "n7_arm_edges": Query(arm_edges),
+    "n7_exact": Query(lambda s, d: tables.arm_edges(walked(s, d))),
     "st_sessions": Query(streamed_sessions, SESSIONS_SQL),
     "st_islands": Query(streamed_islands, ISLANDS_SQL),
     "st_islands_batch": Query(lambda s, d: islands.timed_islands(events_choice(s, d), VISIT_GAP), ISLANDS_SQL),
