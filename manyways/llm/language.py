@@ -21,7 +21,7 @@ BATCH = 128
 #: Windows that each language is trained on at least, however many languages there are.
 PER_NAME = 2000
 RATE = 0.01
-TOGETHER = 4096
+TOGETHER = 1024
 WINDOWS = 16
 
 
