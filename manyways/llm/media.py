@@ -66,7 +66,7 @@ def images(files: DataFrame, column: str = "media") -> DataFrame:
                 for x in data[a:z]:
                     try:
                         t = pixels(decode_coefficients([x])[0]) if x else None
-                    except (ValueError, IndexError, KeyError, TypeError):
+                    except Exception:  # a damaged file may fail at any place; its row has nulls
                         t = None
                     out.append((None, None, None) if t is None else (t.shape[0], t.shape[1], t.tobytes()))
             extra = [pa.array([o[i] for o in out], k) for i, k in enumerate((pa.int32(), pa.int32(), pa.binary()))]

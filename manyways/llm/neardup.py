@@ -354,7 +354,8 @@ def near_duplicates(docs: DataFrame, width: int = 4, percent: int = 80) -> DataF
 
     Equal sets are one node, so a large group of copies costs no pairs; its links count for all its documents. A null or wordless
     text has no shingles and its own component. Rows of one doc_id belong to the components of their own texts, also where these
-    differ; a null doc_id joins no links and is kept. An empty table gives an empty result.
+    differ; a null doc_id joins no links and is kept. Ids must be whole numbers. Texts of any length are compared whole; other columns play no
+    part. An empty table gives an empty result.
     """
     rows = written(shingled(docs, width), "shingled", ROWS)
     sets_of = rows.filter("doc_id is not null").groupBy("doc_id").agg(F.min("set_id").alias("x"), F.max("set_id").alias("y"))

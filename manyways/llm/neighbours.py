@@ -159,7 +159,8 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, block: int = BLOCK
 
     Equal vectors are searched once, with their k + 1 smallest ids. Blocks of distinct vectors meet blocks of distinct queries, both of
     bounded size; each meeting returns one row a query, and these are merged in two steps. Ties go to smaller ids. Repeated
-    rows (same id and vector) count once; unusable vectors take no part; vectors of another length than the query's aren't
+    rows (same id and vector) count once; an id with several vectors is a candidate with each of them, and as a query has a ranking for each,
+    all under that id; unusable vectors take no part; other columns play no part; vectors of another length than the query's aren't
     compared; an empty table gives an empty result.
     """
     rows = usable(vectors)
