@@ -6,7 +6,7 @@ import pytest
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-SOME = ["a1_fork_stats", "a12_path_space", "g17_cramers_v", "a29_ari", "w2_returns", "j10_overlaps", "j3_presence", "m1_levels", "g4_gates", "a26_tally", "a41_ami", "j1_members", "audit_vocabulary", "x17_against_builds", "st_sessions", "f_thresholds"]
+SOME = ["a1_fork_stats", "a12_path_space", "g17_cramers_v", "a29_ari", "w2_returns", "j10_overlaps", "j3_presence", "m1_levels", "g4_gates", "a26_tally", "a41_ami", "j1_members", "audit_vocabulary", "x17_against_builds", "st_sessions", "f_thresholds", "st_islands_batch", "lineage_neighbours", "g19_silhouettes", "g14_options", "f_json", "x21_codebook"]
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
