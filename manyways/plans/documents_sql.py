@@ -257,7 +257,7 @@ QUERIES = {
     "n8_payout_null": Query(surrogate_null),
     "m7_audit": Query(surrogate_audit),
     "n1_bootstrap": on_orders(lambda c: resample.bootstrap_mean(forks.run_novelty(c), "score", "run", 4000), None),
-    "n1_difference": on_orders(lambda c: resample.bootstrap_difference(forks.run_novelty(c).join(c.select("run", "arm").distinct(), "run"), "score", "run", F.col("arm") == "BUILDING", 2000), None),
+    "n1_difference": on_orders(lambda c: resample.bootstrap_difference(forks.run_novelty(c), "decisions", "run", F.col("arm") == "BUILDING", 2000), None),
     "n2_curveball": Query(curveballs),
     "n4_return_null": Query(lambda s, d: resample.return_rate_null(sequence.spaced(events_choice(s, d)), 200)),
     "n7_arm_edges": Query(arm_edges),
