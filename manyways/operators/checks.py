@@ -13,6 +13,7 @@ from manyways.operators.setjoin import similar_sets
 
 SIM_WITHIN = 0.55
 SIM_FORK = 0.60
+BACKFILL = 0.02
 
 
 def _rows(t: DataFrame, *checks: tuple[str, Column, Column]) -> DataFrame:
@@ -64,8 +65,8 @@ def coarse(rank: Column) -> Column:
     return F.when(rank <= 2, 0).when(rank <= 4, 1).otherwise(2)
 
 
-def iteration(choice: DataFrame, null_mean: Column | None = None) -> DataFrame:
-    """I1 the share of returns that lie within TIE_LINES lines, I3 Spearman of place and stage, I4 returns per step, I5 the share of the most
+def iteration(choice: DataFrame, null: DataFrame | None = None) -> DataFrame:
+    """I2, where a null of the share of steps that return is given (one row: null_mean), how far it lies above the share itself. I1 the share of returns that lie within TIE_LINES lines, I3 Spearman of place and stage, I4 returns per step, I5 the share of the most
     frequent trigger, I6 the share of runs that return over three stages."""
     s = sequence.steps(choice).filter("to is not null")
     back, apart = F.col("to_rank") < F.col("rank"), F.col("to_line") - F.col("line") > sequence.TIE_LINES
@@ -77,7 +78,12 @@ def iteration(choice: DataFrame, null_mean: Column | None = None) -> DataFrame:
     three = sequence.returns(choice.withColumn("rank", coarse(F.col("rank")))).select("run").distinct().agg(F.count("*").alias("with"))
     t = one.crossJoin(top).crossJoin(rho).crossJoin(three).crossJoin(choice.agg(F.countDistinct("run").alias("runs")))  # one row each
     ties, many = F.coalesce((F.col("raw") - F.col("kept")) / F.nullif(F.col("raw"), F.lit(0)), F.lit(0.0)), F.col("with") / F.col("runs")
-    return _rows(t, ("I1", ties, _passes(ties < 0.25)), ("I3", F.col("rho"), _passes(F.col("rho") > 0.25)), ("I4", F.col("kept") / F.col("steps"), F.lit("INFO")), ("I5", F.col("top"), _passes(F.col("top") < 0.25)), ("I6", many, _passes(many > 0.5)))
+    rows = [("I1", ties, _passes(ties < 0.25)), ("I3", F.col("rho"), _passes(F.col("rho") > 0.25)), ("I4", F.col("kept") / F.col("steps"), F.lit("INFO")), ("I5", F.col("top"), _passes(F.col("top") < 0.25)), ("I6", many, _passes(many > 0.5))]
+    if null is not None:
+        t = t.crossJoin(null.select("null_mean"))  # one row
+        below = F.col("null_mean") - F.col("kept") / F.col("steps")
+        rows.insert(1, ("I2", below, _passes(below > 0)))
+    return _rows(t, *rows)
 
 
 def garden(choice: DataFrame, tokens: DataFrame, groups: DataFrame, verdicts: DataFrame, stages: DataFrame, gates: DataFrame, ranks: dict[str, int]) -> DataFrame:
@@ -101,9 +107,10 @@ def garden(choice: DataFrame, tokens: DataFrame, groups: DataFrame, verdicts: Da
     return _rows(t, ("G1", blind, _passes(blind < 0.5)), ("G2", F.col("density"), _passes((F.col("density") >= 0.5) & (F.col("vetoes") == 0))), ("G3", F.col("after") - F.col("before"), F.lit("INFO")), ("G5", agree, _passes(agree >= 0.6)))
 
 
-def clusters(choice: DataFrame, values: DataFrame, negated: DataFrame, backfill: Column | None = None) -> DataFrame:
+def clusters(choice: DataFrame, values: DataFrame, negated: DataFrame, backfilled: DataFrame | None = None) -> DataFrame:
     """A: options with members whose cut-offs (did, values) contradict each other, options with members that do and don't negate (did,
-    negated), like options of a fork (0.8 or more), and the share of option pairs that no run shares."""
+    negated), like options of a fork (0.8 or more), the share of option pairs that no run shares, and, where decisions are given that no
+    merge placed (backfilled: did), their share of all."""
     c = choice.select("did", "fork", "option")
     sets = c.join(values.filter(F.size("values") > 0), "did").select("fork", "option", "values").distinct()
     x, y = sets.withColumnRenamed("values", "v"), sets.withColumnRenamed("values", "w")
@@ -115,7 +122,12 @@ def clusters(choice: DataFrame, values: DataFrame, negated: DataFrame, backfill:
     shared = same_slot(choice).agg(F.coalesce(F.sum("pairs"), F.lit(0)).alias("shared"))
     t = one(clash, "numeric").crossJoin(one(polar, "negation")).crossJoin(one(near, "near")).crossJoin(n).crossJoin(shared)  # one row each
     exclusive = 1 - F.col("shared") / F.col("pairs")
-    return _rows(t, ("numeric", F.col("numeric"), _passes(F.col("numeric") == 0)), ("negation", F.col("negation"), _passes(F.col("negation") == 0)), ("near", F.col("near"), _queued(F.col("near"))), ("exclusive", exclusive, _passes(exclusive >= 0.9)))
+    rows = [("numeric", F.col("numeric"), _passes(F.col("numeric") == 0)), ("negation", F.col("negation"), _passes(F.col("negation") == 0)), ("near", F.col("near"), _queued(F.col("near"))), ("exclusive", exclusive, _passes(exclusive >= 0.9))]
+    if backfilled is not None:
+        t = t.crossJoin(one(backfilled, "backfilled")).crossJoin(one(choice, "decisions"))  # one row each
+        rate = F.col("backfilled") / F.col("decisions")
+        rows.append(("backfill", rate, _passes(rate < BACKFILL)))
+    return _rows(t, *rows)
 
 
 #: Strata of forks by runs.

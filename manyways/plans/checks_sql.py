@@ -141,6 +141,9 @@ QUERIES = {
         c3 AS (SELECT run, did, fork, line, CASE WHEN "rank" <= 2 THEN 0 WHEN "rank" <= 4 THEN 1 ELSE 2 END g FROM sp), s3 AS (SELECT run, g, line, lead(g) OVER w tg, lead(line) OVER w tl FROM c3 WINDOW w AS (PARTITION BY run ORDER BY line, g, fork, did)), m AS (SELECT count(DISTINCT run) FILTER (tg < g AND tl - line > 2) / count(DISTINCT run) m FROM s3)
         SELECT 'I1' AS "check", round((r - k) / r, 6) AS value, CASE WHEN (r - k) / r < 0.25 THEN 'PASS' ELSE 'REVIEW' END verdict FROM o UNION ALL SELECT 'I3', round(rho, 6), CASE WHEN rho > 0.25 THEN 'PASS' ELSE 'REVIEW' END FROM rh UNION ALL SELECT 'I4', round(k / n, 6), 'INFO' FROM o
         UNION ALL SELECT 'I5', round(t, 6), CASE WHEN t < 0.25 THEN 'PASS' ELSE 'REVIEW' END FROM tp UNION ALL SELECT 'I6', round(m, 6), CASE WHEN m > 0.5 THEN 'PASS' ELSE 'REVIEW' END FROM m"""),
+    "audit_backfill": Query(lambda s, d: checks.clusters(labelled(s, d), values(s, d), orders_choice(s, d).select("did", (F.col("did") % 701 == 0).alias("negated")).distinct(), orders_choice(s, d).filter("did % 97 = 0").select("did")).filter("check = 'backfill'"), f"""WITH {CHOICE_SQL}, r AS (SELECT count(*) FILTER (did % 97 = 0) / count(*) AS r FROM choice)
+        SELECT 'backfill' AS "check", round(r, 6) AS value, CASE WHEN r < 0.02 THEN 'PASS' ELSE 'REVIEW' END AS verdict FROM r"""),
+    "audit_i2": Query(lambda s, d: checks.iteration(uneven(s, d), resample.return_rate_null(uneven(s, d), 200)).filter("check = 'I2'")),
     "audit_clusters": Query(lambda s, d: checks.clusters(labelled(s, d), values(s, d), orders_choice(s, d).select("did", (F.col("did") % 701 == 0).alias("negated")).distinct()), f"""WITH {CHOICE_SQL}, {LABELLED_SQL}, v AS (SELECT DISTINCT fork, option, did % 5 = 0 w FROM lab WHERE did % 5 = 0 OR did % 500 = 1), num AS (SELECT count(*) n FROM (SELECT fork, option FROM v GROUP BY ALL HAVING count(*) > 1)),
         neg AS (SELECT count(*) n FROM (SELECT fork, option FROM lab GROUP BY ALL HAVING count(DISTINCT did % 701 = 0) > 1)), o AS (SELECT DISTINCT fork, option FROM lab), p AS (SELECT a.fork, a.option x, b.option y FROM o a JOIN o b ON a.fork = b.fork AND a.option < b.option), near AS (SELECT count(*) n FROM p WHERE round({SIM}, 6) >= 0.8),
         d AS (SELECT DISTINCT run, fork, option FROM lab), sh AS (SELECT count(*) n FROM (SELECT DISTINCT a.fork, a.option, b.option FROM d a JOIN d b ON a.run = b.run AND a.fork = b.fork AND a.option < b.option)), ex AS (SELECT 1 - (SELECT n FROM sh) / (SELECT count(*) FROM p) n)
