@@ -106,7 +106,8 @@ def concedes(note: Column) -> Column:
 def thresholds(text: Column) -> Column:
     """Sorted distinct cut-offs: numbers behind a comparison, unless the 24 characters before to the 8 behind describe (confidence levels,
     sample sizes, counts). On whole numbers `> v` is v + 1 and `< v` is v - 1."""
-    pattern = F.lit(rf"(?i)(?<=((?s:^.{{0,24}}|.{{24}}))){COMPARISON}(?=((?s:.{{0,8}})))")
+    ahead = COMPARISON.replace("(>=", "(?:>=").replace(r"(\d", r"(?:\d")  # looked for first, since the text before is costly to find at every place
+    pattern = F.lit(rf"(?i)(?={ahead})(?<=((?s:^.{{0,24}}|.{{24}}))){COMPARISON}(?=((?s:.{{0,8}})))")
     part = lambda i: F.regexp_extract_all(text, pattern, F.lit(i))
     found = F.arrays_zip(part(1).alias("before"), part(0).alias("own"), part(2).alias("op"), part(3).alias("number"), part(4).alias("behind"))
     chosen = F.filter(found, lambda m: ~F.concat(m["before"], m["own"], m["behind"]).rlike(DESCRIPTIVE))
