@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from manyways.functions import text
 from manyways.functions.stats import average_ranks, ln_choose
+from manyways.operators.setjoin import similar_sets
 
 UNSURE = "unsure"
 
@@ -155,11 +156,15 @@ def hard_negatives(options: DataFrame, first: int = 300, least: float = 0.25) ->
 
 def gold_pairs(items: DataFrame, least: float = 0.6) -> DataFrame:
     """option, a, b, jaccard: per option the two items (item, option, words) whose words are most alike, if that is `least` or more."""
-    e = items.select("option", "item", F.size("words").alias("n"), F.explode("words").alias("w"))
-    x, y = e.select("option", "w", F.col("item").alias("a"), F.col("n").alias("na")), e.select("option", "w", F.col("item").alias("b"), F.col("n").alias("nb"))
-    t = x.join(y, ["option", "w"]).filter("a < b").groupBy("option", "a", "b", "na", "nb").agg(F.count("*").alias("k"))
+    rows = items.filter(F.size("words") > 0).select("option", "item", F.array_sort("words").alias("words")).distinct()
+    # copies: the first two of an option's equal sets are its best pair, and others needn't meet
+    place = F.row_number().over(Window.partitionBy("option", "words").orderBy("item"))
+    first = rows.withColumn("_place", place).filter("_place <= 2").groupBy("option", "words").agg(F.min("item").alias("a"), F.max("item").alias("b"))
+    equal = first.filter("a < b").groupBy("option").agg(F.min(F.struct("a", "b")).alias("x")).select("option", "x.a", "x.b", F.lit(1.0).alias("jaccard"))
+    t = similar_sets(first.join(equal.select("option"), "option", "left_anti"), "a", "words", least - 1e-6, ("option",))
     t = t.withColumn("jaccard", F.round(F.col("k") / (F.col("na") + F.col("nb") - F.col("k")), 6)).filter(F.col("jaccard") >= least)
-    return t.groupBy("option").agg(F.min(F.struct((-F.col("jaccard")).alias("m"), "a", "b")).alias("x")).select("option", "x.a", "x.b", (-F.col("x.m")).alias("jaccard"))
+    best = t.groupBy("option").agg(F.min(F.struct((-F.col("jaccard")).alias("m"), "a", "b")).alias("x")).select("option", "x.a", "x.b", (-F.col("x.m")).alias("jaccard"))
+    return equal.union(best)
 
 
 def worst_and_random(items: DataFrame, n: int, order: Column) -> DataFrame:
