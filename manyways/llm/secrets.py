@@ -196,14 +196,15 @@ class Grammar:
         kinds = credentials if isinstance(credentials, dict) else {KINDS[0]: credentials}
         kinds = {k: sorted({*words}) for k, words in kinds.items() if words}
         level = {k: fitting(words) for k, words in kinds.items()}
-        self.good = {k: Automaton(words, level[k]) for k, words in kinds.items()}
+        self.kinds = {k: Automaton(words, level[k]) for k, words in kinds.items()}
+        self.good = self.kinds if isinstance(credentials, dict) else self.kinds.get(KINDS[0])  # a plain list has one automaton
         own = {k: self._apart(words, lambda w, a=level[k]: Automaton(w, a)) for k, words in kinds.items()}
         left, bad_level = [*others], fitting(others)
         for _ in range(ROUNDS):
             self.bad = Automaton(left, bad_level)
             against = self._apart(left, lambda w: Automaton(w, bad_level))
             good = {k: sorted((own[k][w] - self.bad.score(w)) / len(w) for w in words) for k, words in kinds.items()}
-            bad = {k: [(self.good[k].score(w) - against[w]) / len(w) for w in left] for k in kinds}
+            bad = {k: [(self.kinds[k].score(w) - against[w]) / len(w) for w in left] for k in kinds}
             reached = {k: x[int(MISSED * len(x))] for k, x in good.items()}
             alike = {k: max(RATIO, x / 2) for k, x in reached.items()}
             rest = [w for i, w in enumerate(left) if all(bad[k][i] < alike[k] for k in kinds)]
@@ -227,7 +228,7 @@ class Grammar:
     def score(self, word: str) -> float:
         """The highest score of a kind, less that kind's threshold."""
         bad = self.bad.score(word)
-        return max((self.good[k].score(word) - bad) / len(word) - self.thresholds[k] for k in self.good)
+        return max((a.score(word) - bad) / len(word) - self.thresholds[k] for k, a in self.kinds.items())
 
     def finds(self, word: str) -> bool:
         """Whether a threshold is reached; the answers for KNOWN words are kept."""
