@@ -264,9 +264,10 @@ def unlinked(rows: DataFrame, sets: DataFrame, labels: DataFrame) -> DataFrame:
     return met.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("mates"))).alias("mates"))
 
 
-def confirmed_mates(mates: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+def confirmed_mates(mates: DataFrame, texts: DataFrame, labels: DataFrame, width: int, percent: int) -> DataFrame:
     """Links (a, b) of rows (id, mates): blocks of texts meet the rows with mates among them, and the shared shingles of a row with all of
-    a block are counted at once. No pair is a row of its own before it is confirmed."""
+    a block are counted at once. No pair is a row of its own before it is confirmed, and of the mates of one component in a block one
+    link is given, which joins all of them."""
     blocks = max(1, -(-texts.count() // TEXTS))
 
     def deal(batches):
@@ -287,19 +288,21 @@ def confirmed_mates(mates: DataFrame, texts: DataFrame, width: int, percent: int
             every, owner = np.concatenate(right), np.repeat(np.arange(len(right)), size)
             order = np.argsort(every, kind="stable")
             every, owner = every[order], owner[order]
-            ids = y.column("mate").to_numpy()
+            ids, of = y.column("mate").to_numpy(), y.column("of").to_numpy()
             for i, s, m in zip(x.column("doc_id").to_pylist(), left, x.column("mates").to_pylist(), strict=True):
                 lo, hi = np.searchsorted(every, s, "left"), np.searchsorted(every, s, "right")
                 n = hi - lo
                 at = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
                 both = np.bincount(owner[at], minlength=len(right))
-                fine = ids[(100 * both >= percent * (len(s) + size - both)) & np.isin(ids, m)]
-                a += [min(i, j) for j in fine.tolist()]
-                b += [max(i, j) for j in fine.tolist()]
+                fine = (100 * both >= percent * (len(s) + size - both)) & np.isin(ids, m)
+                one = ids[fine][np.unique(of[fine], return_index=True)[1]].tolist()
+                a += [min(i, j) for j in one]
+                b += [max(i, j) for j in one]
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     dealt = mates.mapInArrow(trimmed(deal), "doc_id long, block long, mates array<long>").join(texts, "doc_id")
     right = texts.select(F.pmod("doc_id", F.lit(blocks)).cast("long").alias("part"), F.col("doc_id").alias("mate"), F.col("text").alias("its"))
+    right = right.join(labels.select(F.col("id").alias("mate"), "component"), "mate", "left").withColumn("of", F.coalesce("component", "mate")).drop("component")
     return dealt.groupBy("block").cogroup(right.groupBy("part")).applyInArrow(check, "a long, b long").distinct()
 
 
@@ -331,22 +334,46 @@ def confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> D
 def components(links: DataFrame) -> DataFrame:
     """id and component, the least id that links lead to. links (a, b) is a stored table.
 
-    Each round takes the least label among a row and its neighbours, then the label of that label; the number of rounds grows with the
-    logarithm of the longest chain. No links or labels come to the driver.
+    Each round moves every id to the least one among itself and its neighbours, and links that then join an id with itself, or say the same,
+    are gone: a large group costs its links once, not once a round. An id that is left after two rounds has taken in another, so the
+    number of rounds grows with the logarithm of the ids. Then moves are followed from the last round back. No links or labels come to the driver.
     """
-    both = written(links.select("a", "b").union(links.select("b", "a")), "both-ways")
-    labels = held = written(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("component")), "labels")
+    moves, held = [], None
     while True:
-        near = both.join(labels.withColumnRenamed("id", "b"), "b").groupBy("a").agg(F.min("component").alias("near"))
-        step = labels.join(near.withColumnRenamed("a", "id"), "id").select("id", F.least("component", "near").alias("next"), F.col("component").alias("old"))
-        step = written(step, "step")
-        jump = step.select(F.col("id").alias("next"), F.col("next").alias("far"))
-        new = written(step.join(jump, "next").select("id", F.least("next", "far").alias("component"), "old"), "labels")
-        discard(step, held)
-        held, labels = new, new.select("id", "component")
-        if not new.filter("component <> old").limit(1).count():
-            discard(both)
-            return labels
+        ends = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        move = written(ends.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("component")), "moves")
+        moves.append(move)
+        to = lambda side: move.select(F.col("id").alias(side), F.col("component").alias(f"_{side}"))  # noqa: E731, B023
+        left = links.join(to("a"), "a").join(to("b"), "b").filter("_a <> _b").select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b"))
+        links = written(left.distinct(), "left-links")
+        if held is not None:
+            discard(held)
+        held = links
+        if not links.limit(1).count():
+            break
+    discard(held)
+    labels = moves.pop()
+    while moves:
+        move = moves.pop()
+        further = written(followed(move, labels), "labels")
+        discard(move, labels)
+        labels = further
+    return labels
+
+
+def followed(labels: DataFrame, further: DataFrame) -> DataFrame:
+    """labels (id, component) with components moved on where `further` (id, component) has them; ids that only it has come along."""
+    on = further.select(F.col("id").alias("component"), F.col("component").alias("_further"))
+    moved = labels.join(on, "component", "left").select("id", F.coalesce("_further", "component").alias("component"))
+    return moved.union(further.join(labels, "id", "left_anti").select("id", "component"))
+
+
+def joined(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """id and component of labels after more links (a, b): what is in one component already doesn't link anew."""
+    of = lambda side: labels.select(F.col("id").alias(side), F.col("component").alias(f"_{side}"))
+    ends = [F.coalesce(f"_{side}", side) for side in "ab"]
+    new = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.least(*ends).alias("a"), F.greatest(*ends).alias("b")).filter("a <> b").distinct()
+    return followed(labels, components(written(new, "new-links")))
 
 
 def near_duplicates(docs: DataFrame, width: int = 4, percent: int = 80) -> DataFrame:
@@ -379,11 +406,13 @@ def _grouped(rows: DataFrame, docs: DataFrame, width: int, percent: int) -> Data
     texts = texts_of(pairs, docs)
     links = written(confirmed(pairs, texts, width, percent), "links", PAIRS)
     discard(pairs)
-    rest = written(unlinked(trees, sets, components(links)), "unlinked")  # their texts are there: each had a neighbour
+    labels = components(links)
+    discard(links)
+    rest = written(unlinked(trees, sets, labels), "unlinked")  # their texts are there: each had a neighbour
     discard(trees)
-    first, links = links, written(links.union(confirmed_mates(rest, texts, width, percent)), "all-links")
-    discard(first, texts, rest)
-    of_set = sets.select("set_id", F.col("doc_id").alias("_least")).join(components(links).withColumnRenamed("id", "_least"), "_least", "left")
+    links = written(confirmed_mates(rest, texts, labels, width, percent), "more-links", PAIRS)
+    discard(texts, rest)
+    of_set = sets.select("set_id", F.col("doc_id").alias("_least")).join(joined(labels, links).withColumnRenamed("id", "_least"), "_least", "left")
     of_set = written(of_set.select("set_id", F.coalesce("component", "_least").alias("_component")), "set-components")
     out = rows.select("doc_id", "n_shingles", "set_id").join(of_set, "set_id", "left").withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("_component", "doc_id")))
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))

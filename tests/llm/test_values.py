@@ -126,6 +126,37 @@ def test_near_duplicates_near_the_threshold(spark):
     assert got == {i: find(i) for i in range(len(texts))}
 
 
+def test_links_of_a_group_are_joined_once(spark, monkeypatch):
+    """Components by brute force over a clique, a chain, a star and random links; a clique's links are gone after the first round."""
+    rng = np.random.default_rng(5)
+    clique = [(i, j) for i in range(40) for j in range(i + 1, 40)]
+    chain = [(100 + i, 101 + i) for i in range(30)] + [(200 + i, 299) for i in range(20)]
+    loose = [tuple(sorted(x)) for x in rng.integers(300, 400, (60, 2)).tolist() if x[0] != x[1]]
+    more = [(0, 100), (1, 39), (110, 210), (500, 501), (39, 500)]
+
+    def least(links):
+        parent = {x: x for link in links for x in link}
+
+        def find(x):
+            while parent[x] != x:
+                x = parent[x]
+            return x
+
+        for a, b in links:
+            a, b = sorted((find(a), find(b)))
+            parent[b] = a
+        return {x: find(x) for x in parent}
+
+    left, real = [], neardup.written
+    monkeypatch.setattr(neardup, "written", lambda df, tag, *a: (t := real(df, tag, *a), left.append(t.count()) if tag == "left-links" else None)[0])
+    table = lambda links: real(spark.createDataFrame(links, "a long, b long"), "links")
+    got = lambda df: {r.id: r.component for r in df.collect()}
+    assert got(neardup.components(table(clique))) == least(clique) and left == [0]
+    labels = neardup.components(table(clique + chain + loose))
+    assert got(labels) == least(clique + chain + loose)
+    assert got(neardup.joined(labels, table(more))) == least(clique + chain + loose + more)
+
+
 def test_regions_by_definition():
     rng = np.random.default_rng(2)
     rows = sorted((int(r), tuple(int(x) for x in k)) for r, k in zip(rng.integers(0, 3, 300), rng.integers(0, 3, (300, neardup.TAIL)), strict=True))
