@@ -47,12 +47,13 @@ def review_sheets(files: DataFrame) -> DataFrame:
     Of a pair that comes twice in a sheet the last row counts. Fields hold no line breaks; COLUMNS are read."""
     body = text.without_front_matter(F.regexp_replace("content", "^﻿", ""))
     parsed = lambda line: F.from_csv(line, ", ".join(f"c{i} string" for i in range(COLUMNS)), {"escape": '"'})
-    fields = lambda c: F.array(*[F.col(f"{c}.c{i}") for i in range(COLUMNS)])
+    # a line is parsed once: as an array of its fields, behind an explode through which no filter takes the parser with it
+    fields = lambda line: F.explode_outer(F.transform(F.array(parsed(line)), lambda x: F.array(*[x[f"c{i}"] for i in range(COLUMNS)])))
     lines = F.filter(F.split(body, r"\r?\n"), lambda x: F.regexp_like(x, F.lit(r"[^\s,]")) & ~F.regexp_like(x, F.lit(r"^\s*\x22?\s*#")))
     t = files.select("path", text.front_matter(F.regexp_replace("content", "^﻿", "")).alias("meta"), lines.alias("lines")).filter(F.size("lines") > 0)
-    t = t.select("path", "meta", F.col("lines")[0].alias("header"), F.posexplode(F.slice("lines", F.lit(2), F.size("lines"))).alias("place", "line"))
-    t = t.select("path", "meta", "place", parsed(F.col("header")).alias("header"), parsed(F.col("line")).alias("line"))
-    t = t.select("path", "meta", "place", fields("header").alias("names"), fields("line").alias("values"))
+    t = t.select("path", "meta", "lines", fields(F.col("lines")[0]).alias("names"))
+    t = t.select("path", "meta", "names", F.posexplode(F.slice("lines", F.lit(2), F.size("lines"))).alias("place", "line"))
+    t = t.select("path", "meta", "place", "names", fields(F.col("line")).alias("values"))
     value = lambda name: F.trim(F.get("values", F.array_position("names", F.lit(name)).cast("int") - 1))  # noqa: E731  null where the name isn't there
     word = F.lower(value("confidence"))
     number = F.element_at(F.create_map(*[F.lit(x) for kv in CONFIDENCE.items() for x in kv]), word)

@@ -71,3 +71,9 @@ def test_review_sheets(spark, tmp_path):
     rows = {(r.path[-5:], r.pair_id): (r.meta, r.verdict, r.confidence, r.note) for r in sheets.review_sheets(sheets.whole_files(spark, str(tmp_path))).collect()}
     meta = {"rater": "Kim", "round": "2"}
     assert rows == {("a.csv", "p1"): (meta, "same", 5.0, 'a "note"'), ("a.csv", "p2"): (meta, "same", None, "again"), ("b.csv", "p1"): ({}, "same", None, "")}
+
+
+def test_a_line_is_parsed_once(spark):
+    files = spark.createDataFrame([("a", "pair_id,verdict\np1,same\n")], "path string, content string")
+    plan = sheets.review_sheets(files)._jdf.queryExecution().optimizedPlan().toString()
+    assert 2 <= plan.count("from_csv(") <= 2 * 2  # header and line; a filter may look once more
