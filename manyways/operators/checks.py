@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import itertools
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from manyways.functions import text
 from manyways.functions.stats import average_ranks, pearson
 from manyways.operators import forks, pairs, sequence
-from manyways.operators.resample import SEED, draws, permutation_p, permuted, uniform
+from manyways.operators.cluster import stored
+from manyways.operators.resample import SEED, draws, permutation_p, permuted, ranked, renamed, uniform
 from manyways.operators.setjoin import similar_sets
 
 SIM_WITHIN = 0.55
@@ -196,23 +201,130 @@ def recipes_null(choice: DataFrame, n: int = 1000, least: float = 0.6, seed: int
     return t.agg(F.first("paths").alias("paths"), F.avg("x").alias("null_mean"), F.min("x").alias("null_min"), F.max("x").alias("null_max"), F.avg((F.col("x") <= F.col("paths")).cast("double")).alias("p"))
 
 
+#: So many runs of a draw are counted in one task.
+SLICE = 8192
+#: Meetings of an option's and a drawn fork's run that are counted at once.
+MEETINGS = 2_000_000
+
+
 def gate_null(choice: DataFrame, n: int = 1000, seed: int = SEED) -> DataFrame:
     """draw, gates: how many (fork, option, later fork) triples meet the gates' shares when who reaches a fork is random, at the same sizes of
-    forks and options: in each draw every fork's runs are renamed by a permutation of its own for the side that is reached."""
-    d = choice.select("fork", "option", "run").distinct()
-    runs = choice.select("run").distinct()
-    p = forks.positions(choice).select("fork", "position", F.col("runs").alias("size"))
-    size = p.filter("size >= 8")
-    reach = draws(d.select("fork", "run").distinct().join(size.select("fork"), "fork"), n)
-    k = reach.groupBy("draw", "fork").agg(F.count("*").alias("k"))
-    order = F.row_number().over(Window.partitionBy("draw", "fork").orderBy(uniform("draw", "fork", "run", seed=seed), "run"))
-    random = k.join(runs, F.lit(True)).withColumn("at", order).filter("at <= k").select("draw", F.col("fork").alias("b"), "run")  # a draw's own size: forks x runs
-    n1 = d.groupBy("fork", "option").agg(F.count("*").alias("n1")).join(size, "fork").filter("n1 >= 5 and size - n1 >= 5").select(F.col("fork").alias("a"), "option", "n1", F.col("size").alias("na"), F.col("position").alias("pa"))
-    every = random.join(d.select(F.col("fork").alias("a"), "run").distinct(), "run").filter("a <> b").groupBy("draw", "a", "b").agg(F.count("*").alias("hits"))
-    hit = random.join(d.withColumnRenamed("fork", "a"), "run").filter("a <> b").groupBy("draw", "a", "option", "b").agg(F.count("*").alias("hit")).filter("hit >= 5")
-    t = hit.join(n1, ["a", "option"]).join(every, ["draw", "a", "b"]).join(size.select(F.col("fork").alias("b"), F.col("position").alias("pb")), "b").filter("pb > pa")
-    fine = t.filter(((F.col("hits") - F.col("hit")) / (F.col("na") - F.col("n1")) <= 0.06) & (F.col("hit") / F.col("n1") >= 0.25)).groupBy("draw").agg(F.count("*").alias("gates"))
-    return choice.sparkSession.range(n).select(F.col("id").cast("int").alias("draw")).join(fine, "draw", "left").fillna(0, ["gates"])
+    forks and options: in each draw every fork's runs are renamed by a permutation of its own for the side that is reached. Runs are dealt to
+    tasks; a task counts its runs' meetings of options and drawn forks, never made as rows, in one row of counts for each option. What can't be a gate
+    (too rare options, or too common ones) isn't counted. Rows without a run, and options and forks without a name, don't count."""
+    spark = choice.sparkSession
+    d = stored(choice.select("fork", "option", "run").dropna(subset=["fork", "run"]).distinct())
+    size = stored(forks.positions(choice).select("fork", "position", F.col("runs").alias("size")).dropna(subset=["fork"]).filter("size >= 8"))
+    n1 = d.dropna(subset=["option"]).groupBy("fork", "option").agg(F.count("*").alias("n1")).join(size, "fork").filter("n1 >= 5 and size - n1 >= 5")
+    vocabulary = [r["fork"] for r in size.select("fork").orderBy("fork").collect()]  # vocabularies
+    kept = n1.select("fork", "option", "n1", "size").orderBy("fork", "option").collect()
+    every = spark.range(n).select(F.col("id").cast("int").alias("draw"))
+    if not kept:
+        return every.withColumn("gates", F.lit(0).cast("long"))
+    number = {f: i for i, f in enumerate(vocabulary)}
+    at = size.sparkSession.createDataFrame([(f, i) for f, i in number.items()], "fork string, f int")
+    place = np.zeros(len(vocabulary))
+    for r in size.select("fork", "position").collect():
+        place[number[r["fork"]]] = r["position"]
+    items, of = [], []  # a fork's own number, then its options'
+    for r in kept:
+        f = number[r["fork"]]
+        if not of or of[-1][0] != f:
+            items.append((r["fork"], None, len(of)))
+            of.append((f, 0, r["size"]))
+        items.append((r["fork"], r["option"], len(of)))
+        of.append((f, r["n1"], r["size"]))
+    x = F.broadcast(spark.createDataFrame(items, "fork string, option string, x int"))
+    runs = ranked(d.select("run").distinct(), "run")
+    total = runs.count()
+    slices = 1 + total // SLICE
+    reach = stored(d.select("fork", "run").distinct().join(runs, "run").select("fork", "j"))
+    own = reach.join(x.filter("option is null"), "fork").select("j", "x").union(d.join(runs, "run").join(x.filter("option is not null"), ["fork", "option"]).select("j", "x"))
+    drawn = reach.join(F.broadcast(at), "fork").select("j", (-1 - F.col("f")).alias("x"))
+    heads = {f: i for i, (f, own_runs, _) in enumerate(of) if not own_runs}
+    many, forks_of = len(vocabulary), np.array(of, np.int64)
+
+    def dealt(batches):
+        """part (a draw's slice), j and x of each draw: own rows as they are, reached forks (x < 0) with their runs renamed."""
+        for batch in batches:
+            j, x = (batch.column(i).to_numpy() for i in range(2))
+            for draw in range(n):
+                to = np.where(x < 0, renamed(j, -1 - x, draw, total, seed), j)
+                yield pa.RecordBatch.from_arrays([pa.array((draw * slices + to % slices).astype(np.int64)), pa.array(to.astype(np.int64)), pa.array(x)], ["part", "j", "x"])
+
+    def add(counts: np.ndarray, j: np.ndarray, x: np.ndarray) -> None:
+        mine = x >= 0
+        run, item, met, other = j[mine], x[mine].astype(np.int64), j[~mine], -1 - x[~mine].astype(np.int64)
+        low = np.searchsorted(met, run, "left")
+        times = np.searchsorted(met, run, "right") - low
+        ends = np.cumsum(times)
+        begin = 0
+        while begin < len(run):
+            end = max(begin + 1, int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + MEETINGS, "right")))
+            k = times[begin:end]
+            where = np.repeat(low[begin:end] - (np.cumsum(k) - k), k) + np.arange(int(k.sum()))
+            np.add.at(counts, np.repeat(item[begin:end] * many, k) + other[where], 1)
+            begin = end
+
+    def counted(batches):
+        """draw, a, x and the item's counts with all forks, over a stream sorted by part and j."""
+
+        def told():
+            table = counts.reshape(-1, many)
+            for first in range(0, len(table), 256):
+                some = np.flatnonzero(table[first : first + 256].any(axis=1)) + first
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), part // slices, np.int32)), pa.array(forks_of[some, 0].astype(np.int32)), pa.array(some.astype(np.int32)), pa.array([table[i].tobytes() for i in some], pa.binary())], ["draw", "a", "x", "counts"])
+
+        part, counts, held = None, None, None
+        for batch in itertools.chain(batches, [None]):
+            if batch is not None:
+                now = [batch.column(i).to_numpy() for i in range(3)]
+                held = now if held is None else [np.concatenate(c) for c in zip(held, now, strict=True)]
+                whole = int(np.searchsorted(held[1][held[0] == held[0][-1]], held[1][-1], "left") + np.searchsorted(held[0], held[0][-1], "left")) if len(held[0]) else 0
+            else:
+                whole = 0 if held is None else len(held[0])
+            if not whole:
+                continue
+            begins = np.flatnonzero(np.append(True, np.diff(held[0][:whole]) != 0))
+            for b, e in zip(begins, np.append(begins[1:], whole), strict=True):
+                if part != int(held[0][b]):
+                    if part is not None:
+                        yield from told()
+                    part, counts = int(held[0][b]), np.zeros(len(of) * many, np.int32)
+                add(counts, held[1][b:e], held[2][b:e])
+            held = [c[whole:] for c in held]
+        if part is not None:
+            yield from told()
+
+    def judged(batches):
+        """draw, gates over a stream of counts sorted by draw and a: those of one fork's items are added up and compared."""
+
+        def gates() -> int:
+            reached, found = sums.get(heads[key[1]]), 0
+            for i, hit in sums.items():
+                f, own, all_runs = of[i]
+                if own:
+                    fine = (hit >= 5) & (place > place[f]) & (hit / own >= 0.25) & ((reached - hit) / (all_runs - own) <= 0.06)
+                    fine[f] = False
+                    found += int(fine.sum())
+            return found
+
+        key, sums, out = None, {}, {}
+        for batch in batches:
+            for draw, a, i, c in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+                if key != (draw, a):
+                    if key:
+                        out[key[0]] = out.get(key[0], 0) + gates()
+                    key, sums = (draw, a), {}
+                sums[i] = sums.get(i, 0) + np.frombuffer(c, np.int32).astype(np.int64)
+        if key:
+            out[key[0]] = out.get(key[0], 0) + gates()
+        yield pa.RecordBatch.from_arrays([pa.array([*out], pa.int32()), pa.array([*out.values()], pa.int64())], ["draw", "gates"])
+
+    parts = own.union(drawn).mapInArrow(dealt, "part long, j long, x int").repartition(min(2 * n * slices, 4096), "part").sortWithinPartitions("part", "j")  # a number, so that parts aren't put together
+    counts = parts.mapInArrow(counted, "draw int, a int, x int, counts binary").repartition("draw", "a").sortWithinPartitions("draw", "a")
+    found = counts.mapInArrow(judged, "draw int, gates long").groupBy("draw").agg(F.sum("gates").alias("gates"))
+    return every.join(found, "draw", "left").fillna(0, ["gates"])
 
 
 def auc_null(df: DataFrame, score: str, positive: str, key: str, n: int = 20000, seed: int = SEED) -> DataFrame:
