@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from manyways.functions.stats import spearman
+from manyways.operators.cluster import stored
 from manyways.operators.resample import uniform
 
 GATE = 0.85
@@ -133,8 +134,19 @@ def per_kind(rows: DataFrame, kind: str, n: int, key: str, order: Column | None
 
 
 def headers(tagged: DataFrame) -> DataFrame:
-    """Per tag of choice (tag, corpus, run, did): its corpora, runs and decisions."""
-    return tagged.groupBy("tag").agg(F.array_join(F.array_sort(F.collect_set("corpus")), "+").alias("corpora"), F.countDistinct("run").alias("runs"), F.countDistinct("did").alias("decisions"))
+    """Per tag of choice (tag, corpus, run, did): its corpora, runs and decisions. Tags are few: a decision's are bits of one number, so each decision goes
+    through the shuffle once, not once for each tag and distinct count."""
+    faced = stored(tagged.select("tag", "corpus", "run").distinct())
+    out = faced.groupBy("tag").agg(F.array_join(F.array_sort(F.collect_set("corpus")), "+").alias("corpora"), F.countDistinct("run").alias("runs"))
+    tags = [r["tag"] for r in faced.select("tag").distinct().collect()]
+    words = range(0, len(tags), 63)
+    bit = lambda at: F.coalesce(*[F.when(F.col("tag").eqNullSafe(F.lit(t)), F.lit(1 << i).cast("long")) for i, t in enumerate(tags[at : at + 63])], F.lit(0).cast("long"))
+    per = tagged.dropna(subset=["did"]).groupBy("did").agg(*[F.bit_or(bit(at)).alias(f"w{at}") for at in words] or [F.lit(0).alias("w0")])
+    counts = [F.struct(F.lit(t).cast(dict(tagged.dtypes)["tag"]).alias("tag"), F.coalesce(F.sum(F.getbit(f"w{i // 63 * 63}", F.lit(i % 63)).cast("long")), F.lit(0)).alias("decisions")) for i, t in enumerate(tags)]
+    if not tags:
+        return out.withColumn("decisions", F.lit(0).cast("long"))
+    sizes = per.agg(F.array(*counts).alias("x")).select(F.explode("x").alias("x")).select(F.col("x.tag").alias("_tag"), "x.decisions")  # one row of as many numbers as tags
+    return out.join(F.broadcast(sizes), F.col("tag").eqNullSafe(F.col("_tag"))).drop("_tag")
 
 
 def comparison_kind(a: Column, b: Column) -> Column:

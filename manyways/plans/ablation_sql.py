@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from manyways.model import Query, table
 from manyways.operators import ablation
+from manyways.operators.cluster import stored
 from manyways.plans.members_sql import tagged
 
 BASE_SQL = """ln AS (SELECT o_custkey run, c_mktsegment corpus, o_custkey * 100000 + row_number() OVER (PARTITION BY o_custkey ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey, l_suppkey) AS id, l_discount < 0.08 in_code, l_tax < 0.06 in_prose, l_quantity::BIGINT q, l_returnflag flag, o_custkey % 2 = 0 flipped
@@ -105,5 +106,6 @@ QUERIES = {
 
 
 def _kinds(h):
+    h = stored(h)
     x, y = h.select(F.col("tag").alias("a"), F.struct("*").alias("x")), h.select(F.col("tag").alias("b"), F.struct("*").alias("y"))
     return x.join(y, F.col("a") < F.col("b")).select("a", "b", ablation.comparison_kind(F.col("x"), F.col("y")).alias("kind"))

@@ -88,7 +88,8 @@ def rationale_tags(spark, sf_dir):
 
 def tagged(spark, sf_dir):
     t = orders_choice(spark, sf_dir).select("did", "run", F.col("arm").alias("corpus"))
-    return t.withColumn("tag", F.lit("a")).union(t.filter("corpus <> 'BUILDING'").withColumn("tag", F.lit("b"))).union(t.filter("did % 7 <> 0").withColumn("tag", F.lit("c"))).union(t.withColumn("tag", F.lit("d")))
+    tags = F.array(F.lit("a"), F.when(F.col("corpus") != "BUILDING", "b"), F.when(F.col("did") % 7 != 0, "c"), F.lit("d"))
+    return t.withColumn("tag", F.explode(tags)).dropna(subset=["tag"])
 
 
 QUERIES = {
