@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from manyways.functions.stats import ln_factorial
-from manyways.operators.cluster import cut, one_to_one
+from manyways.operators.cluster import cut, one_to_one, stored
 
 
 def contingency(items: DataFrame, *over: str, weight: str | None = None) -> DataFrame:
@@ -86,10 +86,15 @@ def meet(items: DataFrame, *labels: str) -> DataFrame:
     return items.groupBy(*labels).agg(F.count("*").alias("n"))
 
 
+#: Chances below exp(-TAIL), about 1e-43, don't change a sum of doubles.
+TAIL = 100.0
+
+
 def adjusted_mutual_information(items: DataFrame, *over: str) -> DataFrame:
     """n, mi, ami: mutual information of a and b (natural logarithm) and what is left of it beyond chance, over the mean entropy beyond
-    chance; 1 where both are one cluster, or all single. Expected values sum the hypergeometric terms of each pair of clusters."""
-    cell = items.groupBy(*over, "a", "b").agg(F.count("*").cast("double").alias("n"))
+    chance; 1 where both are one cluster, or all single. Expected values sum the hypergeometric terms of each pair of clusters, as far from
+    the mean as terms can change a double: by Bernstein's bound all others together have a chance below exp(-TAIL)."""
+    cell = stored(items.groupBy(*over, "a", "b").agg(F.count("*").cast("double").alias("n")))
     side = lambda c: cell.groupBy(*over, c).agg(F.sum("n").alias(f"n{c}"))
     one = F.lit(1).alias("_one")
     keys = [*over, "_one"]
@@ -102,7 +107,9 @@ def adjusted_mutual_information(items: DataFrame, *over: str) -> DataFrame:
     sizes = lambda s, c: s.groupBy(*over, f"n{c}").agg(F.count("*").alias(f"m{c}")).withColumn("_one", F.lit(1))
     pairs = sizes(a, "a").join(sizes(b, "b"), keys).join(total, keys)
     na, nb, t = F.col("na"), F.col("nb"), F.col("t")
-    low, high = F.greatest(F.lit(1.0), na + nb - t), F.least(na, nb)
+    mean = na * nb / t
+    room = TAIL / 3 + F.sqrt(F.lit(TAIL * TAIL / 9) + 2 * TAIL * mean * (1 - nb / t))  # 2 exp(-r * r / (2 * variance + 2 * r / 3)) beyond r, the variance at most mean * (1 - nb / t)
+    low, high = F.greatest(F.lit(1.0), na + nb - t, F.floor(mean - room)), F.least(na, nb, F.ceil(mean + room))
     fixed = ln_factorial(na) + ln_factorial(nb) + ln_factorial(t - na) + ln_factorial(t - nb) - ln_factorial(t)
     term = lambda k: k / t * F.ln(t * k / (na * nb)) * F.exp(F.col("fixed") - ln_factorial(k) - ln_factorial(na - k) - ln_factorial(nb - k) - ln_factorial(t - na - nb + k))
     each = pairs.withColumn("fixed", fixed).withColumn("k", F.explode(F.sequence(low.cast("long"), high.cast("long"))))
