@@ -185,19 +185,50 @@ def sectors(choice: DataFrame, floor: float = 0.075, power: float = 0.75) -> Dat
     return t.select("fork", F.round(F.col("x") / F.sum("x").over(one), 6).alias("width"))
 
 
+#: So many draws' runs and recipes are in a worker at once.
+DRAWN = 2_000_000
+
+
 def recipes_null(choice: DataFrame, n: int = 1000, least: float = 0.6, seed: int = SEED) -> DataFrame:
     """One row: distinct full rows of universal forks, and how many there would be if runs chose at each fork independently by the shares
-    that the same complete runs have."""
+    that the same complete runs have. Options are numbers in the order of names, a recipe is one number of theirs (a hash where they are
+    too many); a worker draws a batch of runs for all draws, and only its distinct recipes of each draw leave it."""
     m = forks.modal(choice)
     universal = forks.fork_stats(choice).filter(F.col("coverage") >= least).select("fork")
-    k = universal.agg(F.count("*").alias("k"))
-    m = m.join(universal, "fork")
-    full = m.groupBy("run").agg(F.count("*").alias("c")).crossJoin(F.broadcast(k)).filter("c = k").select("run")  # one row
-    m = m.join(full, "run").withColumn("at", F.row_number().over(Window.partitionBy("fork").orderBy("run")) - 1)
-    size = full.agg(F.count("*").alias("size"))
-    path = lambda d, *keys: d.groupBy(*keys, "run").agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat_ws("=", "fork", "option"))), "|"), 256).alias("path")).groupBy(*keys).agg(F.countDistinct("path").cast("double").alias("paths"))
-    drawn = draws(m.select("run", "fork"), n).crossJoin(F.broadcast(size)).withColumn("at", F.floor(uniform("draw", "run", "fork", seed=seed) * F.col("size")).cast("int")).join(m.select("fork", "at", "option"), ["fork", "at"])  # one row
-    t = path(drawn, "draw").withColumnRenamed("paths", "x").crossJoin(F.broadcast(path(m)))
+    names = sorted(r["fork"] for r in universal.collect())  # a vocabulary
+    m = m.join(F.broadcast(universal), "fork").dropna(subset=["run"])
+    rows = stored(m.groupBy("run").agg(F.array_sort(F.collect_list(F.struct("fork", "option"))).alias("at")).filter(F.size("at") == len(names)))
+    counts = rows.select(F.explode("at").alias("x")).groupBy("x.fork", "x.option").agg(F.count("*").alias("k"))
+    ends: dict[str, list[int]] = {f: [] for f in names}
+    for r in counts.orderBy("fork", "option").collect():  # vocabularies
+        ends[r["fork"]].append(r["k"] + (ends[r["fork"]][-1] if ends[r["fork"]] else 0))
+    size = max((e[-1] for e in ends.values() if e), default=0)
+    tables = [np.array(ends[f], np.int64) for f in names]
+    exact = np.prod([float(len(t)) for t in tables]) < 2**62
+    each = 1 + DRAWN // 10_000
+
+    def drawn(batches):
+        def mix(x):
+            x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+            x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+            return x ^ (x >> np.uint64(31))
+
+        for batch in batches:
+            key = batch.column(0).to_numpy().astype(np.uint64)
+            for first in range(0, n, each):
+                found = []
+                for d in range(first, min(n, first + each)):
+                    path = np.zeros(len(key), np.uint64)
+                    for f, table in enumerate(tables):
+                        u = mix(mix(key + np.uint64(seed)) + np.uint64((d * len(tables) + f + 1) * 0x9E3779B97F4A7C15 % (1 << 64))) >> np.uint64(11)
+                        option = np.searchsorted(table, (u * (size / 2**53)).astype(np.int64), "right").astype(np.uint64)
+                        path = path * np.uint64(len(table)) + option if exact else mix(path + np.uint64(0x9E3779B97F4A7C15) * (option + np.uint64(1)))
+                    found.append(np.unique(path))
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(first, first + len(found), dtype=np.int32), [*map(len, found)])), pa.array(np.concatenate(found).astype(np.int64))], ["draw", "path"])
+
+    paths = rows.select(F.to_json("at").alias("path")).distinct().agg(F.count("*").cast("double").alias("paths"))
+    runs = rows.select(F.xxhash64("run").alias("key")).repartition(rows.sparkSession.sparkContext.defaultParallelism * 4)
+    t = runs.mapInArrow(drawn, "draw int, path long").distinct().groupBy("draw").agg(F.count("*").cast("double").alias("x")).crossJoin(F.broadcast(paths))  # one row
     return t.agg(F.first("paths").alias("paths"), F.avg("x").alias("null_mean"), F.min("x").alias("null_min"), F.max("x").alias("null_max"), F.avg((F.col("x") <= F.col("paths")).cast("double")).alias("p"))
 
 

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from manyways.operators import ablation, agreement, cluster, surrogate
+from manyways.operators import ablation, agreement, checks, cluster, surrogate
 
 R = random.Random(11)
 
@@ -52,3 +52,16 @@ def test_levels_counted_without_absent_rows(spark):
     assert {(r.fork, r.level): r.runs for r in counts.collect()} == plain and len(plain) > 8
     assert level.filter("level = 'absent'").count() == 0
     assert {sum(n for (f, _), n in plain.items() if f == fork) for fork, _ in plain} == {choice.select("run").distinct().count()}
+
+
+def test_drawn_recipes_have_the_shares_of_options(spark):
+    rows = [(i * 2 + j, i, j, f"f{j}", "x" if (i + j * (i % 3)) % 4 else "y") for i in range(400) for j in range(2)]
+    choice = spark.createDataFrame(rows, "did long, run int, line int, fork string, option string")
+    out = checks.recipes_null(choice, 300)
+    assert "sequence(" not in out._jdf.queryExecution().toString()  # no row for each draw, run and fork
+    r = out.first()
+    assert (r.paths, r.null_min, r.null_max) == (len({tuple(sorted((f, o) for _, q, _, f, o in rows if q == i)) for i in range(400)}), 4.0, 4.0)
+    rare = spark.createDataFrame([(i * 2 + j, i, j, f"f{j}", "y" if i < 2 else "x") for i in range(40) for j in range(2)], "did long, run int, line int, fork string, option string")
+    r = checks.recipes_null(rare, 2000).first()  # of xx, xy, yx, yy with shares of .9025, .0475, .0475 and .0025 over 40 runs
+    want = sum(1 - (1 - p) ** 40 for p in (0.9025, 0.0475, 0.0475, 0.0025))
+    assert r.paths == 2 and abs(r.null_mean - want) < 0.06
