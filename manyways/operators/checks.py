@@ -39,7 +39,8 @@ def alike(labels: DataFrame, least: float, within: str | None = None) -> DataFra
     """a < b, similarity of labels (label; of one `within` only): the larger of the overlaps of words and of 3-grams, `least` or more. Pairs
     come from set joins over the rarest words and grams, so none that reaches it is missed and frequent grams are no meeting place."""
     keys = (within,) if within else ()
-    d = labels.select(*keys, "label").distinct().withColumn("words", text.words(F.col("label"))).withColumn("grams", text.grams(F.col("label")))
+    d = stored(labels.select(*keys, "label").distinct())  # a vocabulary, which the joins read many times
+    d = d.withColumn("words", text.words(F.col("label"))).withColumn("grams", text.grams(F.col("label")))
     found = [similar_sets(d, "label", c, least - 1e-6, keys).select(*keys, "a", "b") for c in ("words", "grams")]
     of = lambda s: d.select(*keys, F.col("label").alias(s), F.col("words").alias(f"w{s}"), F.col("grams").alias(f"g{s}"))
     both = found[0].union(found[1]).distinct().join(of("a"), [*keys, "a"]).join(of("b"), [*keys, "b"])
@@ -49,14 +50,17 @@ def alike(labels: DataFrame, least: float, within: str | None = None) -> DataFra
 
 def same_slot(choice: DataFrame) -> DataFrame:
     """fork, pairs, runs: pairs of a fork's options that the same run holds, and runs that hold any."""
-    d = choice.select("run", "fork", "option").distinct()
+    d = stored(choice.select("run", "fork", "option").distinct())
     both = d.select("run", "fork", F.col("option").alias("a")).join(d.select("run", "fork", F.col("option").alias("b")), ["run", "fork"]).filter("a < b")
-    return both.groupBy("fork").agg(F.countDistinct("a", "b").alias("pairs"), F.countDistinct("run").alias("runs"))
+    pairs_of = both.select("fork", "a", "b").distinct().groupBy("fork").agg(F.count("*").alias("pairs"))
+    runs = d.dropna().groupBy("run", "fork").agg(F.count("*").alias("k")).filter("k > 1").groupBy("fork").agg(F.count("*").alias("runs"))
+    return pairs_of.join(runs, "fork")
 
 
 def vocabulary(choice: DataFrame, wide: int = 8, ratio: float = 0.7, span: int = 5) -> DataFrame:
     """V1 like options of a fork, V2 pairs of alternatives that one run holds, V3 like forks, V4 compound labels, V5 wide forks (many options
     for their runs), V6 options a run comes back to far away, V7 labels that list choices."""
+    choice = stored(choice)
     options = choice.select("fork", F.col("option").alias("label")).distinct()
     one = lambda d, name: d.agg(F.count("*").alias(name))
     runs = choice.groupBy("fork").agg(F.countDistinct("run").alias("r"), F.countDistinct("option").alias("o"))
@@ -116,6 +120,7 @@ def clusters(choice: DataFrame, values: DataFrame, negated: DataFrame, backfille
     """A: options with members whose cut-offs (did, values) contradict each other, options with members that do and don't negate (did,
     negated), like options of a fork (0.8 or more), the share of option pairs that no run shares, and, where decisions are given that no
     merge placed (backfilled: did), their share of all."""
+    choice = stored(choice.select("did", "run", "fork", "option"))
     c = choice.select("did", "fork", "option")
     sets = c.join(values.filter(F.size("values") > 0), "did").select("fork", "option", "values").distinct()
     x, y = sets.withColumnRenamed("values", "v"), sets.withColumnRenamed("values", "w")

@@ -65,3 +65,19 @@ def test_drawn_recipes_have_the_shares_of_options(spark):
     r = checks.recipes_null(rare, 2000).first()  # of xx, xy, yx, yy with shares of .9025, .0475, .0475 and .0025 over 40 runs
     want = sum(1 - (1 - p) ** 40 for p in (0.9025, 0.0475, 0.0475, 0.0025))
     assert r.paths == 2 and abs(r.null_mean - want) < 0.06
+
+
+def test_labels_are_read_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    rows = [(1, "r1", "f", "red wine"), (2, "r1", "f", "red wines"), (3, "r2", "f", "white"), (4, "r2", "g", "white"), (5, "r1", "f", "white"), (6, None, "f", "red wine"), (7, None, "f", "blue")]
+    choice = spark.createDataFrame(rows, "did long, run string, fork string, option string")
+    labels = choice.select("fork", F.col("option").alias("label")).mapInArrow(count, "fork string, label string")
+    assert [(r.fork, r.a, r.b) for r in checks.alike(labels, 0.5, "fork").collect()] == [("f", "red wine", "red wines")] and seen.value == len(rows)
+    out = checks.same_slot(choice)
+    assert "Expand" not in out._jdf.queryExecution().toString() and [tuple(r) for r in out.collect()] == [("f", 3, 1)]
