@@ -64,6 +64,23 @@ def test_likelihood_does_not_depend_on_layout(spark):
     assert one == other and one[502] == one[503] and one[500] == one[501] == (0, 0.0)
 
 
+def test_likelihood_learns_from_every_word(spark):
+    words = [f"w{i}" for i in range(300)]
+    texts = [" ".join(R.choices(words, k=k)) for k in (0, 1, 63, 64, 65, 200, 1000)] + [None]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    vocab, _, _ = likelihood.learn(d, 1)
+    found, side, size = [], likelihood.SIDE, likelihood.SEGMENT
+    for r in likelihood.dealt(d, vocab, 5).collect():
+        for x in np.frombuffer(r.codes, np.int16).reshape(-1, size + 2 * side).tolist():
+            found += [tuple(x[k - side : k + side + 1]) for k in range(side, size + side) if x[k] != likelihood.PAD]
+    want = []
+    for text in texts:
+        codes = [int(vocab.encode(likelihood.word_hashes(np.frombuffer(w.encode(), np.uint8), np.array([0, len(w)]))[0])[0]) for w in (text or "").split()]
+        codes = [likelihood.PAD] * side + codes + [likelihood.PAD] * side
+        want += [tuple(codes[k - side : k + side + 1]) for k in range(side, len(codes) - side)]
+    assert len(want) == 1393 and sorted(found) == sorted(want)
+
+
 def test_words_score_alike_in_any_block():
     net, rng = likelihood.Network(), np.random.default_rng(1)
     ctx, codes = rng.integers(0, likelihood.PAD + 1, (5000, 4)), rng.integers(0, likelihood.PAD, 5000)
