@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +13,8 @@ from manyways.operators.cluster import cut, stored
 
 LEAST_FORKS = 3
 KS = range(4, 13)
+#: So many items' tree is made in one task, over a matrix of their likenesses (512 MB); a larger one in joins, a few a round.
+DENSE = 8192
 
 
 def coordinates(profile: DataFrame, least: int = LEAST_FORKS) -> DataFrame:
@@ -32,8 +38,11 @@ def merges(items: DataFrame, pairs: DataFrame) -> DataFrame:
     Average linkage is reducible: two clusters that are each other's nearest stay so whatever else merges, so a round merges all such pairs
     at once and gives the same tree as one merge at a time. Distances are kept as sums of similarities of clusters that have any, in
     joins; ties go to the pair of the smallest names, an order in which the nearest pair of all is always mutual. Clusters without any
-    likeness have distance 1 and join the smallest name last, in the order of names.
+    likeness have distance 1 and join the smallest name last, in the order of names. Up to DENSE items the same rounds run in one task.
     """
+    ids = stored(items.select("id").distinct())
+    if ids.count() <= DENSE:
+        return dense_merges(ids, pairs)
     size = stored(items.select("id").distinct().withColumn("n", F.lit(1).cast("long")))
     sums = stored(pairs.select("a", "b", "s"))
     found, number = [], 0
@@ -59,6 +68,77 @@ def merges(items: DataFrame, pairs: DataFrame) -> DataFrame:
     return cut(out)
 
 
+def rounds(s: np.ndarray):
+    """round, a, b, height: the rounds of merges() over a matrix of summed similarities, items in order of names; s is used up."""
+    n, number = np.ones(len(s)), 0
+    np.fill_diagonal(s, 0)
+    best, height = np.full(len(s), -1), np.full(len(s), np.inf)
+
+    def look(i: int) -> None:
+        """i's nearest by rounded height, then by the pair of names."""
+        at = np.flatnonzero(s[i])
+        if not len(at):
+            best[i], height[i] = -1, np.inf
+            return
+        h = np.round(1 - s[i, at] / (n[i] * n[at]), 12)
+        least = at[h == h.min()]
+        best[i], height[i] = least[0], h.min()  # of pairs with i the one with the smallest other name is the smallest
+
+    for i in range(len(s)):
+        look(i)
+    while True:
+        a = np.flatnonzero(best >= 0)
+        a = a[(best[best[a]] == a) & (a < best[a])]
+        if not len(a):
+            return
+        number += 1
+        b = best[a]
+        for i, j in zip(a.tolist(), b.tolist(), strict=True):
+            yield number, i, j, float(1 - s[i, j] / (n[i] * n[j]))
+        into = np.arange(len(s))
+        into[b] = a
+        s[a] += s[b]
+        s[b] = 0
+        s[:, a] += s[:, b]
+        s[:, b] = 0
+        s[a, a] = 0
+        n[a] += n[b]
+        n[b] = 0
+        best[b] = -1
+        changed = np.zeros(len(s), bool)
+        changed[a] = changed[b] = True
+        stale = (n > 0) & (changed | ((best >= 0) & changed[best]))
+        for i in np.flatnonzero(stale).tolist():
+            look(i)
+        others = np.flatnonzero((n > 0) & ~stale)
+        for k in a.tolist():  # what has grown may have come nearer by rounding
+            own = others[s[others, k] > 0]
+            h = np.round(1 - s[own, k] / (n[own] * n[k]), 12)
+            nearer = (h < height[own]) | ((h == height[own]) & (k < best[own]))
+            best[own[nearer]], height[own[nearer]] = k, h[nearer]
+
+
+def dense_merges(ids: DataFrame, pairs: DataFrame) -> DataFrame:
+    """merges() of ids (id, distinct) in one task."""
+    kind = ids.schema["id"].dataType.simpleString()
+    names = ids.select(F.col("id").alias("a"), F.col("id").alias("b"), F.lit(0.0).alias("s")).union(pairs.select("a", "b", "s"))
+
+    def tree(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = pa.Table.from_batches(list(batches))
+        name, at = np.unique(np.concatenate([found["a"].to_numpy(), found["b"].to_numpy()]), return_inverse=True)
+        a, b = at[: len(found)], at[len(found) :]
+        s = np.zeros((len(name), len(name)))
+        np.add.at(s, (a, b), found["s"].to_numpy())
+        s += s.T
+        out = [*rounds(s)]
+        left = sorted({*range(len(name))} - {j for _, _, j, _ in out})
+        out += [(1 + max((r for r, *_ in out), default=0), left[0], j, 1.0) for j in left[1:]]
+        number, i, j, height = (np.array(c) for c in zip(*out, strict=True)) if out else ([], [], [], [])
+        yield pa.RecordBatch.from_arrays([pa.array(number, pa.int32()), pa.array(name[np.array(i, int)], found.schema.field("a").type), pa.array(name[np.array(j, int)], found.schema.field("a").type), pa.array(height, pa.float64())], ["round", "a", "b", "height"])
+
+    return stored(names.groupBy(F.lit(0).alias("all")).applyInArrow(tree, f"round int, a {kind}, b {kind}, height double"))
+
+
 def labelled(items: DataFrame, tree: DataFrame, ks=KS) -> DataFrame:
     """k, id, label: each k's clusters after the lowest merges that leave k of them, ties by round and names; the label is the smallest name.
     Where there are fewer items than k each is a cluster."""
@@ -66,6 +146,8 @@ def labelled(items: DataFrame, tree: DataFrame, ks=KS) -> DataFrame:
     n = ids.count()
     place = F.row_number().over(Window.orderBy(F.round("height", 12), "round", "b"))  # a vocabulary: as many merges as items
     steps = stored(tree.select("a", "b", place.alias("place")))
+    if n <= DENSE:
+        return dense_labels(ids, steps, n, [*ks])
     want = F.explode(F.array(*[F.lit(k) for k in ks])).alias("k")
     now = ids.select(want, "id", F.col("id").alias("label"))
     kept = stored(ids.sparkSession.range(1).select(want).join(steps, F.col("place") <= n - F.col("k")).select("k", F.col("b").alias("label"), F.col("a").alias("to")))
@@ -76,6 +158,25 @@ def labelled(items: DataFrame, tree: DataFrame, ks=KS) -> DataFrame:
             return now
 
 
+def dense_labels(ids: DataFrame, steps: DataFrame, n: int, ks: list[int]) -> DataFrame:
+    """labelled() of n ids by steps (a, b, place) in one task."""
+    kind = ids.schema["id"].dataType.simpleString()
+    rows = ids.select(F.lit(0).cast("int").alias("place"), F.col("id").alias("a"), F.col("id").alias("b")).union(steps.select("place", "a", "b"))
+
+    def each(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = pa.Table.from_batches(list(batches)).sort_by("place")
+        place, a, b = (found[c].to_pylist() for c in ("place", "a", "b"))
+        for k in ks:
+            label: dict = {}
+            to = {y: x for p, x, y in zip(place, a, b, strict=True) if 0 < p <= n - k}  # a name is taken in once
+            own = sorted(x for p, x in zip(place, a, strict=True) if not p)
+            for x in own:  # names fall on their way, so what x joins has its label
+                label[x] = label[to[x]] if x in to else x
+            yield pa.RecordBatch.from_arrays([pa.array([k] * len(own), pa.int32()), pa.array(own, found.schema.field("a").type), pa.array([*label.values()], found.schema.field("a").type)], ["k", "id", "label"])
+
+    return rows.groupBy(F.lit(0).alias("all")).applyInArrow(each, f"k int, id {kind}, label {kind}")
+
+
 def silhouettes(labels: DataFrame, pairs: DataFrame) -> DataFrame:
     """k, silhouette, clusters, largest, singletons: over labels (k, id, label) and pairs (a < b, s). A cluster of one counts 0."""
     both = pairs.select(F.col("a").alias("id"), F.col("b").alias("other"), "s").union(pairs.select(F.col("b").alias("id"), F.col("a").alias("other"), "s"))

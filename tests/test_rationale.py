@@ -59,3 +59,18 @@ def test_lift(spark):
     profile = spark.createDataFrame([(f"f{i}", "often") for i in range(10)] + [("f0", "x"), ("f1", "x"), ("f5", "x"), ("f6", "y")], "fork string, family string")
     got = [(r.label, r.family, r.inside, r.lift, r.rank) for r in rationale.lift(labels, profile).orderBy("label", "rank").collect()]
     assert got == [("one", "x", 2, round(0.5 / 0.3, 6), 1), ("one", "often", 4, 1.0, 2), ("two", "often", 6, 1.0, 1)]
+
+
+def test_one_task_gives_the_tree_of_joins(spark, monkeypatch):
+    """Likenesses of many ties: the rounds in one task merge what those in joins do, and few jobs do it."""
+    pairs = spark.createDataFrame([(name(a), name(b), R.choice((0.25, 0.5, 1 / 3, 1.0))) for a in range(8) for b in range(a + 1, 8) if (a + b) % 3], "a string, b string, s double").cache()
+    items = spark.createDataFrame([(name(i),) for i in range(9)], "id string")
+    tracker, found = spark.sparkContext.statusTracker(), {}
+    for dense in (0, 100):
+        monkeypatch.setattr(rationale, "DENSE", dense)
+        spark.sparkContext.setJobGroup(f"tree-{dense}", "")
+        tree = rationale.merges(items, pairs)
+        labels = sorted(map(tuple, rationale.labelled(items, tree, (2, 5, 30)).collect()))
+        found[dense] = sorted((*r[:3], round(r.height, 9)) for r in tree.collect()), labels, len(tracker.getJobIdsForGroup(f"tree-{dense}"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert found[0][:2] == found[100][:2] and 2 * found[100][2] < found[0][2]
