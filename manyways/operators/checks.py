@@ -237,8 +237,10 @@ def recipes_null(choice: DataFrame, n: int = 1000, least: float = 0.6, seed: int
     return t.agg(F.first("paths").alias("paths"), F.avg("x").alias("null_mean"), F.min("x").alias("null_min"), F.max("x").alias("null_max"), F.avg((F.col("x") <= F.col("paths")).cast("double")).alias("p"))
 
 
-#: So many runs of a draw are counted in one task.
+#: So many runs of a draw are counted at once, and no task is made for fewer than so many; so many rows are dealt at once.
 SLICE = 8192
+LEAST = 512
+DEALT = 1_000_000
 #: Meetings of an option's and a drawn fork's run that are counted at once.
 MEETINGS = 2_000_000
 
@@ -246,7 +248,8 @@ MEETINGS = 2_000_000
 def gate_null(choice: DataFrame, n: int = 1000, seed: int = SEED) -> DataFrame:
     """draw, gates: how many (fork, option, later fork) triples meet the gates' shares when who reaches a fork is random, at the same sizes of
     forks and options: in each draw every fork's runs are renamed by a permutation of its own for the side that is reached. Runs are dealt to
-    tasks; a task counts its runs' meetings of options and drawn forks, never made as rows, in one row of counts for each option. What can't be a gate
+    tasks; a task counts its runs' meetings of options and drawn forks, never made as rows, in one row of counts for each option: few tasks a draw, so
+    that counts are as many as tasks, not as slices of runs. One draw is dealt after the other, as bytes, and its shuffle files go before the next. What can't be a gate
     (too rare options, or too common ones) isn't counted. Rows without a run, and options and forks without a name, don't count."""
     spark = choice.sparkSession
     d = stored(choice.select("fork", "option", "run").dropna(subset=["fork", "run"]).distinct())
@@ -273,20 +276,39 @@ def gate_null(choice: DataFrame, n: int = 1000, seed: int = SEED) -> DataFrame:
     x = F.broadcast(spark.createDataFrame(items, "fork string, option string, x int"))
     runs = ranked(d.select("run").distinct(), "run")
     total = runs.count()
-    slices = 1 + total // SLICE
+    tasks = min(1 + total // LEAST, 2 * spark.sparkContext.defaultParallelism)  # of a draw; each has one table of counts
+    slices = max(tasks, 1 + total // SLICE)
     reach = stored(d.select("fork", "run").distinct().join(runs, "run").select("fork", "j"))
     own = reach.join(x.filter("option is null"), "fork").select("j", "x").union(d.join(runs, "run").join(x.filter("option is not null"), ["fork", "option"]).select("j", "x"))
     drawn = reach.join(F.broadcast(at), "fork").select("j", (-1 - F.col("f")).alias("x"))
     heads = {f: i for i, (f, own_runs, _) in enumerate(of) if not own_runs}
     many, forks_of = len(vocabulary), np.array(of, np.int64)
 
-    def dealt(batches):
-        """part (a draw's slice), j and x of each draw: own rows as they are, reached forks (x < 0) with their runs renamed."""
-        for batch in batches:
-            j, x = (batch.column(i).to_numpy() for i in range(2))
-            for draw in range(n):
+    def dealt(draw: int):
+        """part (a slice of runs), j and x as bytes: own rows as they are, reached forks (x < 0) with their runs renamed."""
+
+        def large(batches):
+            held, rows = [], 0
+            for batch in batches:
+                held.append(batch)
+                rows += batch.num_rows
+                if rows >= DEALT:
+                    yield pa.Table.from_batches(held)
+                    held, rows = [], 0
+            if rows:
+                yield pa.Table.from_batches(held)
+
+        def each(batches):
+            for batch in large(batches):
+                j, x = (batch.column(i).to_numpy() for i in range(2))
                 to = np.where(x < 0, renamed(j, -1 - x, draw, total, seed), j)
-                yield pa.RecordBatch.from_arrays([pa.array((draw * slices + to % slices).astype(np.int64)), pa.array(to.astype(np.int64)), pa.array(x)], ["part", "j", "x"])
+                part = to % slices
+                order = np.argsort(part, kind="stable")
+                parts, begin = np.unique(part[order], return_index=True)
+                cells = [[c[k].tobytes() for k in np.split(order, begin[1:])] if len(order) else [] for c in (to.astype(np.int64), x.astype(np.int32))]
+                yield pa.RecordBatch.from_arrays([pa.array(parts % tasks, pa.int32()), pa.array(parts.astype(np.int64)), *(pa.array(c, pa.binary()) for c in cells)], ["task", "part", "j", "x"])
+
+        return each
 
     def add(counts: np.ndarray, j: np.ndarray, x: np.ndarray) -> None:
         mine = x >= 0
@@ -302,35 +324,32 @@ def gate_null(choice: DataFrame, n: int = 1000, seed: int = SEED) -> DataFrame:
             np.add.at(counts, np.repeat(item[begin:end] * many, k) + other[where], 1)
             begin = end
 
-    def counted(batches):
-        """draw, a, x and the item's counts with all forks, over a stream sorted by part and j."""
-
-        def told():
+    def counted(draw: int):
+        """draw, a, x and the item's counts with all forks, over a stream sorted by part."""
+
+        def each(batches):
+            counts, at, held = np.zeros(len(of) * many, np.int32), None, []
+
+            def close() -> None:
+                j, x = np.concatenate([np.frombuffer(c, np.int64) for c, _ in held]), np.concatenate([np.frombuffer(c, np.int32) for _, c in held])
+                order = np.argsort(j, kind="stable")
+                add(counts, j[order], x[order])
+                held.clear()
+
+            for batch in batches:
+                for part, j, x in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3)), strict=True):
+                    if part != at and held:
+                        close()
+                    at = part
+                    held.append((j, x))
+            if held:
+                close()
             table = counts.reshape(-1, many)
             for first in range(0, len(table), 256):
                 some = np.flatnonzero(table[first : first + 256].any(axis=1)) + first
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), part // slices, np.int32)), pa.array(forks_of[some, 0].astype(np.int32)), pa.array(some.astype(np.int32)), pa.array([table[i].tobytes() for i in some], pa.binary())], ["draw", "a", "x", "counts"])
-
-        part, counts, held = None, None, None
-        for batch in itertools.chain(batches, [None]):
-            if batch is not None:
-                now = [batch.column(i).to_numpy() for i in range(3)]
-                held = now if held is None else [np.concatenate(c) for c in zip(held, now, strict=True)]
-                whole = int(np.searchsorted(held[1][held[0] == held[0][-1]], held[1][-1], "left") + np.searchsorted(held[0], held[0][-1], "left")) if len(held[0]) else 0
-            else:
-                whole = 0 if held is None else len(held[0])
-            if not whole:
-                continue
-            begins = np.flatnonzero(np.append(True, np.diff(held[0][:whole]) != 0))
-            for b, e in zip(begins, np.append(begins[1:], whole), strict=True):
-                if part != int(held[0][b]):
-                    if part is not None:
-                        yield from told()
-                    part, counts = int(held[0][b]), np.zeros(len(of) * many, np.int32)
-                add(counts, held[1][b:e], held[2][b:e])
-            held = [c[whole:] for c in held]
-        if part is not None:
-            yield from told()
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), draw, np.int32)), pa.array(forks_of[some, 0].astype(np.int32)), pa.array(some.astype(np.int32)), pa.array([table[i].tobytes() for i in some], pa.binary())], ["draw", "a", "x", "counts"])
+
+        return each
 
     def judged(batches):
         """draw, gates over a stream of counts sorted by draw and a: those of one fork's items are added up and compared."""
@@ -357,9 +376,14 @@ def gate_null(choice: DataFrame, n: int = 1000, seed: int = SEED) -> DataFrame:
             out[key[0]] = out.get(key[0], 0) + gates()
         yield pa.RecordBatch.from_arrays([pa.array([*out], pa.int32()), pa.array([*out.values()], pa.int64())], ["draw", "gates"])
 
-    parts = own.union(drawn).mapInArrow(dealt, "part long, j long, x int").repartition(min(2 * n * slices, 4096), "part").sortWithinPartitions("part", "j")  # a number, so that parts aren't put together
-    counts = parts.mapInArrow(counted, "draw int, a int, x int, counts binary").repartition("draw", "a").sortWithinPartitions("draw", "a")
-    found = counts.mapInArrow(judged, "draw int, gates long").groupBy("draw").agg(F.sum("gates").alias("gates"))
+    rows, found = stored(own.union(drawn)), None
+    for draw in range(n):
+        parts = rows.mapInArrow(dealt(draw), "task int, part long, j binary, x binary").repartition(tasks, "task").sortWithinPartitions("part")  # a number, so that parts aren't put together
+        counts = parts.mapInArrow(counted(draw), "draw int, a int, x int, counts binary").repartition("draw", "a").sortWithinPartitions("draw", "a")
+        one = stored(counts.mapInArrow(judged, "draw int, gates long").groupBy("draw").agg(F.sum("gates").alias("gates")), freed=True)
+        found = one if found is None else found.union(one)
+    if found is None:
+        return every.withColumn("gates", F.lit(0).cast("long"))
     return every.join(found, "draw", "left").fillna(0, ["gates"])
 
 

@@ -47,3 +47,15 @@ def test_gate_draws_by_loop(spark, monkeypatch, size):
                     n += b != f and place[b] > place[f] and hit >= 5 and hit / len(own) >= 0.25 and (hits - hit) / (len(of[f]) - len(own)) <= 0.06
         want.append((draw, n))
     assert sorted(map(tuple, checks.gate_null(choice, 4).collect())) == want and any(n for _, n in want)
+
+
+def test_counts_are_as_many_as_tasks(spark, monkeypatch):
+    """Runs in many slices give no more counts than those in few, and the same gates."""
+    rows = [(i, i % 97, i, f"f{i % 5}", f"o{(i * 7) % 3}") for i in range(1200)]
+    choice, made, found = spark.createDataFrame(rows, "did long, run long, line long, fork string, option string").cache(), [], []
+    kept = checks.stored
+    monkeypatch.setattr(checks, "stored", lambda df, **k: (made.append(k), kept(df, **k))[1])
+    for size in (1000, 3):
+        monkeypatch.setattr(checks, "SLICE", size)
+        found.append(sorted(map(tuple, checks.gate_null(choice, 2).collect())))
+    assert found[0] == found[1] and made.count({"freed": True}) == 4  # a draw's shuffle files go before the next
